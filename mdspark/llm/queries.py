@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdspark.llm import byte_bpe, html_text, near_dedup, quality, url_filter
+from mdspark.llm import byte_bpe, html_text, near_dedup, quality, substring_dedup, url_filter
 from mdspark.llm.common import table, text_of
 
 
@@ -60,6 +60,14 @@ FROM parts LEFT JOIN fits ON fits.n = parts.n AND k = 1
 """
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.stop - x.start)
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
