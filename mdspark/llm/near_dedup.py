@@ -173,6 +173,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _across_components(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still reach the similarity.
+
+    Prefix filter: with the elements of each set in one common order, rarest first, two sets that
+    share s elements share one before their last s - 1. The order keeps what all of a large group
+    have in common out of nearly all comparisons. No pair that reaches the similarity is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                e = np.frombuffer(raw.as_py(), np.int64)
+                n = np.full(len(e), len(e))
+                columns = [np.full(len(e), key, np.int64), np.full(len(e), c, np.int64), n, e]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "c", "n", "e"])
+
+    elements = sets.select("id", "c", "elements").mapInArrow(run, "id long, c long, n long, e long")
+    elements = ws.write(elements, "elements")
+    often = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    shared = elements.join(often, "e").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    at = shared.select("id", "c", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode("s").alias("k", "x"))
+    at = at.select("id", "c", "n", "x.e", (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
+    at = at.where(100 * F.col("rest") >= percent * F.col("n"))
+    x, y = at.alias("x"), at.alias("y")
+    needed = percent * (F.col("x.n") + F.col("y.n"))
+    fits = ((100 + percent) * F.col("x.rest") >= needed) & ((100 + percent) * F.col("y.rest") >= needed)
+    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & fits)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _sizes_fit(m: Column, n: Column, percent: int) -> Column:
     """A smaller set than this share of the larger can't reach the similarity."""
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
@@ -214,16 +244,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     at = crowded.join(comps, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
     at = ws.write(at, "at")
     split = at.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-    left = ws.write(at.join(split, "h", "left_semi"), "left")
-    other = left.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = left.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & _sizes_fit(F.col("n"), F.col("nb"), percent))
-    across = across.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
+    left = ws.write(at.join(split, "h", "left_semi").select("id", "c").distinct(), "left")
+    across = _across_components(ws, sets.join(left, "id"), percent).join(tried, ["a", "b"], "left_anti")
     more = ws.write(_verified(across, sets, percent), "more")
     if more.isEmpty():
         final = comps
     else:
         final = ws.write(connected_components(ws, edges.unionByName(more), "cd"), "final")
-    ws.drop("crowded", "sets", "tried", "at", "left")
+    ws.drop("crowded", "sets", "tried", "at", "left", "elements")
 
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("print", F.coalesce("component", "rep").alias("component_id"))
