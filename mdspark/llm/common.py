@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mdspark.shipping import ship_package
 
 #: Rows of one Arrow batch; whole texts travel in them, so it is kept well below Spark's default.
-ARROW_ROWS = 256
+ARROW_ROWS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
