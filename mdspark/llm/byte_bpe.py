@@ -22,8 +22,8 @@ from mdspark.llm.common import small_arrow_batches
 
 #: The vocabulary is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pieces and pairs that a worker remembers; beyond it starts anew.
-CACHE_ENTRIES = 150_000
+#: Pieces that a worker remembers in each of two generations, and pairs; when one is full, the elder goes.
+CACHE_ENTRIES = 300_000
 CACHED_PIECE_CHARS = 48
 #: Text that one output batch stands for.
 BATCH_CHARS = 1 << 20
@@ -53,6 +53,7 @@ class BytePairEncoder:
             self._learn_halves(token.decode("latin-1"))
         self.neighbours: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.elder: dict[str, tuple[int, ...]] = {}
 
     def _learn_halves(self, text: str) -> None:
         """The last merge that makes this token; a token that no merge makes is whole."""
@@ -126,10 +127,13 @@ class BytePairEncoder:
         for piece in self.find(text):
             ids = pieces.get(piece)
             if ids is None:
-                ids = self._piece(piece.encode("utf-8").decode("latin-1"))
+                ids = self.elder.get(piece)
+                if ids is None:
+                    ids = self._piece(piece.encode("utf-8").decode("latin-1"))
                 if len(piece) <= CACHED_PIECE_CHARS:
                     if len(pieces) >= CACHE_ENTRIES:
-                        pieces.clear()
+                        self.elder = pieces
+                        pieces = self.pieces = {}
                     pieces[piece] = ids
             out += ids
         return out
