@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdspark.llm import byte_bpe, html_text, near_dedup, neighbours, quality, substring_dedup, url_filter
+from mdspark.llm import byte_bpe, html_text, near_dedup, neighbours, private_data, quality, substring_dedup, url_filter
 from mdspark.llm.common import table, text_of
 
 
@@ -56,6 +56,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.spans_of(table(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
