@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdspark.llm import byte_bpe, html_text, near_dedup, neighbours, private_data, quality, substring_dedup, url_filter
+from mdspark.llm import byte_bpe, decontamination, html_text, near_dedup, neighbours, private_data, quality, substring_dedup, url_filter
 from mdspark.llm.common import table, text_of
 
 
@@ -56,6 +56,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(private_data.spans_of(table(spark, sf_dir, "documents")))
 
