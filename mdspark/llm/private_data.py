@@ -132,7 +132,8 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     edges = ws.write(edges, "edges")
     words = rows.select(F.explode(F.split("t", _WORD_BREAK)).alias("w")).select(F.lower("w").alias("p"))
     known = edges.groupBy("p").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT).select("p")
-    uses = ws.write(words.groupBy("p").agg(F.count("*").alias("uses")).join(known, "p", "left_semi"), "uses")
+    # an inner join: the optimizer would push a semi join below the partial sums and shuffle every word
+    uses = ws.write(words.groupBy("p").agg(F.count("*").alias("uses")).join(known, "p"), "uses")
 
     score = edges.select("v", F.col("seed").cast("double").alias("score")).groupBy("v").agg(F.max("score").alias("score"))
     patterns = None
