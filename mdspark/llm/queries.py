@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdspark.llm import byte_bpe, decontamination, html_text, near_dedup, neighbours, private_data, quality, substring_dedup, url_filter
+from mdspark.llm import byte_bpe, decontamination, html_text, language_model, near_dedup, neighbours, private_data, quality, substring_dedup, url_filter
 from mdspark.llm.common import table, text_of
 
 
@@ -56,6 +56,28 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM words),
+pairs AS MATERIALIZED (SELECT a.doc_id, a.w AS u, b.w, count(*) AS c FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.i = a.i + 1 GROUP BY ALL),
+f1 AS MATERIALIZED (SELECT w, count(*) AS f FROM tokens GROUP BY w),
+f2 AS (SELECT u, w, sum(c) AS f FROM pairs GROUP BY u, w),
+total AS (SELECT sum(f) AS n FROM f1),
+s1 AS (SELECT doc_id, count(*) AS n, sum(log10(f / (SELECT n FROM total))) AS s FROM tokens JOIN f1 USING (w) GROUP BY doc_id),
+s2 AS (SELECT doc_id, sum(c) AS shared, sum(c * (log10(f2.f - c) - log10(fu.f) - log10(0.4 * fw.f / (SELECT n FROM total)))) AS gain
+  FROM pairs JOIN f2 USING (u, w) JOIN f1 fu ON fu.w = pairs.u JOIN f1 fw ON fw.w = pairs.w WHERE f2.f > c GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(shared, 0)::BIGINT AS n_shared,
+  round((s + (n - 1) * log10(0.4) + coalesce(gain, 0)) / n, 6) AS score
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s1 USING (doc_id) LEFT JOIN s2 USING (doc_id)
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -109,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest_neighbours": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op8_url_filter": OP8_SQL}
+    return {"op1_nearest_neighbours": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_language_model": OP5_SQL, "op8_url_filter": OP8_SQL}
