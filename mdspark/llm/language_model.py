@@ -13,6 +13,7 @@ hash, and only sums per document are brought together.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ from mdspark.llm.near_dedup import _MULTIPLIERS, mix, word_hashes
 ALPHA = 0.4
 #: Bits of a word's hash; a pair is kept in 80 bits.
 BITS = 40
+#: Bits of the filter that keeps pairs no other document has out of the last shuffle: 16 MB, broadcast. Where there are many
+#: more pairs than bits it lets more of them pass, which changes no result.
+FILTER_BITS = 27
 
 
 def _hashes(text: pa.Scalar) -> np.ndarray:
@@ -41,6 +45,20 @@ def _long(ids: pa.Array, found: list[tuple[np.ndarray, ...]], names: list[str])
     return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, columns)], ["doc_id", *names])
 
 
+def _bit(g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (g ^ (g >> 24) ^ (x.astype(np.int64) << 11)) & ((1 << FILTER_BITS) - 1)
+
+
+def _filter_of(known: DataFrame):
+    """A bit for each pair of ``known``, of fixed size whatever the number of pairs; as a broadcast value."""
+    bit = F.expr(f"(g ^ shiftright(g, 24) ^ shiftleft(cast(x as bigint), 11)) & {(1 << FILTER_BITS) - 1}")
+    words = known.select(bit.alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("at"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return known.sparkSession.sparkContext.broadcast(bits)
+
+
 def _words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,8 +68,11 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, w long, c int")
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """Distinct pairs of each document: g has the first word and the lower bits of the second, x its upper bits."""
+def _pairs(docs: DataFrame, seen=None) -> DataFrame:
+    """Distinct pairs of each document: g has the first word and the lower bits of the second, x its upper bits.
+
+    ``seen``: broadcast bits; pairs whose bit is not set are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,16 +83,23 @@ def _pairs(docs: DataFrame) -> DataFrame:
                 first, second = w[:-1][at], w[1:][at]
                 g = ((first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))).view(np.int64)
                 x = (second >> np.uint64(24)).astype(np.int32)
-                found.append((g, x, n.astype(np.int32)))
+                n = n.astype(np.int32)
+                if seen is not None:
+                    bit = _bit(g, x)
+                    keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
+                    g, x, n = g[keep], x[keep], n[keep]
+                found.append((g, x, n))
             yield _long(batch.column(0), found, ["g", "x", "c"])
 
     return docs.mapInArrow(run, "doc_id long, g long, x int, c int")
 
 
 def _let_go(ws: Workspace) -> None:
-    """Shuffle files of finished steps go when the driver's references to them are collected."""
-    gc.collect()
-    ws.spark._jvm.System.gc()
+    """Shuffle files of finished steps go when the driver's references to them are collected; the second turn finds what the first let go."""
+    for _ in range(2):
+        gc.collect()
+        ws.spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,12 +115,12 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     ws = Workspace(docs.sparkSession, "language-model")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    words = _words(rows).repartition("w")
-    table = ws.write(words.groupBy("w").agg(F.sum("c").alias("f")), "words")
+    table = ws.write(_words(rows).groupBy("w").agg(F.sum("c").alias("f")), "words")
+    _let_go(ws)
     total = table.agg(F.sum("f")).first()[0] or 1
-    by_word = words.join(table, "w").groupBy("doc_id")
+    by_word = _words(rows).join(table.hint("shuffle_hash"), "w").groupBy("doc_id")
     sums = ws.write(by_word.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log10(F.col("f") / total)).alias("s")), "word-sums")
-    del words, by_word
+    del by_word
     _let_go(ws)
     often = _pairs(rows).groupBy("g", "x").agg(F.sum("c").alias("f"), F.count("*").alias("df")).where("df > 1")
     often = ws.write(often.select("g", "x", "f"), "pairs")
@@ -106,7 +134,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ws.drop("words", "pairs")
     del often, table
     _let_go(ws)
-    hits = _pairs(rows).join(known, ["g", "x"]).where(F.col("f") > F.col("c"))
+    hits = _pairs(rows, _filter_of(known)).join(known.hint("shuffle_hash"), ["g", "x"]).where(F.col("f") > F.col("c"))
     gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) + F.col("less"))
     hits = ws.write(hits.groupBy("doc_id").agg(F.sum("c").alias("shared"), F.sum(gain).alias("gain")), "pair-sums")
     ws.drop("known")
