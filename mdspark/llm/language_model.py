@@ -68,30 +68,46 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, w long, c int")
 
 
-def _pairs(docs: DataFrame, seen=None) -> DataFrame:
-    """Distinct pairs of each document: g has the first word and the lower bits of the second, x its upper bits.
+def _pairs_of(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a text: g has the first word and the lower bits of the second, x its upper bits; and their counts."""
+    w = _hashes(text)
+    _, at, n = np.unique(mix(w[:-1] * _MULTIPLIERS[0] + w[1:] * _MULTIPLIERS[1]), return_index=True, return_counts=True)
+    first, second = w[:-1][at], w[1:][at]
+    g = ((first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))).view(np.int64)
+    return g, (second >> np.uint64(24)).astype(np.int64), n.astype(np.int64)
 
-    ``seen``: broadcast bits; pairs whose bit is not set are left out.
-    """
+
+def _pairs(docs: DataFrame, seen) -> DataFrame:
+    """The pairs of each document whose bit is set in ``seen``, a broadcast value; xc has x in 16 bits below the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column(1):
-                w = _hashes(text)
-                _, at, n = np.unique(mix(w[:-1] * _MULTIPLIERS[0] + w[1:] * _MULTIPLIERS[1]), return_index=True, return_counts=True)
-                first, second = w[:-1][at], w[1:][at]
-                g = ((first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))).view(np.int64)
-                x = (second >> np.uint64(24)).astype(np.int32)
-                n = n.astype(np.int32)
-                if seen is not None:
-                    bit = _bit(g, x)
-                    keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
-                    g, x, n = g[keep], x[keep], n[keep]
-                found.append((g, x, n))
-            yield _long(batch.column(0), found, ["g", "x", "c"])
-
-    return docs.mapInArrow(run, "doc_id long, g long, x int, c int")
+                g, x, n = _pairs_of(text)
+                bit = _bit(g, x)
+                keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
+                found.append((g[keep], (n[keep] << 16) | x[keep]))
+            yield _long(batch.column(0), found, ["g", "xc"])
+
+    return docs.mapInArrow(run, "doc_id long, g long, xc long")
+
+
+def _counts(docs: DataFrame, of_pairs: bool) -> DataFrame:
+    """(g, x, n), a row for each pair of each document, or (w, n), summed over each batch of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not of_pairs:
+                w, n = np.unique(np.concatenate([_hashes(t) for t in batch.column(1)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n)], ["w", "n"])
+                continue
+            g, x, n = map(np.concatenate, zip(*map(_pairs_of, batch.column(1)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(x.astype(np.int32)), pa.array(n)], ["g", "x", "n"])
+
+    return docs.mapInArrow(run, "g long, x int, n long" if of_pairs else "w long, n long")
 
 
 def _let_go(ws: Workspace) -> None:
@@ -106,8 +122,8 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_tokens, n_shared, score): tokens, tokens whose pair is also elsewhere, and the mean log10 score of a token.
 
     Words are runs without ASCII white space, A-Z lower-cased. Counts are over all texts; a
-    document's own pairs don't count for itself. Rows that share an id, null too, are one
-    document. Without tokens, as with a null or empty text, the score is null. An empty table
+    document's own pairs don't count for itself. Rows are documents of their own, but those that
+    share an id, null too, give one result over all of them. Without tokens, as with a null or empty text, the score is null. An empty table
     gives an empty table.
 
     Exploded rows are one for each distinct word or pair of a document, so the most frequent
@@ -115,14 +131,14 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     ws = Workspace(docs.sparkSession, "language-model")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    table = ws.write(_words(rows).groupBy("w").agg(F.sum("c").alias("f")), "words")
+    table = ws.write(_counts(rows, False).groupBy("w").agg(F.sum("n").alias("f")), "words")
     _let_go(ws)
     total = table.agg(F.sum("f")).first()[0] or 1
     by_word = _words(rows).join(table.hint("shuffle_hash"), "w").groupBy("doc_id")
     sums = ws.write(by_word.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log10(F.col("f") / total)).alias("s")), "word-sums")
     del by_word
     _let_go(ws)
-    often = _pairs(rows).groupBy("g", "x").agg(F.sum("c").alias("f"), F.count("*").alias("df")).where("df > 1")
+    often = _counts(rows, True).groupBy("g", "x").agg(F.sum("n").alias("f"), F.count("*").alias("df")).where("df > 1")
     often = ws.write(often.select("g", "x", "f"), "pairs")
     _let_go(ws)
     first = F.expr(f"shiftrightunsigned(g, 24) & {(1 << BITS) - 1}")
@@ -134,15 +150,17 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ws.drop("words", "pairs")
     del often, table
     _let_go(ws)
-    hits = _pairs(rows, _filter_of(known)).join(known.hint("shuffle_hash"), ["g", "x"]).where(F.col("f") > F.col("c"))
+    pairs = _pairs(rows, _filter_of(known)).alias("p")
+    same = (F.col("p.g") == F.col("k.g")) & (F.expr("cast(p.xc & 65535 as int)") == F.col("k.x"))
+    hits = pairs.join(known.alias("k").hint("shuffle_hash"), same).withColumn("c", F.shiftright("xc", 16))
     gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) + F.col("less"))
     hits = ws.write(hits.groupBy("doc_id").agg(F.sum("c").alias("shared"), F.sum(gain).alias("gain")), "pair-sums")
     ws.drop("known")
     _let_go(ws)
     every = rows.select("doc_id").distinct()
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    out = every.join(sums, same(every, sums), "left").drop(sums["doc_id"])
-    out = out.join(hits, same(out, hits), "left").drop(hits["doc_id"])
+    match = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
+    out = every.join(sums, match(every, sums), "left").drop(sums["doc_id"])
+    out = out.join(hits, match(out, hits), "left").drop(hits["doc_id"])
     score = (F.col("s") + (F.col("n") - 1) * F.log10(F.lit(ALPHA)) + F.coalesce("gain", F.lit(0.0))) / F.col("n")
     return out.select(
         F.col("doc_id").alias(key), F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("shared", F.lit(0)).alias("n_shared"), score.alias("score")
