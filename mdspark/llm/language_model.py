@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdspark.llm.common import Workspace
-from mdspark.llm.near_dedup import _MULTIPLIERS, mix, word_hashes
+from mdspark.llm.near_dedup import _MULTIPLIERS, _SPACE, mix
 
 ALPHA = 0.4
 #: Bits of a word's hash; a pair is kept in 80 bits.
@@ -30,19 +30,47 @@ BITS = 40
 #: Bits of the filter that keeps pairs no other document has out of the last shuffle: 16 MB, broadcast. Where there are many
 #: more pairs than bits it lets more of them pass, which changes no result.
 FILTER_BITS = 27
-
-
-def _hashes(text: pa.Scalar) -> np.ndarray:
-    return word_hashes((text.as_py() or "").encode()) >> np.uint64(64 - BITS)
-
-
-def _long(ids: pa.Array, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    """One row for each element of each document's arrays."""
-    if not found:
-        found = [(np.empty(0, np.int64),) * len(names)]
-    at = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-    columns = [np.concatenate([x[k] for x in found]) for k in range(len(names))]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, columns)], ["doc_id", *names])
+#: Words or pairs that a task sums before they are shuffled; it bounds memory only.
+SUM_OVER = 1 << 20
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, A-Z lower-cased, in order, and the number of the text it is in."""
+    each = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    whole = b"\n".join(each).lower() + bytes(8)
+    space = _SPACE[np.frombuffer(whole, np.uint8)]
+    space[-8:] = True
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    start, left = edges[::2], edges[1::2] - edges[::2]
+    first = np.cumsum([0] + [len(t) + 1 for t in each[:-1]])
+    # eight bytes at a time, of all words that still have some
+    lanes = np.ndarray(len(whole) - 7, "<u8", whole, strides=1)
+    out = left.astype(np.uint64) * _MULTIPLIERS[1]
+    todo, spot = np.arange(len(start)), start
+    while len(todo):
+        out[todo] = mix((out[todo] ^ (lanes[spot] & _LOW_BYTES[np.minimum(left, 8)])) * _MULTIPLIERS[0])
+        more = left > 8
+        todo, spot, left = todo[more], spot[more] + 8, left[more] - 8
+    return out >> np.uint64(64 - BITS), np.searchsorted(first, start, side="right") - 1
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a row of each kind is, and how many there are, by a 64-bit hash of the row."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column, m in zip(columns, _MULTIPLIERS, strict=False):
+        key += column.astype(np.uint64, copy=False) * m
+    key = mix(key)
+    order = np.argsort(key)
+    key = key[order]
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return order[begins], np.diff(begins, append=len(key))
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """g has the first word and the lower bits of the second, x its upper bits."""
+    g = (first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))
+    return g.view(np.int64), (second >> np.uint64(24)).astype(np.int64)
 
 
 def _bit(g: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,50 +90,57 @@ def _filter_of(known: DataFrame):
 def _words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(_hashes(text), return_counts=True) for text in batch.column(1)]
-            yield _long(batch.column(0), [(w.astype(np.int64), n.astype(np.int32)) for w, n in found], ["w", "c"])
+            w, at = _hashes(batch.column(1))
+            one, n = _distinct(w, at)
+            ids = batch.column(0).take(pa.array(at[one]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w[one].view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "w", "c"])
 
     return docs.mapInArrow(run, "doc_id long, w long, c int")
 
 
-def _pairs_of(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a text: g has the first word and the lower bits of the second, x its upper bits; and their counts."""
-    w = _hashes(text)
-    _, at, n = np.unique(mix(w[:-1] * _MULTIPLIERS[0] + w[1:] * _MULTIPLIERS[1]), return_index=True, return_counts=True)
-    first, second = w[:-1][at], w[1:][at]
-    g = ((first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))).view(np.int64)
-    return g, (second >> np.uint64(24)).astype(np.int64), n.astype(np.int64)
-
-
 def _pairs(docs: DataFrame, seen) -> DataFrame:
     """The pairs of each document whose bit is set in ``seen``, a broadcast value; xc has x in 16 bits below the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                g, x, n = _pairs_of(text)
-                bit = _bit(g, x)
-                keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
-                found.append((g[keep], (n[keep] << 16) | x[keep]))
-            yield _long(batch.column(0), found, ["g", "xc"])
+            w, at = _hashes(batch.column(1))
+            inside = np.flatnonzero(at[:-1] == at[1:])
+            one, n = _distinct(w[inside], w[inside + 1], at[inside])
+            one = inside[one]
+            g, x = _pair(w[one], w[one + 1])
+            bit = _bit(g, x)
+            keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
+            ids = batch.column(0).take(pa.array(at[one[keep]]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(g[keep]), pa.array((n[keep] << 16) | x[keep])], ["doc_id", "g", "xc"])
 
     return docs.mapInArrow(run, "doc_id long, g long, xc long")
 
 
 def _counts(docs: DataFrame, of_pairs: bool) -> DataFrame:
-    """(g, x, n), a row for each pair of each document, or (w, n), summed over each batch of documents."""
+    """(g, x, n) of pairs or (w, n) of words, summed over documents that have SUM_OVER of them together."""
+    names = ["g", "x", "n"] if of_pairs else ["w", "n"]
+
+    def summed(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        one, n = _distinct(*columns)
+        columns = [c[one] for c in columns]
+        if of_pairs:
+            g, x = _pair(*columns)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(x.astype(np.int32)), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not of_pairs:
-                w, n = np.unique(np.concatenate([_hashes(t) for t in batch.column(1)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n)], ["w", "n"])
-                continue
-            g, x, n = map(np.concatenate, zip(*map(_pairs_of, batch.column(1)), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(x.astype(np.int32)), pa.array(n)], ["g", "x", "n"])
+            w, at = _hashes(batch.column(1))
+            inside = at[:-1] == at[1:]
+            kept.append((w[:-1][inside], w[1:][inside]) if of_pairs else (w,))
+            size += len(w)
+            if size >= SUM_OVER:
+                yield summed(kept)
+                kept, size = [], 0
+        if kept:
+            yield summed(kept)
 
     return docs.mapInArrow(run, "g long, x int, n long" if of_pairs else "w long, n long")
 
@@ -138,8 +173,8 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sums = ws.write(by_word.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log10(F.col("f") / total)).alias("s")), "word-sums")
     del by_word
     _let_go(ws)
-    often = _counts(rows, True).groupBy("g", "x").agg(F.sum("n").alias("f"), F.count("*").alias("df")).where("df > 1")
-    often = ws.write(often.select("g", "x", "f"), "pairs")
+    # a pair that occurs once is in no other document; those that one document repeats go when they meet its own count
+    often = ws.write(_counts(rows, True).groupBy("g", "x").agg(F.sum("n").alias("f")).where("f > 1"), "pairs")
     _let_go(ws)
     first = F.expr(f"shiftrightunsigned(g, 24) & {(1 << BITS) - 1}")
     second = F.expr("shiftleft(cast(x as bigint), 24) | (g & 16777215)")
@@ -152,7 +187,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     _let_go(ws)
     pairs = _pairs(rows, _filter_of(known)).alias("p")
     same = (F.col("p.g") == F.col("k.g")) & (F.expr("cast(p.xc & 65535 as int)") == F.col("k.x"))
-    hits = pairs.join(known.alias("k").hint("shuffle_hash"), same).withColumn("c", F.shiftright("xc", 16))
+    hits = pairs.join(known.alias("k").hint("shuffle_hash"), same).withColumn("c", F.shiftright("xc", 16)).where("f > c")
     gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) + F.col("less"))
     hits = ws.write(hits.groupBy("doc_id").agg(F.sum("c").alias("shared"), F.sum(gain).alias("gain")), "pair-sums")
     ws.drop("known")
