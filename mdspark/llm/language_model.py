@@ -73,14 +73,18 @@ def _pair(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g.view(np.int64), (second >> np.uint64(24)).astype(np.int64)
 
 
-def _bit(g: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (g ^ (g >> 24) ^ (x.astype(np.int64) << 11)) & ((1 << FILTER_BITS) - 1)
+def _bits(g: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that stand for a pair."""
+    mask = (1 << FILTER_BITS) - 1
+    return (g ^ (g >> 24) ^ (x << 11)) & mask, (g >> 13 ^ (g >> 40) ^ (x << 7)) & mask
 
 
 def _filter_of(known: DataFrame):
-    """A bit for each pair of ``known``, of fixed size whatever the number of pairs; as a broadcast value."""
-    bit = F.expr(f"(g ^ shiftright(g, 24) ^ shiftleft(cast(x as bigint), 11)) & {(1 << FILTER_BITS) - 1}")
-    words = known.select(bit.alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("at"))
+    """The bits of the pairs of ``known``, of fixed size whatever the number of pairs; as a broadcast value."""
+    mask = (1 << FILTER_BITS) - 1
+    one = f"(g ^ shiftright(g, 24) ^ shiftleft(cast(x as bigint), 11)) & {mask}"
+    other = f"(shiftright(g, 13) ^ shiftright(g, 40) ^ shiftleft(cast(x as bigint), 7)) & {mask}"
+    words = known.select(F.explode(F.expr(f"array({one}, {other})")).alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("at"))
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
@@ -99,7 +103,7 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(docs: DataFrame, seen) -> DataFrame:
-    """The pairs of each document whose bit is set in ``seen``, a broadcast value; xc has x in 16 bits below the count."""
+    """The pairs of each document whose bits are set in ``seen``, a broadcast value; xc has x in 16 bits below the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +112,8 @@ def _pairs(docs: DataFrame, seen) -> DataFrame:
             one, n = _distinct(w[inside], w[inside + 1], at[inside])
             one = inside[one]
             g, x = _pair(w[one], w[one + 1])
-            bit = _bit(g, x)
-            keep = (seen.value[bit >> 6] >> (bit & 63)) & 1 == 1
+            a, b = _bits(g, x)
+            keep = (seen.value[a >> 6] >> (a & 63)) & (seen.value[b >> 6] >> (b & 63)) & 1 == 1
             ids = batch.column(0).take(pa.array(at[one[keep]]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(g[keep]), pa.array((n[keep] << 16) | x[keep])], ["doc_id", "g", "xc"])
 
@@ -180,15 +184,16 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     second = F.expr("shiftleft(cast(x as bigint), 24) | (g & 16777215)")
     known = often.withColumn("u", first).withColumn("w", second)
     known = known.join(table.select(F.col("w").alias("u"), F.col("f").alias("fu")), "u").join(table.select("w", F.col("f").alias("fw")), "w")
-    less = -F.log10("fu") - F.log10(F.lit(ALPHA) * F.col("fw") / total)
-    known = ws.write(known.select("g", "x", "f", less.alias("less")), "known")
+    # the product instead of its logarithm: whole numbers take fewer bytes when compressed
+    product = F.col("fu").cast("double") * F.col("fw")
+    known = ws.write(known.select("g", "x", "f", product.alias("product")).sortWithinPartitions("g"), "known")
     ws.drop("words", "pairs")
     del often, table
     _let_go(ws)
     pairs = _pairs(rows, _filter_of(known)).alias("p")
     same = (F.col("p.g") == F.col("k.g")) & (F.expr("cast(p.xc & 65535 as int)") == F.col("k.x"))
     hits = pairs.join(known.alias("k").hint("shuffle_hash"), same).withColumn("c", F.shiftright("xc", 16)).where("f > c")
-    gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) + F.col("less"))
+    gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) - F.log10(F.lit(ALPHA / total) * F.col("product")))
     hits = ws.write(hits.groupBy("doc_id").agg(F.sum("c").alias("shared"), F.sum(gain).alias("gain")), "pair-sums")
     ws.drop("known")
     _let_go(ws)
