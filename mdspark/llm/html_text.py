@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,15 +47,15 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, characters of links in it, is in an article) of each line; dropped parts give empty lines.
+def lines(page: str) -> Iterator[tuple[str, int, int]]:
+    """(text, characters of links in it, number of the outermost article or main around it, else 0) of each line; dropped parts give empty lines.
 
     One pass over the tags. A dropped element ends with its own end tag; an unclosed one that
     is no article's part ends where an article begins.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    linked, at, article, anchor = 0, 0, 0, 0
+    linked, at, article, number, anchor = 0, 0, 0, 0, 0
     dropped, depth = "", 0
 
     def flush() -> None:
@@ -61,7 +63,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
         joined = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            out.append((joined, min(linked, len(joined)), article > 0))
+            out.append((joined, min(linked, len(joined)), number if article else 0))
         linked = 0
 
     size = len(page)
@@ -80,18 +82,18 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
         if dropped:
             if tag in ("article", "main") and not closing and dropped not in ("article", "main") and not article and not _marked(attributes):
                 dropped = ""
-                out.append(("", 0, False))
+                out.append(("", 0, number if article else 0))
             else:
                 if tag == dropped and not attributes.endswith("/"):
                     depth += -1 if closing else 1
                     if not depth:
                         dropped = ""
-                        out.append(("", 0, False))
+                        out.append(("", 0, number if article else 0))
                 if tag in RAW and not closing:
                     at = _raw_end(page, at, tag)
                     if tag == dropped and (depth := depth - 1) == 0:
                         dropped = ""
-                        out.append(("", 0, False))
+                        out.append(("", 0, number if article else 0))
                 continue
         if not closing and tag not in VOID and (tag in DROPPED or tag in RAW or (tag not in ("html", "body", "main") and _marked(attributes))):
             if tag in RAW:
@@ -104,6 +106,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool]]:
             continue
         if tag in ("article", "main"):
             flush()
+            number += not closing and not article
             article = max(0, article + (-1 if closing else 1))
         elif tag in BLOCKS:
             flush()
@@ -120,26 +123,44 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return end.end() if end else len(page)
 
 
-def main_text(page: str) -> str:
-    """Lines between surge and dive points, joined by one line feed.
-
-    The length of a line is the length of its text, nothing if most of it is links. A surge is
-    where the windows' sums come to SURGE; the dive is where a whole window is empty again. An
-    article or main element that a kept region touches is kept whole, and then what lies
-    outside such elements goes; an article too short for a surge is kept all the same.
-    """
-    found = list(lines(page))
-    weights = [0 if n > LINKED * len(t) else len(t) for t, n, _ in found]
+def _regions(weights: list[int]) -> list[bool]:
+    """Lines of some weight between a surge and the next dive."""
     sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
-    keep, inside = [False] * len(found), False
+    keep, inside = [False] * len(weights), False
     for k, weight in enumerate(weights):
         if not inside and sums[k] >= SURGE and weight:
             inside = True
         elif inside and not sums[k]:
             inside = False
         keep[k] = inside and weight > 0
-    if any(a for t, _, a in found if t):
-        keep = [a for _, _, a in found]
+    return keep
+
+
+def _kept(weights: list[int], articles: list[int]) -> list[bool]:
+    """The regions, widened to the articles they touch; what they have outside of these must be a region by itself."""
+    keep = _regions(weights)
+    touched = {a for a, k in zip(articles, keep, strict=True) if k and a}
+    if not any(keep):
+        touched = set(articles) - {0}
+    if not touched:
+        return keep
+    alone: list[bool] = []
+    for _, run in groupby(zip(articles, weights, strict=True), key=itemgetter(0)):
+        alone += _regions([w for _, w in run])
+    return [w > 0 and (a in touched if a else k) for w, a, k in zip(weights, articles, alone, strict=True)]
+
+
+def main_text(page: str) -> str:
+    """Lines between surge and dive points, joined by one line feed.
+
+    The length of a line is the length of its text, nothing if most of it is links. A surge is
+    where the windows' sums come to SURGE; the dive is where a whole window is empty again. An
+    article or main element that a kept region touches is kept but for its lines of links; lines
+    outside stay if they are a region without its text. If a page has no region, its articles,
+    too short for a surge, are kept likewise.
+    """
+    found = list(lines(page))
+    keep = _kept([0 if n > LINKED * len(t) else len(t) for t, n, _ in found], [a for _, _, a in found])
     return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k and t)
 
 

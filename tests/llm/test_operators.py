@@ -151,6 +151,16 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_regions_decide_and_articles_widen():
+    body = "".join(f"<p>{prose(k, 40)}</p>" for k in range(5))
+    text = html_text.main_text(f"<div>{body}</div>")
+    links = "".join(f"<li><a href=/{k}>link number {k}</a></li>" for k in range(5))
+    gap = f"<ul>{links}</ul>"
+    assert html_text.main_text(f"<div>{body}</div>{gap}<article><p>A teaser</p></article>") == text
+    assert html_text.main_text(f"<article>{body}{gap}<p>The end</p></article><p>By me</p>") == text + "\nThe end"
+    assert html_text.main_text(f"<div>{body}</div><article>{body}</article>") == text + "\n" + text
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?q", "https://a.example.com/en/", "http://example.com/de", "http://x.net/es/1", "http://x.net", "http://com/", "mailto:x", None, "", "http://a.org#x", "http://badexample.com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
