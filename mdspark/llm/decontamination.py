@@ -35,12 +35,16 @@ def words(text: str) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The answer follows the last question mark, or else is the last sentence; without one, all is question."""
+    """The answer follows the last question mark; without one, all is question.
+
+    Also if one of the two is so short that a changed word in it, which is in GRAM n-grams, takes
+    its share below OVERLAP: then they are judged together.
+    """
     cut = text.rfind("?") + 1
-    if not cut or not words(text[cut:]):
-        ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", text.strip())]
-        cut = ends[-1] if ends else len(text)
-    return words(text[:cut]), words(text[cut:])
+    parts = words(text[:cut]), words(text[cut:])
+    if any((1 - OVERLAP) * (len(w) - GRAM + 1) < GRAM for w in parts):
+        return parts[0] + parts[1], []
+    return parts
 
 
 def _grams(w: list[str]) -> set[tuple[str, ...]]:
@@ -212,7 +216,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """(doc_id, item_id, score, question_overlap, answer_overlap): each test item that a document holds, at its best passage.
 
     A passage is found if its BM25 score is at least THRESHOLD of the item's own, and confirmed
-    if it has at least OVERLAP of the word trigrams of the item's question and of its answer.
+    if it has at least OVERLAP of the word trigrams of the item's question and of its answer, or
+    of all its text if it has no question mark or one of them is short (answer_overlap is 1 then).
     Words are runs of letters and digits, lower-cased. Null and empty texts hold nothing; items
     that are null or shorter than MIN_ITEM_WORDS are not looked for; rows that repeat an item or
     an id count once; an empty table on either side gives an empty table.

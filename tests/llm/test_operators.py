@@ -246,6 +246,16 @@ def test_decontamination(spark, empty):
     assert decontamination.find_leaks(empty, items).count() == 0
 
 
+def test_decontamination_of_items_with_a_short_last_sentence(spark):
+    plain, asked = prose(21, 40).capitalize(), "Which " + prose(22, 30) + "?"
+    items = spark.createDataFrame([(1, plain + ". One two three."), (2, asked + " Old Verlona")], "item_id long, text string")
+    around = prose(23, 60)
+    rows = [(1, f"{around} {plain}. One two four. {around}"), (2, f"{around} {plain}."), (3, f"{around} {asked} Old Varlona {around}"), (4, around)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()) == [(1, 1), (2, 1), (3, 2)]
+    assert decontamination.question_and_answer("Is it so? Yes.") == (["is", "it", "so", "yes"], [])
+
+
 def test_block_max_wand_loses_nothing():
     rng = np.random.default_rng(11)
     index = decontamination.ItemIndex([(k, " ".join(f"t{x}" for x in rng.zipf(1.3, 40) % 300)) for k in range(200)])
