@@ -23,11 +23,16 @@ from mdspark.llm.common import small_arrow_batches
 K1, B, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 0.6, 0.6, 3
 #: Words between passage starts; a passage has twice as many. Longer items are looked for in parts of PART words.
 STRIDE, PART = 128, 128
-#: Items shorter than this are in too many texts to mean anything, and are not looked for.
-MIN_ITEM_WORDS = 5
+#: Items shorter than this have too few n-grams for a share: all their words must be there in a row.
+SHORT = 5
 #: Postings in a block; bytes of items in one index, which is broadcast. More items are searched in several passes.
 BLOCK, MAX_INDEX_BYTES = 16, 64 << 20
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words: Han, kana, Thai, Lao, Myanmar, Khmer. Each character is a word.
+UNSEGMENTED = (
+    "\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3041-\u3096\u3099\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3"
+)
+_WORD = re.compile(rf"[{UNSEGMENTED}]|[^\W_{UNSEGMENTED}]+")
 
 
 def words(text: str) -> list[str]:
@@ -53,20 +58,23 @@ def _grams(w: list[str]) -> set[tuple[str, ...]]:
 
 
 class ItemIndex:
-    """Postings by term, in blocks of BLOCK parts with the largest impact of each block."""
+    """Postings by term, in blocks of BLOCK parts with the largest impact of each block; short items by their first word."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.parts: list[int] = []
-        self.items: dict[int, tuple[list[str], list[str]]] = {}
+        self.items: list[tuple[int, list[str], list[str]]] = []
+        self.short: dict[str, list[tuple[int, list[str]]]] = {}
         texts: list[list[str]] = []
         for item, text in items:
             w = words(text)
-            if len(w) < MIN_ITEM_WORDS:
+            if len(w) < SHORT:
+                if w:
+                    self.short.setdefault(w[0], []).append((item, w))
                 continue
-            self.items[item] = question_and_answer(text)
+            self.items.append((item, *question_and_answer(text)))
             n = math.ceil(len(w) / PART)
             for k in range(n):
-                self.parts.append(item)
+                self.parts.append(len(self.items) - 1)
                 texts.append(w[k * len(w) // n : (k + 1) * len(w) // n])
         df = Counter(t for w in texts for t in set(w))
         self.terms = {t: k for k, t in enumerate(sorted(df))}
@@ -188,6 +196,12 @@ def _leaks(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, float
         ids.append(known[at])
         window.append(at // STRIDE + 1 + first)
         first += len(w) // STRIDE + 2
+    if index.short:
+        for k, w in enumerate(all_words):
+            for item in _short_items(index, w):
+                yield k, item, 1.0, 1.0, 1.0
+    if not index.parts:
+        return
     terms, spot = np.concatenate(ids), np.concatenate(window)
     # a passage begins at each stride and has two; number n has the strides n and n + 1
     pairs = np.unique(np.concatenate((spot * len(index.terms) + terms, (spot - 1) * len(index.terms) + terms)))
@@ -199,8 +213,8 @@ def _leaks(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, float
             continue
         k = int(np.searchsorted(firsts, passage, side="right")) - 1
         begin = max(0, (passage - firsts[k] - 1) * STRIDE)
-        for item, score in {(index.parts[p], s) for p, s in hits}:
-            question, answer = index.items[item]
+        for entry, score in {(index.parts[p], s) for p, s in hits}:
+            item, question, answer = index.items[entry]
             reach = max(0, len(question) + len(answer) - STRIDE)
             there = _grams_of_text(all_words[k][max(0, begin - reach) : begin + 2 * STRIDE + reach], {len(g) for part in (question, answer) for g in list(_grams(part))[:1]})
             shares = [len(g & there) / len(g) if (g := _grams(part)) else 1.0 for part in (question, answer)]
@@ -208,6 +222,10 @@ def _leaks(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, float
                 yield k, item, score, shares[0], shares[1]
 
 
+def _short_items(index: ItemIndex, w: list[str]) -> set[int]:
+    return {item for at, first in enumerate(w) if first in index.short for item, whole in index.short[first] if w[at : at + len(whole)] == whole}
+
+
 def _grams_of_text(w: list[str], sizes: set[int]) -> set[tuple[str, ...]]:
     return {tuple(w[k : k + n]) for n in sizes for k in range(len(w) - n + 1)}
 
@@ -218,9 +236,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     A passage is found if its BM25 score is at least THRESHOLD of the item's own, and confirmed
     if it has at least OVERLAP of the word trigrams of the item's question and of its answer, or
     of all its text if it has no question mark or one of them is short (answer_overlap is 1 then).
-    Words are runs of letters and digits, lower-cased. Null and empty texts hold nothing; items
-    that are null or shorter than MIN_ITEM_WORDS are not looked for; rows that repeat an item or
-    an id count once; an empty table on either side gives an empty table.
+    Items shorter than SHORT words are found where all their words follow each other (all figures
+    are 1 then). Words are runs of letters and digits, lower-cased, and single characters in
+    scripts without spaces. Null and empty texts hold nothing; items that are null or without a
+    word are not looked for; each text of an item_id is; rows that repeat an item or an id count
+    once; an empty table on either side gives an empty table.
 
     The index is broadcast; its size is checked, and more items are searched in passes over the
     documents. Documents are mapped where they are read; only confirmed pairs are shuffled.
@@ -228,14 +248,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // MAX_INDEX_BYTES)
     out = spark.createDataFrame([], schema)
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
         index = ItemIndex(sorted((r.item_id, r.text) for r in part))
-        if not index.parts:
+        if not index.parts and not index.short:
             continue
         out = out.unionByName(_map_leaks(docs.select(F.col(key).cast("long").alias("doc_id"), text), spark.sparkContext.broadcast(index), schema))
     best = out.groupBy("doc_id", "item_id")

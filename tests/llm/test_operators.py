@@ -256,6 +256,18 @@ def test_decontamination_of_items_with_a_short_last_sentence(spark):
     assert decontamination.question_and_answer("Is it so? Yes.") == (["is", "it", "so", "yes"], [])
 
 
+def test_decontamination_of_short_unsegmented_and_repeated_items(spark):
+    chinese, thai = "\u6c34\u662f\u751f\u547d\u4e4b\u6e90\u5927\u6d77\u5f88\u84dd\uff0c\u5929\u7a7a\u4e5f\u5f88\u9ad8", "\u0e19\u0e49\u0e33\u0e17\u0e30\u0e40\u0e25\u0e2a\u0e35\u0e1f\u0e49\u0e32\u0e2a\u0e27\u0e22\u0e21\u0e32\u0e01"
+    items = [(1, "Who won? Bob Smith"), (2, chinese), (3, thai), (4, prose(31, 30)), (4, prose(32, 30)), (5, "Verlona"), (6, "?!")]
+    texts = ["so who won, bob smith they said", "who won bob", f"\u4f60{chinese}\u4f60\u597d", f"\u0e44\u0e17\u0e22{thai}", prose(31, 30), prose(32, 30), "in verlona now", "\u4f60\u597d"]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(0, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5)]
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()) == want
+    few = items.where("item_id = 1")
+    assert [r.doc_id for r in decontamination.find_leaks(docs, few).collect()] == [0]
+
+
 def test_block_max_wand_loses_nothing():
     rng = np.random.default_rng(11)
     index = decontamination.ItemIndex([(k, " ".join(f"t{x}" for x in rng.zipf(1.3, 40) % 300)) for k in range(200)])
