@@ -24,8 +24,10 @@ from mdspark.llm.common import Workspace, shuffle_partitions
 CURVES, DIMENSIONS, BITS, WINDOW = 4, 8, 7, 256
 #: Vectors in a block of the widened search at least, and blocks at most: their cones are broadcast.
 BLOCK, MAX_BLOCKS = 1024, 1 << 16
-#: Classes kept besides those asked for, against ties and rounding before the exact scores.
-SPARE = 4
+#: Queries that meet a block at once, and numbers that are scored exactly at once.
+QUERIES, EXACT = 2048, 1 << 20
+#: What the angle of a cone may lack by rounding: the arc cosine of nearly 1 is good to half of the digits.
+ANGLE = 1e-7
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,12 +79,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best(queries: pa.Table, data: pa.Table, keep: int) -> pa.Table:
-    """(q, c, score): the ``keep`` nearest classes of the block for each query."""
-    scores = _unit(_matrix(queries.column("vec"))) @ _unit(_matrix(data.column("vec"))).T
-    c = data.column("c").to_numpy()
-    order = np.lexsort((np.broadcast_to(c, scores.shape), -scores))[:, :keep]
-    q = np.repeat(queries.column("q").to_numpy(), order.shape[1])
-    return pa.table({"q": q, "c": c[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+    """(q, c, score): the ``keep`` nearest classes of the block for each query, by exact score and then c.
+
+    All classes whose matrix product is within rounding of the last one kept get their exact
+    score, however many they are.
+    """
+    asked, known = _matrix(queries.column("vec")), _matrix(data.column("vec"))
+    unit, q, c = _unit(known).T, queries.column("q").to_numpy(), data.column("c").to_numpy()
+    n, width = min(keep, len(known)), known.shape[1]
+    # a score by either way is within 4 (width + 4) roundings of the true one
+    margin = 16 * (width + 4) * np.finfo(float).eps
+    step = max(1, EXACT // width)
+    out = []
+    for first in range(0, len(asked), QUERIES):
+        some = asked[first : first + QUERIES]
+        scores = _unit(some) @ unit
+        row, at = np.nonzero(scores >= np.partition(scores, -n, axis=1)[:, [-n]] - margin)
+        exact = np.concatenate([cosine(known[at[k : k + step]], some[row[k : k + step]]) for k in range(0, len(row), step)])
+        order = np.lexsort((c[at], -exact, row))
+        starts = np.searchsorted(row, np.arange(len(some)))
+        order = order[np.arange(len(row)) - starts[row] < n]
+        out.append(pa.table({"q": q[first + row[order]], "c": c[at[order]], "score": exact[order]}))
+    return pa.concat_tables(out)
 
 
 _FOUND = "q long, c long, score double"
@@ -134,7 +152,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     asked = ws.write(usable.where(queries).distinct(), "asked")
     sought = ws.write(asked.groupBy("vec").agg(F.min("id").alias("q")), "sought")
     n = classes.count()
-    keep = k + 1 + SPARE
+    keep = k + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +187,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
         unit = _unit(_matrix(data.column("vec")))
         axis = unit.mean(axis=0)
         axis /= max(float(np.linalg.norm(axis)), 1e-300)
-        widest = float(np.arccos(np.clip((unit @ axis).min(), -1, 1)))
+        widest = float(np.arccos(np.clip((unit @ axis).min(), -1, 1))) + ANGLE
         return pa.table({"block": [key[0].as_py()], "axis": [axis.tolist()], "angle": [widest]})
 
     cones = blocks.groupBy("block").applyInArrow(cone, "block long, axis array<double>, angle double").toArrow()
@@ -187,16 +205,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     wide = sought.join(bound, "q", "left").select("q", "vec", "bound").mapInArrow(widen, "q long, vec array<double>, block long")
     more = blocks.groupBy("block").cogroup(wide.groupBy("block")).applyInArrow(window, _FOUND)
     merged = found.unionByName(more).groupBy("q", "c").agg(F.max("score").alias("score"))
-    merged = merged.withColumn("nth", kth).where(F.col("nth") <= keep).select("q", "c")
-
-    pairs = merged.join(classes, "c").join(sought.withColumnRenamed("vec", "asked"), "q").select("q", "ids", "vec", "asked")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine(a, b))], ["q", "ids", "score"])
+    merged = merged.withColumn("nth", kth).where(F.col("nth") <= keep).select("q", "c", "score")
 
-    scored = pairs.mapInArrow(exact, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))
+    scored = merged.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     scored = scored.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= k + 1).drop("nth")
     of_query = asked.join(sought, "vec").select(F.col("id").alias("query_id"), "q")
@@ -206,6 +217,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row in double precision, summed component by component."""
+    """Row by row in double precision, summed component by component; a power of two keeps squares in range."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     dot, aa, bb = (np.cumsum(x, axis=1)[:, -1] for x in (a * b, a * a, b * b))
     return np.clip(dot / np.sqrt(aa * bb), -1, 1)

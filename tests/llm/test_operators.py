@@ -130,6 +130,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("vec_id < 3"), F.col("id") % 50 == 0).count() == 2
 
 
+def test_neighbours_of_scaled_copies(spark):
+    v = np.random.default_rng(6).normal(0, 1, 16)
+    known = {k: (k * v).tolist() for k in range(1, 401)}
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(list(known.items()), "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in range(50, 401, 50):
+        scores = {i: neighbours.cosine(np.array([known[q]]), np.array([u]))[0] for i, u in known.items() if i != q}
+        assert [got[q][k] for k in range(1, 6)] == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[i, j] for i in range(8) for j in range(8)])
     walk = cells[np.argsort(neighbours.hilbert_keys(cells, 3))]
