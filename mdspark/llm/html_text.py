@@ -18,7 +18,7 @@ from mdspark.llm.common import small_arrow_batches
 WINDOW, SURGE, LINKED = 3, 80, 0.5
 #: Elements with no main text in them.
 DROPPED = frozenset(
-    "head script style noscript template svg math iframe object nav header footer aside form button select textarea menu dialog audio video canvas map".split()
+    "head script style noscript template svg math iframe object nav header footer aside button select textarea menu dialog audio video canvas map".split()
 )
 #: Elements whose content is not markup.
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
@@ -26,44 +26,52 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre hr figure figcaption address details summary center fieldset legend".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what is not the article.
+#: Classes, ids and roles that mark what may not be the article. Their text is measured like the text of forms.
 MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer complementary contentinfo search form skip".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead breadcrumb breadcrumbs cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer complementary contentinfo search form skip".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORDS = re.compile(r"[^A-Za-z]+")
+#: Attributes in order, so that no value is read as a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def _mark(tag: str, attributes: str) -> str | None:
+    """What marks the element: a word of MARKED, form, aria-hidden; hidden, if it is not shown at all; else None."""
+    found = "form" if tag == "form" else None
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() in ("hidden", "aria-hidden"):
-            if value != "false":
-                return True
-        elif not MARKED.isdisjoint(_WORDS.split(value)):
-            return True
-    return False
-
-
-def lines(page: str) -> Iterator[tuple[str, int, int]]:
-    """(text, characters of links in it, number of the outermost article or main around it, else 0) of each line; dropped parts give empty lines.
-
-    One pass over the tags. A dropped element ends with its own end tag; an unclosed one that
-    is no article's part ends where an article begins.
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" and value != "false":
+            return "hidden"
+        if name == "aria-hidden" and value != "false":
+            found = found or name
+        elif name in ("class", "id", "role"):
+            found = found or next((w for w in value.split() if w in MARKED), None)
+    return found
+
+
+def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
+    """(text, characters of links in it, number of the outermost article or main around it, else 0, innermost mark around it) of each line; dropped parts give empty lines.
+
+    One pass over the tags. A dropped or marked element ends with its own end tag, a marked one
+    also with that of a marked one around it; one that is no article's part ends where an article
+    begins.
     """
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, str]] = []
     text: list[str] = []
     linked, at, article, number, anchor = 0, 0, 0, 0, 0
     dropped, depth = "", 0
+    marks: list[list] = []  # mark, tag, open elements of that tag, whether it is in a link
+
+    def add(joined: str) -> None:
+        out.append((joined, min(linked, len(joined)), number if article else 0, marks[-1][0] if marks else ""))
 
     def flush() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            out.append((joined, min(linked, len(joined)), number if article else 0))
+            add(joined)
         linked = 0
 
     size = len(page)
@@ -79,23 +87,25 @@ def lines(page: str) -> Iterator[tuple[str, int, int]]:
         closing, tag, attributes = found[1], (found[2] or "").lower(), found[3] or ""
         if not tag:
             continue
+        begins = tag in ("article", "main") and not closing and not article and (not (mark := _mark(tag, attributes)) or (tag == "main" and mark != "hidden"))
         if dropped:
-            if tag in ("article", "main") and not closing and dropped not in ("article", "main") and not article and not _marked(attributes):
+            if begins and dropped not in ("article", "main"):
                 dropped = ""
-                out.append(("", 0, number if article else 0))
+                add("")
             else:
                 if tag == dropped and not attributes.endswith("/"):
                     depth += -1 if closing else 1
                     if not depth:
                         dropped = ""
-                        out.append(("", 0, number if article else 0))
+                        add("")
                 if tag in RAW and not closing:
                     at = _raw_end(page, at, tag)
                     if tag == dropped and (depth := depth - 1) == 0:
                         dropped = ""
-                        out.append(("", 0, number if article else 0))
+                        add("")
                 continue
-        if not closing and tag not in VOID and (tag in DROPPED or tag in RAW or (tag not in ("html", "body", "main") and _marked(attributes))):
+        mark = None if closing or tag in VOID or tag in ("html", "body", "main") else _mark(tag, attributes)
+        if not closing and tag not in VOID and (tag in DROPPED or tag in RAW or mark == "hidden"):
             if tag in RAW:
                 if tag not in ("script", "style"):
                     flush()
@@ -104,6 +114,21 @@ def lines(page: str) -> Iterator[tuple[str, int, int]]:
                 flush()
                 dropped, depth = tag, 1
             continue
+        if begins and marks:
+            flush()
+            anchor = marks[0][3]
+            marks.clear()
+        for k, opened in enumerate(marks):
+            if opened[1] == tag and not attributes.endswith("/"):
+                opened[2] += -1 if closing else 1
+            if not opened[2] or (opened[1] == "p" and tag in BLOCKS):
+                flush()
+                anchor = opened[3]
+                del marks[k:]
+                break
+        if mark and not attributes.endswith("/"):
+            flush()
+            marks.append([mark, tag, 1, anchor])
         if tag in ("article", "main"):
             flush()
             number += not closing and not article
@@ -150,6 +175,18 @@ def _kept(weights: list[int], articles: list[int]) -> list[bool]:
     return [w > 0 and (a in touched if a else k) for w, a, k in zip(weights, articles, alone, strict=True)]
 
 
+def _chosen(weights: list[int], articles: list[int], marks: list[str], some: set[str]) -> list[bool]:
+    """What is kept of the lines with one of the marks ``some``; each run of others is one empty line."""
+    at = [k if m in some else -1 for k, m in enumerate(marks)]
+    at = [k for n, k in enumerate(at) if k >= 0 or not n or at[n - 1] >= 0]
+    kept = _kept([weights[k] if k >= 0 else 0 for k in at], [articles[k] if k >= 0 else articles[at[n - 1]] if n else 0 for n, k in enumerate(at)])
+    keep = [False] * len(weights)
+    for k, yes in zip(at, kept, strict=True):
+        if k >= 0:
+            keep[k] = yes
+    return keep
+
+
 def main_text(page: str) -> str:
     """Lines between surge and dive points, joined by one line feed.
 
@@ -158,10 +195,23 @@ def main_text(page: str) -> str:
     article or main element that a kept region touches is kept but for its lines of links; lines
     outside stay if they are a region without its text. If a page has no region, its articles,
     too short for a surge, are kept likewise.
+
+    Elements of one mark, such as form or sidebar, stay if their regions have more text than is
+    kept without them, marks of most text first.
     """
     found = list(lines(page))
-    keep = _kept([0 if n > LINKED * len(t) else len(t) for t, n, _ in found], [a for _, _, a in found])
-    return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k and t)
+    weights, articles, marks = [0 if n > LINKED * len(t) else len(t) for t, n, _, _ in found], [a for _, _, a, _ in found], [m for *_, m in found]
+    keep = _chosen(weights, articles, marks, {""})
+    sizes = {}
+    for mark in set(marks) - {""}:
+        regions = _regions([w if m == mark else 0 for w, m in zip(weights, marks, strict=True)])
+        sizes[mark] = sum(w for w, k in zip(weights, regions, strict=True) if k)
+    some = {""}
+    for mark in sorted(sizes, key=lambda m: (-sizes[m], m)):
+        if sizes[mark] > sum(w for w, k in zip(weights, keep, strict=True) if k):
+            some.add(mark)
+            keep = [a or b for a, b in zip(keep, _chosen(weights, articles, marks, some), strict=True)]
+    return "\n".join(t for (t, *_), k in zip(found, keep, strict=True) if k and t)
 
 
 def extract_main_text(df: DataFrame, column: str = "html", to: str = "text") -> DataFrame:

@@ -172,6 +172,21 @@ def test_html_regions_decide_and_articles_widen():
     assert html_text.main_text(f"<div>{body}</div><article>{body}</article>") == text + "\n" + text
 
 
+def test_html_marked_elements_are_measured():
+    body = "".join(f"<p>{prose(k, 40)}</p>" for k in range(5))
+    text = html_text.main_text(f"<div>{body}</div>")
+    short = f"<p>{prose(9, 30)}</p>"
+    wrappers = ['div class="content has-sidebar"', 'div id="page" class="no-comments"', 'div class="share-enabled"', 'div title="a hidden place"', "form method=post", 'div class="content sidebar"', "div class=widget"]
+    for wrapper in wrappers:
+        end = wrapper.split()[0]
+        assert html_text.main_text(f"<body><{wrapper}>{body}<div class=ad>{short}</div></{end}><p>Bye</p></body>").startswith(text)
+        assert prose(9, 30) not in html_text.main_text(f"<body><{wrapper}>{body}<div class=ad>{short}</div></{end}></body>")
+    for small in ("div class=sidebar", "form"):
+        assert html_text.main_text(f"<div>{body}</div><{small}>{short}</{small.split()[0]}>") == text
+    assert html_text.main_text(f"<div hidden>{body}</div>{short}") == prose(9, 30)
+    assert html_text.main_text("".join(f"<section class=widget>{p}</p></section>" for p in body.split("</p>")[:5])) == text
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?q", "https://a.example.com/en/", "http://example.com/de", "http://x.net/es/1", "http://x.net", "http://com/", "mailto:x", None, "", "http://a.org#x", "http://badexample.com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
