@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdspark.llm import byte_bpe, decontamination, near_dedup, private_data, quality
-from mdspark.llm.common import Workspace, table
+from mdspark.llm.common import Workspace, shuffle_partitions, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,30 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_score") >= quality.THRESHOLD).drop("_score")
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, stage: str, ordered: bool = False) -> DataFrame:
+    """``docs`` with a key of each row, written so that all who read it see the same keys; ``ordered`` by doc_id, nulls last."""
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    if ordered:
+        order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")]
+        keyed = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    return Workspace(spark, stage).write(keyed, "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity of 0.8."""
-    others = near_dedup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group stays, that of the smallest doc_id, nulls last: five-word shingles, similarity of 0.8.
+
+    Rows are compared, so repeated rows of a doc_id and those without one are in groups like others.
+    """
+    keyed = _keyed(spark, docs, "pipeline-near", ordered=True)
+    others = near_dedup.near_duplicates(keyed, words=5, percent=80, key="_row").where("NOT kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(others, "_row", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a test item go, with or without a doc_id."""
+    keyed = _keyed(spark, docs, "pipeline-leaks")
+    leaks = decontamination.find_leaks(keyed, table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(leaks, "_row", "left_anti").select(docs.columns)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

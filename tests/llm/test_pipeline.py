@@ -54,6 +54,19 @@ def test_each_stage(spark, corpus):
             assert not re.search(r"@", " ".join(r.text for r in after.values()))
 
 
+def test_repeated_rows_and_null_ids(spark, corpus):
+    folder, _ = corpus
+    a, b, leak = prose(401, 90), prose(402, 90), prose(403, 80) + " " + ITEM
+    rows = [(7, a), (7, a), (7, a), (5, a + " tail"), (None, a), (None, b), (None, b), (None, leak), (9, leak), (9, prose(404, 90)), (None, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    order = lambda rows: sorted(rows, key=repr)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    got = order((r.doc_id, r.text) for r in once.collect())
+    assert got == order([(5, a + " tail"), (None, b), (9, leak), (9, prose(404, 90)), (None, None), (11, "")])
+    left = order((r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, folder).collect())
+    assert left == order(r for r in rows if r[1] != leak)
+
+
 def test_run(spark, corpus):
     folder, _ = corpus
     rows = corpus_pipeline.run(spark, folder).collect()
