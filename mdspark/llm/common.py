@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="mdspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,29 +33,36 @@ class Workspace:
     """Tables written to the shared folder to cut lineage.
 
     A lost executor costs nothing: the files stay. ``drop`` removes tables which the result
-    no longer reads.
+    no longer reads; what is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
         small_arrow_batches(spark)
 
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(f"{self.root}/{name}")
+            files.delete(path, True)
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
     """To be called before Python runs on executors: whole texts in small batches, this package on their path."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def text_of(column: str = "text"):

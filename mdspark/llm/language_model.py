@@ -1,19 +1,18 @@
 """Stupid-backoff scores from n-gram count tables, computed relationally.
 
-A token w after u scores f(u w) / f(u) if the pair is also in another document, else ALPHA times
-f(w) / N. Summed over a document, this parts into a sum over its words and one over its pairs
-that other documents have too:
-
-    sum log(ALPHA f(w) / N)  +  sum over such pairs of log((f(u w) - own) / f(u)) - log(ALPHA f(w) / N)
-
-so that exploded words meet the word table and exploded pairs the pair table, each on its own
-hash, and only sums per document are brought together.
+The count table is partitioned by hash of the n-gram. Texts are packed into blocks of bounded
+size, so a block's exploded n-grams come to the count table once each, not once a document: a
+row of the exploded table holds all n-grams of one block in one partition of the count table,
+sorted, with their counts in the block. The table sums them and is joined back to the blocks it
+got them from; as a block knows its sorted n-grams, only the sums travel back. Each block then
+has all counts of its n-grams, and adds up the scores of its documents.
+
+A frequent n-gram is thus one entry a block, whatever the number of documents that have it, and
+the partitions of the count table are even.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,29 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.llm.common import Workspace
+from mdspark.llm.common import Workspace, shuffle_partitions
 from mdspark.llm.near_dedup import _MULTIPLIERS, _SPACE, mix
 
-ALPHA = 0.4
-#: Bits of a word's hash; a pair is kept in 80 bits.
-BITS = 40
-#: Bits of the filter that keeps pairs no other document has out of the last shuffle: 16 MB, broadcast. Where there are many
-#: more pairs than bits it lets more of them pass, which changes no result.
-FILTER_BITS = 27
-#: Words or pairs that a task sums before they are shuffled; it bounds memory only.
-SUM_OVER = 1 << 20
+ALPHA, ORDER = 0.4, 3
+#: Bytes of text in a block, and for each partition of the count table. They bound memory only, at some 20 bytes for one.
+BLOCK_BYTES = 1 << 24
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of the texts, A-Z lower-cased, in order, and the number of the text it is in."""
-    each = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    whole = b"\n".join(each).lower() + bytes(8)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, A-Z lower-cased, in order, and the number of the text it is in."""
+    whole = b"\n".join(texts).lower() + bytes(8)
     space = _SPACE[np.frombuffer(whole, np.uint8)]
     space[-8:] = True
     edges = np.flatnonzero(np.diff(space, prepend=True))
     start, left = edges[::2], edges[1::2] - edges[::2]
-    first = np.cumsum([0] + [len(t) + 1 for t in each[:-1]])
+    first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    owner = np.searchsorted(first, start, side="right") - 1
     # eight bytes at a time, of all words that still have some
     lanes = np.ndarray(len(whole) - 7, "<u8", whole, strides=1)
     out = left.astype(np.uint64) * _MULTIPLIERS[1]
@@ -52,156 +46,198 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out[todo] = mix((out[todo] ^ (lanes[spot] & _LOW_BYTES[np.minimum(left, 8)])) * _MULTIPLIERS[0])
         more = left > 8
         todo, spot, left = todo[more], spot[more] + 8, left[more] - 8
-    return out >> np.uint64(64 - BITS), np.searchsorted(first, start, side="right") - 1
-
+    return out, owner
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a row of each kind is, and how many there are, by a 64-bit hash of the row."""
-    key = np.zeros(len(columns[0]), np.uint64)
-    for column, m in zip(columns, _MULTIPLIERS, strict=False):
-        key += column.astype(np.uint64, copy=False) * m
-    key = mix(key)
-    order = np.argsort(key)
-    key = key[order]
-    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-    return order[begins], np.diff(begins, append=len(key))
 
+def _ngrams(words: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of all n-grams inside a text, those of one word first, and for each n where they begin."""
+    hashes, begins = [], []
+    for n in range(1, order + 1):
+        at = np.flatnonzero(owner[: max(0, len(words) - n + 1)] == owner[n - 1 :])
+        total = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            total += words[at + k] * _MULTIPLIERS[k + 2]
+        hashes.append(mix(total))
+        begins.append(at)
+    return np.concatenate(hashes), begins
 
-def _pair(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """g has the first word and the lower bits of the second, x its upper bits."""
-    g = (first << np.uint64(24)) | (second & np.uint64(0xFFFFFF))
-    return g.view(np.int64), (second >> np.uint64(24)).astype(np.int64)
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, the highest last; ascending ones as their differences."""
+    planes = numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
-def _bits(g: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the filter that stand for a pair."""
-    mask = (1 << FILTER_BITS) - 1
-    return (g ^ (g >> 24) ^ (x << 11)) & mask, (g >> 13 ^ (g >> 40) ^ (x << 7)) & mask
 
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
 
-def _filter_of(known: DataFrame):
-    """The bits of the pairs of ``known``, of fixed size whatever the number of pairs; as a broadcast value."""
-    mask = (1 << FILTER_BITS) - 1
-    one = f"(g ^ shiftright(g, 24) ^ shiftleft(cast(x as bigint), 11)) & {mask}"
-    other = f"(shiftright(g, 13) ^ shiftright(g, 40) ^ shiftleft(cast(x as bigint), 7)) & {mask}"
-    words = known.select(F.explode(F.expr(f"array({one}, {other})")).alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("at"))
-    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return known.sparkSession.sparkContext.broadcast(bits)
 
+def _bounds(ngrams: np.ndarray, parts: int) -> list[int]:
+    """Where each partition of the count table begins among sorted hashes."""
+    limits = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+    return [*np.searchsorted(ngrams, limits).tolist(), len(ngrams)]
 
-def _words(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, at = _hashes(batch.column(1))
-            one, n = _distinct(w, at)
-            ids = batch.column(0).take(pa.array(at[one]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(w[one].view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "w", "c"])
 
-    return docs.mapInArrow(run, "doc_id long, w long, c int")
+_BLOCK = "block long, ids array<long>, sizes array<int>, packed binary"
 
 
-def _pairs(docs: DataFrame, seen) -> DataFrame:
-    """The pairs of each document whose bits are set in ``seen``, a broadcast value; xc has x in 16 bits below the count."""
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Texts packed into blocks; a text is in one block, however long it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, at = _hashes(batch.column(1))
-            inside = np.flatnonzero(at[:-1] == at[1:])
-            one, n = _distinct(w[inside], w[inside + 1], at[inside])
-            one = inside[one]
-            g, x = _pair(w[one], w[one + 1])
-            a, b = _bits(g, x)
-            keep = (seen.value[a >> 6] >> (a & 63)) & (seen.value[b >> 6] >> (b & 63)) & 1 == 1
-            ids = batch.column(0).take(pa.array(at[one[keep]]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(g[keep]), pa.array((n[keep] << 16) | x[keep])], ["doc_id", "g", "xc"])
-
-    return docs.mapInArrow(run, "doc_id long, g long, xc long")
-
-
-def _counts(docs: DataFrame, of_pairs: bool) -> DataFrame:
-    """(g, x, n) of pairs or (w, n) of words, summed over documents that have SUM_OVER of them together."""
-    names = ["g", "x", "n"] if of_pairs else ["w", "n"]
-
-    def summed(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
-        one, n = _distinct(*columns)
-        columns = [c[one] for c in columns]
-        if of_pairs:
-            g, x = _pair(*columns)
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(x.astype(np.int32)), pa.array(n)], names)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(n)], names)
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            joined = b"".join(texts)
+            columns = [
+                pa.array([number]),
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
+                pa.array([pa.compress(joined, codec="zstd", asbytes=True) if joined else b""], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
         for batch in batches:
-            w, at = _hashes(batch.column(1))
-            inside = at[:-1] == at[1:]
-            kept.append((w[:-1][inside], w[1:][inside]) if of_pairs else (w,))
-            size += len(w)
-            if size >= SUM_OVER:
-                yield summed(kept)
-                kept, size = [], 0
-        if kept:
-            yield summed(kept)
-
-    return docs.mapInArrow(run, "g long, x int, n long" if of_pairs else "w long, n long")
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(key)
+                texts.append(text or b"")
+                held += len(texts[-1])
+                if held >= size:
+                    yield packed()
+                    number, held = number + 1, 0
+                    ids.clear()
+                    texts.clear()
+        if ids:
+            yield packed()
 
+    return rows.mapInArrow(run, _BLOCK)
 
-def _let_go(ws: Workspace) -> None:
-    """Shuffle files of finished steps go when the driver's references to them are collected; the second turn finds what the first let go."""
-    for _ in range(2):
-        gc.collect()
-        ws.spark._jvm.System.gc()
-        time.sleep(0.5)
 
+def _texts(sizes: list[int], packed: bytes) -> list[bytes]:
+    total = sum(sizes)
+    joined = pa.decompress(packed, total, codec="zstd", asbytes=True) if total else b""
+    ends = np.cumsum(sizes).tolist()
+    return [joined[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
-def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_shared, score): tokens, tokens whose pair is also elsewhere, and the mean log10 score of a token.
 
-    Words are runs without ASCII white space, A-Z lower-cased. Counts are over all texts; a
-    document's own pairs don't count for itself. Rows are documents of their own, but those that
-    share an id, null too, give one result over all of them. Without tokens, as with a null or empty text, the score is null. An empty table
-    gives an empty table.
+def _exploded(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, block, n, ngrams, counts): the n different n-grams of a block in a partition of the count table."""
 
-    Exploded rows are one for each distinct word or pair of a document, so the most frequent
-    word has as many rows as there are documents; counts are pre-aggregated before the shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sizes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = np.sort(_ngrams(*_words(_texts(sizes, packed)), order)[0])
+                begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1])))
+                ngrams, counts = hashes[begins], np.diff(begins, append=len(hashes))
+                edges = _bounds(ngrams, parts)
+                found = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p for p, _, _ in found], pa.int64()),
+                        pa.array([block] * len(found), pa.int64()),
+                        pa.array([b - a for _, a, b in found], pa.int32()),
+                        pa.array([_pack(np.diff(ngrams[a:b], prepend=np.uint64(0))) for _, a, b in found], pa.binary()),
+                        pa.array([_pack(counts[a:b]) for _, a, b in found], pa.binary()),
+                    ],
+                    ["part", "block", "n", "ngrams", "counts"],
+                )
+
+    return blocks.select("block", "sizes", "packed").mapInArrow(run, "part long, block long, n int, ngrams binary, counts binary")
+
+
+def _count(part: pa.Table) -> pa.Table:
+    """One partition of the count table: the sums of its n-grams, for each block in the order of the block's n-grams."""
+    sizes = part.column("n").to_pylist()
+    ngrams = np.concatenate([np.cumsum(_unpack(x, n), dtype=np.uint64) for x, n in zip(part.column("ngrams").to_pylist(), sizes, strict=True)])
+    counts = np.concatenate([_unpack(x, n) for x, n in zip(part.column("counts").to_pylist(), sizes, strict=True)])
+    order = np.argsort(ngrams, kind="stable")
+    ngrams = ngrams[order]
+    begins = np.flatnonzero(np.concatenate(([True], ngrams[1:] != ngrams[:-1])))
+    sums = np.empty(len(order), np.uint64)
+    sums[order] = np.repeat(np.add.reduceat(counts[order], begins), np.diff(begins, append=len(order)))
+    ends = np.cumsum(sizes).tolist()
+    packed = [_pack(sums[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+    return pa.table({"block": part.column("block"), "part": part.column("part"), "n": part.column("n"), "sums": pa.array(packed, pa.binary())})
+
+
+_SCORED = "id long, n_tokens long, n_shared long, n_single long, log double"
+
+
+def _score_block(ids: list, texts: list[bytes], sums: np.ndarray, order: int) -> pa.Table:
+    """Scores of a block's texts, the size of the corpus left out: n_single tokens still lack the division by it."""
+    words, owner = _words(texts)
+    hashes, begins = _ngrams(words, owner, order)
+    n, texts_n = len(words), len(texts)
+    place = np.argsort(hashes, kind="stable")
+    hashes = hashes[place]
+    fresh = np.concatenate((np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]))
+    if int(fresh.sum()) != len(sums):
+        raise RuntimeError("a block of texts changed between two reads of the input")
+    whose = owner[np.concatenate(begins)][place]
+    # equal n-grams of a text stand together, as the order is stable
+    runs = np.flatnonzero(fresh | np.concatenate((np.ones(min(1, len(hashes)), bool), whose[1:] != whose[:-1])))
+    own = np.repeat(np.diff(runs, append=len(hashes)), np.diff(runs, append=len(hashes)))
+    everywhere, elsewhere = np.empty(len(hashes)), np.empty(len(hashes))
+    everywhere[place] = sums[np.cumsum(fresh) - 1] if len(sums) else 0
+    elsewhere[place] = everywhere[place] - own
+    ends = np.cumsum([len(b) for b in begins])
+    spot = np.arange(n) - np.searchsorted(owner, owner)
+    # tokens by themselves, then by ever longer contexts where those are found
+    log = np.log10(everywhere[:n]) + np.minimum(spot, order - 1) * np.log10(ALPHA)
+    single, longest = np.ones(n, bool), np.zeros(n, bool)
+    context = elsewhere[:n]
+    for k in range(1, order):
+        at, rest = begins[k], elsewhere[ends[k - 1] : ends[k]]
+        seen = rest > 0
+        last = at[seen] + k
+        log[last] = np.log10(rest[seen] / context[at[seen]]) + (np.minimum(spot[last], order - 1) - k) * np.log10(ALPHA)
+        single[last] = False
+        longest[:] = False
+        longest[last] = True
+        context = np.zeros(n)
+        context[at] = rest
+    add = lambda x: np.bincount(owner, x, texts_n)
+    columns = [pa.array(ids, pa.int64()), *(pa.array(add(x).astype(np.int64)) for x in (np.ones(n), longest, single)), pa.array(add(log).astype(float))]
+    return pa.Table.from_arrays(columns, ["id", "n_tokens", "n_shared", "n_single", "log"])
+
+
+def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, n_tokens, n_shared, score) of each row: its tokens, those whose n-gram of the full order is also elsewhere, and the mean log10 score of a token.
+
+    Words are runs without ASCII white space, A-Z lower-cased. A token after its context scores
+    f(context token) / f(context) for the longest context, of at most order - 1 words of its
+    text, with which it is found in another row; each word that the context lacks costs a factor
+    ALPHA. These counts are those of all other rows. A token found with no context scores its
+    share of all tokens.
+
+    Each row is a document of its own, so rows that repeat an id, null too, each have a result
+    and count for one another. Without tokens, as with a null or empty text, the score is null.
+    Texts of any length are scored whole; a block holds whole texts, so the longest one bounds
+    what a task holds at least. An empty table gives an empty table. Other columns are not read.
+    N-grams are told apart by 64 bits.
     """
-    ws = Workspace(docs.sparkSession, "language-model")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    table = ws.write(_counts(rows, False).groupBy("w").agg(F.sum("n").alias("f")), "words")
-    _let_go(ws)
-    total = table.agg(F.sum("f")).first()[0] or 1
-    by_word = _words(rows).join(table.hint("shuffle_hash"), "w").groupBy("doc_id")
-    sums = ws.write(by_word.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log10(F.col("f") / total)).alias("s")), "word-sums")
-    del by_word
-    _let_go(ws)
-    # a pair that occurs once is in no other document; those that one document repeats go when they meet its own count
-    often = ws.write(_counts(rows, True).groupBy("g", "x").agg(F.sum("n").alias("f")).where("f > 1"), "pairs")
-    _let_go(ws)
-    first = F.expr(f"shiftrightunsigned(g, 24) & {(1 << BITS) - 1}")
-    second = F.expr("shiftleft(cast(x as bigint), 24) | (g & 16777215)")
-    known = often.withColumn("u", first).withColumn("w", second)
-    known = known.join(table.select(F.col("w").alias("u"), F.col("f").alias("fu")), "u").join(table.select("w", F.col("f").alias("fw")), "w")
-    # the product instead of its logarithm: whole numbers take fewer bytes when compressed
-    product = F.col("fu").cast("double") * F.col("fw")
-    known = ws.write(known.select("g", "x", "f", product.alias("product")).sortWithinPartitions("g"), "known")
-    ws.drop("words", "pairs")
-    del often, table
-    _let_go(ws)
-    pairs = _pairs(rows, _filter_of(known)).alias("p")
-    same = (F.col("p.g") == F.col("k.g")) & (F.expr("cast(p.xc & 65535 as int)") == F.col("k.x"))
-    hits = pairs.join(known.alias("k").hint("shuffle_hash"), same).withColumn("c", F.shiftright("xc", 16)).where("f > c")
-    gain = F.col("c") * (F.log10(F.col("f") - F.col("c")) - F.log10(F.lit(ALPHA / total) * F.col("product")))
-    hits = ws.write(hits.groupBy("doc_id").agg(F.sum("c").alias("shared"), F.sum(gain).alias("gain")), "pair-sums")
-    ws.drop("known")
-    _let_go(ws)
-    every = rows.select("doc_id").distinct()
-    match = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    out = every.join(sums, match(every, sums), "left").drop(sums["doc_id"])
-    out = out.join(hits, match(out, hits), "left").drop(hits["doc_id"])
-    score = (F.col("s") + (F.col("n") - 1) * F.log10(F.lit(ALPHA)) + F.coalesce("gain", F.lit(0.0))) / F.col("n")
-    return out.select(
-        F.col("doc_id").alias(key), F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("shared", F.lit(0)).alias("n_shared"), score.alias("score")
-    )
+    spark = docs.sparkSession
+    ws = Workspace(spark, "language-model")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    held = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-held // block_bytes))
+    blocks = _blocks(rows, block_bytes).repartition(parts, "block")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        found = sorted(right.select(["part", "n", "sums"]).to_pylist(), key=lambda r: r["part"])
+        sums = np.concatenate([np.empty(0, np.uint64), *(_unpack(r["sums"], r["n"]) for r in found)])
+        return _score_block(row["ids"], _texts(row["sizes"], row["packed"]), sums, order)
+
+    table = _exploded(blocks, order, parts).groupBy("part").applyInArrow(_count, "block long, part long, n int, sums binary")
+    scored = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, _SCORED)
+    scored = ws.write(scored, "scores")
+    total = scored.agg(F.sum("n_tokens")).first()[0] or 1
+    mean = (F.col("log") - F.col("n_single") * F.log10(F.lit(float(total)))) / F.col("n_tokens")
+    return scored.select(F.col("id").alias(key), "n_tokens", "n_shared", F.when(F.col("n_tokens") > 0, mean).alias("score"))

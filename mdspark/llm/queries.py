@@ -62,19 +62,22 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
-tokens AS MATERIALIZED (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM words),
-pairs AS MATERIALIZED (SELECT a.doc_id, a.w AS u, b.w, count(*) AS c FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.i = a.i + 1 GROUP BY ALL),
-f1 AS MATERIALIZED (SELECT w, count(*) AS f FROM tokens GROUP BY w),
-f2 AS (SELECT u, w, sum(c) AS f FROM pairs GROUP BY u, w),
-total AS (SELECT sum(f) AS n FROM f1),
-s1 AS (SELECT doc_id, count(*) AS n, sum(log10(f / (SELECT n FROM total))) AS s FROM tokens JOIN f1 USING (w) GROUP BY doc_id),
-s2 AS (SELECT doc_id, sum(c) AS shared, sum(c * (log10(f2.f - c) - log10(fu.f) - log10(0.4 * fw.f / (SELECT n FROM total)))) AS gain
-  FROM pairs JOIN f2 USING (u, w) JOIN f1 fu ON fu.w = pairs.u JOIN f1 fw ON fw.w = pairs.w WHERE f2.f > c GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(shared, 0)::BIGINT AS n_shared,
-  round((s + (n - 1) * log10(0.4) + coalesce(gain, 0)) / n, 6) AS score
-FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s1 USING (doc_id) LEFT JOIN s2 USING (doc_id)
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words AS (
+  SELECT r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM docs),
+tokens AS MATERIALIZED (SELECT r, unnest(l) AS w, unnest(range(len(l))) AS i FROM words),
+grams AS MATERIALIZED (SELECT r, i, w, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM tokens WINDOW d AS (PARTITION BY r ORDER BY i)),
+counts AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY w) AS f1, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS e1,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) AS e2,
+    count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) AS e3 FROM grams),
+contexts AS (SELECT *, lag(e1) OVER d AS c1, lag(e2) OVER d AS c2 FROM counts WINDOW d AS (PARTITION BY r ORDER BY i)),
+scores AS (
+  SELECT r, u IS NOT NULL AND e3 > 0 AS shared, CASE WHEN u IS NOT NULL AND e3 > 0 THEN log10(e3 / c2)
+    WHEN v IS NOT NULL AND e2 > 0 THEN log10(e2 / c1) + CASE WHEN u IS NULL THEN 0 ELSE log10(0.4) END
+    ELSE log10(f1 / (SELECT count(*) FROM tokens)) + least(i, 2) * log10(0.4) END AS s FROM contexts),
+sums AS (SELECT r, count(*) AS n, sum(shared::INT) AS shared, sum(s) / count(*) AS score FROM scores GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(shared, 0)::BIGINT AS n_shared, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
 """
 
 

@@ -335,25 +335,30 @@ def test_factorisation_identity():
     assert np.isclose(model.sums(ids, stats)[-1][0], model.bias + model.weights @ x + pairs)
 
 
-def test_language_model(docs, empty):
-    words = {}
-    for i, t in TEXTS:
-        words.setdefault(i, []).append(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
-    f1 = Counter(w for rows in words.values() for r in rows for w in r)
-    own = {i: Counter(p for r in rows for p in zip(r, r[1:], strict=False)) for i, rows in words.items()}
-    f2 = sum(own.values(), Counter())
-    total = sum(f1.values())
-    got = {r.doc_id: r for r in language_model.backoff_scores(docs).collect()}
-    assert set(got) == set(words)
-    for i, rows in words.items():
-        n = sum(map(len, rows))
-        assert got[i].n_tokens == n
-        if not n:
-            assert got[i].score is None
-        elif len(rows) == 1:
-            s = np.log10(f1[rows[0][0]] / total)
-            for u, w in zip(rows[0], rows[0][1:], strict=False):
-                rest = f2[u, w] - own[i][u, w]
-                s += np.log10(rest / f1[u]) if rest else np.log10(0.4 * f1[w] / total)
-            assert np.isclose(got[i].score, s / n)
-    assert language_model.backoff_scores(empty).count() == 0
+@pytest.mark.parametrize(("order", "block"), [(1, 1 << 24), (3, 1 << 24), (3, 4000), (4, 2000)])
+def test_language_model(docs, empty, order, block):
+    rows = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in TEXTS]
+    own = [Counter(tuple(r[k : k + n]) for n in range(1, order + 1) for k in range(len(r) - n + 1)) for r in rows]
+    every = sum(own, Counter())
+    total = sum(map(len, rows))
+    want = []
+    for (i, _), row, mine in zip(TEXTS, rows, own, strict=True):
+        s, shared = 0.0, 0
+        for k, w in enumerate(row):
+            longest = min(k, order - 1)
+            for n in range(longest, -1, -1):
+                gram = (*row[k - n : k], w)
+                if not n:
+                    s += np.log10(every[gram] / total) + longest * np.log10(0.4)
+                elif every[gram] > mine[gram]:
+                    context = gram[:-1]
+                    s += np.log10((every[gram] - mine[gram]) / (every[context] - mine[context])) + (longest - n) * np.log10(0.4)
+                    shared += n == order - 1
+                    break
+        want.append((i, len(row), shared, s / len(row) if row else None))
+    got = [tuple(r) for r in language_model.backoff_scores(docs, order=order, block_bytes=block).collect()]
+    by = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and (w[3] is None or np.isclose(g[3], w[3]))
+    assert language_model.backoff_scores(empty, order=order).count() == 0
