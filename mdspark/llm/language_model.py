@@ -49,17 +49,22 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def _ngrams(words: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hashes of all n-grams inside a text, those of one word first, and for each n where they begin."""
-    hashes, begins = [], []
-    for n in range(1, order + 1):
-        at = np.flatnonzero(owner[: max(0, len(words) - n + 1)] == owner[n - 1 :])
-        total = np.full(len(at), n, np.uint64)
-        for k in range(n):
-            total += words[at + k] * _MULTIPLIERS[k + 2]
-        hashes.append(mix(total))
-        begins.append(at)
-    return np.concatenate(hashes), begins
+def _ngrams(words: np.ndarray, owner: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams inside a text, and where they begin. Each n has its own part of the range, in order."""
+    at = np.flatnonzero(owner[: max(0, len(words) - n + 1)] == owner[n - 1 :])
+    total = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        total += words[at + k] * _MULTIPLIERS[k + 2]
+    return mix(total) // np.uint64(order) + np.uint64(((n - 1) << 64) // order), at
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    fresh = np.zeros(len(columns[0]), bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(fresh)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -131,10 +136,15 @@ def _exploded(blocks: DataFrame, order: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.sort(_ngrams(*_words(_texts(sizes, packed)), order)[0])
-                begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1])))
-                ngrams, counts = hashes[begins], np.diff(begins, append=len(hashes))
+            for block, _, sizes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, owner = _words(_texts(sizes, packed))
+                each = []
+                for n in range(1, order + 1):
+                    hashes = np.sort(_ngrams(words, owner, n, order)[0])
+                    begins = _begins(hashes)
+                    each.append((hashes[begins], np.diff(begins, append=len(hashes)).astype(np.int32)))
+                ngrams, counts = (np.concatenate(c) for c in zip(*each, strict=True))
+                each.clear()
                 edges = _bounds(ngrams, parts)
                 found = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +158,8 @@ def _exploded(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                     ["part", "block", "n", "ngrams", "counts"],
                 )
 
-    return blocks.select("block", "sizes", "packed").mapInArrow(run, "part long, block long, n int, ngrams binary, counts binary")
+    # all columns are read, so that both uses of the blocks share one exchange
+    return blocks.mapInArrow(run, "part long, block long, n int, ngrams binary, counts binary")
 
 
 def _count(part: pa.Table) -> pa.Table:
@@ -158,7 +169,7 @@ def _count(part: pa.Table) -> pa.Table:
     counts = np.concatenate([_unpack(x, n) for x, n in zip(part.column("counts").to_pylist(), sizes, strict=True)])
     order = np.argsort(ngrams, kind="stable")
     ngrams = ngrams[order]
-    begins = np.flatnonzero(np.concatenate(([True], ngrams[1:] != ngrams[:-1])))
+    begins = _begins(ngrams)
     sums = np.empty(len(order), np.uint64)
     sums[order] = np.repeat(np.add.reduceat(counts[order], begins), np.diff(begins, append=len(order)))
     ends = np.cumsum(sizes).tolist()
@@ -172,37 +183,40 @@ _SCORED = "id long, n_tokens long, n_shared long, n_single long, log double"
 def _score_block(ids: list, texts: list[bytes], sums: np.ndarray, order: int) -> pa.Table:
     """Scores of a block's texts, the size of the corpus left out: n_single tokens still lack the division by it."""
     words, owner = _words(texts)
-    hashes, begins = _ngrams(words, owner, order)
-    n, texts_n = len(words), len(texts)
-    place = np.argsort(hashes, kind="stable")
-    hashes = hashes[place]
-    fresh = np.concatenate((np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]))
-    if int(fresh.sum()) != len(sums):
-        raise RuntimeError("a block of texts changed between two reads of the input")
-    whose = owner[np.concatenate(begins)][place]
-    # equal n-grams of a text stand together, as the order is stable
-    runs = np.flatnonzero(fresh | np.concatenate((np.ones(min(1, len(hashes)), bool), whose[1:] != whose[:-1])))
-    own = np.repeat(np.diff(runs, append=len(hashes)), np.diff(runs, append=len(hashes)))
-    everywhere, elsewhere = np.empty(len(hashes)), np.empty(len(hashes))
-    everywhere[place] = sums[np.cumsum(fresh) - 1] if len(sums) else 0
-    elsewhere[place] = everywhere[place] - own
-    ends = np.cumsum([len(b) for b in begins])
+    n = len(words)
     spot = np.arange(n) - np.searchsorted(owner, owner)
+    log, single, longest = np.zeros(n), np.ones(n, bool), np.zeros(n, bool)
+    used, context = 0, np.empty(0)
     # tokens by themselves, then by ever longer contexts where those are found
-    log = np.log10(everywhere[:n]) + np.minimum(spot, order - 1) * np.log10(ALPHA)
-    single, longest = np.ones(n, bool), np.zeros(n, bool)
-    context = elsewhere[:n]
-    for k in range(1, order):
-        at, rest = begins[k], elsewhere[ends[k - 1] : ends[k]]
-        seen = rest > 0
-        last = at[seen] + k
-        log[last] = np.log10(rest[seen] / context[at[seen]]) + (np.minimum(spot[last], order - 1) - k) * np.log10(ALPHA)
-        single[last] = False
-        longest[:] = False
-        longest[last] = True
+    for k in range(order):
+        hashes, at = _ngrams(words, owner, k + 1, order)
+        place = np.argsort(hashes, kind="stable")
+        hashes = hashes[place]
+        begins = _begins(hashes)
+        every = np.repeat(sums[used : used + len(begins)].astype(np.float64), np.diff(begins, append=len(hashes))[: max(0, len(sums) - used)])
+        used += len(begins)
+        if len(every) != len(hashes):
+            break
+        # equal n-grams of a text stand together, as the order is stable
+        runs = _begins(hashes, owner[at][place])
+        own = np.diff(runs, append=len(hashes))
+        rest = np.empty(len(hashes))
+        rest[place] = every - np.repeat(own, own)
+        if not k:
+            log[place] = np.log10(every)
+            log += np.minimum(spot, order - 1) * np.log10(ALPHA)
+        else:
+            seen = rest > 0
+            last = at[seen] + k
+            log[last] = np.log10(rest[seen] / context[at[seen]]) + (np.minimum(spot[last], order - 1) - k) * np.log10(ALPHA)
+            single[last] = False
+            longest[:] = False
+            longest[last] = True
         context = np.zeros(n)
         context[at] = rest
-    add = lambda x: np.bincount(owner, x, texts_n)
+    if used != len(sums):
+        raise RuntimeError("a block of texts changed between two reads of the input")
+    add = lambda x: np.bincount(owner, x, len(texts))
     columns = [pa.array(ids, pa.int64()), *(pa.array(add(x).astype(np.int64)) for x in (np.ones(n), longest, single)), pa.array(add(log).astype(float))]
     return pa.Table.from_arrays(columns, ["id", "n_tokens", "n_shared", "n_single", "log"])
 
