@@ -1,10 +1,11 @@
 """Personal data by fixed forms and by contexts learned from them; DataFrame functions only.
 
-The base forms give seed entities. The word before a seed is a lexical pattern. A pattern's
-confidence is the share of all its occurrences that an identifier follows; an identifier's
-score is the confidence of its best pattern (1 for seeds). Both are computed in turns over the
-graph of patterns and instances, so that patterns also gain from identifiers other patterns
-have found. Patterns of high confidence mark what else follows them.
+The base forms give seed entities. The words right before and right after a seed are lexical
+patterns. A pattern's confidence is the share of all its occurrences that stand at an
+identifier; an identifier's score is the confidence of its best pattern (1 for seeds). Both are
+computed in turns over the graph of patterns and instances until no pattern comes or goes, so
+that patterns also gain from identifiers other patterns have found. Patterns of high confidence
+mark what else stands in them.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from mdspark.llm.common import Workspace
 
-#: Turns over the graph, distinct instances that must support a pattern, and its least confidence.
-TURNS, SUPPORT, CONFIDENCE = 3, 3, 0.5
+#: Turns over the graph at most, distinct instances that must support a pattern, and its least confidence.
+TURNS, SUPPORT, CONFIDENCE = 12, 3, 0.5
+#: Lengths that are summed at once for the places of matches.
+CHUNK = 64
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
 #: Java forms of the base patterns. Possessive parts and the look-behinds change no match, they keep long runs linear.
@@ -57,96 +60,124 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(12, 19) & _luhn(m) if kind == "card" else n.between(9, 15)
 
 
+def _running(lengths: Column) -> Column:
+    """The sum up to each element, chunk by chunk: the time is that of the chunks, not of the square of all."""
+    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(CHUNK))
+    total = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, F.lit(-1)) + x))
+    inside = F.transform(starts, lambda at: F.aggregate(F.slice(lengths, at, F.lit(CHUNK)), F.array(F.lit(0)), total))
+    before = F.aggregate(F.transform(inside, lambda sums: F.element_at(sums, F.lit(-1))), F.array(F.lit(0)), total)
+    shifted = F.zip_with(inside, F.slice(before, F.lit(1), F.size(before) - 1), lambda sums, at: F.transform(F.slice(sums, F.lit(2), F.size(sums) - 1), lambda x: x + at))
+    return F.flatten(shifted)
+
+
 def _matches(text: Column, form: str) -> Column:
-    """array<struct<start, stop, value>> of the leftmost non-overlapping matches, in code points.
+    """array<struct<start, stop, value, before, after>> of the leftmost non-overlapping matches, in code points.
 
     What lies between the matches and the matches themselves give the places by running sums.
+    ``before`` and ``after`` are the lower-cased words next to the match, beyond white space;
+    a word ends where another match of the same form ends. Empty where there is none.
     """
     values, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    none = F.expr("cast(array() as array<struct<start: int, stop: int, value: string>>)")
-    pairs = F.arrays_zip(values.alias("m"), F.slice(gaps, F.lit(1), F.size(values)).alias("g"))
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    n = F.size(values)
+    none = F.expr("cast(array() as array<struct<start: int, stop: int, value: string, before: string, after: string>>)")
+    empty = F.array(F.lit(""))
+    pairs = F.arrays_zip(
+        values.alias("m"),
+        F.slice(gaps, F.lit(1), n).alias("g"),
+        F.concat(empty, F.slice(values, F.lit(1), n - 1)).alias("last"),
+        F.slice(gaps, F.lit(2), n).alias("rest"),
+        F.concat(F.slice(values, F.lit(2), n), empty).alias("next"),
+    )
+    stops = _running(F.transform(pairs, lambda x: F.char_length(x["g"]) + F.char_length(x["m"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["g"])
-        stop = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(x: Column, stop: Column) -> Column:
+        before = F.lower(F.regexp_extract(F.concat(x["last"], x["g"]), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
+        after = F.lower(F.regexp_extract(F.concat(x["rest"], x["next"]), r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1))
+        return F.struct((stop - F.char_length(x["m"])).alias("start"), stop.alias("stop"), x["m"].alias("value"), before.alias("before"), after.alias("after"))
 
-    return F.when(F.size(values) == 0, none).otherwise(F.aggregate(pairs, begin, step, lambda acc: acc["out"]))
+    return F.when(n == 0, none).otherwise(F.zip_with(pairs, stops, one))
 
 
 def _base(text: Column, kind: str, order: int) -> Column:
     kept = F.filter(_matches(text, _FORMS[kind]), lambda s: _valid(kind, s["value"]))
-    struct = lambda s: F.struct(s["start"], F.lit(order).alias("o"), s["stop"], F.lit(kind).alias("kind"), s["value"])
+    struct = lambda s: F.struct(s["start"], F.lit(order).alias("o"), s["stop"], F.lit(kind).alias("kind"), s["value"], s["before"], s["after"])
     return F.transform(kept, struct)
 
 
-def _word_before(text: Column, start: Column) -> Column:
-    """The lower-cased word right before ``start``, if it ends there or white space follows it; else empty."""
-    width = 48
-    before = F.substring(text, F.greatest(start - width + 1, F.lit(1)), F.least(start, F.lit(width)))
-    return F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+def _patterns(s: Column) -> Column:
+    """The patterns that an instance stands in: < and the word before it, > and the word after it."""
+    both = F.array(F.struct(F.lit("<").alias("side"), s["before"].alias("word")), F.struct(F.lit(">").alias("side"), s["after"].alias("word")))
+    return F.transform(F.filter(both, lambda p: p["word"] != ""), lambda p: F.concat(p["side"], p["word"]))
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _key(key: Column, text: Column) -> Column:
+    """128 bits that tell rows apart; rows with the same id and text share them, and their spans."""
+    return F.struct(F.xxhash64(key, text).alias("a"), F.xxhash64(F.lit("row"), text, key).alias("b"))
+
+
 def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, k, base, spans) of each row: array<struct<start, o, stop, kind, value>> by start, then kind.
 
     ``base`` has the matches of the fixed forms, ``spans`` these and what learned patterns add
-    (kind ``context``). Null and empty texts have none; ids may be null or repeat; an empty
-    table gives an empty table. ``k`` is a hash of id and text, for joins. Words, patterns and
-    instances are counted over all texts, with partial sums before each shuffle; texts
-    themselves are not shuffled.
+    (kind ``context``). Null and empty texts have none; ids may be null or repeat, and rows that
+    repeat an id and a text get the same spans, each its own row; an empty table gives an empty
+    table. Texts of any length are searched whole, in time that grows with their length. ``k`` is
+    a 128-bit hash of id and text, for joins. Words, patterns and instances are counted over all
+    texts, with partial sums before each shuffle; texts themselves are not shuffled.
     """
     ws = Workspace(docs.sparkSession, "private-data")
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.withColumn("k", F.xxhash64("doc_id", "t"))
+    rows = rows.withColumn("k", _key(F.col("doc_id"), F.col("t")))
     per_kind = rows.select("doc_id", "k", "t", *(_base(F.col("t"), kind, o).alias(kind) for o, kind in enumerate(KINDS)))
     based = per_kind.withColumn("base", F.array_sort(F.concat(*KINDS)))
+    bare = lambda s: F.regexp_replace(s["value"], "^[^A-Za-z0-9]+", "")
     others = F.transform(
         _matches(F.col("t"), _CANDIDATE),
-        lambda s: F.struct(
-            (s["start"] + F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], "^[^A-Za-z0-9]+", ""))).alias("start"),
-            F.regexp_extract(s["value"], _CORE, 1).alias("value"),
-            _word_before(F.col("t"), s["start"]).alias("p"),
-        ),
+        lambda s: F.struct((s["stop"] - F.char_length(bare(s))).alias("start"), F.regexp_extract(s["value"], _CORE, 1).alias("value"), _patterns(s).alias("ps")),
     )
-    others = F.transform(others, lambda s: F.struct(s["start"], (s["start"] + F.char_length(s["value"])).alias("stop"), s["value"], s["p"]))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    others = F.transform(others, lambda s: F.struct(s["start"], (s["start"] + F.char_length(s["value"])).alias("stop"), s["value"], s["ps"]))
+    taken = F.flatten(F.transform("base", lambda s: F.array(s["start"], s["stop"])))
     found = based.select(
         "doc_id",
         "k",
-        "base",
-        F.transform("base", lambda s: F.struct(s["value"], _word_before(F.col("t"), s["start"]).alias("p"))).alias("seeds"),
-        F.filter(others, lambda s: apart(s) & (F.length(s["value"]) >= 6)).alias("others"),
+        F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "o", "stop", "kind", "value")))).alias("base"),
+        F.transform("base", lambda s: F.struct(s["value"], _patterns(s).alias("ps"))).alias("seeds"),
+        F.when(F.size(taken) == 0, others).otherwise(F.filter(others, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))).alias("others"),
     )
+    found = found.withColumn("others", F.filter("others", lambda s: F.length(s["value"]) >= 6))
     found = ws.write(found, "found")
 
-    seeds = found.select(F.explode("seeds").alias("s")).select("s.p", F.xxhash64("s.value").alias("v"), F.lit(1).alias("seed"))
-    rest = found.select(F.explode("others").alias("s")).select("s.p", F.xxhash64("s.value").alias("v"), F.lit(0).alias("seed"))
-    edges = seeds.unionByName(rest).where("p != ''").groupBy("p", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    instance = lambda seed: (F.explode("s.ps").alias("p"), F.xxhash64("s.value").alias("v"), F.lit(seed).alias("seed"))
+    seeds = found.select(F.explode("seeds").alias("s")).select(*instance(1))
+    rest = found.select(F.explode("others").alias("s")).select(*instance(0))
+    edges = seeds.unionByName(rest).groupBy("p", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = ws.write(edges, "edges")
-    words = rows.select(F.explode(F.split("t", _WORD_BREAK)).alias("w")).select(F.lower("w").alias("p"))
-    known = edges.groupBy("p").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT).select("p")
+    words = rows.select(F.explode(F.split("t", _WORD_BREAK)).alias("w")).select(F.lower("w").alias("w"))
+    known = edges.groupBy("p").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT)
+    known = known.select("p", F.expr("substring(p, 2)").alias("w"))
     # an inner join: the optimizer would push a semi join below the partial sums and shuffle every word
-    uses = ws.write(words.groupBy("p").agg(F.count("*").alias("uses")).join(known, "p"), "uses")
+    uses = ws.write(words.groupBy("w").agg(F.count("*").alias("uses")).join(known, "w").select("p", "uses"), "uses")
 
     score = edges.select("v", F.col("seed").cast("double").alias("score")).groupBy("v").agg(F.max("score").alias("score"))
-    patterns = None
-    for _ in range(TURNS):
+    good, before = None, None
+    for turn in range(TURNS):
         mass = edges.join(score.where("score > 0"), "v").groupBy("p")
         mass = mass.agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT)
         confidence = F.least(F.col("mass") / (F.col("uses") + 1), F.lit(1.0))
-        patterns = ws.write(mass.join(uses, "p").select("p", confidence.alias("confidence")), f"patterns-{_}")
+        patterns = ws.write(mass.join(uses, "p").select("p", confidence.alias("confidence")), f"patterns-{turn}")
+        good = patterns.where(F.col("confidence") >= CONFIDENCE).select("p")
+        state = good.agg(F.count("*"), F.sum(F.xxhash64("p").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
         reached = edges.join(patterns, "p").select("v", F.greatest(F.col("seed").cast("double"), "confidence").alias("score"))
         kept = edges.select("v", F.col("seed").cast("double").alias("score"))
-        score = ws.write(reached.unionByName(kept).groupBy("v").agg(F.max("score").alias("score")), f"scores-{_}")
-    good = patterns.where(F.col("confidence") >= CONFIDENCE).select("p")
-    added = found.select("k", F.explode("others").alias("s")).select("k", "s.*").join(good, "p", "left_semi")
+        score = ws.write(reached.unionByName(kept).groupBy("v").agg(F.max("score").alias("score")), f"scores-{turn}")
+    added = found.select("k", F.explode("others").alias("s")).select("k", "s.start", "s.stop", "s.value", F.explode("s.ps").alias("p")).join(good, "p", "left_semi")
     one = F.struct("start", F.lit(len(KINDS)).alias("o"), "stop", F.lit(FOUND).alias("kind"), "value")
     added = ws.write(added.groupBy("k").agg(F.collect_set(one).alias("added")), "added")
     ws.drop("edges", "uses")
@@ -163,10 +194,10 @@ def digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets; overlapping spans become one, of the first's kind.
 
-    Texts without spans, null among them, stay as they are.
+    Texts without spans, null among them, stay as they are. Columns of any name stay, as do rows
+    that repeat; an empty table gives an empty table.
     """
     found = spans_of(docs, key, text).where(F.size("spans") > 0).select("k", "spans").dropDuplicates(["k"])
-    t = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<struct<start: int, stop: int, kind: string>>)")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -176,15 +207,12 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))
         return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), joined).otherwise(F.concat(acc, F.array(one)))
 
-    merged = F.aggregate("spans", none, merge)
-    pieces = F.transform(
-        "_m",
-        lambda s, i: F.concat(
-            F.substring(t, F.when(i == 0, 0).otherwise(F.col("_m")[i - 1]["stop"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.col("_m")[i - 1]["stop"])),
-            F.lit("["), F.upper(s["kind"]), F.lit("]"),
-        ),
-    )
-    tail = F.substring(t, F.try_element_at("_m", F.lit(-1))["stop"] + 1, F.char_length(t))
-    out = docs.withColumn("_k", F.xxhash64(F.col(key), t)).join(found.withColumnRenamed("k", "_k"), "_k", "left").withColumn("_m", merged)
-    changed = F.when(F.size("_m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return out.select(*(changed.alias(c) if c == text else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"), _key(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("k"))
+    out = rows.join(found, "k", "left").withColumn("m", F.aggregate("spans", none, merge))
+    begins = F.concat(F.array(F.lit(0)), F.transform("m", lambda s: s["stop"]))
+    pieces = F.zip_with(
+        F.slice(begins, F.lit(1), F.size("m")), "m", lambda at, s: F.concat(F.substring(F.col("t"), at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    )
+    tail = F.substring(F.col("t"), F.element_at("m", F.lit(-1))["stop"] + 1, F.char_length("t"))
+    changed = F.when(F.size("m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("row")[text])
+    return out.select(*(changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
