@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdspark.llm.common import Workspace
-from mdspark.llm.near_dedup import _BYTE, _INVERSE, _power, mix
+from mdspark.llm.near_dedup import _BYTE, _INVERSE, _power, mix, word_hashes
 
 #: Bytes of the gram that deals windows into groups.
 GRAM = 50
@@ -30,6 +30,8 @@ CHUNK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
 #: Strings whose columns are built together, and the largest group that is built so; larger ones are counted window by window.
 BLOCK, LARGE = 1 << 13, 1 << 11
+#: Bytes that stand for a word where runs of words are sought.
+CODE = 4
 
 
 def _gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def _print(piece: bytes, offset: int) -> bytes:
     return hashlib.blake2b(piece, digest_size=16, salt=offset.to_bytes(4, "little")).digest()
 
 
-_OCCURRENCE = "k long, h long, print binary, p long, lo int, hi int"
+_OCCURRENCE = "k long, k2 long, h long, print binary, p long, lo int, hi int"
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
@@ -76,23 +78,24 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
+            for key, key2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = text.as_py()
                 for hashes, anchors, first, last in _segments(raw, length):
                     prints = [_print(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), anchors.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(first), key, np.int64)),
+                            pa.array(np.full(len(first), key2, np.int64)),
                             pa.array(hashes),
                             pa.array(prints, pa.binary()),
                             pa.array(anchors),
                             pa.array((first - anchors).astype(np.int32)),
                             pa.array((last + length - anchors).astype(np.int32)),
                         ],
-                        ["k", "h", "print", "p", "lo", "hi"],
+                        ["k", "k2", "h", "print", "p", "lo", "hi"],
                     )
 
-    return docs.select("k", "text").mapInArrow(run, _OCCURRENCE)
+    return docs.select("k", "k2", "bytes").mapInArrow(run, _OCCURRENCE)
 
 
 def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, runs in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode()
+                raw = text.as_py()
                 rows = [(r["h"], r["print"], r["lo"], raw[r["p"] + r["lo"] : r["p"] + r["hi"]]) for r in runs.as_py()]
                 rows = [r for r in rows if _print(r[3], -r[2]) == r[1]]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
@@ -110,8 +113,8 @@ def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["h", "print", "lo", "bytes"],
                 )
 
-    runs = wanted.groupBy("k").agg(F.collect_list(F.struct("h", "print", "p", "lo", "hi")).alias("runs"))
-    return docs.join(runs, "k").select("text", "runs").mapInArrow(run, "h long, print binary, lo int, bytes binary")
+    runs = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "print", "p", "lo", "hi")).alias("runs"))
+    return docs.join(runs, ["k", "k2"]).select("bytes", "runs").mapInArrow(run, "h long, print binary, lo int, bytes binary")
 
 
 def columnwise_repeats(groups: np.ndarray, offsets: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,66 +221,97 @@ def _large_groups(strings: DataFrame, length: int) -> DataFrame:
     return hits.agg(F.min("c").alias("lo"), (F.max("c") + length).cast("int").alias("hi"))
 
 
-def _cut(docs: DataFrame, keys: list[str]) -> DataFrame:
+def _merged(found: list | None) -> list[list[int]]:
+    """Maximal runs of what the spans cover."""
+    out: list[list[int]] = []
+    for a, b in sorted((x["a"], x["b"]) for x in found or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _cut(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, spans, kept = [], [], []
-            for text, found in zip(batch.column(len(keys)), batch.column(len(keys) + 1), strict=True):
-                raw, merged = (text.as_py() or "").encode(), []
-                for a, b in sorted((x["a"], x["b"]) for x in found.as_py() or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
+            sizes, spans, kept, words = [], [], [], []
+            for text, found, repeated in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                raw, merged = text.as_py(), _merged(found.as_py())
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 sizes.append(len(raw))
                 spans.append([{"start": a, "stop": b} for a, b in merged])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            names = [*keys, "n_bytes", "removed", "kept"]
+                words.append(sum((b - a) // CODE for a, b in _merged(repeated.as_py())))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            columns = [batch.column(k) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept", "repeated_words"])
 
-    schema = T.StructType([docs.schema[k] for k in keys])
     span = T.StructType().add("start", T.LongType()).add("stop", T.LongType())
-    schema = schema.add("n_bytes", T.LongType()).add("removed", T.ArrayType(span)).add("kept", T.BinaryType())
-    return docs.select(*keys, "text", "found").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"]])
+    schema = schema.add("n_bytes", T.LongType()).add("removed", T.ArrayType(span)).add("kept", T.BinaryType()).add("repeated_words", T.LongType())
+    return docs.select("doc_id", "bytes", "found", "repeated").mapInArrow(run, schema)
+
+
+def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str) -> DataFrame:
+    """(k, k2, found) of the rows of ``docs`` (k, k2, bytes) that have a string of ``length`` bytes which also starts elsewhere."""
+    occurrences = ws.write(_occurrences(docs, length), f"{tag}-occurrences")
+    runs = occurrences.groupBy("h", "print").agg(
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k", "k2", "p", "lo", "hi"))
+    )
+    runs = ws.write(runs, f"{tag}-runs")
+    groups = runs.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+    runs = ws.write(runs.join(groups, "h"), f"{tag}-grouped")
+    ws.drop(f"{tag}-runs")
+    strings = ws.write(_strings(docs, runs.where("kinds > 1")), f"{tag}-strings")
+    sizes = runs.where(F.col("kinds") > LARGE).select("h").distinct()
+    sizes = ws.write(sizes, f"{tag}-large")
+    found = _small_groups(strings.join(sizes, "h", "left_anti"), length)
+    found = found.unionByName(_large_groups(strings.join(sizes, "h", "left_semi"), length))
+    once = ws.write(found, f"{tag}-found").join(runs.where("n > 1").select("h", "print"), ["h", "print"], "left_anti")
+    whole = runs.where("n > 1").select("h", "print", "lo", "hi")
+    ws.drop(f"{tag}-strings", f"{tag}-large")
+    hits = occurrences.select("k", "k2", "h", "print", "p").join(whole.unionByName(once), ["h", "print"])
+    span = F.struct((F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi")).alias("b"))
+    hits = ws.write(hits.groupBy("k", "k2").agg(F.collect_set(span).alias("found")), f"{tag}-hits")
+    ws.drop(f"{tag}-occurrences", f"{tag}-grouped", f"{tag}-found")
+    return hits
+
 
+def _word_codes(docs: DataFrame) -> DataFrame:
+    """``docs`` with CODE bytes of its hash for each word of the text, A-Z lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [(word_hashes(t) >> np.uint64(64 - 8 * CODE)).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["k", "k2", "bytes"])
+
+    return docs.select("k", "k2", "bytes").mapInArrow(run, "k long, k2 long, bytes binary")
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, removed, kept) of each row: all bytes go that lie in a string of ``length`` bytes which also starts elsewhere.
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, removed, kept, repeated_words) of each row: all bytes go that lie in a string of ``length`` bytes which also starts elsewhere.
 
     Elsewhere is any other place of the same or another row; rows that repeat are copies of each
     other. Strings are judged on the input, matches never cross rows. ``removed`` are the maximal
     removed runs, ``kept`` the other bytes, which need not be valid UTF-8. Null counts as empty;
-    texts shorter than ``length`` stay whole; ids may be null or repeat; an empty table gives an
-    empty table.
+    texts shorter than ``length`` stay whole, long ones are read whole; ids may be null or repeat;
+    other columns are not read; an empty table gives an empty table.
+
+    A passage of many short words may be shorter than ``length``. ``repeated_words`` counts the
+    words that lie in a run of ``words`` words which also starts elsewhere, found by the same
+    construction over texts of CODE bytes a word; it removes nothing.
 
     Equal runs are counted with map-side sums, so copies cost one row a task. Runs of the same
     anchor that differ are built column by column; groups above LARGE strings are counted by
-    window instead, spread over all tasks. The only large shuffles are two passes of the texts.
+    window instead, spread over all tasks. The only large shuffles are passes of the texts. Rows
+    are told apart by 128 bits of their id and text.
     """
     ws = Workspace(docs.sparkSession, "substring-dedup")
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    occurrences = ws.write(_occurrences(docs, length), "occurrences")
-    runs = occurrences.groupBy("h", "print").agg(
-        F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k", "p", "lo", "hi"))
-    )
-    runs = ws.write(runs, "runs")
-    groups = runs.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    runs = ws.write(runs.join(groups, "h"), "grouped")
-    ws.drop("runs")
-    strings = ws.write(_strings(docs, runs.where("kinds > 1")), "strings")
-    sizes = runs.where(F.col("kinds") > LARGE).select("h").distinct()
-    sizes = ws.write(sizes, "large")
-    found = _small_groups(strings.join(sizes, "h", "left_anti"), length)
-    found = found.unionByName(_large_groups(strings.join(sizes, "h", "left_semi"), length))
-    once = ws.write(found, "found").join(runs.where("n > 1").select("h", "print"), ["h", "print"], "left_anti")
-    whole = runs.where("n > 1").select("h", "print", "lo", "hi")
-    ws.drop("strings", "large")
-    hits = occurrences.select("k", "h", "print", "p").join(whole.unionByName(once), ["h", "print"])
-    hits = hits.groupBy("k").agg(F.collect_set(F.struct((F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi")).alias("b"))).alias("found"))
-    hits = ws.write(hits, "hits")
-    ws.drop("occurrences", "grouped", "found")
-    out = _cut(docs.join(hits, "k", "left"), ["doc_id"])
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    rows = rows.withColumn("k", F.xxhash64("doc_id", "bytes")).withColumn("k2", F.xxhash64(F.lit("row"), "bytes", "doc_id"))
+    hits = _repeats(ws, rows, length, "bytes")
+    # a code is whole only where it begins at a word, and two neighbours of a run agree in all their bytes with a chance of 1 in 2**32
+    repeated = _repeats(ws, _word_codes(rows), words * CODE, "words").withColumnRenamed("found", "repeated")
+    out = _cut(rows.join(hits, ["k", "k2"], "left").join(repeated, ["k", "k2"], "left"))
     return out.withColumnRenamed("doc_id", key)

@@ -99,9 +99,16 @@ def test_substring_dedup(docs, empty):
                 gone[k : k + length] = True
         return int(gone.sum()), bytes(np.frombuffer(r, np.uint8)[~gone])
 
-    got = substring_dedup.remove_repeats(docs, length).collect()
-    want = sorted((str(i), len(r), *brute(r)) for (i, _), r in zip(TEXTS, raw, strict=True))
-    assert sorted((str(g.doc_id), g.n_bytes, sum(s.stop - s.start for s in g.removed), bytes(g.kept)) for g in got) == want
+    n = 60
+    rows = [re.findall(rb"[^\x20\x09-\x0D]+", r.lower()) for r in raw]
+    often = Counter(tuple(w[k : k + n]) for w in rows for k in range(len(w) - n + 1))
+
+    def words(w):
+        return len({j for k in range(len(w) - n + 1) if often[tuple(w[k : k + n])] > 1 for j in range(k, k + n)})
+
+    got = substring_dedup.remove_repeats(docs, length, n).collect()
+    want = sorted((str(i), len(r), *brute(r), words(w)) for (i, _), r, w in zip(TEXTS, raw, rows, strict=True))
+    assert sorted((str(g.doc_id), g.n_bytes, sum(s.stop - s.start for s in g.removed), bytes(g.kept), g.repeated_words) for g in got) == want
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
