@@ -249,7 +249,7 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ord
         sums = np.concatenate([np.empty(0, np.uint64), *(_unpack(r["sums"], r["n"]) for r in found)])
         return _score_block(row["ids"], _texts(row["sizes"], row["packed"]), sums, order)
 
-    table = _exploded(blocks, order, parts).groupBy("part").applyInArrow(_count, "block long, part long, n int, sums binary")
+    table = _exploded(blocks, order, parts).repartition(parts, "part").groupBy("part").applyInArrow(_count, "block long, part long, n int, sums binary")
     scored = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(score, _SCORED)
     scored = ws.write(scored, "scores")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 1
