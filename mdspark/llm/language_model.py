@@ -25,7 +25,7 @@ from mdspark.llm.near_dedup import _MULTIPLIERS, _SPACE, mix
 
 ALPHA, ORDER = 0.4, 3
 #: Bytes of text in a block, and for each partition of the count table. They bound memory only, at some 20 bytes for one.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 10 << 20
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
