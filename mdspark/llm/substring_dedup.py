@@ -28,7 +28,7 @@ GRAM = 50
 #: Windows of a document handled at once; positions have to fit below the hash in 64 bits.
 CHUNK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
-#: Strings whose columns are built together, and the largest group that is built so; larger ones are counted window by window.
+#: Strings whose columns are built together, and the largest group that is built at once; larger ones are built in parts.
 BLOCK, LARGE = 1 << 13, 1 << 11
 #: Bytes that stand for a word where runs of words are sought.
 CODE = 4
@@ -197,28 +197,53 @@ def _small_groups(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _FOUND)
 
 
-def _large_groups(strings: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for one task: windows are counted by their prints."""
+_WINDOW = "h long, print binary, lo int, hi int, w binary"
+
+
+def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str) -> DataFrame:
+    """The same for groups too large for one task: dealt into parts of about LARGE strings, each built by columns.
+
+    What a part has twice is found in it. Of each other window it sends one row, and of those it
+    has found, too; what comes from two parts is repeated for the strings that have it once in
+    theirs. So a window has at most one row a part, however many strings share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes, int, bytes]] = []
+
+        def built() -> pa.RecordBatch:
+            low, high = columnwise_repeats(np.zeros(len(held), np.int64), np.array([-r[3] for r in held]), [r[4] for r in held], length)
+            rows, seen = [], set()
+            for (h, _, print_, lo, raw), first, last in zip(held, low.tolist(), high.tolist(), strict=True):
+                if first <= last:
+                    rows.append((h, print_, first, last + length, None))
+                for k in range(len(raw) - length + 1):
+                    window = hashlib.blake2b(raw[k : k + length], digest_size=16).digest()
+                    if (lo + k, window) not in seen:
+                        seen.add((lo + k, window))
+                        rows.append((h, None if first <= lo + k <= last else print_, lo + k, lo + k + length, window))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["h", "print", "lo", "hi", "w"])
+
         for batch in batches:
-            for h, print_, lo, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(raw) - length + 1
-                windows = [hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, h)),
-                        pa.array([print_] * n, pa.binary()),
-                        pa.array(np.arange(lo, lo + n, dtype=np.int32)),
-                        pa.array(windows, pa.binary()),
-                    ],
-                    ["h", "print", "c", "w"],
-                )
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] == row[:3]:
+                    continue
+                if held and held[-1][:2] != row[:2]:
+                    yield built()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield built()
 
-    windows = strings.dropDuplicates(["h", "print"]).mapInArrow(run, "h long, print binary, c int, w binary")
-    often = windows.groupBy("h", "c", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = windows.join(often, ["h", "c", "w"], "left_semi").groupBy("h", "print")
-    return hits.agg(F.min("c").alias("lo"), (F.max("c") + length).cast("int").alias("hi"))
+    part = F.pmod(F.xxhash64("print"), F.ceil(F.col("kinds") / LARGE)).cast("long")
+    dealt = strings.select("h", part.alias("part"), "print", "lo", "bytes").repartition("h", "part").sortWithinPartitions("h", "part", "print")
+    windows = ws.write(dealt.mapInArrow(run, _WINDOW), f"{tag}-windows")
+    often = windows.where("w IS NOT NULL").groupBy("h", "lo", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    across = windows.where("w IS NOT NULL AND print IS NOT NULL").join(often, ["h", "lo", "w"], "left_semi")
+    hits = across.unionByName(windows.where("w IS NULL")).groupBy("h", "print")
+    return hits.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _merged(found: list | None) -> list[list[int]]:
@@ -264,13 +289,13 @@ def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str) -> DataFrame
     runs = ws.write(runs.join(groups, "h"), f"{tag}-grouped")
     ws.drop(f"{tag}-runs")
     strings = ws.write(_strings(docs, runs.where("kinds > 1")), f"{tag}-strings")
-    sizes = runs.where(F.col("kinds") > LARGE).select("h").distinct()
+    sizes = runs.where(F.col("kinds") > LARGE).select("h", "kinds").distinct()
     sizes = ws.write(sizes, f"{tag}-large")
     found = _small_groups(strings.join(sizes, "h", "left_anti"), length)
-    found = found.unionByName(_large_groups(strings.join(sizes, "h", "left_semi"), length))
+    found = found.unionByName(_large_groups(ws, strings.join(sizes, "h"), length, tag))
     once = ws.write(found, f"{tag}-found").join(runs.where("n > 1").select("h", "print"), ["h", "print"], "left_anti")
     whole = runs.where("n > 1").select("h", "print", "lo", "hi")
-    ws.drop(f"{tag}-strings", f"{tag}-large")
+    ws.drop(f"{tag}-strings", f"{tag}-large", f"{tag}-windows")
     hits = occurrences.select("k", "k2", "h", "print", "p").join(whole.unionByName(once), ["h", "print"])
     span = F.struct((F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi")).alias("b"))
     hits = ws.write(hits.groupBy("k", "k2").agg(F.collect_set(span).alias("found")), f"{tag}-hits")
@@ -303,8 +328,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str
     construction over texts of CODE bytes a word; it removes nothing.
 
     Equal runs are counted with map-side sums, so copies cost one row a task. Runs of the same
-    anchor that differ are built column by column; groups above LARGE strings are counted by
-    window instead, spread over all tasks. The only large shuffles are passes of the texts. Rows
+    anchor that differ are built column by column; groups above LARGE strings are built in parts,
+    and what no part has twice is counted by window. The only large shuffles are passes of the texts. Rows
     are told apart by 128 bits of their id and text.
     """
     ws = Workspace(docs.sparkSession, "substring-dedup")
