@@ -29,7 +29,7 @@ GRAM = 50
 CHUNK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
 #: Strings whose columns are built together, and the largest group that is built at once; larger ones are built in parts.
-BLOCK, LARGE = 1 << 13, 1 << 11
+BLOCK, LARGE = 1 << 13, 1 << 14
 #: Bytes that stand for a word where runs of words are sought.
 CODE = 4
 
@@ -127,7 +127,7 @@ def columnwise_repeats(groups: np.ndarray, offsets: np.ndarray, strings: list[by
     m = len(strings)
     far = 1 << 30
     left, right = -int(offsets.max()), max(len(s) - int(o) for s, o in zip(strings, offsets, strict=True))
-    table = np.full((right - left, m), 256, np.int64)
+    table = np.full((right - left, m), 256, np.uint16)
     for i, s in enumerate(strings):
         at = -int(offsets[i]) - left
         table[at : at + len(s), i] = np.frombuffer(s, np.uint8)
