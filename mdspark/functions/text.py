@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The ranges whose runs are indexed as bigrams.
-CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ac00}-\x{d7af}"
+CJK_RANGES = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xAC00, 0xD7AF))
+CJK = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in CJK_RANGES)
 SNIPPET_CHARS = 180
 
 
@@ -23,6 +24,39 @@ def search_tokens(text: Column) -> Column:
     return F.when(plain, runs).otherwise(F.flatten(F.transform(runs, split)))
 
 
+def _folded() -> tuple[str, str]:
+    """Letters with marks and the letters without them, and the marks themselves, by the canonical decomposition."""
+    import unicodedata
+
+    one, other, marks = [], [], []
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(code):
+            one.append(chr(code))
+            other.append(bare)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    return "".join(one + marks), "".join(other)
+
+
+def fold(text: Column) -> Column:
+    """Without diacritics; texts in ASCII are left alone."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *_folded())).otherwise(text)
+
+
+def index_terms(text: Column) -> Column:
+    """What search tokens are in the index: without diacritics, parted at ``_``."""
+    parts = F.flatten(F.transform(search_tokens(text), lambda t: F.split(fold(t), "_+")))
+    return F.filter(parts, lambda t: t != "")
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """The search tokens of a query, each a phrase of the terms it is parted into."""
+    one, other = _folded()
+    table = str.maketrans({c: (other[k] if k < len(other) else None) for k, c in enumerate(one)})
+    phrases = ([p for p in t.translate(table).split("_") if p] for t in query_tokens(query))
+    return [p for p in phrases if p]
+
+
 def query_tokens(query: str) -> list[str]:
     """The same tokens of a query text, on the driver."""
     import regex
@@ -61,7 +95,39 @@ def collapse_path(path: Column) -> Column:
     return F.lower(F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/"))
 
 
+#: A wiki link, or an inline link or image with its address.
+_LINK = r"!?\[\[[^\[\]]+\]\]|!?\[[^\]\[]*\]\(<?[^)>\s]+>?(?:\s+\"[^\"]*\")?\)"
+
+
+def line_links(text: Column) -> Column:
+    """array<struct<raw_target, path, heading, embed>> of the links in a text, in order, first of each.
+
+    Addresses outside and links within the page are left out. ``path`` is where the link leads:
+    without ``./`` and outer slashes, with ``.md`` where it has no extension.
+    """
+    found = F.regexp_extract_all(text, F.lit(_LINK), F.lit(0))
+
+    def one(link: Column) -> Column:
+        wiki = F.regexp_extract(link, r"^!?\[\[([^\[\]|]+)", 1)
+        inline = F.regexp_extract(link, r"\]\(<?([^)>\s]+)", 1)
+        target = F.trim(F.when(wiki != "", wiki).otherwise(unescaped(inline)))
+        page = F.trim(F.regexp_extract(target, "^([^#]*)", 1))
+        heading = F.regexp_extract(target, "#(.*)$", 1)
+        path = F.regexp_replace(F.regexp_replace(F.replace(page, F.lit("\\"), F.lit("/")), r"^(\./)+", ""), "^/+|/+$", "")
+        path = F.when(path.rlike(r"[^/.][^/]*\.[^/]*$"), path).otherwise(F.concat(path, F.lit(".md")))
+        return F.struct(page.alias("raw_target"), path.alias("path"), F.when(heading != "", heading).alias("heading"), F.startswith(link, F.lit("!")).alias("embed"))
+
+    inside = F.filter(F.transform(found, one), lambda l: (l["raw_target"] != "") & ~l["raw_target"].rlike(r"(?i)^(https?:|mailto:|data:|file:|//)"))
+    return F.array_distinct(inside)
+
+
+def unescaped(address: Column) -> Column:
+    """Percent signs decoded; what is not valid stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), address)
+
+
 def inline_tags(body: Column) -> Column:
     """Distinct ``#tag`` names in order, outer slashes trimmed."""
+    # fixed value: the characters of a tag, and what may not stand before its sign
     found = F.regexp_extract_all(body, F.lit(r"(?:^|[^A-Za-z0-9_])#([A-Za-z0-9_/-]+)"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda t: F.regexp_replace(t, "^/+|/+$", "")), lambda t: t != ""))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdspark.functions.text import collapse_path
+from mdspark.storage import shared_folder
 
 
 def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -26,10 +29,12 @@ def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def backlinks(links: DataFrame, path: str) -> DataFrame:
+    """(source_path) of the notes that link to one, by path."""
     return links.where(F.col("target_path") == path).select("source_path").distinct().orderBy("source_path")
 
 
 def outlinks(links: DataFrame, path: str) -> DataFrame:
+    """The links of a note, those that lead nowhere with a null target_path."""
     return links.where(F.col("source_path") == path)
 
 
@@ -40,14 +45,22 @@ def unresolved(links: DataFrame) -> DataFrame:
 def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     """(path, hop) of the notes within ``depth`` links of ``start`` in either direction.
 
-    One join a hop; ``depth`` bounds the number of rounds.
+    The edges and each frontier are written once, so a hop joins two tables and repeats no hop
+    before it; ``depth`` bounds the number of rounds.
     """
+    spark = links.sparkSession
+    folder = f"{shared_folder(spark)}/neighbourhood-{uuid.uuid4().hex[:12]}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     known = links.where("target_path IS NOT NULL").select(F.col("source_path").alias("a"), F.col("target_path").alias("b"))
-    both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = links.sparkSession.createDataFrame([(start, 0)], "path string, hop int")
-    frontier = seen
+    both = written(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    frontier = spark.createDataFrame([(start, 0)], "path string, hop int")
+    seen = frontier
     for hop in range(1, depth + 1):
         reached = frontier.join(both, frontier.path == both.a).select(F.col("b").alias("path")).distinct()
-        frontier = reached.join(seen, "path", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = written(reached.join(seen, "path", "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
         seen = seen.unionByName(frontier)
     return seen

@@ -1,7 +1,8 @@
 """Ranking over chunks: BM25, exact vectors, rank fusion, filters, and the ordered pipeline of such stages.
 
-Chunks have chunk_id, path, title, heading, body and search_text; hits add score and rank, the
-order as a column. Ties go to the smaller chunk_id.
+Chunks have chunk_id, path, title, heading, body and search_text; hits add score. Their order is
+by tier (what a filter appends comes after all hits), score and chunk_id, and becomes a column
+``rank`` where it is asked for.
 """
 
 from __future__ import annotations
@@ -13,16 +14,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mdspark.functions.text import query_tokens, search_tokens, snippet
+from mdspark.functions.text import query_phrases, query_tokens, search_tokens, snippet
+from mdspark.sources.index import Index
+from mdspark.storage import shared_folder
 
 #: Fixed values of the ranking functions.
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
 
 
+def _part(f: Column, n: Column, dl: Column, chunks: Column, average: Column) -> Column:
+    idf = F.ln((chunks - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
+
+
+def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFrame:
+    """(chunk_id, score) of the chunks that hold every phrase of the query, from the postings of its terms alone.
+
+    A token of several terms is a phrase: they must follow one another. A phrase that the query
+    repeats counts as often.
+    """
+    phrases = query_phrases(query)
+    made = index.metadata()
+    if not phrases or not made:
+        return index.spark.createDataFrame([], "chunk_id long, score double")
+    distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+    terms = list(dict.fromkeys(t for p in distinct for t in p))
+    places = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"_p{k}") for k, t in enumerate(terms)]
+    rows = index.postings(terms).groupBy("chunk_id").agg(F.first("dl").alias("_dl"), *places)
+    counts = []
+    for k, phrase in enumerate(distinct):
+        at = F.col(f"_p{terms.index(phrase[0])}")
+        for step, term in enumerate(phrase[1:], 1):
+            at = _followed(at, F.col(f"_p{terms.index(term)}"), step)
+        counts.append(F.greatest(F.coalesce(F.size(at), F.lit(0)), F.lit(0)).alias(f"_f{k}"))
+    found = rows.select("chunk_id", "_dl", *counts)
+    # how many chunks have each phrase: one row, which all hits meet
+    df = found.agg(*(F.count_if(F.col(f"_f{k}") > 0).alias(f"_n{k}") for k in range(len(distinct))))
+    matched = found.where(" AND ".join(f"_f{k} > 0" for k in range(len(distinct)))).join(F.broadcast(df))
+    chunks, average = F.lit(float(made["chunks"])), F.lit(float(made["average"] or 1))
+    score: Column = F.lit(0.0)
+    for p in phrases:
+        k = distinct.index(list(p))
+        score = score + _part(F.col(f"_f{k}"), F.col(f"_n{k}"), F.col("_dl"), chunks, average)
+    hits = matched.select("chunk_id", score.alias("score"))
+    return hits if limit is None else hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def _followed(at: Column, following: Column, step: int) -> Column:
+    return F.filter(at, lambda p: F.array_contains(following, p + step))
+
+
 def bm25(chunks: DataFrame, query: str, limit: int | None = None, text: str = "search_text", key: str = "chunk_id") -> DataFrame:
-    """(key, score) of the chunks that hold every token of the query; statistics are of all chunks.
+    """(key, score) of the chunks that hold every token of the query, without an index; statistics are of all chunks.
 
-    A token that the query repeats counts as often. One pass counts tokens, without exploding
+    Reads all texts, so it is for tables that are searched once. A token that the query repeats counts as often. One pass counts tokens, without exploding
     them; the statistics are one row, so nothing of the corpus is shuffled.
     """
     terms = query_tokens(query)
@@ -37,10 +82,7 @@ def bm25(chunks: DataFrame, query: str, limit: int | None = None, text: str = "s
     score: Column = F.lit(0.0)
     for t in terms:
         k = distinct.index(t)
-        f, n = F.col(f"_f{k}"), F.col(f"_n{k}")
-        idf = F.ln((F.col("_n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))
+        score = score + _part(F.col(f"_f{k}"), F.col(f"_n{k}"), F.col("_dl"), F.col("_n"), F.col("_avgdl"))
     matched = tf.where(" AND ".join(f"_f{k} > 0" for k in range(len(distinct))))
     hits = matched.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
     return hits if limit is None else hits.orderBy(F.desc("score"), key).limit(limit)
@@ -54,9 +96,31 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int | None = No
     return hits if limit is None else hits.orderBy(F.desc("score"), key).limit(limit)
 
 
-def ranked(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """With ``rank`` from 1, for bounded lists of hits."""
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+def ranked(hits: DataFrame, *order: Column | str, limit: int | None = None) -> DataFrame:
+    """With ``rank`` from 1, by score and chunk_id unless another order is given.
+
+    A limited list is numbered at once. Any other is sorted by ranges over all tasks and written;
+    a row's rank is its place in its range and the sizes of those before.
+    """
+    order = order or (F.desc("score"), F.asc("chunk_id"))
+    if limit is not None:
+        return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    import uuid
+
+    spark = hits.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = hits.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    path = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex[:12]}"
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row for each task
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["p"], total))
+        total += r["n"]
+    before = spark.createDataFrame(starts or [(0, 0)], "_p long, _before long")
+    out = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(before), "_p")
+    return out.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_before")
 
 
 def fuse(rankings: list[DataFrame], key: str = "chunk_id") -> DataFrame:
@@ -69,9 +133,10 @@ def fuse(rankings: list[DataFrame], key: str = "chunk_id") -> DataFrame:
 
 
 def best_per_path(hits: DataFrame) -> DataFrame:
-    """The best hit of each path; of equal scores the earlier rank."""
-    first = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "rank"))
-    return hits.withColumn("_k", first).where("_k = 1").drop("_k")
+    """The best hit of each path; of equal scores the earlier rank, or the smaller chunk_id. One row a task of each path is shuffled."""
+    earlier = -F.col("rank" if "rank" in hits.columns else "chunk_id")
+    best = F.max_by(F.struct(*(F.col(f"`{c}`") for c in hits.columns)), F.struct("score", earlier))
+    return hits.groupBy("path").agg(best.alias("_h")).select("_h.*")
 
 
 def context(hits: DataFrame, limit: int, max_chars: int) -> DataFrame:
@@ -115,12 +180,17 @@ class Stage:
 
 @dataclass
 class Pipeline:
-    """Ordered stages over chunks. ``notes`` (path, title, ...) are what filters judge; ``embed`` gives a query's vector."""
+    """Ordered stages over chunks. ``notes`` (path, title, ...) are what filters judge; ``embed`` gives a query's vector.
+
+    With an ``index`` BM25 reads its postings instead of the texts. ``vectors`` have chunk_id and
+    embedding, or content_hash and vector of ``model`` where the chunks have content_hash.
+    """
 
     chunks: DataFrame
     notes: DataFrame
     vectors: DataFrame | None = None
     embed: Callable[[str], list[float]] | None = None
+    index: Index | None = None
     filters: dict[str, Callable[[str], Column]] = field(default_factory=dict)
     stages: dict[str, Callable[[DataFrame, Stage], DataFrame]] = field(default_factory=dict)
 
@@ -130,15 +200,16 @@ class Pipeline:
         self.filters = {"native": lambda source: compile_filter(source, self.notes)} | self.filters
         self.stages = {"filter": self._filter, "bm25": self._bm25, "rag": self._rag, "bm25+rag": self._hybrid} | self.stages
 
-    def run(self, *specs: str) -> DataFrame:
-        hits = self.chunks.select("chunk_id", "path", "title", "heading", "body").withColumn("score", F.lit(0.0)).withColumn("rank", F.col("chunk_id"))
+    def run(self, *specs: str, limit: int | None = None) -> DataFrame:
+        """Hits with ``tier``; with a limit also their rank, in order."""
+        hits = self.chunks.select("chunk_id", "path", "title", "heading", "body").withColumn("score", F.lit(0.0)).withColumn("tier", F.lit(0))
         for stage in map(Stage.parse, specs):
             if stage.name not in self.stages:
                 raise ValueError(f"unknown stage {stage.name!r}")
             if stage.language and stage.name != "filter":
                 raise ValueError(f"stage {stage.name!r} takes no language")
             hits = self.stages[stage.name](hits, stage)
-        return hits
+        return hits if limit is None else ranked(hits, *_order(), limit=limit)
 
     def _filter(self, hits: DataFrame, stage: Stage) -> DataFrame:
         language = stage.language or "native"
@@ -150,26 +221,63 @@ class Pipeline:
         added = good.join(hits.select("path").distinct(), "path", "left_anti")
         added = added.select(
             F.lit(-1).cast("long").alias("chunk_id"), "path", "title", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("body"), F.lit(0.0).alias("score"),
-            F.lit((1 << 62)).alias("rank"),
+            F.lit(1).alias("tier"),
         )
         return kept.select(added.columns).unionByName(added)
 
     def _restricted(self, hits: DataFrame, scores: DataFrame) -> DataFrame:
         """Global scores of the chunks that are among the hits; statistics never see the restriction."""
-        kept = hits.drop("score", "rank").where("chunk_id >= 0").join(scores, "chunk_id")
-        return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long"))
+        return hits.where("chunk_id >= 0").drop("score", "tier").join(scores, "chunk_id").withColumn("tier", F.lit(0))
 
-    def _bm25(self, hits: DataFrame, stage: Stage) -> DataFrame:
-        return self._restricted(hits, bm25(self.chunks, stage.argument))
+    def _scores(self, query: str) -> DataFrame:
+        return bm25_indexed(self.index, query) if self.index else bm25(self.chunks, query)
 
-    def _rag(self, hits: DataFrame, stage: Stage) -> DataFrame:
+    def _similar(self, query: str) -> DataFrame:
         if self.vectors is None or self.embed is None:
             raise ValueError("stage rag needs vectors and an encoder")
-        return self._restricted(hits, vector_search(self.vectors, self.embed(stage.argument)))
+        vectors = self.vectors
+        if "content_hash" in vectors.columns and "chunk_id" not in vectors.columns:
+            waiting = self.chunks.join(vectors.select("content_hash"), "content_hash", "left_anti")
+            if waiting.limit(1).count():
+                raise ValueError("some chunks have no vector yet; embed what is missing first")
+            vectors = self.chunks.select("chunk_id", "content_hash").join(vectors.select("content_hash", F.col("vector").alias("embedding")), "content_hash")
+        return vector_search(vectors, self.embed(query))
+
+    def _bm25(self, hits: DataFrame, stage: Stage) -> DataFrame:
+        return self._restricted(hits, self._scores(stage.argument))
+
+    def _rag(self, hits: DataFrame, stage: Stage) -> DataFrame:
+        return self._restricted(hits, self._similar(stage.argument))
 
     def _hybrid(self, hits: DataFrame, stage: Stage) -> DataFrame:
         lists = [self._bm25(hits, stage), self._rag(hits, stage)]
-        return self._restricted(hits, fuse(lists))
+        return self._restricted(hits, fuse([ranked(x.select("chunk_id", "score")) for x in lists]))
+
+
+#: The order of hits.
+ORDER = (F.asc, "tier"), (F.desc, "score"), (F.asc, "chunk_id"), (F.asc, "path")
+
+
+def search(pipeline: Pipeline, query: str, limit: int = 8, engine: str = "bm25+rag") -> DataFrame:
+    """One stage, with a snippet for each hit. A hybrid search fuses the best max(5 limit, 30) of each list, others fetch 3 limit."""
+    stage = Stage.parse(f"{engine}:{query}")
+    if engine == "bm25+rag":
+        n = max(5 * limit, 30)
+        lists = [pipeline._scores(query), pipeline._similar(query)]
+        scores = fuse([ranked(x, limit=n) for x in lists])
+    else:
+        scores = (pipeline._scores(query) if stage.name == "bm25" else pipeline._similar(query)).orderBy(F.desc("score"), "chunk_id").limit(3 * limit)
+    hits = pipeline.chunks.select("chunk_id", "path", "title", "heading", "body").join(F.broadcast(scores), "chunk_id").withColumn("tier", F.lit(0))
+    return with_snippets(ranked(hits, *_order(), limit=limit), query)
+
+
+def found_note(n: int, limit: int) -> str:
+    """What is said of the number of results, and whether there are more than are shown."""
+    return f"{n} results found, the first {limit} are shown" if n > limit else f"{n} results found"
+
+
+def _order() -> tuple[Column, ...]:
+    return tuple(way(name) for way, name in ORDER)
 
 
 def with_snippets(hits: DataFrame, query: str) -> DataFrame:

@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mdspark.functions.text import line_links
+
 #: The marks of task fields.
 DATES = {"due": "📅", "completion": "✅", "scheduled": "⏳", "start": "🛫", "created": "➕", "cancelled": "❌"}
 PRIORITIES = {"🔺": "highest", "⏫": "high", "🔼": "medium", "🔽": "low", "⏬": "lowest"}
 PRIORITY_NUMBERS = {"highest": 0, "high": 1, "medium": 2, "normal": 3, "none": 3, "low": 4, "lowest": 5}
-STATUSES = {" ": ("Todo", "TODO"), "x": ("Done", "DONE"), "X": ("Done", "DONE"), "/": ("In Progress", "IN_PROGRESS"), "-": ("Cancelled", "CANCELLED")}
+PRIORITY_GROUPS = ("Highest priority", "High priority", "Medium priority", "Normal priority", "Low priority", "Lowest priority")
+#: Name, type and next symbol of the known statuses, names of types, and their order in sorts.
+STATUSES = {" ": ("Todo", "TODO", "x"), "x": ("Done", "DONE", " "), "X": ("Done", "DONE", " "), "/": ("In Progress", "IN_PROGRESS", "x"), "-": ("Cancelled", "CANCELLED", " "), "": ("EMPTY", "EMPTY", "")}
+TYPE_NAMES = {"TODO": "Todo", "DONE": "Done", "IN_PROGRESS": "In Progress", "ON_HOLD": "On Hold", "CANCELLED": "Cancelled", "NON_TASK": "Non-Task", "EMPTY": "EMPTY"}
 TYPE_ORDER = {"IN_PROGRESS": 1, "TODO": 2, "ON_HOLD": 3, "DONE": 4, "CANCELLED": 5, "NON_TASK": 6}
 ACTIONABLE = ("TODO", "IN_PROGRESS", "ON_HOLD")
-_TASK = r"^(\s*)([-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$"
+#: Fixed values, the formats of the language: a task line (indentation, marker, symbol, text), an inline field, a tag.
+_TASK = r"^(\s*)([-*+]|\d+[.)])\s+\[([^\]])\]\s+(.*)$"
+_FIELD = r"\[([^\[\]:]+)::([^\]]*)\]"
+_TAG = r"(^|[^\p{IsAlphabetic}\p{N}_])#([\p{IsAlphabetic}\p{N}_/-]+)"
+
+
+@dataclass(frozen=True)
+class Status:
+    """``SYMBOL=TYPE`` or ``SYMBOL=NAME:TYPE[:NEXT]``; ``space`` stands for a blank."""
+
+    symbol: str
+    name: str
+    type: str
+    following: str
+
+    @classmethod
+    def parse(cls, spec: str) -> Status:
+        symbol, sign, rest = spec.partition("=")
+        blank = lambda s: " " if s in ("space", "<space>", "␠") else s
+        symbol, parts = blank(symbol.strip()), [p.strip() for p in rest.split(":", 2)]
+        kind = parts[0 if len(parts) == 1 else 1].replace("-", "_").replace(" ", "_").upper()
+        if not sign or not symbol or kind not in TYPE_NAMES:
+            raise ValueError(f"a status is SYMBOL=TYPE or SYMBOL=NAME:TYPE[:NEXT], not {spec!r}")
+        name = parts[0] if len(parts) > 1 else TYPE_NAMES[kind]
+        if not name:
+            raise ValueError(f"the status {spec!r} has no name")
+        default = " " if kind in ("DONE", "CANCELLED") else "" if kind == "EMPTY" else "x"
+        return cls(symbol, name, kind, blank(parts[2]) if len(parts) > 2 else default)
+
+
+def known_statuses(more: dict[str, tuple] | list[str] | None = None) -> dict[str, tuple[str, str, str]]:
+    """The fixed statuses and ``more``: specs, or tuples (name, type[, next]) by symbol."""
+    if isinstance(more, dict):
+        more = {k: (*v, "x")[:3] for k, v in more.items()}
+    else:
+        more = {s.symbol: (s.name, s.type, s.following) for s in map(Status.parse, more or ())}
+    return STATUSES | more
 
 
 def _lookup(key: Column, values: dict, default: Column) -> Column:
@@ -26,37 +69,74 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
-def task_fields(text: Column) -> dict[str, Column]:
+def inline_fields(text: Column) -> Column:
+    """map of the ``[key:: value]`` fields, keys lower-cased; of fields of one key the last."""
+    keys = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(1)), lambda k: F.lower(F.trim(k)))
+    values = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2)), lambda v: F.trim(v))
+    entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
+    return F.map_from_entries(last)
+
+
+def task_fields(text: Column, global_filter: str = "") -> dict[str, Column]:
     """Fields of the text after the checkbox; marks override ``[key:: value]`` fields of the same name."""
-    inline = lambda name: _first(text, rf"(?i)\[{name}::\s*([^\]]*?)\s*\]")
-    out = {name: F.coalesce(_first(text, rf"{mark}\s*(\d{{4}}-\d{{2}}-\d{{2}})"), inline(name)) for name, mark in DATES.items()}
-    priority = F.coalesce(*(F.when(F.contains(text, F.lit(mark)), F.lit(name)) for mark, name in PRIORITIES.items()), inline("priority"), F.lit("normal"))
+    fields = inline_fields(text)
+    inline = lambda *names: F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
+    out = {"fields": fields}
+    out |= {name: F.coalesce(_first(text, rf"{mark}\x{{fe0f}}?\s*(\d{{4}}-\d{{2}}-\d{{2}})"), inline(name)) for name, mark in DATES.items()}
+    named = F.lower(inline("priorityname", "priority"))
+    named = F.when(named.isin(list(PRIORITY_NUMBERS)), named)
+    priority = F.coalesce(*(F.when(F.contains(text, F.lit(mark)), F.lit(name)) for mark, name in PRIORITIES.items()), named, F.lit("normal"))
     out["priority"] = priority
     out["priority_number"] = _lookup(priority, PRIORITY_NUMBERS, F.lit(3))
-    out["recurrence"] = F.coalesce(_first(text, r"🔁\s*([A-Za-z0-9, ]+?)\s*(?=$|[^A-Za-z0-9, ])"), inline("repeat"))
-    out["id"] = F.coalesce(_first(text, r"🆔\s*([A-Za-z0-9_-]+)"), inline("id"))
-    depends = F.split(F.regexp_extract(text, r"⛔\s*([A-Za-z0-9_, -]+)", 1), ",")
-    out["depends_on"] = F.filter(F.transform(depends, F.trim), lambda d: d != "")
     marks = "".join([*DATES.values(), *PRIORITIES, "🔁🆔⛔🏁"])
-    bare = F.regexp_replace(text, r"\[[A-Za-z][\w-]*::[^\]]*\]", "")
-    bare = F.regexp_replace(bare, rf"(?:{'|'.join(DATES.values())})\s*\d{{4}}-\d{{2}}-\d{{2}}|🆔\s*[A-Za-z0-9_-]+|⛔\s*[A-Za-z0-9_, -]+|🔁\s*[A-Za-z0-9, ]+|[{marks}]\x{{fe0f}}?", "")
-    out["description"] = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    out["tags"] = F.regexp_extract_all(text, F.lit(r"(?:^|\s)(#[\p{IsAlphabetic}\p{N}_/-]+)"), F.lit(1))
+    out["recurrence"] = F.coalesce(F.trim(_first(text, rf"🔁\x{{fe0f}}?\s*([^{marks}\[]+)")), inline("recurrence", "repeat"))
+    out["on_completion"] = F.coalesce(_first(text, r"🏁\x{fe0f}?\s*(delete|keep)"), inline("oncompletion"), F.lit(""))
+    out["id"] = F.coalesce(_first(text, r"🆔\x{fe0f}?\s*([A-Za-z0-9_-]+)"), inline("id"))
+    depends = F.split(F.regexp_extract(text, r"⛔\x{fe0f}?\s*([A-Za-z0-9_, -]+)", 1), ",")
+    out["depends_on"] = F.filter(F.transform(depends, lambda d: F.trim(d)), lambda d: d != "")
+    bare = F.replace(text, F.lit(global_filter), F.lit("")) if global_filter else text
+    bare = F.regexp_replace(bare, _FIELD, "")
+    dated = rf"(?:{'|'.join(DATES.values())})\x{{fe0f}}?\s*\d{{4}}-\d{{2}}-\d{{2}}"
+    bare = F.regexp_replace(bare, rf"{dated}|🆔\x{{fe0f}}?\s*[A-Za-z0-9_-]+|⛔\x{{fe0f}}?\s*[A-Za-z0-9_, -]+|🔁\x{{fe0f}}?\s*[^{marks}\[]+|🏁\x{{fe0f}}?\s*(?:delete|keep)|[{marks}]\x{{fe0f}}?", "")
+    description = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    out["description"] = description
+    out["description_without_tags"] = F.trim(F.regexp_replace(description, _TAG, "$1"))
+    names = F.transform(F.regexp_extract_all(description, F.lit(_TAG), F.lit(2)), lambda t: F.regexp_replace(t, "^/+|/+$", ""))
+    out["tags"] = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.concat(F.lit("#"), t))
     return out
 
 
-def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """A row for each task line of ``notes`` (path, body, body_start_line).
+def file_parts(path: Column) -> dict[str, Column]:
+    """The parts of a note's path that queries over tasks name."""
+    last = F.element_at(F.split(path, "/"), -1)
+    folder, root = F.regexp_extract(path, "^(.*/)[^/]*$", 1), F.regexp_extract(path, "^([^/]*/)", 1)
+    bare = lambda c: F.regexp_replace(c, r"(\.md)+$", "")
+    return {
+        "path": path, "path_without_extension": bare(path), "filename": last, "filename_without_extension": bare(last),
+        "folder": F.when(folder == "", "/").otherwise(folder), "root": F.when(root == "", "/").otherwise(root),
+    }
+
+
+def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str, tuple] | list[str] | None = None, note_links: bool = False) -> DataFrame:
+    """A row for each task line of ``notes`` (path, body; body_start_line and frontmatter_json if they are there).
 
     Lines of a note are numbered within the row, so no shuffle is needed until the heading is
-    carried down, which windows over the lines of one note.
+    carried down, which windows over the lines of one note. With ``note_links`` the file of a task
+    also has the links of its whole note, copied into each of its tasks.
     """
-    known = STATUSES | (statuses or {})
+    known = known_statuses(statuses)
     start = F.col("body_start_line") if "body_start_line" in notes.columns else F.lit(1)
-    lines = notes.select("path", start.alias("_s"), F.posexplode(F.split("body", "\n")).alias("_i", "_l"))
+    frontmatter = F.col("frontmatter_json") if "frontmatter_json" in notes.columns else F.lit(None).cast("string")
+    in_body, in_properties = line_links(F.col("body")), line_links(F.coalesce(frontmatter, F.lit("")))
+    note = [x.alias(n) for n, x in file_parts(F.col("path")).items()] + [frontmatter.alias("frontmatter")]
+    if note_links:
+        both = F.array_distinct(F.concat(in_properties, in_body))
+        note += [in_properties.alias("outlinks_in_properties"), in_body.alias("outlinks_in_body"), both.alias("outlinks")]
+    lines = notes.select("path", start.alias("_s"), F.struct(*note).alias("file"), F.posexplode(F.split("body", "\n")).alias("_i", "_l"))
     lines = lines.withColumn("_l", F.regexp_replace("_l", r"^(?:\s*>\s?)+", ""))
     head = F.when(F.col("_l").rlike(r"^#{1,6}\s+\S"), F.regexp_replace("_l", r"^#{1,6}\s+|\s*#*\s*$", ""))
-    lines = lines.select("path", (F.col("_s") + F.col("_i")).alias("line"), "_l", head.alias("_h"))
+    lines = lines.select("path", "file", (F.col("_s") + F.col("_i")).alias("line"), "_l", head.alias("_h"))
     lines = lines.where(F.col("_h").isNotNull() | F.col("_l").rlike(_TASK))  # others carry nothing
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("heading", F.last("_h", ignorenulls=True).over(so_far)).withColumn("section", F.count("_h").over(so_far))
@@ -64,20 +144,41 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
     if global_filter:
         tasks = tasks.where(F.contains("_l", F.lit(global_filter)))
     indent, marker, symbol, text = (F.regexp_extract("_l", _TASK, k) for k in range(1, 5))
-    tasks = tasks.select("path", "line", "heading", "section", indent.alias("indentation"), marker.alias("list_marker"), symbol.alias("status_symbol"), text.alias("text"))
-    tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text")).items()))
+    tasks = tasks.select(
+        "path", "file", "line", (F.col("line") - 1).alias("line_number"), "heading", "section",
+        indent.alias("indentation"), marker.alias("list_marker"), symbol.alias("status_symbol"), text.alias("text"),
+    )
+    tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), global_filter).items()))
+    page = F.col("file.filename_without_extension")
+    tasks = tasks.select(
+        "*",
+        F.concat("indentation", "list_marker", F.lit(" ["), "status_symbol", F.lit("] "), "text").alias("original_markdown"),
+        F.when(F.col("heading").isNull(), page).otherwise(F.concat(page, F.lit(" > "), "heading")).alias("backlink"),
+        line_links(F.col("text")).alias("outlinks"),
+        *(c.alias(n) for n, c in derived(F.col("recurrence"), F.col("priority_number")).items()),
+    )
     return add_status(tasks, known)
 
 
-def add_status(tasks: DataFrame, known: dict[str, tuple[str, str]] = STATUSES) -> DataFrame:
+def derived(recurrence: Column, priority_number: Column) -> dict[str, Column]:
+    """What follows from the recurrence and the priority: flags, and texts by which tasks are grouped."""
+    again = F.coalesce(F.trim(recurrence) != "", F.lit(False))
+    group = F.coalesce(F.try_element_at(F.array(*map(F.lit, PRIORITY_GROUPS)), priority_number + 1), F.lit(PRIORITY_GROUPS[3]))
+    return {
+        "is_recurring": again, "recurrence_rule": F.coalesce(recurrence, F.lit("")), "recurring_group": F.when(again, "Recurring").otherwise("Not Recurring"),
+        "recurrence_group": F.when(again, recurrence).otherwise("None"), "priority_group": group, "priority_name_group": F.concat(F.lit("%%"), priority_number.cast("string"), F.lit("%%"), group),
+    }
+
+
+def add_status(tasks: DataFrame, known: dict[str, tuple] = STATUSES) -> DataFrame:
     symbol = F.col("status_symbol")
-    status_type = _lookup(symbol, {k: t for k, (_, t) in known.items()}, F.lit("TODO"))
+    part = lambda k, default: _lookup(symbol, {s: v[k] for s, v in known.items()}, F.lit(default))
+    status_type = part(1, "TODO")
     done = status_type.isin("DONE", "CANCELLED", "NON_TASK")
     rank = _lookup(status_type, TYPE_ORDER, F.lit(7))
     return tasks.select(
-        "*",
-        _lookup(symbol, {k: n for k, (n, _) in known.items()}, F.lit("Unknown")).alias("status_name"),
-        status_type.alias("status_type"), done.alias("is_done"), F.concat(F.lit("%%"), rank.cast("string"), F.lit("%%"), status_type).alias("status_type_group"),
+        "*", part(0, "Unknown").alias("status_name"), status_type.alias("status_type"), part(2, "x").alias("status_next_symbol"), done.alias("is_done"),
+        F.when(done, "Done").otherwise("Todo").alias("status_group"), F.concat(F.lit("%%"), rank.cast("string"), F.lit("%%"), status_type).alias("status_type_group"),
         F.least("start", "scheduled", "due").alias("happens"), (F.col("indentation") != "").alias("is_sub_item") if "indentation" in tasks.columns else F.lit(False).alias("is_sub_item"),
     )
 
@@ -85,12 +186,28 @@ def add_status(tasks: DataFrame, known: dict[str, tuple[str, str]] = STATUSES) -
 def parents(tasks: DataFrame) -> DataFrame:
     """With parent_line: the nearest earlier task of the section with a smaller indentation.
 
-    A fold over the tasks before it within their section, whose size a note bounds.
+    One fold over the tasks of a section, which a note bounds, with a stack of those that may
+    still be parents.
     """
-    before = Window.partitionBy("path", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct("line", F.char_length("indentation").alias("w"))).over(before)
-    smaller = F.filter(earlier, lambda t: t["w"] < F.char_length("indentation"))
-    return tasks.withColumn("parent_line", F.array_max(F.transform(smaller, lambda t: t["line"])))
+    item = F.struct(F.col("line").cast("int").alias("line"), F.char_length("indentation").alias("w"))
+    sections = tasks.groupBy("path", "section").agg(F.sort_array(F.collect_list(item)).alias("_t"))
+    none = lambda t: F.expr(f"cast(array() as array<{t}>)")
+    begin = F.struct(none("struct<line: int, w: int>").alias("stack"), none("struct<line: int, parent_line: int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        kept = F.filter(acc["stack"], lambda s: s["w"] < x["w"])
+        one = F.struct(x["line"].alias("line"), F.try_element_at(kept, F.lit(-1))["line"].alias("parent_line"))
+        return F.struct(F.concat(kept, F.array(x)).alias("stack"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    found = sections.select("path", F.inline(F.aggregate("_t", begin, step, lambda a: a["out"])))
+    return tasks.join(found.withColumn("line", F.col("line").cast(tasks.schema["line"].dataType)), ["path", "line"], "left")
+
+
+def with_parent(tasks: DataFrame, columns: tuple[str, ...] = ("description", "status_type", "status_name", "tags", "due", "priority", "line")) -> DataFrame:
+    """With ``parent``, the given columns of the parent task."""
+    linked = tasks if "parent_line" in tasks.columns else parents(tasks)
+    above = tasks.select("path", F.col("line").alias("parent_line"), F.struct(*columns).alias("parent"))
+    return linked.join(above.withColumn("parent_line", F.col("parent_line").cast("int")), ["path", "parent_line"], "left")
 
 
 def urgency(today: str) -> Column:
@@ -104,6 +221,11 @@ def urgency(today: str) -> Column:
     return due + weight + scheduled + start
 
 
+def random_key(today: str) -> Column:
+    """A number from 0 that stays the same for a task throughout a day."""
+    return F.xxhash64(F.lit(today), "description", "path", "line").bitwiseAND((1 << 63) - 1)
+
+
 def dependencies(tasks: DataFrame) -> DataFrame:
     """With is_blocked and is_blocking: an actionable task on an id of another actionable one, and the reverse."""
     acting = tasks.where(F.col("status_type").isin(*ACTIONABLE))
@@ -114,3 +236,10 @@ def dependencies(tasks: DataFrame) -> DataFrame:
     out = tasks.join(blocked, ["path", "line"], "left").join(needed, "id", "left")
     acts = F.col("status_type").isin(*ACTIONABLE)
     return out.withColumn("is_blocked", F.coalesce("_b", F.lit(False))).withColumn("is_blocking", F.coalesce("_n", F.lit(False)) & acts).drop("_b", "_n")
+
+
+def attach(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``pages`` with the tasks of each in a list ``tasks``, by line; a page bounds its list."""
+    rows = tasks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", *(c for c in tasks.columns if c not in ("path", "line", "file", "fields", "outlinks"))))).alias("tasks"))
+    none = F.array().cast(rows.schema["tasks"].dataType)
+    return pages.join(rows, "path", "left").withColumn("tasks", F.coalesce("tasks", none))

@@ -1,13 +1,17 @@
 """The expression language of views and queries, compiled to typed Columns.
 
-Kinds come from the table's schema: null, boolean, number, string, date, list, object. Missing
-names, unknown functions and operands of other kinds give null, never an error.
+Kinds come from the table's schema: null, boolean, number, string, date, duration, list, object,
+link, file, regexp, html, image, icon. Missing names, unknown functions and operands of other
+kinds give null, never an error; only a text that is no expression raises ``ExpressionError``.
+Items of a list that are of several kinds become texts, as do the two results of an ``if``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +21,17 @@ _TOKEN = re.compile(
     r"""\s*(?:(?P<date>\d{4}-\d{2}-\d{2})(?![\w-])|(?P<number>\d+(?:\.\d+)?)(?![\w#-])|(?P<string>"(?:\\.|[^"])*"|'(?:\\.|[^'])*')"""
     r"""|(?P<op>>=|<=|!=|==|\|\||&&|[=><+\-*/%!.,:()\[\]{}])|(?P<name>[\w#-]+))"""
 )
+_REGEX = re.compile(r"\s*/((?:\\.|[^/\n])+)/([a-z]*)")
+#: Tokens after which a slash begins a regular expression.
+_BEFORE_REGEX = frozenset(["(", ",", "=", "==", "!=", "&&", "||", "and", "or", "not", "!", "["])
+
+#: The units of durations, and their parts. Short names are told apart by case, long ones are not.
+SHORT_UNITS = {"y": "years", "M": "months", "w": "weeks", "d": "days", "h": "hours", "m": "minutes", "s": "seconds", "ms": "milliseconds"}
+PARTS = list(SHORT_UNITS.values())
+MILLIS = {"weeks": 604_800_000, "days": 86_400_000, "hours": 3_600_000, "minutes": 60_000, "seconds": 1_000, "milliseconds": 1}
+_DURATION = r"^\s*(-?\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*$"
+#: Kinds whose Column is a struct.
+STRUCTURED = frozenset(["object", "link", "file", "html", "image", "icon"])
 
 
 class ExpressionError(ValueError):
@@ -25,41 +40,77 @@ class ExpressionError(ValueError):
 
 @dataclass
 class Typed:
-    """A Column and its static kind; ``element`` is the kind of a list's items, ``fields`` those of an object."""
+    """A Column and its static kind; ``item`` is a model of a list's items, ``fields`` those of a structure, ``literal`` a value known beforehand."""
 
     column: Column
     kind: str
-    element: str = "string"
+    item: Typed | None = None
     fields: dict[str, Typed] = field(default_factory=dict)
+    literal: Any = None
+    entries: bool = False
+
+    @property
+    def element(self) -> str:
+        return self.item.kind if self.item else "null"
+
+    def at(self, column: Column) -> Typed:
+        """The same kind for another Column."""
+        if self.kind == "duration" or (self.kind in STRUCTURED and not self.entries):
+            return Typed(column, self.kind, fields={k: f.at(column.getField(k)) for k, f in self.fields.items()})
+        return Typed(column, self.kind, self.item, entries=self.entries)
+
+
+def text(value: str) -> Typed:
+    return Typed(F.lit(value), "string", literal=value)
 
 
+def flag(column: Column) -> Typed:
+    return Typed(column, "boolean")
 
 
-def _null() -> Typed:
+def number(column: Column) -> Typed:
+    return Typed(column, "number")
+
+
+def null() -> Typed:
     return Typed(F.lit(None).cast("string"), "null")
 
 
-def kind_of(t: T.DataType) -> str:
-    if isinstance(t, T.BooleanType):
-        return "boolean"
-    if isinstance(t, T.NumericType):
-        return "number"
-    if isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType):
-        return "date"
-    return "list" if isinstance(t, T.ArrayType) else "object" if isinstance(t, T.StructType | T.MapType) else "string"
+def structure(kind: str, **fields: Typed) -> Typed:
+    return Typed(F.struct(*(v.column.alias(k) for k, v in fields.items())), kind, fields=fields)
+
+
+def listed(column: Column, item: Typed) -> Typed:
+    return Typed(column, "list", item)
+
+
+def _struct_kind(names: set[str]) -> str:
+    if names == {"path", "display", "embed"}:
+        return "link"
+    if names >= {"path", "name", "basename", "folder"}:
+        return "file"
+    return "duration" if names == set(PARTS) else "object"
 
 
 def typed(column: Column, t: T.DataType) -> Typed:
-    kind = kind_of(t)
-    if kind == "number":
-        return Typed(column.cast("double"), kind)
-    if kind == "date":
-        return Typed(column.cast("timestamp_ntz"), kind)
+    if isinstance(t, T.BooleanType):
+        return flag(column)
+    if isinstance(t, T.NumericType):
+        return number(column.cast("double"))
+    if isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return Typed(column.cast("timestamp_ntz"), "date")
     if isinstance(t, T.ArrayType):
-        return Typed(column, kind, kind_of(t.elementType))
+        model = typed(F.lit(None), t.elementType)
+        if isinstance(t.elementType, T.NumericType):
+            column = column.cast("array<double>")
+        elif model.kind == "date":
+            column = column.cast("array<timestamp_ntz>")
+        return listed(column, model)
     if isinstance(t, T.StructType):
-        return Typed(column, kind, fields={f.name: typed(column.getField(f.name), f.dataType) for f in t})
-    return Typed(column, kind)
+        return Typed(column, _struct_kind({f.name for f in t}), fields={f.name: typed(column.getField(f.name), f.dataType) for f in t})
+    if isinstance(t, T.MapType):
+        return Typed(column, "object", item=typed(F.lit(None), t.valueType), entries=True)
+    return null() if isinstance(t, T.NullType) else Typed(column, "string")
 
 
 def scope_of(frame: DataFrame) -> dict[str, Typed]:
@@ -67,16 +118,26 @@ def scope_of(frame: DataFrame) -> dict[str, Typed]:
 
 
 def display(x: Typed) -> Column:
-    """Text of a value; whole numbers of expressions keep one decimal place, null is empty."""
+    """Text of a value; whole numbers of expressions keep one decimal place, null is empty, links show their display."""
+    c = x.column
     if x.kind == "number":
-        whole = F.format_string("%.1f", x.column)
-        return F.coalesce(F.when(x.column == F.floor(x.column), whole).otherwise(x.column.cast("string")), F.lit(""))
-    return F.coalesce(x.column.cast("string"), F.lit("")) if x.kind not in ("list", "object") else F.coalesce(F.to_json(x.column), F.lit(""))
+        out = F.when(c == F.floor(c), F.format_string("%.1f", c)).otherwise(c.cast("string"))
+    elif x.kind == "date":
+        out = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    elif x.kind == "link":
+        out = F.coalesce(c["display"], c["path"])
+    elif x.kind == "regexp":
+        out = F.lit(x.literal[0])
+    elif x.kind in STRUCTURED or x.kind in ("list", "duration"):
+        out = F.to_json(c)
+    else:
+        out = c.cast("string")
+    return F.coalesce(out, F.lit(""))
 
 
 def truthy(x: Typed) -> Column:
     """Null, false, 0 and the empty string are false; every list and object is true."""
-    test = {"boolean": lambda c: c, "number": lambda c: c != 0, "string": lambda c: c != ""}.get(x.kind, lambda c: c.isNotNull())
+    test = {"boolean": lambda c: c, "number": lambda c: c != 0, "string": lambda c: c != "", "regexp": lambda c: F.lit(True)}.get(x.kind, lambda c: c.isNotNull())
     return F.coalesce(test(x.column), F.lit(False))
 
 
@@ -88,7 +149,60 @@ def as_date(x: Typed) -> Column:
         return F.lit(None).cast("timestamp_ntz")
     stamp = F.regexp_extract(x.column, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)", 1)
     day = F.regexp_extract(x.column, r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.coalesce(F.expr("null").cast("timestamp_ntz"), F.when(stamp != "", stamp.try_cast("timestamp_ntz")), F.when(day != "", day.try_cast("timestamp_ntz")))
+    return F.coalesce(F.when(stamp != "", stamp.try_cast("timestamp_ntz")), F.when(day != "", day.try_cast("timestamp_ntz")))
+
+
+def millis(c: Column) -> Column:
+    """Milliseconds since 1970 of a wall-clock time, whatever the session's zone."""
+    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("double") + F.extract(F.lit("SECOND"), c).cast("double")
+    return F.unix_date(c.cast("date")).cast("double") * MILLIS["days"] + F.round(clock * 1000)
+
+
+def as_duration(x: Typed) -> Typed | None:
+    """Durations, and texts of one amount and unit."""
+    if x.kind == "duration":
+        return x
+    if x.kind != "string":
+        return None
+    if x.literal is not None:
+        m = re.match(_DURATION, x.literal)
+        part = m and unit_of(m[2])
+        return structure("duration", **{p: number(F.lit(float(m[1]) if p == part else 0.0)) for p in PARTS}) if part else None
+    amount = F.regexp_extract(x.column, _DURATION, 1).try_cast("double")
+    unit = F.regexp_extract(x.column, _DURATION, 2)
+    unit = F.when(unit.isin(*SHORT_UNITS), unit).otherwise(F.regexp_replace(F.lower(unit), "s$", ""))
+    names = {p: [k for k, v in SHORT_UNITS.items() if v == p] + [p[:-1]] for p in PARTS}
+    known = amount.isNotNull() & unit.isin([n for v in names.values() for n in v])
+    return structure("duration", **{p: number(F.when(known, F.when(unit.isin(names[p]), amount).otherwise(0.0))) for p in PARTS})
+
+
+def unit_of(name: str) -> str | None:
+    if name in SHORT_UNITS:
+        return SHORT_UNITS[name]
+    long = name.lower().removesuffix("s") + "s"
+    return long if long in PARTS else None
+
+
+def shifted(date: Column, by: Typed, sign: int) -> Column:
+    """Months first, by the calendar, then all else by milliseconds."""
+    part = lambda p: F.coalesce(by.fields[p].column, F.lit(0.0))
+    months = F.round((part("years") * 12 + part("months")) * sign).cast("int")
+    ms = F.lit(0.0)
+    for p, size in MILLIS.items():
+        ms = ms + part(p) * size
+    moved = date + F.make_ym_interval(F.lit(0), months)
+    return F.when(by.fields["days"].column.isNotNull(), moved + F.make_dt_interval(secs=(F.round(ms * sign) / 1000).cast("decimal(18,6)")))
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path, without .md, by which links are compared."""
+    return F.element_at(F.split(F.regexp_replace(path, r"(\.md)+$", ""), "/"), -1)
+
+
+def path_of(x: Typed) -> Column | None:
+    if x.kind == "string":
+        return x.column
+    return x.fields["path"].column if x.kind in STRUCTURED and "path" in x.fields and x.fields["path"].kind == "string" else None
 
 
 def order(op: str, a: Typed, b: Typed) -> Column:
@@ -107,8 +221,50 @@ def order(op: str, a: Typed, b: Typed) -> Column:
 def equal(a: Typed, b: Typed) -> Column:
     if "null" in (a.kind, b.kind):
         return (b if a.kind == "null" else a).column.isNull()
-    same = a.column.eqNullSafe(b.column) if a.kind == b.kind else F.lit(False)
-    return same | order("=", a, b) if a.kind not in ("list", "object") else same
+    if a.kind in STRUCTURED and b.kind in STRUCTURED:
+        x, y = path_of(a), path_of(b)
+        same = F.to_json(a.column).eqNullSafe(F.to_json(b.column)) if a.kind == b.kind else F.lit(False)
+        return same if x is None or y is None else same | F.coalesce(stem(x) == stem(y), F.lit(False))
+    if a.kind != b.kind:
+        return order("=", a, b)
+    if a.kind in ("list", "duration"):
+        return F.to_json(a.column).eqNullSafe(F.to_json(b.column))
+    return a.column.eqNullSafe(b.column) | order("=", a, b)
+
+
+def coerced(x: Typed, kind: str) -> Column:
+    """The Column as one of ``kind``; null where that is no such value."""
+    if x.kind == kind:
+        return x.column
+    if kind == "string":
+        return F.when(x.column.isNotNull(), display(x))
+    if kind == "date":
+        return as_date(x)
+    sql = {"number": "double", "boolean": "boolean"}.get(kind, "string")
+    return F.lit(None).cast(sql)
+
+
+def together(items: list[Typed]) -> tuple[list[Column], Typed]:
+    """Columns of one kind for the items, and a model of them."""
+    kinds = {i.kind for i in items} - {"null"}
+    if len(kinds) > 1:
+        return [coerced(i, "string") for i in items], text("").at(F.lit(None))
+    model = next((i for i in items if i.kind != "null"), null())
+    return [i.column if i.kind != "null" else F.lit(None) for i in items], model
+
+
+def valid_pattern(pattern: str) -> bool:
+    try:
+        re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
+    except re.error:
+        return False
+    return True
+
+
+def java_pattern(literal: tuple[str, str]) -> str:
+    pattern, flags = literal
+    inline = "".join(f for f in "ims" if f in flags)
+    return f"(?{inline}){pattern}" if inline else pattern
 
 
 class Compiler:
@@ -117,26 +273,26 @@ class Compiler:
         self.now = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
 
     def compile(self, source: str) -> Typed:
-        self.tokens, at = [], 0
+        self.tokens, self.place = self._tokens(source), 0
+        out = self._or()
+        if self.place < len(self.tokens):
+            raise ExpressionError(f"unexpected {self.tokens[self.place][1]!r}")
+        return out
+
+    def _tokens(self, source: str) -> list[tuple[str, Any]]:
+        out: list[tuple[str, Any]] = []
+        at = 0
         while source[at:].strip():
-            regex = re.match(r"\s*/((?:\\.|[^/\n])+)/([a-z]*)", source[at:]) if not self.tokens or self.tokens[-1][1] in ("(", ",", "=", "==", "&&", "||", "[") else None
-            if regex:
-                self.tokens.append(("regex", f"(?{''.join(f for f in regex[2] if f in 'ims')})" * bool(set(regex[2]) & set("ims")) + regex[1]))
-                at += regex.end()
-                continue
-            m = _TOKEN.match(source, at)
+            regex = _REGEX.match(source, at) if not out or (out[-1][0] in ("op", "name") and str(out[-1][1]).lower() in _BEFORE_REGEX) else None
+            m = regex or _TOKEN.match(source, at)
             if not m:
                 raise ExpressionError(f"cannot read {source[at:]!r}")
-            self.tokens.append((m.lastgroup or "", m[m.lastgroup or 0]))
+            out.append(("regex", (m[1], m[2])) if regex else (m.lastgroup or "", m[m.lastgroup or 0]))
             at = m.end()
-        self.place = 0
-        out = self._or()
-        if self.place < len(self.tokens):
-            raise ExpressionError(f"unexpected {self.tokens[self.place][1]!r}")
         return out
 
-    def _peek(self) -> tuple[str, str]:
-        return self.tokens[self.place] if self.place < len(self.tokens) else ("end", "")
+    def _peek(self, ahead: int = 0) -> tuple[str, Any]:
+        return self.tokens[self.place + ahead] if self.place + ahead < len(self.tokens) else ("end", "")
 
     def _take(self, *values: str) -> str | None:
         kind, value = self._peek()
@@ -152,64 +308,66 @@ class Compiler:
     def _or(self) -> Typed:
         out = self._and()
         while self._take("or", "||"):
-            out = Typed(truthy(out) | truthy(self._and()), "boolean")
+            out = flag(truthy(out) | truthy(self._and()))
         return out
 
     def _and(self) -> Typed:
         out = self._not()
         while self._take("and", "&&"):
-            out = Typed(truthy(out) & truthy(self._not()), "boolean")
+            out = flag(truthy(out) & truthy(self._not()))
         return out
 
     def _not(self) -> Typed:
         if self._take("not", "!"):
-            return Typed(~truthy(self._not()), "boolean")
+            return flag(~truthy(self._not()))
         left = self._sum()
         op = self._take(">=", "<=", "!=", "==", "=", ">", "<")
         if not op:
             return left
         right = self._sum()
         if op in ("=", "=="):
-            return Typed(equal(left, right), "boolean")
-        return Typed(~equal(left, right) if op == "!=" else order(op, left, right), "boolean")
+            return flag(equal(left, right))
+        return flag(~equal(left, right) if op == "!=" else order(op, left, right))
 
     def _sum(self) -> Typed:
         out = self._product()
         while op := self._take("+", "-"):
-            out = self._add(out, self._product()) if op == "+" else self._subtract(out, self._product())
+            out = self.add(out, self._product()) if op == "+" else self.subtract(out, self._product())
         return out
 
-    def _add(self, a: Typed, b: Typed) -> Typed:
+    @staticmethod
+    def add(a: Typed, b: Typed) -> Typed:
+        if a.kind == b.kind == "duration":
+            return structure("duration", **{p: number(a.fields[p].column + b.fields[p].column) for p in PARTS})
         if a.kind == b.kind == "number":
-            return Typed(a.column + b.column, "number")
-        if b.kind == "duration" and a.kind in ("date", "string"):
-            return self._shift(a, b, 1)
+            return number(a.column + b.column)
+        by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
+        if by and (a.kind == "date" or (a.kind == "string" and b.kind == "duration")):
+            return Typed(shifted(as_date(a), by, 1), "date")
         return Typed(F.concat(display(a), display(b)), "string")
 
-    def _subtract(self, a: Typed, b: Typed) -> Typed:
+    @staticmethod
+    def subtract(a: Typed, b: Typed) -> Typed:
+        if a.kind == b.kind == "duration":
+            return structure("duration", **{p: number(a.fields[p].column - b.fields[p].column) for p in PARTS})
         if a.kind == b.kind == "number":
-            return Typed(a.column - b.column, "number")
-        if b.kind == "duration":
-            return self._shift(a, b, -1)
-        if {a.kind, b.kind} <= {"date", "string"}:
-            millis = lambda x: F.unix_millis(as_date(x).cast("timestamp"))
-            return Typed((millis(a) - millis(b)).cast("double"), "number")
-        return _null()
-
-    def _shift(self, a: Typed, b: Typed, sign: int) -> Typed:
-        months, seconds = b.fields["months"].column, b.fields["seconds"].column
-        moved = as_date(a) + F.make_ym_interval(F.lit(0), (sign * months).cast("int"))
-        return Typed(moved + F.make_dt_interval(secs=sign * seconds), "date")
+            return number(a.column - b.column)
+        by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
+        if by and a.kind in ("date", "string"):
+            return Typed(shifted(as_date(a), by, -1), "date")
+        return number(millis(as_date(a)) - millis(as_date(b))) if {a.kind, b.kind} <= {"date", "string"} else null()
 
     def _product(self) -> Typed:
         out = self._postfix()
         while op := self._take("*", "/", "%"):
             right = self._postfix()
-            if out.kind != "number" or right.kind != "number":
-                out = _null()
+            if op == "*" and out.kind == "duration" and right.kind == "number":
+                out = structure("duration", **{p: number(out.fields[p].column * right.column) for p in PARTS})
+            elif out.kind != "number" or right.kind != "number":
+                out = null()
             else:
                 a, b = out.column, right.column
-                out = Typed({"*": lambda a=a, b=b: a * b, "/": lambda a=a, b=b: F.try_divide(a, b), "%": lambda a=a, b=b: F.try_mod(a, b)}[op](), "number")
+                out = number(a * b if op == "*" else F.try_divide(a, b) if op == "/" else F.try_mod(a, b))
         return out
 
     def _arguments(self, end: str) -> list[Typed]:
@@ -225,32 +383,57 @@ class Compiler:
         out = self._primary()
         while True:
             if self._take("."):
-                name = self._peek()[1]
+                name = str(self._peek()[1])
                 self.place += 1
-                if self._take("("):
-                    out = self._method(out, name.lower())
-                else:
-                    out = self._field(out, name)
+                out = self.method(out, name.lower()) if self._take("(") else self.field(out, name)
             elif self._take("["):
                 at = self._or()
                 self._need("]")
-                out = self._index(out, at)
+                out = self.index(out, at)
             else:
                 return out
 
-    def _field(self, x: Typed, name: str) -> Typed:
-        if x.kind == "object":
-            return x.fields.get(name) or _null()
+    def field(self, x: Typed, name: str) -> Typed:
+        if x.entries and x.item:
+            return x.item.at(F.try_element_at(x.column, F.lit(name)))
+        if x.kind in STRUCTURED or x.kind == "duration":
+            return x.fields.get(name) or null()
         if name == "length" and x.kind in ("string", "list"):
-            return Typed((F.char_length(x.column) if x.kind == "string" else F.size(x.column)).cast("double"), "number")
+            return number((F.char_length(x.column) if x.kind == "string" else F.size(x.column)).cast("double"))
+        if x.kind != "date":
+            return null()
+        if name == "millisecond":
+            return number(millis(x.column) % 1000)
         part = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}.get(name)
-        return Typed(part(x.column).cast("double"), "number") if part and x.kind == "date" else _null()
+        return number(part(x.column).cast("double")) if part else null()
 
-    def _index(self, x: Typed, at: Typed) -> Typed:
-        if x.kind == "list" and at.kind == "number":
+    def index(self, x: Typed, at: Typed) -> Typed:
+        if x.kind == "list" and at.kind == "number" and x.item:
             i = at.column.cast("int")
-            return Typed(F.when(i >= 0, F.try_element_at(x.column, i + 1)), x.element)
-        return _null()
+            return x.item.at(F.when(i >= 0, F.try_element_at(x.column, i + 1)))
+        if at.literal is not None and at.kind == "string":
+            return self.field(x, at.literal) if x.kind in STRUCTURED else null()
+        return x.item.at(F.try_element_at(x.column, at.column)) if x.entries and x.item and at.kind == "string" else null()
+
+    def _list(self, items: list[Typed]) -> Typed:
+        if not items:
+            return listed(F.expr("cast(array() as array<string>)"), null())
+        columns, model = together(items)
+        return listed(F.array(*columns), model)
+
+    def _object(self) -> Typed:
+        fields: dict[str, Typed] = {}
+        while not self._take("}"):
+            kind, value = self._peek()
+            if kind not in ("string", "name", "number"):
+                raise ExpressionError(f"unexpected {value!r}")
+            self.place += 1
+            self._need(":")
+            fields[value[1:-1] if kind == "string" else value] = self._or()
+            if not self._take(","):
+                self._need("}")
+                break
+        return structure("object", **fields) if fields else Typed(F.expr("cast(map() as map<string,string>)"), "object", item=null(), entries=True)
 
     def _primary(self) -> Typed:
         kind, value = self._peek()
@@ -259,174 +442,344 @@ class Compiler:
             self._need(")")
             return out
         if self._take("["):
-            items = self._arguments("]")
-            return Typed(F.array(*(i.column for i in items)), "list", items[0].kind if items else "string")
+            return self._list(self._arguments("]"))
+        if self._take("{"):
+            return self._object()
         if self._take("-"):
             x = self._postfix()
-            return Typed(-x.column, "number") if x.kind == "number" else _null()
+            return number(-x.column) if x.kind == "number" else null()
         self.place += 1
         if kind == "number":
-            return Typed(F.lit(float(value)), "number")
+            return Typed(F.lit(float(value)), "number", literal=float(value))
         if kind == "date":
-            return Typed(F.lit(value).cast("timestamp_ntz"), "date")
+            return Typed(F.lit(value).try_cast("timestamp_ntz"), "date")
         if kind == "string":
-            return Typed(F.lit(re.sub(r"\\(.)", r"\1", value[1:-1])), "string")
+            return text(re.sub(r"\\(.)", r"\1", value[1:-1]))
         if kind == "regex":
-            return Typed(F.lit(value), "regex")
+            return Typed(F.lit(java_pattern(value)), "regexp", literal=value)
         if kind != "name":
             raise ExpressionError(f"unexpected {value!r}")
         if self._take("("):
-            return self._function(value.lower())
+            return self.function(value.lower())
         if value.lower() in ("true", "false"):
-            return Typed(F.lit(value.lower() == "true"), "boolean")
-        if value.lower() == "null":
-            return _null()
-        return self.scope.get(value) or _null()
+            return flag(F.lit(value.lower() == "true"))
+        return null() if value.lower() == "null" else self.name(value)
 
-    def _function(self, name: str) -> Typed:
+    def name(self, value: str) -> Typed:
+        return self.scope.get(value) or null()
+
+    # ---- functions ----
+    def function(self, name: str) -> Typed:
         args = self._arguments(")")
-        a = args[0] if args else _null()
-        if name == "if" and len(args) > 1:
-            b = args[2] if len(args) > 2 else _null()
-            return Typed(F.when(truthy(a), args[1].column).otherwise(b.column.cast("string") if b.kind == args[1].kind == "string" else b.column), args[1].kind)
+        a, b = (args + [null(), null()])[:2]
+        if name == "if":
+            (yes, no), model = together((args + [null(), null()])[1:3])
+            return model.at(F.when(truthy(a), yes).otherwise(no))
         if name in ("max", "min"):
             numbers = [x.column for x in args if x.kind == "number"]
             pick = F.greatest if name == "max" else F.least
-            return Typed(numbers[0] if len(numbers) == 1 else pick(*numbers), "number") if numbers else _null()
+            return number(numbers[0] if len(numbers) == 1 else pick(*numbers)) if numbers else null()
         if name == "date":
             return Typed(as_date(a), "date")
         if name == "duration":
-            return self._duration()
+            return as_duration(a) or null()
         if name in ("now", "today"):
             return Typed(self.now if name == "now" else F.date_trunc("day", self.now).cast("timestamp_ntz"), "date")
         if name == "number":
-            if a.kind == "date":
-                return Typed(F.unix_millis(a.column.cast("timestamp")).cast("double"), "number")
-            return Typed(F.trim(a.column).try_cast("double") if a.kind == "string" else a.column.cast("double"), "number")
+            return self._number(a)
         if name == "length":
-            return self._field(a, "length") if a.kind in ("string", "list") else Typed(F.lit(0.0), "number")
-        if name in ("contains", "icontains", "startswith", "endswith") and len(args) > 1:
-            b = args[1]
-            if name == "icontains" and a.kind == "string":
-                a, b = Typed(F.lower(a.column), "string"), Typed(F.lower(b.column), "string")
-            return self._string_test({"icontains": "contains"}.get(name, name), a, b)
+            if a.kind in STRUCTURED:
+                return number((F.size(a.column) if a.entries else F.lit(len(a.fields))).cast("double"))
+            return self.field(a, "length") if a.kind in ("string", "list") else number(F.lit(0.0))
+        if name in ("contains", "icontains", "startswith", "endswith"):
+            if name == "icontains":
+                lower = lambda x: Typed(F.lower(x.column), "string") if x.kind == "string" else x
+                a, b = lower(a), lower(b)
+            return flag(self.holds({"icontains": "contains"}.get(name, name), a, b))
         if name == "join":
-            sep = args[1] if len(args) > 1 else Typed(F.lit(", "), "string")
-            return self._join(a, sep)
+            return self._join(a, b if len(args) > 1 else text(", "))
         if name == "list":
-            return a if a.kind == "list" else Typed(F.array(a.column), "list", a.kind)
+            return a if a.kind == "list" else self._list([a])
         if name == "escapehtml":
-            out = a.column
+            out = display(a)
             for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
                 out = F.replace(out, F.lit(c), F.lit(e))
             return Typed(out, "string")
         if name == "random":
-            return Typed(F.rand(), "number")
-        if name in ("link", "file", "html", "image", "icon"):
-            path = F.regexp_replace(display(a), r"^\[\[|(\|.*)?\]\]$", "")
-            return Typed(F.struct(path.alias("path")), "object", fields={"path": Typed(path, "string")})
-        return _null()
-
-    def _duration(self) -> Typed:
-        text = next((v for k, v in reversed(self.tokens[: self.place]) if k == "string"), "''")[1:-1]
-        m = re.fullmatch(r"\s*(-?\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*", text)
-        if not m:
-            return _null()
-        unit, n = m[2] if m[2] in ("M", "m") else m[2].lower(), float(m[1])
-        months = {"y": 12, "year": 12, "years": 12, "M": 1, "month": 1, "months": 1}.get(unit)
-        seconds = {"w": 604800, "week": 604800, "weeks": 604800, "d": 86400, "day": 86400, "days": 86400, "h": 3600, "hour": 3600, "hours": 3600, "m": 60, "minute": 60, "minutes": 60, "s": 1, "second": 1, "seconds": 1, "ms": 0.001}.get(unit)
-        if months is None and seconds is None:
-            return _null()
-        parts = {"months": Typed(F.lit(round(n * (months or 0))), "number"), "seconds": Typed(F.lit(n * (seconds or 0)).cast("decimal(18,6)"), "number")}
-        return Typed(F.lit(text), "duration", fields=parts)
+            return number(F.rand())
+        if name == "link":
+            path = self._bare(a)
+            return structure("link", path=path, display=Typed(display(b), "string") if len(args) > 1 else path, embed=flag(F.lit(False)))
+        if name == "file":
+            path = self._bare(a)
+            return self.file_at(path.column) if path.kind == "string" else null()
+        if name == "html":
+            return structure("html", value=Typed(display(a), "string"))
+        if name == "image":
+            return structure("image", path=self._bare(a))
+        return structure("icon", name=Typed(display(a), "string")) if name == "icon" else null()
+
+    @staticmethod
+    def _number(a: Typed) -> Typed:
+        if a.kind == "date":
+            return number(millis(a.column))
+        if a.kind == "string":
+            return number(F.trim(a.column).try_cast("double"))
+        return number(a.column.cast("double")) if a.kind in ("number", "boolean") else null()
+
+    @staticmethod
+    def _bare(x: Typed) -> Typed:
+        """The path of a link or file, or a text without the brackets and the display of a link."""
+        if x.kind == "string":
+            return Typed(F.trim(F.regexp_replace(x.column, r"^\s*\[\[([^|]*)(?:\|.*)?\]\]\s*$", "$1")), "string")
+        path = path_of(x)
+        return null() if path is None else Typed(path, "string")
+
+    def file_at(self, path: Column) -> Typed:
+        """The row's own file if that is its path; else path, name and basename alone."""
+        last = F.element_at(F.split(path, "/"), -1)
+        fields = {"path": Typed(path, "string"), "name": Typed(last, "string"), "basename": Typed(F.regexp_replace(last, r"(\.md)+$", ""), "string")}
+        own = self.scope.get("file")
+        if not own or own.kind != "file":
+            return structure("file", **fields)
+        here = F.coalesce(own.fields["path"].column == path, F.lit(False))
+        merged = {k: v.at(F.when(here, v.column).otherwise(fields[k].column) if k in fields else F.when(here, v.column)) for k, v in own.fields.items()}
+        return structure("file", **merged)
 
     def _join(self, a: Typed, sep: Typed) -> Typed:
-        if a.kind != "list":
+        if a.kind != "list" or not a.item:
             return Typed(display(a), "string")
-        return Typed(F.concat_ws("", F.aggregate(F.transform(a.column, lambda x: display(Typed(x, a.element))), F.lit(None).cast("string"), lambda s, x: F.coalesce(F.concat(s, sep.column, x), x))), "string")
+        return Typed(F.array_join(F.transform(a.column, lambda x: display(a.item.at(x))), sep.literal if sep.literal is not None else ", "), "string") if sep.literal is not None else Typed(
+            F.concat_ws("", F.aggregate(F.transform(a.column, lambda x: display(a.item.at(x))), F.lit(None).cast("string"), lambda s, x: F.coalesce(F.concat(s, display(sep), x), x))), "string"
+        )
 
     @staticmethod
-    def _string_test(name: str, a: Typed, b: Typed) -> Typed:
-        if a.kind == "list" and name == "contains":
-            return Typed(F.coalesce(F.exists(a.column, lambda x: equal(Typed(x, a.element), b)), F.lit(False)), "boolean")
+    def holds(name: str, a: Typed, b: Typed) -> Column:
+        if a.kind == "list" and name == "contains" and a.item:
+            return F.coalesce(F.exists(a.column, lambda x: equal(a.item.at(x), b)), F.lit(False))
+        if a.kind in STRUCTURED and name == "contains":
+            if a.entries:
+                return F.coalesce(F.map_contains_key(a.column, b.column), F.lit(False)) if b.kind == "string" else F.lit(False)
+            return F.coalesce(b.column.isin(list(a.fields)), F.lit(False)) if b.kind == "string" and a.fields else F.lit(False)
         if a.kind != "string" or b.kind != "string":
-            return Typed(F.lit(False), "boolean")
-        return Typed(F.coalesce(getattr(F, name)(a.column, b.column), F.lit(False)), "boolean")
+            return F.lit(False)
+        return F.coalesce(getattr(F, name)(a.column, b.column), F.lit(False))
 
-    def _method(self, x: Typed, name: str) -> Typed:
+    # ---- methods ----
+    def method(self, x: Typed, name: str) -> Typed:
         if x.kind == "list" and name in ("filter", "map", "reduce"):
             return self._over_items(x, name)
         args = self._arguments(")")
-        a = args[0] if args else _null()
-        c = x.column
+        a = args[0] if args else null()
         if name == "istruthy":
-            return Typed(truthy(x), "boolean")
+            return flag(truthy(x))
+        if name == "istype":
+            return flag(F.coalesce(F.when(x.column.isNull() & F.lit(x.kind != "regexp"), a.column == "null").otherwise(a.column == x.kind), F.lit(False))) if a.kind == "string" else null()
         if name == "tostring":
             return Typed(display(x), "string")
-        if name == "isempty":
-            test = {"string": lambda: F.coalesce(c, F.lit("")) == "", "list": lambda: F.size(c) == 0}.get(x.kind, lambda: c.isNull())
-            return Typed(test(), "boolean")
-        if x.kind == "regex" and name == "matches":
-            return Typed(F.coalesce(F.regexp_like(a.column, c), F.lit(False)), "boolean")
-        if x.kind == "date":
-            if name == "format" and a.kind == "string":
-                pattern = next(v for k, v in reversed(self.tokens[: self.place]) if k == "string")[1:-1]
-                for ours, theirs in (("YYYY", "yyyy"), ("DD", "dd")):
-                    pattern = pattern.replace(ours, theirs)
-                return Typed(F.date_format(c, pattern), "string")
-            simple = {"date": lambda: Typed(F.date_trunc("day", c).cast("timestamp_ntz"), "date"), "time": lambda: Typed(F.date_format(c, "HH:mm:ss"), "string")}
-            return simple[name]() if name in simple else _null()
-        if x.kind == "number":
-            digits = a.column.cast("int") if args else F.lit(0)
-            scale = F.pow(F.lit(10.0), digits)
-            rounded = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
-            simple = {"abs": lambda: F.abs(c), "ceil": lambda: F.ceil(c).cast("double"), "floor": lambda: F.floor(c).cast("double"), "round": lambda: rounded}
-            if name in simple:
-                return Typed(simple[name](), "number")
-            return Typed(F.format_string(f"%.{int(float(self.tokens[self.place - 2][1])) if args else 0}f", c), "string") if name == "tofixed" else _null()
-        if name in ("contains", "startswith", "endswith") and args:
-            return self._string_test(name, x, a)
-        if name in ("containsall", "containsany") and args and x.kind in ("string", "list"):
-            tests = [self._string_test("contains", x, y).column for y in args]
-            out = tests[0]
-            for t in tests[1:]:
-                out = (out & t) if name == "containsall" else (out | t)
-            return Typed(out, "boolean")
+        if name in ("containsall", "containsany") and x.kind in ("string", "list"):
+            return self._contains_many(x, args, name == "containsall")
+        if name in ("contains", "startswith", "endswith") and args and (x.kind == "string" or (x.kind == "list" and name == "contains")):
+            return flag(self.holds(name, x, a))
         if name == "slice" and x.kind in ("string", "list"):
-            size = F.char_length(c) if x.kind == "string" else F.size(c)
-            bound = lambda v: F.least(F.greatest(F.when(v < 0, size + v).otherwise(v), F.lit(0)), size)
-            start = bound(a.column.cast("int")) if args else F.lit(0)
-            end = bound(args[1].column.cast("int")) if len(args) > 1 else size
-            n = F.greatest(end - start, F.lit(0))
-            return Typed(F.substring(c, start + 1, n), "string") if x.kind == "string" else Typed(F.slice(c, start + 1, n), "list", x.element)
-        if x.kind == "string":
-            simple = {"lower": lambda: F.lower(c), "upper": lambda: F.upper(c), "reverse": lambda: F.reverse(c), "trim": lambda: F.trim(c)}
-            if name in simple:
-                return Typed(simple[name](), "string")
-            if name == "title":
-                return Typed(F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " "), "string")
-            if name == "repeat":
-                return Typed(F.repeat(c, a.column.cast("int")), "string")
-            if name == "replace" and len(args) > 1:
-                by = args[1].column
-                return Typed(F.regexp_replace(c, a.column, F.replace(by, F.lit("$"), F.lit("\\$"))) if a.kind == "regex" else F.replace(c, a.column, by), "string")
-            if name == "split":
-                parts = F.split(c, F.concat(F.lit("\\Q"), a.column, F.lit("\\E")) if a.kind == "string" else F.lit(","))
-                return Typed(F.slice(parts, F.lit(1), args[1].column.cast("int")) if len(args) > 1 else parts, "list", "string")
-            return Typed(as_date(x), "date") if name == "date" else _null()
-        if x.kind == "list":
-            simple = {"reverse": lambda: F.reverse(c), "sort": lambda: F.array_sort(c), "unique": lambda: F.array_distinct(c), "flat": lambda: F.flatten(c) if x.element == "list" else c}
-            if name in simple:
-                return Typed(simple[name](), "list", x.element)
-            return self._join(x, a if args else Typed(F.lit(","), "string")) if name == "join" else _null()
-        return _null()
+            return self._slice(x, args)
+        if name == "join" and x.kind == "list":
+            return self._join(x, a if args else text(","))
+        apply = getattr(self, f"_{x.kind}_method", None) or (self._object_method if x.kind in STRUCTURED else None)
+        return (apply(x, name, args, a) or null()) if apply else flag(F.lit(True)) if name == "isempty" else null()
+
+    def _contains_many(self, x: Typed, args: list[Typed], every: bool) -> Typed:
+        """One list, or any number of values."""
+        if len(args) == 1 and args[0].kind == "list" and args[0].item:
+            wanted = args[0]
+            test = F.forall if every else F.exists
+            return flag(F.coalesce(test(wanted.column, lambda w: self.holds("contains", x, wanted.item.at(w))), F.lit(False)))
+        out = F.lit(every)
+        for y in args:
+            test = self.holds("contains", x, y)
+            out = (out & test) if every else (out | test)
+        return flag(out)
+
+    @staticmethod
+    def _slice(x: Typed, args: list[Typed]) -> Typed:
+        c = x.column
+        size = F.char_length(c) if x.kind == "string" else F.size(c)
+        bound = lambda v: F.least(F.greatest(F.when(v < 0, size + v).otherwise(v), F.lit(0)), size)
+        start = bound(coerced(args[0], "number").cast("int")) if args else F.lit(0)
+        end = bound(coerced(args[1], "number").cast("int")) if len(args) > 1 else size
+        n = F.greatest(end - start, F.lit(0))
+        return Typed(F.substring(c, start + 1, n), "string") if x.kind == "string" else listed(F.slice(c, start + 1, n), x.item)
+
+    def _regexp_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        if name != "matches":
+            return None
+        if a.kind != "string" or not valid_pattern(x.literal[0]):
+            return flag(F.lit(False))
+        return flag(F.coalesce(F.regexp_like(a.column, x.column), F.lit(False)))
+
+    def _date_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        c = x.column
+        if name == "date":
+            return Typed(F.date_trunc("day", c).cast("timestamp_ntz"), "date")
+        if name == "time":
+            return Typed(F.date_format(c, "HH:mm:ss"), "string")
+        if name == "format" and isinstance(a.literal, str):
+            return Typed(formatted(c, a.literal), "string")
+        if name == "relative":
+            return Typed(self._relative(c), "string")
+        return flag(c.isNull()) if name == "isempty" else None
+
+    def _relative(self, c: Column) -> Column:
+        """Whole seconds, minutes, hours or days until now, by the largest that is not nought."""
+        seconds = F.floor((millis(self.now) - millis(c)) / 1000)
+        seconds = F.when(seconds < 0, F.ceil((millis(self.now) - millis(c)) / 1000)).otherwise(seconds)
+        n = F.abs(seconds)
+        size = F.when(n < 60, 1).when(n < 3600, 60).when(n < 86400, 3600).otherwise(86400)
+        unit = F.when(n < 60, "second").when(n < 3600, "minute").when(n < 86400, "hour").otherwise("day")
+        amount = F.floor(n / size).cast("long")
+        words = F.concat(amount.cast("string"), F.lit(" "), unit, F.when(amount == 1, "").otherwise("s"))
+        return F.when(seconds >= 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
+
+    def _number_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        c = x.column
+        if name == "round":
+            scale = F.pow(F.lit(10.0), coerced(a, "number").cast("int") if args else F.lit(0))
+            return number(F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale)
+        simple = {"abs": lambda: F.abs(c), "ceil": lambda: F.ceil(c).cast("double"), "floor": lambda: F.floor(c).cast("double")}
+        if name in simple:
+            return number(simple[name]())
+        if name == "tofixed":
+            return Typed(F.format_string(f"%.{int(a.literal) if isinstance(a.literal, float) else 0}f", c), "string")
+        return flag(c.isNull()) if name == "isempty" else None
+
+    def _string_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        c = x.column
+        simple = {"lower": lambda: F.lower(c), "upper": lambda: F.upper(c), "reverse": lambda: F.reverse(c), "trim": lambda: F.trim(c)}
+        if name in simple:
+            return Typed(simple[name](), "string")
+        if name == "isempty":
+            return flag(F.coalesce(c, F.lit("")) == "")
+        if name == "title":
+            return Typed(F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " "), "string")
+        if name == "repeat":
+            return Typed(F.repeat(c, coerced(a, "number").cast("int")), "string")
+        if name == "replace" and args:
+            return Typed(self._replaced(c, a, args[1] if len(args) > 1 else text("")), "string")
+        if name == "split":
+            if not args:
+                return self._list([x])
+            if a.kind == "regexp":
+                parts = F.split(c, java_pattern(a.literal)) if valid_pattern(a.literal[0]) else F.array(c)
+            else:
+                parts = F.split(c, F.concat(F.lit("\\Q"), a.column if a.kind == "string" else F.lit(","), F.lit("\\E")))
+            return listed(F.slice(parts, F.lit(1), coerced(args[1], "number").cast("int")) if len(args) > 1 else parts, text("").at(F.lit(None)))
+        if name == "date":
+            return Typed(as_date(x), "date")
+        return Typed(formatted(as_date(x), a.literal), "string") if name == "format" and isinstance(a.literal, str) else None
+
+    @staticmethod
+    def _replaced(c: Column, pattern: Typed, by: Typed) -> Column:
+        """A text everywhere; a regular expression at its first match, with the flag g at all."""
+        new = by.column if by.kind == "string" else F.lit("")
+        if pattern.kind == "string":
+            return F.replace(c, pattern.column, new)
+        if pattern.kind != "regexp" or not valid_pattern(pattern.literal[0]):
+            return c
+        escaped = F.replace(new, F.lit("\\"), F.lit("\\\\"))
+        if "g" in pattern.literal[1]:
+            return F.regexp_replace(c, pattern.column, escaped)
+        at = F.regexp_instr(c, pattern.column)
+        found = F.regexp_substr(c, pattern.column)
+        return F.when(at == 0, c).otherwise(
+            F.concat(F.substring(c, F.lit(1), at - 1), F.regexp_replace(found, pattern.column, escaped), F.substring(c, at + F.char_length(found), F.char_length(c)))
+        )
+
+    def _list_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        c = x.column
+        if name == "isempty":
+            return flag(F.coalesce(F.size(c) == 0, F.lit(True)))
+        if name == "flat":
+            return listed(F.flatten(c), x.item.item) if x.element == "list" and x.item and x.item.item else x
+        if name == "reverse":
+            return listed(F.reverse(c), x.item)
+        if name == "sort":
+            return listed(F.array_sort(c), x.item) if x.element in ("number", "string", "date", "boolean", "null") else x
+        if name != "unique":
+            return None
+        if x.element in ("link", "object", "file") and x.item and path_of(x.item) is not None:
+            # links to one note are one value; the first of them stays
+            stems = lambda v: stem(F.coalesce(v["path"], F.lit("")))
+            keep = F.filter(c, lambda v, i: ~F.exists(F.slice(c, F.lit(1), i), lambda u: stems(u) == stems(v)))
+            return listed(keep, x.item)
+        return listed(F.array_distinct(c), x.item)
+
+    def _object_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        found = self._link_method(x, name, args, a) if x.kind == "link" else self._file_method(x, name, args, a) if x.kind == "file" else None
+        if found:
+            return found
+        if x.entries and x.item:
+            entries = {"keys": lambda: listed(F.map_keys(x.column), text("").at(F.lit(None))), "values": lambda: listed(F.map_values(x.column), x.item), "isempty": lambda: flag(F.size(x.column) == 0)}
+            return entries[name]() if name in entries else None
+        if name == "isempty":
+            return flag(x.column.isNull() | F.lit(not x.fields))
+        if name == "keys":
+            return listed(F.array(*(F.lit(k) for k in sorted(x.fields))), text("").at(F.lit(None)))
+        return self._list([x.fields[k] for k in sorted(x.fields)]) if name == "values" else None
+
+    _html_method = _image_method = _icon_method = _object_method
+
+    def _same_note(self, link: Typed, path: Column) -> Column:
+        mine = path_of(link)
+        return F.coalesce((mine == path) | (stem(mine) == stem(path)), F.lit(False)) if mine is not None else F.lit(False)
+
+    def _links_to(self, file: Typed | None, to: Typed) -> Typed:
+        links, path = (file.fields.get("links") if file else None), path_of(to)
+        if not links or links.kind != "list" or not links.item or path is None:
+            return flag(F.lit(False))
+        return flag(F.coalesce(F.exists(links.column, lambda l: self._same_note(links.item.at(l), path)), F.lit(False)))
+
+    def _link_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        if name == "asfile":
+            return self.file_at(x.fields["path"].column)
+        return self._links_to(self.scope.get("file"), a) if name == "linksto" else None
+
+    def _file_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
+        path = x.fields["path"].column
+        if name == "aslink":
+            return structure("link", path=x.fields["path"], display=Typed(display(a), "string") if args else x.fields["name"], embed=flag(F.lit(False)))
+        if name == "haslink":
+            return self._links_to(x, a)
+        if name == "infolder":
+            return flag(F.coalesce((path == a.column) | F.startswith(path, F.concat(a.column, F.lit("/"))), F.lit(False))) if a.kind == "string" else flag(F.lit(False))
+        if name == "hastag":
+            tags = x.fields.get("tags")
+            if not tags or tags.kind != "list":
+                return flag(F.lit(False))
+            bare = lambda t: F.regexp_replace(t, "^#+", "")
+            out = F.lit(False)
+            for q in args:
+                if q.kind == "string":
+                    wanted = bare(q.column)
+                    out = out | F.coalesce(F.exists(tags.column, lambda t: (bare(t) == wanted) | F.startswith(bare(t), F.concat(wanted, F.lit("/")))), F.lit(False))  # noqa: B023
+            return flag(out)
+        if name == "hasproperty":
+            known = x.fields.get("properties") or x.fields.get("frontmatter")
+            if not known or a.kind != "string":
+                return flag(F.lit(False))
+            if known.entries:
+                return flag(F.coalesce(F.map_contains_key(known.column, a.column), F.lit(False)))
+            out = F.lit(False)
+            for k, v in known.fields.items():
+                out = out | ((a.column == k) & v.column.isNotNull())
+            return flag(F.coalesce(out, F.lit(False)))
+        return None
 
     def _over_items(self, x: Typed, name: str) -> Typed:
         """filter, map and reduce with the names value, index and acc."""
-        body_at, kind = self.place, "null"
+        body_at, model = self.place, x.item or null()
 
         def body(value: Column, index: Column, acc: Typed | None = None) -> Typed:
-            outer, self.scope = self.scope, self.scope | {"value": Typed(value, x.element), "index": Typed(index.cast("double"), "number")} | ({"acc": acc} if acc else {})
+            outer, self.scope = self.scope, self.scope | {"value": model.at(value), "index": number(index.cast("double"))} | ({"acc": acc} if acc else {})
             self.place = body_at
             out = self._or()
             self.scope = outer
@@ -434,20 +787,40 @@ class Compiler:
 
         if name == "filter":
             column = F.filter(x.column, lambda v, i: truthy(body(v, i)))
-        elif name == "map":
+            self._need(")")
+            return listed(column, model)
+        if name == "map":
+            made = body(model.column, F.lit(0))
             column = F.transform(x.column, lambda v, i: body(v, i).column)
-            kind = body(F.lit(None), F.lit(0)).kind
-        else:
-            body(F.lit(None), F.lit(0), Typed(F.lit(0.0), "number"))
-            start = self._or() if self._take(",") else Typed(F.lit(None).cast("double"), "number")
-            end = self.place
-            column = F.aggregate(x.column, start.column, lambda s, v: body(v, F.lit(0), Typed(s, start.kind)).column)
-            self.place = end
             self._need(")")
-            return Typed(column, start.kind)
+            return listed(column, made)
+        first = body(model.column, F.lit(0), number(F.lit(0.0)))
+        start = self._or() if self._take(",") else Typed(F.lit(None).cast("double"), "number") if first.kind in ("number", "null") else first.at(F.lit(None).cast("string"))
+        end = self.place
+        indexed = F.transform(x.column, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        column = F.aggregate(indexed, start.column, lambda s, v: coerced(body(v["v"], v["i"], start.at(s)), start.kind))
+        self.place = end
         self._need(")")
-        return Typed(column, "list", x.element if name == "filter" else kind)
+        return start.at(column)
+
+
+def formatted(c: Column, pattern: str) -> Column:
+    """YYYY MM DD HH mm ss; all other characters stand for themselves."""
+    out = [F.lit("")]
+    for piece in re.split(r"(YYYY|MM|DD|HH|mm|ss)", pattern):
+        java = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss"}.get(piece)
+        if piece:
+            out.append(F.date_format(c, java) if java else F.when(c.isNotNull(), piece))
+    return F.concat(*out)
 
 
 def compile_expression(source: str, frame: DataFrame, extra: dict[str, Typed] | None = None, now: str | None = None) -> Typed:
     return Compiler(scope_of(frame) | (extra or {}), now).compile(source)
+
+
+def lenient(compile: Callable[[], Typed]) -> Typed:
+    """Null for what is no expression."""
+    try:
+        return compile()
+    except ExpressionError:
+        return null()

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mdspark.sources.yaml_subset import PropertyError, scalar
+
 _TOKEN = re.compile(r"""\s*(?:(?P<op>>=|<=|!=|==|=|>|<)|(?P<paren>[()])|(?P<list>\[(?:"(?:\\.|[^"])*"|'[^']*'|[^\[\]])*\]|\{[^{}]*\})|(?P<text>"(?:\\.|[^"])*"|'[^']*')|(?P<word>[^\s()=!<>]+))""")
 _WORDS = ("contains_all", "starts_with", "ends_with", "contains", "overlaps", "matches", "in")
 _DAY, _INSTANT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
@@ -27,26 +29,6 @@ class FilterError(ValueError):
     pass
 
 
-def scalar(text: str) -> Any:
-    """A YAML 1.2 flow scalar or list: null, booleans, numbers, quoted and plain strings."""
-    text = text.strip()
-    if text[:1] == "[" and text[-1:] == "]":
-        return [scalar(m) for m in re.findall(r"""\s*("(?:\\.|[^"])*"|'[^']*'|[^,]+)\s*(?:,|$)""", text[1:-1])]
-    if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
-        return json.loads(text)
-    if text[:1] == "'" and text[-1:] == "'" and len(text) > 1:
-        return text[1:-1].replace("''", "'")
-    if text in ("null", "Null", "NULL", "~", ""):
-        return None
-    if text in ("true", "True", "TRUE", "false", "False", "FALSE"):
-        return text.lower() == "true"
-    if re.fullmatch(r"[-+]?\d+", text):
-        return int(text)
-    if re.fullmatch(r"[-+]?(\d+\.\d*|\.?\d+)([eE][-+]?\d+)?", text):
-        return float(text)
-    return text
-
-
 @dataclass
 class _Properties:
     """How a path becomes typed Columns."""
@@ -123,7 +105,10 @@ def _compare(p: _Properties, path: str, op: str, value: Any) -> Column:
 
 
 def _predicate(p: _Properties, path: str, op: str, raw: str) -> Column:
-    value = scalar(raw)
+    try:
+        value = scalar(raw)
+    except PropertyError:
+        value = raw
     text, items = p.get(path, "string"), p.get(path, "array")
     if op in ("=", "=="):
         return _equal(p, path, value)

@@ -1,4 +1,4 @@
-"""Table views (filters, formulas, sort, limit, summaries, groups) and TABLE/LIST queries over any DataFrame.
+"""Table views (filters, formulas, sort, limit, summaries, groups) and TABLE/LIST/TASK queries over any DataFrame.
 
 A row is a page: columns are its properties, ``path`` its file. Order is by the given keys, nulls
 last, then by ``tie``, so that limits are deterministic.
@@ -13,20 +13,20 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.plans.expression import Typed, compile_expression, truthy
+from mdspark.plans.expression import Typed, as_date, compile_expression, lenient, listed, millis, scope_of, truthy
 
 
-def view_filter(spec: Any, frame: DataFrame) -> Column:
+def view_filter(spec: Any, frame: DataFrame, now: str | None = None) -> Column:
     """A text; a list, all of which hold; or {and: [...]}, {or: [...]}, {not: ...}. Other shapes hold."""
     if isinstance(spec, str):
-        return truthy(compile_expression(spec, frame))
+        return truthy(compile_expression(spec, frame, now=now))
     if isinstance(spec, list):
         spec = {"and": spec}
     if not isinstance(spec, dict):
         return F.lit(True)
     out = F.lit(True)
     for key, parts in spec.items():
-        tests = [view_filter(p, frame) for p in (parts if isinstance(parts, list) else [parts])]
+        tests = [view_filter(p, frame, now) for p in (parts if isinstance(parts, list) else [parts])]
         if key in ("and", "or", "not"):
             whole = F.lit(key == "and")
             for t in tests:
@@ -35,21 +35,37 @@ def view_filter(spec: Any, frame: DataFrame) -> Column:
     return out
 
 
-def summary(name: str, x: Typed) -> Column:
-    """One of the named summaries; an unknown name is null."""
+def summary(name: str, x: Typed) -> Column | None:
+    """One of the named summaries, or None. Texts that begin with a date are dates where dates are compared."""
     c = x.column
-    number = c if x.kind == "number" else F.lit(None).cast("double")
-    date = c if x.kind == "date" else F.lit(None).cast("timestamp_ntz")
-    span = F.unix_millis(F.max(date).cast("timestamp")) - F.unix_millis(F.min(date).cast("timestamp"))
-    blank = c.isNull() | (c.cast("string") == "")
+    value = c if x.kind == "number" else F.lit(None).cast("double")
+    date = as_date(x)
+    span = F.max(millis(date)) - F.min(millis(date)) if x.kind in ("date", "string") else F.max(value) - F.min(value)
+    blank = c.isNull() | (c == "") if x.kind == "string" else c.isNull()
     flag = c if x.kind == "boolean" else F.lit(None).cast("boolean")
+    plain = c if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(c)
+    moment = c if x.kind in ("date", "string") else F.lit(None).cast("string")
     found = {
-        "count": lambda: F.count("*"), "sum": lambda: F.coalesce(F.sum(number), F.lit(0.0)), "average": lambda: F.avg(number), "min": lambda: F.min(c), "max": lambda: F.max(c),
-        "range": lambda: span if x.kind == "date" else F.max(number) - F.min(number), "median": lambda: F.median(number), "stddev": lambda: F.stddev_pop(number),
-        "earliest": lambda: F.min(date), "latest": lambda: F.max(date), "checked": lambda: F.count_if(flag), "unchecked": lambda: F.count_if(~flag),
+        "count": lambda: F.count("*"), "sum": lambda: F.coalesce(F.sum(value), F.lit(0.0)), "average": lambda: F.avg(value), "min": lambda: F.min(plain), "max": lambda: F.max(plain),
+        "range": lambda: span, "median": lambda: F.median(value), "stddev": lambda: F.stddev_pop(value),
+        "earliest": lambda: F.min_by(moment, date), "latest": lambda: F.max_by(moment, date), "checked": lambda: F.count_if(flag), "unchecked": lambda: F.count_if(~flag),
         "empty": lambda: F.count_if(blank), "filled": lambda: F.count_if(~blank), "unique": lambda: F.count_distinct(F.coalesce(F.to_json(F.struct(c)), F.lit("null"))),
     }.get(name.lower())
-    return found() if found else F.lit(None)
+    return found() if found else None
+
+
+def _comparison(keys: list[tuple[str, bool]]):
+    """A comparator of structs by fields, each descending or not, nulls last."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for name, descending in reversed(keys):
+            x, y = a[name], b[name]
+            less, more = (1, -1) if descending else (-1, 1)
+            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, less).when(x > y, more).otherwise(out)
+        return out
+
+    return compare
 
 
 @dataclass
@@ -59,42 +75,134 @@ class View:
     sort: list[tuple[str, str]] = field(default_factory=list)
     limit: int | None = None
     order: list[str] = field(default_factory=list)
+    #: (property, summary): a named one, one of ``custom``, or else null.
     summaries: dict[str, str] = field(default_factory=dict)
+    custom: dict[str, str] = field(default_factory=dict)
     group_by: str | None = None
+    group_descending: bool = False
+    now: str | None = None
 
-    def rows(self, frame: DataFrame, tie: str = "path") -> DataFrame:
-        """Filters, then formulas in the order of their references, then sort and limit."""
+    def _scope(self, frame: DataFrame) -> dict[str, Typed]:
+        scope = scope_of(frame)
+        made = {k.removeprefix("formula_"): v for k, v in scope.items() if k.startswith("formula_")}
+        return {"formula": Typed(F.lit(None), "object", fields=made)} if made else {}
+
+    def _value(self, source: str, frame: DataFrame) -> Typed:
+        return lenient(lambda: compile_expression(source, frame, self._scope(frame), self.now))
+
+    def calculated(self, frame: DataFrame) -> DataFrame:
+        """Filters, then formulas in the order of their references. A formula that cannot be read is null, as is one that refers to itself."""
         if self.filters is not None:
-            frame = frame.where(view_filter(self.filters, frame))
-        waiting, extra = dict(self.formulas), {}
+            frame = frame.where(view_filter(self.filters, frame, self.now))
+        waiting = dict(self.formulas)
         while waiting:
-            free = [k for k, v in waiting.items() if not any(re.search(rf"formula\.{re.escape(o)}\b", v) for o in waiting)]
+            free = [k for k, v in waiting.items() if not any(re.search(rf"formula\.{re.escape(o)}(?![\w-])", v) for o in waiting)]
             for name in free or list(waiting):
-                source = re.sub(r"\bformula\.([\w-]+)", r"formula_\1", waiting.pop(name))
-                value = compile_expression(source, frame, extra)
-                frame = frame.withColumn(f"formula_{name}", value.column)
-                extra[f"formula_{name}"] = Typed(F.col(f"formula_{name}"), value.kind, value.element)
+                frame = frame.withColumn(f"formula_{name}", self._value(waiting.pop(name), frame).column)
+        return frame
+
+    def _keys(self, frame: DataFrame) -> list[tuple[Column, bool]]:
+        """Values by which rows are sorted, and whether downwards."""
+        out = []
+        for source, direction in self.sort:
+            x = self._value(source, frame)
+            if x.kind in ("number", "string", "date", "boolean"):
+                out.append((x.column, direction.lower() == "desc"))
+            elif x.kind != "null":
+                out.append((F.to_json(x.column), direction.lower() == "desc"))
+        return out
+
+    def rows(self, frame: DataFrame, tie: str = "path") -> DataFrame:
+        """Filters, formulas, sort and limit."""
+        frame = self.calculated(frame)
         if self.sort or self.limit is not None:
-            keys = [F.desc_nulls_last(c) if d.lower() == "desc" else F.asc_nulls_last(c) for c, d in self.sort]
-            frame = frame.orderBy(*keys, tie)
+            frame = frame.orderBy(*(c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in self._keys(frame)), tie)
         return frame if self.limit is None else frame.limit(self.limit)
 
     def table(self, frame: DataFrame, tie: str = "path") -> DataFrame:
+        """The columns of ``order``, each named by its path; without it all columns."""
         rows = self.rows(frame, tie)
-        return rows.select(*(F.col(c.replace("formula.", "formula_")).alias(c) for c in self.order)) if self.order else rows
+        return rows.select(*(self._value(c, rows).column.alias(c) for c in self.order)) if self.order else rows
 
     def summarise(self, frame: DataFrame, tie: str = "path") -> DataFrame:
-        """One row: a column for each ``property: summary``, over the limited rows."""
+        """One row: a column for each ``property: summary``, over the limited rows.
+
+        A custom summary is an expression over the list ``values``, in the order of the rows; the
+        list is one value, so it is as large as the limited rows.
+        """
         rows = self.rows(frame, tie)
-        return rows.agg(*(summary(s, compile_expression(p, rows)).alias(f"{p}_{s.lower()}") for p, s in self.summaries.items()))
+        keys = self._keys(rows)
+        out, after = [], []
+        for p, s in self.summaries.items():
+            name, x = f"{p}_{s.lower()}", self._value(p, rows)
+            named = summary(s, x)
+            if named is not None:
+                out.append(named.alias(name))
+                after.append(F.col(f"`{name}`"))
+            elif s in self.custom:
+                item = F.struct(*(c.alias(f"k{k}") for k, (c, _) in enumerate(keys)), F.col(tie).alias("tie"), x.column.alias("v"))
+                order = _comparison([*((f"k{k}", down) for k, (_, down) in enumerate(keys)), ("tie", False)])
+                out.append(F.transform(F.array_sort(F.collect_list(item), order), lambda i: i["v"]).alias(name))
+                values = listed(F.col(f"`{name}`"), x)
+                after.append(lenient(lambda s=s, values=values: compile_expression(self.custom[s], rows, {"values": values}, self.now)).column.alias(name))
+            else:
+                out.append(F.lit(None).cast("string").alias(name))
+                after.append(F.col(f"`{name}`"))
+        return rows.agg(*out).select(*after)
+
+    def _group_key(self, frame: DataFrame) -> Column:
+        x = self._value(self.group_by or "null", frame)
+        return F.coalesce(x.column if x.kind == "string" else x.column.cast("string") if x.kind in ("number", "boolean", "null") else F.to_json(x.column) if x.kind != "date" else F.date_format(x.column, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("null"))
+
+    def grouped(self, frame: DataFrame, tie: str = "path") -> DataFrame:
+        """The rows with ``key`` in front, in the order of the keys and then of the view; no group is brought together."""
+        rows = self.rows(frame, tie)
+        rows = rows.select(self._group_key(rows).alias("key"), "*")
+        key = F.desc("key") if self.group_descending else F.asc("key")
+        return rows.orderBy(key, *(c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in self._keys(rows)), tie)
 
     def groups(self, frame: DataFrame, tie: str = "path") -> DataFrame:
+        """(key, n, rows): the groups in the order of their keys, their rows in the order of the view.
+
+        ``rows`` is one value a group, so the view needs a limit; ``grouped`` has the same rows
+        without one, and ``counts`` their number.
+        """
+        if self.limit is None:
+            raise ValueError("groups with their rows need a limit; use grouped() or counts()")
+        rows = self.rows(frame, tie)
+        keys = self._keys(rows)
+        row = F.struct(*(self._value(c, rows).column.alias(c) for c in self.order or rows.columns))
+        item = F.struct(*(c.alias(f"k{k}") for k, (c, _) in enumerate(keys)), F.col(tie).alias("tie"), row.alias("row"))
+        order = _comparison([*((f"k{k}", down) for k, (_, down) in enumerate(keys)), ("tie", False)])
+        out = rows.groupBy(self._group_key(rows).alias("key")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(item), order), lambda i: i["row"]).alias("rows"))
+        return out.orderBy(F.desc("key") if self.group_descending else F.asc("key"))
+
+    def counts(self, frame: DataFrame, tie: str = "path") -> DataFrame:
         """(key, n): the groups in the order of their keys."""
         rows = self.rows(frame, tie)
-        return rows.groupBy(F.col(self.group_by).cast("string").alias("key")).agg(F.count("*").alias("n")).orderBy("key")
+        return rows.groupBy(self._group_key(rows).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("key") if self.group_descending else F.asc("key"))
+
 
+#: Words that begin a clause; of two words for groups.
+_CLAUSES = ("FROM", "WHERE", "SORT", "LIMIT", "FLATTEN", "GROUP")
 
-_CLAUSE = re.compile(r"\s+(FROM|WHERE|SORT|LIMIT|GROUP\s+BY|FLATTEN)\s+", re.I)
+
+def _pieces(source: str) -> tuple[str, list[tuple[str, str]]]:
+    """What stands before the first clause, and (name, text) of each; words inside quotes and brackets begin none."""
+    words = re.findall(r"\"(?:\\.|[^\"])*\"|'(?:\\.|[^'])*'|[()\[\]{}]|[^\s\"'()\[\]{}]+|\s+|[\"']", source.strip())
+    head, out, depth = "", [], 0
+    for k, word in enumerate(words):
+        depth += (word in "([{") - (word in ")]}") if len(word) == 1 else 0
+        following = next((w for w in words[k + 1 :] if w.strip()), "")
+        alone = (k == 0 or not words[k - 1].strip()) and (k + 1 == len(words) or not words[k + 1].strip())
+        if not depth and alone and word.upper() in _CLAUSES and (word.upper() != "GROUP" or following.upper() == "BY"):
+            out.append([word.upper(), ""])
+        elif out:
+            out[-1][1] += word if word.strip() else " "
+        else:
+            head += word if word.strip() else " "
+    clauses = [(n, re.sub(r"(?i)^\s*by\s", "", t).strip() if n == "GROUP" else t.strip()) for n, t in out]
+    return head.strip(), clauses
 
 
 def _commas(text: str) -> list[str]:
@@ -115,35 +223,43 @@ def _commas(text: str) -> list[str]:
     return [*out, text[last:].strip()] if text[last:].strip() else out
 
 
-def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = None) -> DataFrame:
-    """TABLE or LIST query. FROM comes first; the other clauses run in the order they are written and may repeat.
+def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """TABLE, LIST, CALENDAR or TASK query. FROM comes first; the other clauses run in the order they are written and may repeat.
 
-    FROM takes "" for all, "prefix" of the path, or #tag for rows whose tags hold it.
+    FROM takes "" for all, "prefix" of the path, or #tag for rows whose tags hold it. TASK reads
+    ``tasks`` (path, line, ...) instead of the pages; FROM #tag finds none of them. GROUP BY gives
+    (key, rows), the rows of a group as one value; a LIMIT before it bounds them.
     """
-    parts = _CLAUSE.split(" ".join(source.split()))
-    head, clauses = parts[0], list(zip((p.upper().split()[0] for p in parts[1::2]), parts[2::2], strict=True))
-    m = re.match(r"(TABLE|LIST|TASK|CALENDAR)\s*(WITHOUT\s+ID\b)?\s*(.*)$", head, re.I)
+    head, clauses = _pieces(source)
+    m = re.match(r"(TABLE|LIST|TASK|CALENDAR)\s*(WITHOUT\s+ID\b)?\s*(.*)$", head, re.I | re.S)
     if not m:
         raise ValueError(f"a query begins with TABLE, LIST, TASK or CALENDAR, not {head!r}")
+    ties = [tie]
+    if m[1].upper() == "TASK":
+        if tasks is None:
+            raise ValueError("a TASK query needs the tasks")
+        frame, ties = tasks, [tie, "line"]
     for name, text in clauses:
         if name == "FROM":
             wanted = text.strip().strip("\"'")
             if wanted.startswith("#"):
-                frame = frame.where(F.array_contains("tags", wanted[1:]) | F.array_contains("tags", wanted))
+                tags = compile_expression("file.tags", frame) if "file" in frame.columns else compile_expression("tags", frame)
+                known = tags.kind == "list" and m[1].upper() != "TASK"
+                frame = frame.where(F.array_contains(tags.column, wanted[1:]) | F.array_contains(tags.column, wanted) if known else F.lit(False))
             elif wanted:
                 frame = frame.where(F.startswith(F.col("path"), F.lit(wanted)))
     grouped = False
     for name, text in clauses:
-        value = lambda e: compile_expression(e, frame, now=now)
+        value = lambda e: compile_expression(e, frame, now=now)  # noqa: E731, B023
         if name == "WHERE":
             frame = frame.where(truthy(value(text)))
         elif name == "SORT":
             keys = []
             for part in _commas(text):
-                e = re.sub(r"\s+(ASC|DESC)(ENDING)?$", "", part, flags=re.I)
-                c = value(e).column
+                x = value(re.sub(r"\s+(ASC|DESC)(ENDING)?$", "", part, flags=re.I))
+                c = x.column if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(x.column)
                 keys.append(c.desc_nulls_last() if re.search(r"\sDESC(ENDING)?$", part, re.I) else c.asc_nulls_last())
-            frame = frame.orderBy(*keys, "key" if grouped else tie)
+            frame = frame.orderBy(*keys, *(["_text"] if grouped else ties))
         elif name == "LIMIT":
             frame = frame.limit(int(text))
         elif name == "FLATTEN":
@@ -152,12 +268,15 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
             frame = frame.withColumn(alias or e, F.explode(x.column if x.kind == "list" else F.array(x.column)))
         elif name == "GROUP":
             key = value(text)
-            frame = frame.groupBy(key.column.alias("key")).agg(F.sort_array(F.collect_list(F.struct(tie, *(c for c in frame.columns if c != tie)))).alias("rows"))
+            as_text = F.coalesce(F.to_json(F.struct(key.column.alias("k"))), F.lit("{}"))
+            rest = [c for c in frame.columns if c not in ties and c != "_text"]
+            frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), F.sort_array(F.collect_list(F.struct(*([] if grouped else ties), *rest))).alias("rows")).orderBy("_text")
             grouped = True
-    if not m[3].strip():
-        return frame
+    shown = [c for c in frame.columns if c != "_text"]
+    if not m[3].strip() or m[1].upper() == "TASK":
+        return frame.select(*(F.col(f"`{c}`") for c in shown))
     columns = []
     for part in _commas(m[3]):
-        e, _, alias = re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I).groups()
+        e, _, alias = re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I | re.S).groups()
         columns.append(compile_expression(e, frame, now=now).column.alias((alias or e).strip("\"'")))
     return frame.select(*columns)

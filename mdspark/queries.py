@@ -180,7 +180,7 @@ def base_sort(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("base_group", "SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1")
 def base_group(spark: SparkSession, d: str) -> DataFrame:
-    return View(group_by="o_orderpriority").groups(_orders(spark, d))
+    return View(group_by="o_orderpriority").counts(_orders(spark, d))
 
 
 _PARTS = {"count": "count(*)", "sum": "round(sum(p_retailprice), 4)", "average": "round(avg(p_retailprice), 6)", "min": "min(p_retailprice)", "max": "max(p_retailprice)", "range": "round(max(p_retailprice) - min(p_retailprice), 6)", "median": "round(median(p_retailprice), 6)", "stddev": "round(stddev_pop(p_retailprice), 6)", "unique": "count(DISTINCT p_retailprice)", "filled": "count(p_retailprice)", "empty": "count(*) - count(p_retailprice)"}

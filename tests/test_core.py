@@ -48,7 +48,7 @@ def test_views(pages):
     assert names(View(filters={"and": ['tags.contains("work")', {"not": "score > 5"}]}).rows(pages)) == ["Work/beta.md"]
     rows = View(formulas={"b": "formula.a + 1", "a": "score * 2"}, sort=[("score", "desc")], limit=2, order=["path", "formula.b"]).table(pages).collect()
     assert [r["formula.b"] for r in rows] == [17.0, 11.0]
-    assert [tuple(r) for r in View(group_by="color").groups(pages).collect()] == [("blue", 2), ("red", 2)]
+    assert [tuple(r) for r in View(group_by="color").counts(pages).collect()] == [("blue", 2), ("red", 2)]
 
 
 def test_queries(pages):
