@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     Documents are linked when the Jaccard similarity of their sets of word shingles is at least
     ``percent`` hundredths, confirmed on full sets; component_id is the smallest id that links
     lead to, kept marks that document. Null and empty texts have no shingles and no links. Rows
-    that repeat an id repeat its result; a null id stands alone and is kept. An empty table gives
-    an empty table; other columns play no part.
+    that repeat an id repeat its result; if their texts differ, they are one document, compared by
+    the least of its sets in byte order. A null id stands alone and is kept. Texts of any length
+    are read whole. An empty table gives an empty table; other columns play no part.
 
     Equal sets count as one class, so a group of copies is pre-aggregated to one row. Classes
     that share a band are compared first with the smallest of the band; what that leaves in
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     wanted = crowded.select("id").distinct()
-    sets = ws.write(_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "sets")
+    sets = ws.write(_sets(texts.join(wanted, "id", "left_semi"), words).groupBy("id").agg(F.min("elements").alias("elements")), "sets")
     first = crowded.where((F.col("id") != F.col("a")) & _sizes_fit(F.col("n"), F.col("na"), percent))
     tried = ws.write(first.select("a", F.col("id").alias("b")).distinct(), "tried")
     edges = ws.write(_verified(tried, sets, percent), "edges")
