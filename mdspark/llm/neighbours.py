@@ -24,8 +24,8 @@ from mdspark.llm.common import Workspace, shuffle_partitions
 CURVES, DIMENSIONS, BITS, WINDOW = 4, 8, 7, 256
 #: Vectors in a block of the widened search at least, and blocks at most: their cones are broadcast.
 BLOCK, MAX_BLOCKS = 1024, 1 << 16
-#: Queries that meet a block at once, and numbers that are scored exactly at once.
-QUERIES, EXACT = 2048, 1 << 20
+#: Queries that meet a block at once, those in one task's group at most, and numbers that are scored exactly at once.
+QUERIES, ASKED, EXACT = 2048, 1 << 16, 1 << 20
 #: What the angle of a cone may lack by rounding: the arc cosine of nearly 1 is good to half of the digits.
 ANGLE = 1e-7
 
@@ -125,14 +125,19 @@ def _placed(ws: Workspace, keyed: DataFrame, size: Column) -> DataFrame:
     return placed.withColumn("block", F.floor((F.col("at") + F.col("offset")) / size).cast("long"))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", exact: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine for each row whose id meets ``queries``, a condition on column id.
 
     Ties go to the smaller id; a query is no candidate of its own, its copies are. Rows whose id
     or vector is null, zero, or holds null or non-finite components take no part, and neither do
     vectors of another dimension than most rows have. Equal vectors are searched once: k + 1 of
-    their smallest ids are all that any query can return. Rows that repeat an id count once. An
-    empty table gives an empty table; fewer candidates than k give all of them.
+    their smallest ids are all that any query can return. Rows that repeat an id count once, once
+    for each of its vectors if these differ. An empty table gives an empty table; fewer candidates
+    than k give all of them. Other columns are not read.
+
+    Without ``exact`` the result is what the windows find: work in proportion to the rows, for
+    vectors that have some structure. With it the search goes on over all blocks that the bounds
+    leave, which for vectors without structure is all of them.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "neighbours")
@@ -180,6 +185,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     kth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
     bound = others.withColumn("nth", kth).where(F.col("nth") == k).select("q", F.col("score").alias("bound"))
 
+    if not exact:
+        return _ranked(found.withColumn("nth", kth).where(F.col("nth") <= keep).select("q", "c", "score"), classes, asked, sought, k)
     size = max(BLOCK, -(-n // MAX_BLOCKS))
     blocks = placed.where("curve = 0").select("c", "vec", F.floor((F.col("at") + F.col("offset")) / size).cast("long").alias("block"))
 
@@ -203,10 +210,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(numbers[at])], ["q", "vec", "block"])
 
     wide = sought.join(bound, "q", "left").select("q", "vec", "bound").mapInArrow(widen, "q long, vec array<double>, block long")
-    more = blocks.groupBy("block").cogroup(wide.groupBy("block")).applyInArrow(window, _FOUND)
+    # a group has a block and at most about ASKED of the queries that meet it
+    slices = -(-sought.count() // ASKED)
+    wide = wide.withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(max(1, slices)).cast("long")))
+    whole = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, slices - 1)).cast("long"))))
+    more = whole.groupBy("block", "slice").cogroup(wide.groupBy("block", "slice")).applyInArrow(window, _FOUND)
     merged = found.unionByName(more).groupBy("q", "c").agg(F.max("score").alias("score"))
     merged = merged.withColumn("nth", kth).where(F.col("nth") <= keep).select("q", "c", "score")
+    return _ranked(merged, classes, asked, sought, k)
+
 
+def _ranked(merged: DataFrame, classes: DataFrame, asked: DataFrame, sought: DataFrame, k: int) -> DataFrame:
+    """The k nearest ids of each query from its nearest classes."""
     scored = merged.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     scored = scored.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= k + 1).drop("nth")
