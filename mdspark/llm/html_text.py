@@ -30,7 +30,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead breadcrumb breadcrumbs cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer complementary contentinfo search form skip".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: The end of a tag, beyond quoted values.
+_TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 #: Attributes in order, so that no value is read as a name.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -50,6 +52,35 @@ def _mark(tag: str, attributes: str) -> str | None:
     return found
 
 
+class _Tags:
+    """Comments, declarations and tags of a page in order, in one pass.
+
+    A tag with a quote that nothing closes ends at the next ``>``; from there on quotes are not
+    heeded, so that no part of the page is searched twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.broken = page, False
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, / of an end tag, name, attributes) of the next one from ``at``; no name for what is no tag."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), start):
+                comment = page.startswith("<!--", start)
+                end = page.find("-->" if comment else ">", start + 2 + 2 * comment)
+                return start, len(page) if end < 0 else end + (3 if comment else 1), "", "", ""
+            if name := _NAME.match(page, start):
+                end = None if self.broken else _TAG_END.match(page, name.end())
+                stop = end.end() if end else page.find(">", name.end()) + 1
+                if not stop:
+                    return None
+                self.broken = self.broken or not end
+                return start, stop, name[1], name[2].lower(), page[name.end() : stop - 1]
+            at = start + 1
+        return None
+
+
 def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
     """(text, characters of links in it, number of the outermost article or main around it, else 0, innermost mark around it) of each line; dropped parts give empty lines.
 
@@ -74,17 +105,16 @@ def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
             add(joined)
         linked = 0
 
-    size = len(page)
+    size, tags = len(page), _Tags(page)
     while at < size:
-        found = _TOKEN.search(page, at)
-        if not dropped and (plain := page[at : found.start() if found else size]):
+        found = tags.next(at)
+        if not dropped and (plain := page[at : found[0] if found else size]):
             plain = html.unescape(plain)
             text.append(plain)
             linked += len(plain) if anchor else 0
         if not found:
             break
-        at = found.end()
-        closing, tag, attributes = found[1], (found[2] or "").lower(), found[3] or ""
+        _, at, closing, tag, attributes = found
         if not tag:
             continue
         begins = tag in ("article", "main") and not closing and not article and (not (mark := _mark(tag, attributes)) or (tag == "main" and mark != "hidden"))
@@ -217,8 +247,9 @@ def main_text(page: str) -> str:
 def extract_main_text(df: DataFrame, column: str = "html", to: str = "text") -> DataFrame:
     """``df`` with the main text of each page in column ``to`` (which replaces a column so named).
 
-    Null and empty pages, and pages without such text, give an empty text. Whole pages are read;
-    nothing is cut or capped. Each row by itself: no shuffle.
+    Null and empty pages, and pages without such text, give an empty text. Whole pages are read,
+    in time that grows with their length; nothing is cut or capped. Each row by itself: no
+    shuffle, rows that repeat repeat their text, other columns stay as they are.
     """
     small_arrow_batches(df.sparkSession)
 
