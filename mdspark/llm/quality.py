@@ -135,7 +135,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> FactorisationMachine:
     """Fits to at most ``max_rows`` labelled rows outside the held-out fold, chosen by a hash of the id.
 
-    Labels other than 0 and 1 are left out; of several labels of a document the largest counts.
+    Labels other than 0 and 1 are left out; of several labels of a document the largest counts, of
+    several texts of an id the least in order. Rows without an id are not learnt from.
     The chosen ids (bounded by max_rows) are broadcast; what comes to the driver is their
     features, not their texts.
     """
@@ -143,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> F
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # one text for each id, however often rows repeat it
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> F
 def score_quality(df: DataFrame, model: FactorisationMachine, text: str = "text", to: str = "score") -> DataFrame:
     """``df`` with the score of each whole text, 0 to 1, in column ``to`` (which replaces a column so named).
 
-    Null and empty texts have a score of their own like any other. No shuffle; the model, of a
-    fixed size, is broadcast.
+    Null and empty texts have a score of their own like any other, and texts of any length are read
+    whole. Rows that repeat are scored alike; an empty table gives an empty table. No shuffle; the
+    model, of a fixed size, is broadcast.
     """
     small_arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +183,11 @@ def score_quality(df: DataFrame, model: FactorisationMachine, text: str = "text"
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score, predicted (1 if score >= threshold) and held_out."""
+    """``docs`` with score, predicted (1 if score >= threshold) and held_out, which replace columns so named.
+
+    held_out is false for a null id. Without labels every score is 0.5. An empty table gives an
+    empty table; rows that repeat an id each have their own score.
+    """
     scored = score_quality(docs, train(docs, labels))
     predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
     return scored.withColumn("predicted", predicted).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
