@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.llm.common import small_arrow_batches
+from mdspark.llm.common import Workspace, small_arrow_batches
 
 #: BM25 constants; the least score; the least share of n-grams of the question and of the answer; words of an n-gram.
 K1, B, THRESHOLD, OVERLAP, GRAM = 1.2, 0.75, 0.6, 0.6, 3
@@ -26,7 +26,9 @@ STRIDE, PART = 128, 128
 #: Items shorter than this have too few n-grams for a share: all their words must be there in a row.
 SHORT = 5
 #: Postings in a block; bytes of items in one index, which is broadcast. More items are searched in several passes.
-BLOCK, MAX_INDEX_BYTES = 16, 64 << 20
+BLOCK, MAX_INDEX_BYTES = 16, 16 << 20
+#: Terms whose postings a task keeps as lists, for the search.
+ROWS = 1 << 14
 #: Scripts without spaces between words: Han, kana, Thai, Lao, Myanmar, Khmer. Each character is a word.
 UNSEGMENTED = (
     "\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3041-\u3096\u3099\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
@@ -57,10 +59,22 @@ def _grams(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
+def parts_of(text: str) -> list[list[str]]:
+    """The parts of PART words or fewer in which an item is looked for; none of an item that is short."""
+    w = words(text)
+    n = math.ceil(len(w) / PART) if len(w) >= SHORT else 0
+    return [w[k * len(w) // n : (k + 1) * len(w) // n] for k in range(n)]
+
+
 class ItemIndex:
-    """Postings by term, in blocks of BLOCK parts with the largest impact of each block; short items by their first word."""
+    """Postings by term, in blocks of BLOCK parts with the largest impact of each block; short items by their first word.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``statistics`` has the number of parts, their mean length and the number of parts of each term
+    over all items, also those of other indexes, so that a score is the same in all of them.
+    Postings are flat arrays: a term's part of them begins at ``starts`` of its number.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], statistics: tuple[int, float, dict[str, int]] | None = None):
         self.parts: list[int] = []
         self.items: list[tuple[int, list[str], list[str]]] = []
         self.short: dict[str, list[tuple[int, list[str]]]] = {}
@@ -72,42 +86,50 @@ class ItemIndex:
                     self.short.setdefault(w[0], []).append((item, w))
                 continue
             self.items.append((item, *question_and_answer(text)))
-            n = math.ceil(len(w) / PART)
-            for k in range(n):
+            for part in parts_of(text):
                 self.parts.append(len(self.items) - 1)
-                texts.append(w[k * len(w) // n : (k + 1) * len(w) // n])
-        df = Counter(t for w in texts for t in set(w))
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+                texts.append(part)
+        own = Counter(t for w in texts for t in set(w))
+        self.terms = {t: k for k, t in enumerate(sorted(own))}
+        n, mean, df = statistics or (len(texts), sum(map(len, texts)) / max(1, len(texts)), own)
+        idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.terms])
+        rows = []
         for part, w in enumerate(texts):
-            weights = {}
-            for t, f in Counter(w).items():
-                idf = math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5))
-                weights[self.terms[t]] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
-            whole = sum(weights.values())
-            for t, x in weights.items():
-                postings[t].append((part, x / whole))
-        self.docs = [[p for p, _ in row] for row in postings]
-        self.impacts = [[x for _, x in row] for row in postings]
-        self.tops = [max(row) for row in self.impacts]
-        self.block_tops = [[max(row[k : k + BLOCK]) for k in range(0, len(row), BLOCK)] for row in self.impacts]
-        self.block_ends = [[row[min(k + BLOCK, len(row)) - 1] for k in range(0, len(row), BLOCK)] for row in self.docs]
+            counts = Counter(w)
+            terms = np.array([self.terms[t] for t in counts], np.int64)
+            f = np.array(list(counts.values()), float)
+            weights = idf[terms] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
+            rows.append((terms, np.full(len(terms), part, np.int64), weights / weights.sum()))
+        terms, docs, impacts = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        order = np.lexsort((docs, terms))
+        self.flat_docs, self.flat_impacts = docs[order].astype(np.int32), impacts[order]
+        self.starts = np.searchsorted(terms[order], np.arange(len(self.terms) + 1))
+        self.tops = np.maximum.reduceat(self.flat_impacts, self.starts[:-1]) if len(self.terms) else np.empty(0)
         # Rare terms first: what the other terms can add to a part is less than half the threshold,
         # so a part over the threshold has at least the rest of it from rare terms.
+        sizes = np.diff(self.starts)
         self.common = np.zeros(len(self.terms), bool)
         slack = np.full(len(texts), THRESHOLD / 2)
-        for t in sorted(range(len(self.terms)), key=lambda t: (-len(self.docs[t]), t)):
-            if len(self.docs[t]) > 1 and all(slack[p] > x for p, x in zip(self.docs[t], self.impacts[t], strict=True)):
+        for t in np.lexsort((np.arange(len(sizes)), -sizes)).tolist():
+            at = slice(self.starts[t], self.starts[t + 1])
+            if sizes[t] > 1 and (slack[self.flat_docs[at]] > self.flat_impacts[at]).all():
                 self.common[t] = True
-                slack[self.docs[t]] -= self.impacts[t]
+                slack[self.flat_docs[at]] -= self.flat_impacts[at]
         self.need = THRESHOLD / 2 + slack - 1e-9
-        rare = [t for t in range(len(self.terms)) if not self.common[t]]
-        sizes = np.zeros(len(self.terms) + 1, np.int64)
-        sizes[np.array(rare, np.int64) + 1] = [len(self.docs[t]) for t in rare]
-        self.rare_at = np.cumsum(sizes)
-        self.rare_parts = np.array([p for t in rare for p in self.docs[t]], np.int64)
-        self.rare_impacts = np.array([x for t in rare for x in self.impacts[t]])
+        rare = np.repeat(~self.common, sizes)
+        self.rare_at = np.concatenate(([0], np.cumsum(np.where(self.common, 0, sizes))))
+        self.rare_parts, self.rare_impacts = self.flat_docs[rare].astype(np.int64), self.flat_impacts[rare]
+        self._rows: dict[int, tuple] = {}
+
+    def row(self, t: int) -> tuple[list[int], list[float], list[float], list[int]]:
+        """Parts and impacts of a term, and the largest impact and the last part of each block; kept for the terms that searches have met."""
+        if t not in self._rows:
+            docs, impacts = (x[self.starts[t] : self.starts[t + 1]] for x in (self.flat_docs, self.flat_impacts))
+            begins = np.arange(0, len(docs), BLOCK)
+            if len(self._rows) >= ROWS:
+                self._rows.clear()
+            self._rows[t] = docs.tolist(), impacts.tolist(), np.maximum.reduceat(impacts, begins).tolist(), docs[np.minimum(begins + BLOCK, len(docs)) - 1].tolist()
+        return self._rows[t]
 
     def promising(self, terms: np.ndarray, passages: np.ndarray) -> np.ndarray:
         """Passages in which the rare terms alone give some part what it needs from them.
@@ -128,7 +150,8 @@ class ItemIndex:
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Every (part, score) with at least ``threshold`` for distinct terms, by block-max WAND."""
-        cursors = sorted((self.docs[t][0], t, 0) for t in terms)
+        rows = {t: self.row(t) for t in terms}
+        cursors = sorted((rows[t][0][0], t, 0) for t in terms)
         out = []
         while cursors:
             bound, pivot = 0.0, None
@@ -145,21 +168,21 @@ class ItemIndex:
             blocks, bound, next_start = [], 0.0, None
             for _, t, at in cursors[: pivot + 1]:
                 block = at // BLOCK
-                ends = self.block_ends[t]
+                ends = rows[t][3]
                 while block < len(ends) and ends[block] < part:
                     block += 1
                 if block < len(ends):
-                    bound += self.block_tops[t][block]
+                    bound += rows[t][2][block]
                     next_start = min(next_start, ends[block] + 1) if next_start is not None else ends[block] + 1
                 blocks.append(block)
             if bound >= threshold - 1e-9:
                 score, target = 0.0, part + 1
                 for _, t, at in cursors[: pivot + 1]:
-                    row = self.docs[t]
+                    row = rows[t][0]
                     while at < len(row) and row[at] < part:
                         at += 1
                     if at < len(row) and row[at] == part:
-                        score += self.impacts[t][at]
+                        score += rows[t][1][at]
                 if score >= threshold - 1e-9:
                     out.append((part, score))
             else:
@@ -168,7 +191,7 @@ class ItemIndex:
                     target = min(target, max(cursors[pivot + 1][0], part + 1))
             moved = []
             for k, (_, t, at) in enumerate(cursors[: pivot + 1]):
-                row, ends = self.docs[t], self.block_ends[t]
+                row, ends = rows[t][0], rows[t][3]
                 block = blocks[k]
                 while block < len(ends) and ends[block] < target:
                     block += 1
@@ -243,7 +266,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     once; an empty table on either side gives an empty table.
 
     The index is broadcast; its size is checked, and more items are searched in passes over the
-    documents. Documents are mapped where they are read; only confirmed pairs are shuffled.
+    documents, with the statistics of all items in each, so that no score depends on the number of
+    passes. Texts of any length are searched whole. Documents are mapped where they are read; only confirmed pairs are shuffled.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
@@ -252,9 +276,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // MAX_INDEX_BYTES)
     out = spark.createDataFrame([], schema)
+    known = _statistics(items) if passes > 1 else None
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
-        index = ItemIndex(sorted((r.item_id, r.text) for r in part))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        index = ItemIndex(sorted((r.item_id, r.text) for r in part), known and _of_terms(known, [r.text for r in part]))
         if not index.parts and not index.short:
             continue
         out = out.unionByName(_map_leaks(docs.select(F.col(key).cast("long").alias("doc_id"), text), spark.sparkContext.broadcast(index), schema))
@@ -262,6 +287,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return best.agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
+def _statistics(items: DataFrame) -> DataFrame:
+    """(term, parts, words): how many parts of items have a term; for the term '' the number of all parts, and of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df: Counter = Counter()
+            length = 0
+            for text in batch.column(0).to_pylist():
+                for part in parts_of(text):
+                    df.update({"", *part})
+                    length += len(part)
+            sizes = [length if t == "" else 0 for t in df]
+            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array(sizes, pa.int64())], ["term", "parts", "words"])
+
+    counted = items.select("text").mapInArrow(run, "term string, parts long, words long")
+    return Workspace(items.sparkSession, "decontamination").write(counted.groupBy("term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words")), "statistics")
+
+
+def _of_terms(known: DataFrame, texts: list[str]) -> tuple[int, float, dict[str, int]]:
+    """The statistics of the terms of one index, whose size is bounded."""
+    terms = {t for text in texts for t in words(text)} | {""}
+    wanted = known.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    found = {r.term: r for r in known.join(F.broadcast(wanted), "term").collect()}
+    if "" not in found:
+        return 0, 1.0, {}
+    return found[""].parts, found[""].words / found[""].parts, {t: r.parts for t, r in found.items()}
+
+
 def _map_leaks(docs: DataFrame, shared, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
