@@ -10,6 +10,8 @@ mark what else stands in them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +62,22 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(12, 19) & _luhn(m) if kind == "card" else n.between(9, 15)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; an expression that a function of arrays holds is computed for each item."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _running(lengths: Column) -> Column:
     """The sum up to each element, chunk by chunk: the time is that of the chunks, not of the square of all."""
-    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(CHUNK))
     total = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, F.lit(-1)) + x))
-    inside = F.transform(starts, lambda at: F.aggregate(F.slice(lengths, at, F.lit(CHUNK)), F.array(F.lit(0)), total))
-    before = F.aggregate(F.transform(inside, lambda sums: F.element_at(sums, F.lit(-1))), F.array(F.lit(0)), total)
-    shifted = F.zip_with(inside, F.slice(before, F.lit(1), F.size(before) - 1), lambda sums, at: F.transform(F.slice(sums, F.lit(2), F.size(sums) - 1), lambda x: x + at))
-    return F.flatten(shifted)
+
+    def shifted(inside: Column) -> Column:
+        before = F.aggregate(F.transform(inside, lambda sums: F.element_at(sums, F.lit(-1))), F.array(F.lit(0)), total)
+        add = lambda sums, at: F.transform(F.slice(sums, F.lit(2), F.size(sums) - 1), lambda x: x + at)
+        return F.flatten(F.zip_with(inside, F.slice(before, F.lit(1), F.size(inside)), add))
+
+    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(CHUNK))
+    return _let(F.transform(starts, lambda at: F.aggregate(F.slice(lengths, at, F.lit(CHUNK)), F.array(F.lit(0)), total)), shifted)
 
 
 def _matches(text: Column, form: str) -> Column:
@@ -77,25 +87,27 @@ def _matches(text: Column, form: str) -> Column:
     ``before`` and ``after`` are the lower-cased words next to the match, beyond white space;
     a word ends where another match of the same form ends. Empty where there is none.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    n = F.size(values)
     none = F.expr("cast(array() as array<struct<start: int, stop: int, value: string, before: string, after: string>>)")
     empty = F.array(F.lit(""))
-    pairs = F.arrays_zip(
-        values.alias("m"),
-        F.slice(gaps, F.lit(1), n).alias("g"),
-        F.concat(empty, F.slice(values, F.lit(1), n - 1)).alias("last"),
-        F.slice(gaps, F.lit(2), n).alias("rest"),
-        F.concat(F.slice(values, F.lit(2), n), empty).alias("next"),
-    )
-    stops = _running(F.transform(pairs, lambda x: F.char_length(x["g"]) + F.char_length(x["m"])))
 
     def one(x: Column, stop: Column) -> Column:
         before = F.lower(F.regexp_extract(F.concat(x["last"], x["g"]), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
         after = F.lower(F.regexp_extract(F.concat(x["rest"], x["next"]), r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1))
         return F.struct((stop - F.char_length(x["m"])).alias("start"), stop.alias("stop"), x["m"].alias("value"), before.alias("before"), after.alias("after"))
 
-    return F.when(n == 0, none).otherwise(F.zip_with(pairs, stops, one))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: F.char_length(x["g"]) + F.char_length(x["m"]))
+        return F.zip_with(pairs, _let(lengths, _running), one)
+
+    def paired(values: Column) -> Column:
+        n = F.size(values)
+        between = lambda gaps: F.arrays_zip(
+            values.alias("m"), F.slice(gaps, F.lit(1), n).alias("g"), F.concat(empty, F.slice(values, F.lit(1), n - 1)).alias("last"),
+            F.slice(gaps, F.lit(2), n).alias("rest"), F.concat(F.slice(values, F.lit(2), n), empty).alias("next"),
+        )
+        return F.when(n == 0, none).otherwise(_let(_let(F.split(text, form, -1), between), placed))
+
+    return _let(F.regexp_extract_all(text, F.lit(form), F.lit(0)), paired)
 
 
 def _base(text: Column, kind: str, order: int) -> Column:
