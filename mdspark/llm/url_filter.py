@@ -94,13 +94,14 @@ def filter_urls(
         raise ValueError("the rule list is too large to broadcast")
     small_arrow_batches(df.sparkSession)
     trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules))
-    df = df.drop("host", "path", "rule", "verdict")
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)")).otherwise("")
-    parts = df.withColumn("_rest", rest)
-    host = F.regexp_extract("_rest", r"^([^/?#]*)", 1)
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    given = F.col(f"`{url}`")
+    rest = F.when(F.instr(given, "://") > 0, F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)")).otherwise("")
+    # other columns travel as one, so that no name of theirs is in the way
+    parts = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), rest.alias("rest"))
+    host = F.regexp_extract("rest", r"^([^/?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    parts = parts.withColumn("host", lower).withColumn("path", path).drop("_rest")
+    parts = parts.select("row", lower.alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
     @F.arrow_udf("struct<rule string, verdict string>")
     def judge(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -112,4 +113,5 @@ def filter_urls(
                 ["rule", "verdict"],
             )
 
-    return parts.withColumn("_j", judge("host", "path")).select("*", "_j.rule", "_j.verdict").drop("_j")
+    judged = parts.withColumn("judged", judge("host", "path"))
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in kept), "host", "path", "judged.rule", "judged.verdict")
