@@ -309,7 +309,7 @@ def test_block_max_wand_loses_nothing():
         for threshold in (0.05, 0.2, 0.5):
             scores = np.zeros(len(index.parts))
             for t in terms:
-                scores[index.docs[t]] += index.impacts[t]
+                scores[index.row(t)[0]] += index.row(t)[1]
             assert sorted(p for p, _ in index.search(terms, threshold)) == np.flatnonzero(scores >= threshold - 1e-9).tolist()
 
 
@@ -369,3 +369,147 @@ def test_language_model(docs, empty, order, block):
     for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
         assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and (w[3] is None or np.isclose(g[3], w[3]))
     assert language_model.backoff_scores(empty, order=order).count() == 0
+
+
+def test_leaks_by_brute_force(spark, monkeypatch):
+    """Every passage against every item, with the scores written out; and the same in several passes."""
+    rng = np.random.default_rng(41)
+    vocabulary = [f"t{k}" for k in range(120)]
+    make = lambda n: " ".join(rng.choice(vocabulary, n, p=WEIGHTS))
+    WEIGHTS = 1 / np.arange(1, 121)
+    WEIGHTS /= WEIGHTS.sum()
+    items = [(k, make(int(rng.integers(5, 160))) + ("? " + make(12) if k % 3 == 0 else "")) for k in range(40)]
+    docs = []
+    for k in range(60):
+        item = decontamination.words(items[int(rng.integers(0, 40))][1])
+        kept = [w for w in item if rng.random() > 0.08 * (k % 6)]
+        docs.append((k, make(int(rng.integers(0, 300))) + " " + " ".join(kept) + " " + make(int(rng.integers(0, 300)))))
+    parts = [(n, p) for n, (_, t) in enumerate(items) for p in decontamination.parts_of(t)]
+    df = Counter(w for _, p in parts for w in set(p))
+    mean = sum(len(p) for _, p in parts) / len(parts)
+    weight = lambda w, p: np.log(1 + (len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * p.count(w) * 2.2 / (p.count(w) + 1.2 * (0.25 + 0.75 * len(p) / mean))
+    weights = [{w: weight(w, p) for w in set(p)} for _, p in parts]
+    size, want = decontamination.STRIDE, set()
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    for i, text in docs:
+        w = text.split()
+        for begin in range(-size, len(w), size):
+            here = set(w[max(0, begin) : begin + 2 * size])
+            for (n, _), values in zip(parts, weights, strict=True):
+                if sum(x for t, x in values.items() if t in here) < 0.6 * sum(values.values()):
+                    continue
+                sides = [s for s in decontamination.question_and_answer(items[n][1]) if s]
+                reach = max(0, sum(map(len, sides)) - size)
+                near = w[max(0, max(0, begin) - reach) : max(0, begin) + 2 * size + reach]
+                if all(len(grams(s, min(3, len(s))) & grams(near, min(3, len(s)))) >= 0.6 * len(grams(s, min(3, len(s)))) for s in sides):
+                    want.add((i, items[n][0]))
+    assert len(want) > 20
+    frames = [spark.createDataFrame(x, f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id"))]
+    once = sorted(tuple(r) for r in decontamination.find_leaks(*frames).collect())
+    assert {r[:2] for r in once} == want
+    monkeypatch.setattr(decontamination, "MAX_INDEX_BYTES", 6000)
+    again = sorted(tuple(r) for r in decontamination.find_leaks(*frames).collect())
+    assert [r[:2] for r in again] == [r[:2] for r in once] and np.allclose([r[2:] for r in again], [r[2:] for r in once])
+
+
+def made_page(rng, article):
+    """A page and its text: paragraphs between menus, boxes, notices, a form and comments."""
+    some = lambda a, b: " ".join(f"{w}" for w in rng.choice(["river", "stone", "of", "the", "and", "lamp", "wind", "house", "a", "green", "walk"], int(rng.integers(a, b)))) + "."
+    links = lambda n: "".join(f'<li><a href="/{k}">{some(1, 4)}</a></li>' for k in range(n))
+    blocks = [some(25, 80) for _ in range(int(rng.integers(3, 9)))]
+    body = "\n".join(f"<p>{b.replace(' and ', ' <b>and</b> ')}</p>" for b in blocks)
+    tag = "article" if article else "div"
+    parts = [
+        f"<header><h1>Site</h1><nav><ul>{links(6)}</ul></nav></header>", f'<div class="cookie-notice">{some(12, 25)}</div>', f'<div class="sidebar"><ul>{links(8)}</ul><p>{some(8, 20)}</p></div>',
+        f'<{tag} class="post has-sidebar">{body}</{tag}>', f'<form><label>{some(2, 5)}</label><input name="q"></form>', f'<div class="advert">{some(10, 20)}</div>',
+        f'<section class="comments"><div class="comment">{some(10, 25)}</div><div class="comment">{some(10, 25)}</div></section>', f"<footer><p>{some(6, 12)}</p></footer>",
+    ]
+    return f"<!DOCTYPE html><html><head><title>t</title><script>var x = '<p>no</p>';</script></head><body><!-- c -->{''.join(parts)}</body></html>", "\n".join(blocks)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_html_against_made_pages(article):
+    rng = np.random.default_rng(17)
+    good = got_words = want_words = 0
+    for _ in range(80):
+        page, want = made_page(rng, article)
+        got = html_text.main_text(page)
+        both = sum((Counter(got.split()) & Counter(want.split())).values())
+        good, got_words, want_words = good + both, got_words + len(got.split()), want_words + len(want.split())
+    assert good / got_words > 0.97 and good / want_words > 0.97
+
+
+def test_html_odd_pages_take_time_in_proportion():
+    import time
+
+    assert html_text.main_text('<p title="x>' + "y " * 60 + "</p><p>" + "z " * 60 + "</p>").count("z") == 60
+    for page in ('<p title="x>y</p><b c=\'d>' * 30000, "<" * 200000, "<a b='" * 60000, "<!-- " * 60000, "<script>" * 30000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_private_data_learned_spans_are_right(spark):
+    """Identifiers of a form that no base pattern knows, in contexts that seeds share; and words of the same form elsewhere."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 300)}"
+    rows, planted = [], set()
+    for k in range(600):
+        text = " ".join(word() for _ in range(int(rng.integers(5, 30))))
+        kind = k % 4
+        if kind == 0:
+            text += f" reach: user{k}@mail.example.org thanks"
+        elif kind == 1:
+            value = f"ID-{rng.integers(10**6, 10**7)}-X"
+            start = len(text) + 8
+            text += f" reach: {value} thanks"
+            planted.add((k, start, start + len(value)))
+        elif kind == 2:
+            text += f" model K-{rng.integers(10**6, 10**7)}-Z sold"
+        rows.append((k, text))
+    spans = private_data.digest(private_data.spans_of(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    found = {(r.doc_id, int(a), int(b)) for r in spans for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "context"}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
+
+
+def test_private_data_long_texts_and_clashing_names(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"word item{k:07d}" for k in range(n))
+        df = spark.createDataFrame([(1, text, 1, "x", "y")], "doc_id long, text string, spans long, _k string, _m string")
+        began = time.perf_counter()
+        out = private_data.redact(df)
+        row = out.first()
+        assert out.columns == df.columns and row.spans == 1 and row._k == "x" and row._m == "y" and row.text == text
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(20000) < 20
+
+
+def test_urls_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([("http://a.com/x", 1, 2, 3, "h")] * 2 + [(None, 1, 2, 3, "h")], "url string, _rest long, _j long, row long, host string")
+    out = url_filter.filter_urls(df)
+    assert [(r._rest, r._j, r.row, r.host) for r in out.collect()] == [(1, 2, 3, "a.com")] * 2 + [(1, 2, 3, "")]
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_windows_alone_find_neighbours_that_have_structure(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (60, 16))
+    vectors = [(k, (centres[k % 60] + rng.normal(0, 0.15, 16)).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    exact = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 50 == 0).collect()}
+    near = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 50 == 0, exact=False).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_repeated_ids_with_other_texts(spark, empty):
+    rows = [(1, prose(90, 60)), (1, prose(91, 60)), (2, prose(90, 60)), (3, prose(92, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect())
+    assert first == sorted(tuple(r) for r in near_dedup.near_duplicates(df.orderBy("text")).collect())
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(df, labels).count() == 4
+    assert quality.classify(empty.select("doc_id", "text"), labels).count() == 0
