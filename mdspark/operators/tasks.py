@@ -133,7 +133,8 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
     if note_links:
         both = F.array_distinct(F.concat(in_properties, in_body))
         note += [in_properties.alias("outlinks_in_properties"), in_body.alias("outlinks_in_body"), both.alias("outlinks")]
-    lines = notes.select("path", start.alias("_s"), F.struct(*note).alias("file"), F.posexplode(F.split("body", "\n")).alias("_i", "_l"))
+    whole = notes.select("path", start.alias("_s"), F.struct(*note).alias("file"), F.split("body", "\n").alias("_lines"))
+    lines = whole.select("path", "_s", "file", F.posexplode("_lines").alias("_i", "_l"))
     lines = lines.withColumn("_l", F.regexp_replace("_l", r"^(?:\s*>\s?)+", ""))
     head = F.when(F.col("_l").rlike(r"^#{1,6}\s+\S"), F.regexp_replace("_l", r"^#{1,6}\s+|\s*#*\s*$", ""))
     lines = lines.select("path", "file", (F.col("_s") + F.col("_i")).alias("line"), "_l", head.alias("_h"))
