@@ -156,11 +156,16 @@ class Engine:
         return graph.neighbourhood(self.links_table(), self._path(note), depth)
 
 
+def native_notes(source: str, notes: DataFrame) -> DataFrame:
+    """(path, title) of notes with properties that fit, by path; a title among the properties that is a text is shown before the note's."""
+    notes = notes.where("frontmatter_json IS NOT NULL")
+    own = F.try_variant_get(F.try_parse_json("frontmatter_json"), "$.title", "variant")
+    own = F.when(F.schema_of_variant(own) == "STRING", own.try_cast("string"))
+    return notes.where(compile_filter(source, notes)).select("path", F.coalesce(own, "title").alias("title")).orderBy("path")
+
+
 def _native(engine: Engine, source: str) -> Result:
-    """Notes with properties that fit; a title among the properties is shown before the file's."""
-    notes = engine._index.table("notes").where("frontmatter_json IS NOT NULL")
-    own = F.try_variant_get(F.try_parse_json("frontmatter_json"), "$.title", "string")
-    return Result(notes.where(compile_filter(source, notes)).select("path", F.coalesce(own, "title").alias("title")).orderBy("path"))
+    return Result(native_notes(source, engine._index.table("notes")))
 
 
 def _tasks(engine: Engine, source: str) -> Result:

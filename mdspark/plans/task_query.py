@@ -140,7 +140,7 @@ class TaskQuery:
             text = re.sub(r"\{\{!.*?\}\}", "", self.global_query, flags=re.S) + "\n" + text
         for name, value in self.file().items():
             text = text.replace("{{query.file." + name + "}}", value)
-        out = (x.strip() for x in re.sub(r"\\\n\s*", " ", text).split("\n"))
+        out = (x.strip() for x in re.sub(r"[ \t]*\\\n\s*", " ", text).split("\n"))
         return [x for x in out if x and x[0] != "#" and x.lower() != "ignore global query" and not re.match(r"(?i)(hide|show|short|full|explain)\b", x)]
 
     def file(self) -> dict[str, str]:
