@@ -19,6 +19,8 @@ from mdspark.plans.native_filter import compile_filter
 from mdspark.plans.task_query import TaskQuery
 from mdspark.plans.views import View, query
 from mdspark.sources import vault
+from mdspark.sources.index import Index
+from mdspark.storage import default_index, fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,7 +59,20 @@ def _vector0(spark: SparkSession, d: str) -> list[float]:
     return _table(spark, d, "embeddings").where("vec_id = 0").first().embedding
 
 
-_BM25 = r"""tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
+def _index(spark: SparkSession, d: str) -> Index:
+    """The index of the documents; built once, and anew when the table has changed."""
+    out = Index(spark, default_index(spark, d))
+    chunks, state = _chunks(spark, d), fingerprint(spark, _table(spark, d, "documents"))
+    made = out.metadata()
+    if not made or made["state"] != state:
+        chunks = chunks.withColumn("content_hash", F.sha2("search_text", 256))
+        notes = chunks.select("path", "title", F.lit(7).cast("long").alias("mtime"), F.col("n_chars").alias("size"), F.when(F.col("lang") == "en", F.to_json(F.struct("lang", "source"))).alias("frontmatter_json"))
+        links = chunks.select(F.col("path").alias("source_path"), F.lit(0).alias("ordinal"), F.lit("x").alias("raw_target"), F.when(F.col("lang") == "en", F.col("path")).alias("target_path"))
+        out.build(chunks, notes, links, source=d, state=state)
+    return out
+
+
+_BM25 = r"""tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents),
 tf AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS f0, len(list_filter(t, lambda x: x = 'and')) AS f1, len(list_filter(t, lambda x: x = 'of')) AS f2 FROM tok),
 st AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM tf),
 idf AS (SELECT a, CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END AS i0, CASE WHEN ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n1 + 0.5) / (n1 + 0.5)) END AS i1,
@@ -69,13 +84,18 @@ _DOT = "vs AS (SELECT v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.
 
 @_register("bm25_topk", f"WITH {_BM25} SELECT doc_id AS chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_indexed(_index(spark, d), "the and of", 10).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@_register("bm25_without_index", f"WITH {_BM25.replace('strip_accents(lower(text))', 'lower(text)').replace('N}]', 'N}_]')} SELECT doc_id AS chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
+def bm25_without_index(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(_chunks(spark, d), "the and of", 10).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @_register("bm25_restrict_filter", f"WITH {_BM25} SELECT doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY bm.score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars > 1500")
 def bm25_restrict_filter(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = retrieval.ranked(retrieval.Pipeline(chunks, chunks).run("filter:lang = en and n_chars > 1500", "bm25:the and of"))
+    hits = retrieval.ranked(retrieval.Pipeline(chunks, chunks, index=_index(spark, d)).run("filter:lang = en and n_chars > 1500", "bm25:the and of"))
     return hits.select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -83,7 +103,7 @@ def bm25_restrict_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id AS chunk_id, round(score, 6) AS score FROM bm JOIN good USING (doc_id) UNION ALL SELECT -1, 0.0 FROM good ANTI JOIN bm USING (doc_id)""")
 def rank_then_filter_synthetic(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    return retrieval.Pipeline(chunks, chunks).run("bm25:the and of", "filter:source = src3").select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.Pipeline(chunks, chunks, index=_index(spark, d)).run("bm25:the and of", "filter:source = src3").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @_register("vector_topk", f"WITH {_DOT} SELECT vec_id AS chunk_id, round(score, 6) AS score FROM vs ORDER BY vs.score DESC, vec_id LIMIT 10")
@@ -95,7 +115,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM vs QUALIFY r <= 50), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT id AS chunk_id, round(sum(1.0 / (60 + r)), 6) AS score FROM u GROUP BY id""")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    lists = [retrieval.bm25(_chunks(spark, d), "the and of", 50), retrieval.vector_search(_vectors(spark, d), _vector0(spark, d), 50)]
+    lists = [retrieval.bm25_indexed(_index(spark, d), "the and of", 50), retrieval.vector_search(_vectors(spark, d), _vector0(spark, d), 50)]
     return retrieval.fuse([retrieval.ranked(x, limit=50) for x in lists]).select("chunk_id", F.round("score", 6).alias("score"))
 
 
