@@ -257,7 +257,8 @@ def dql_task(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- tasks ----
-_DAY = F.date_format("o_orderdate", "yyyy-MM-dd")
+def _day() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd")
 
 
 def _task_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -265,8 +266,8 @@ def _task_notes(spark: SparkSession, d: str) -> DataFrame:
     mark = F.when(F.col("o_orderstatus") == "F", "x").when(F.col("o_orderstatus") == "O", " ").otherwise("/")
     sign = F.element_at(F.array(*map(F.lit, "🔺⏫🔼🔽⏬")), F.substring("o_orderpriority", 1, 1).cast("int"))
     body = _text(
-        "# Orders ##\n- [", mark, "] #task Order ", k, " [clerk:: C", F.col("o_custkey"), "] 📅 ", _DAY, " ", sign, " 🆔 o", k, "\n",
-        "  * [", F.when(k % 2 == 1, "x").otherwise("!"), "] Part ", k, " of [[c", F.col("o_custkey"), "|customer]] 🛫 ", _DAY, " 🔁 every week 🏁 keep ⛔ o", k, " #a/b #c\n## Other\n1. [-] Drop ", k, " [due:: 2024-13-45]",
+        "# Orders ##\n- [", mark, "] #task Order ", k, " [clerk:: C", F.col("o_custkey"), "] 📅 ", _day(), " ", sign, " 🆔 o", k, "\n",
+        "  * [", F.when(k % 2 == 1, "x").otherwise("!"), "] Part ", k, " of [[c", F.col("o_custkey"), "|customer]] 🛫 ", _day(), " 🔁 every week 🏁 keep ⛔ o", k, " #a/b #c\n## Other\n1. [-] Drop ", k, " [due:: 2024-13-45]",
     )
     return _order_notes(spark, d).select("path", "title", body.alias("body"), F.to_json(F.struct(F.col("o_custkey").alias("customer"), _text("[[c", F.col("o_custkey"), "]]").alias("owner"))).alias("frontmatter_json"))
 
