@@ -67,6 +67,21 @@ def test_repeated_rows_and_null_ids(spark, corpus):
     assert left == order(r for r in rows if r[1] != leak)
 
 
+def test_stages_on_empty_tables_nulls_and_long_texts(spark, corpus):
+    folder, _ = corpus
+    empty = spark.createDataFrame([], SCHEMA)
+    odd = [(1, None), (1, None), (None, ""), (2, prose(500, 40000) + " a.b@c.de"), (3, "  ")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, folder).count() == 0
+    assert corpus_pipeline.keep_good(spark, empty, folder).count() == 0
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, folder).count() == 5 == corpus_pipeline.drop_leaks(spark, docs, folder).count()
+    text = {r.text for r in corpus_pipeline.redact_private_data(spark, docs, folder).collect()}
+    assert None in text and any(t and t.endswith(" [EMAIL]") for t in text)
+    rows = corpus_pipeline.encode(spark, docs, folder).collect()
+    assert len(rows) == 5 and all(r.round_trip for r in rows) and sorted(r.n_tokens == 0 for r in rows) == [False, False, True, True, True]
+
+
 def test_run(spark, corpus):
     folder, _ = corpus
     rows = corpus_pipeline.run(spark, folder).collect()
