@@ -1,7 +1,8 @@
 """Training-corpus pipeline: quality, near duplicates, decontamination, private data, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of
-documents, the last one those of the encoded corpus.
+documents, the last one those of the encoded corpus. Null texts count as empty; texts of any
+length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from mdspark.llm.common import Workspace, shuffle_partitions, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. The model is learnt from the labelled documents."""
+    """Documents that the quality classifier rejects go. The model is learnt from the labelled documents.
+
+    A null or empty text has the score of an empty one; rows that repeat are all judged.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model, to="_score")
     return scored.where(F.col("_score") >= quality.THRESHOLD).drop("_score")
@@ -42,14 +46,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a test item go, with or without a doc_id."""
+    """Rows that hold a test item go, with or without a doc_id, each of those that repeat. Null and empty texts stay."""
     keyed = _keyed(spark, docs, "pipeline-leaks")
     leaks = decontamination.find_leaks(keyed, table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(leaks, "_row", "left_anti").select(docs.columns)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; n_chars follows."""
+    """Personal data gives way to its kind in brackets; n_chars follows. Every row stays; a null text stays null."""
     redacted = private_data.redact(docs)
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
@@ -57,7 +61,7 @@ def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it. Every row stays; a null or empty text has no tokens."""
     import public_tokenizers
 
     keep = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
