@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mdspark.functions.text import query_phrases, query_tokens, search_tokens, snippet
+from mdspark.operators.ordering import numbered
 from mdspark.sources.index import Index
-from mdspark.storage import shared_folder
 
 #: Fixed values of the ranking functions.
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
@@ -99,28 +99,12 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int | None = No
 def ranked(hits: DataFrame, *order: Column | str, limit: int | None = None) -> DataFrame:
     """With ``rank`` from 1, by score and chunk_id unless another order is given.
 
-    A limited list is numbered at once. Any other is sorted by ranges over all tasks and written;
-    a row's rank is its place in its range and the sizes of those before.
+    A limited list is numbered at once, any other as ``numbered`` does.
     """
     order = order or (F.desc("score"), F.asc("chunk_id"))
     if limit is not None:
         return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    import uuid
-
-    spark = hits.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = hits.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    path = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex[:12]}"
-    placed.write.parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path)
-    sizes = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row for each task
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r["p"], total))
-        total += r["n"]
-    before = spark.createDataFrame(starts or [(0, 0)], "_p long, _before long")
-    out = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(before), "_p")
-    return out.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_at", "_before")
+    return numbered(hits, "rank", *order)
 
 
 def fuse(rankings: list[DataFrame], key: str = "chunk_id") -> DataFrame:

@@ -25,7 +25,7 @@ _REGEX = re.compile(r"\s*/((?:\\.|[^/\n])+)/([a-z]*)")
 #: Tokens after which a slash begins a regular expression.
 _BEFORE_REGEX = frozenset(["(", ",", "=", "==", "!=", "&&", "||", "and", "or", "not", "!", "["])
 
-#: The units of durations, and their parts. Short names are told apart by case, long ones are not.
+#: The units of durations, their parts, and how one is written. Short names are told apart by case, long ones are not.
 SHORT_UNITS = {"y": "years", "M": "months", "w": "weeks", "d": "days", "h": "hours", "m": "minutes", "s": "seconds", "ms": "milliseconds"}
 PARTS = list(SHORT_UNITS.values())
 MILLIS = {"weeks": 604_800_000, "days": 86_400_000, "hours": 3_600_000, "minutes": 60_000, "seconds": 1_000, "milliseconds": 1}

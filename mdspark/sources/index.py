@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from mdspark.functions.text import index_terms
 from mdspark.operators import graph
+from mdspark.operators.ordering import numbered
 from mdspark.shipping import ship_package
 from mdspark.sources import vault
 from mdspark.storage import delete, exists
@@ -82,10 +83,11 @@ class Index:
         return row.asDict() if row else None
 
     def build_vault(self, folder: str) -> Index:
-        """Reads the notes below ``folder`` and indexes them, links resolved."""
+        """Reads the notes below ``folder`` and indexes them, links resolved. Chunks are numbered by path and place."""
         notes = vault.read_vault(self.spark, folder)
         links = graph.resolve(vault.links(notes), notes)
-        self.build(vault.chunks(notes), notes.drop("chunks", "links"), links, source=folder)
+        chunks = numbered(vault.chunks(notes).drop("chunk_id"), "chunk_id", F.asc("path"), F.asc("ordinal"))
+        self.build(chunks, notes.drop("chunks", "links"), links, source=folder)
         return self
 
     # ---- scans ----
