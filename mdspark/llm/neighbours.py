@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from mdspark.llm.common import Workspace, shuffle_partitions
 
 #: Orderings, projected dimensions, bits of each; vectors in a window.
-CURVES, DIMENSIONS, BITS, WINDOW = 4, 8, 7, 256
+CURVES, DIMENSIONS, BITS, WINDOW = 6, 8, 7, 256
 #: Vectors in a block of the widened search at least, and blocks at most: their cones are broadcast.
 BLOCK, MAX_BLOCKS = 1024, 1 << 16
 #: Queries that meet a block at once, those in one task's group at most, and numbers that are scored exactly at once.
