@@ -78,43 +78,38 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            prints: list[bytes] = []
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, key2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_py()
                 for hashes, anchors, first, last in _segments(raw, length):
-                    prints = [_print(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), anchors.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(first), key, np.int64)),
-                            pa.array(np.full(len(first), key2, np.int64)),
-                            pa.array(hashes),
-                            pa.array(prints, pa.binary()),
-                            pa.array(anchors),
-                            pa.array((first - anchors).astype(np.int32)),
-                            pa.array((last + length - anchors).astype(np.int32)),
-                        ],
-                        ["k", "k2", "h", "print", "p", "lo", "hi"],
-                    )
+                    prints += [_print(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), anchors.tolist(), strict=True)]
+                    row = np.full(len(first), key, np.int64), np.full(len(first), key2, np.int64), hashes, anchors, (first - anchors).astype(np.int32), (last + length - anchors).astype(np.int32)
+                    for column, values in zip(columns, row, strict=True):
+                        column.append(values)
+            if prints:
+                k, k2, h, p, lo, hi = (pa.array(np.concatenate(c)) for c in columns)
+                yield pa.RecordBatch.from_arrays([k, k2, h, pa.array(prints, pa.binary()), p, lo, hi], ["k", "k2", "h", "print", "p", "lo", "hi"])
 
     return docs.select("k", "k2", "bytes").mapInArrow(run, _OCCURRENCE)
 
 
 def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted runs, cut from the documents that hold them."""
+    """The bytes of the wanted runs, cut from a document that holds each; n is how often a run occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for text, runs in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py()
-                rows = [(r["h"], r["print"], r["lo"], raw[r["p"] + r["lo"] : r["p"] + r["hi"]]) for r in runs.as_py()]
-                rows = [r for r in rows if _print(r[3], -r[2]) == r[1]]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)],
-                    ["h", "print", "lo", "bytes"],
-                )
+                rows += [(r["h"], r["print"], r["lo"], raw[r["p"] + r["lo"] : r["p"] + r["hi"]], r["n"]) for r in runs.as_py()]
+            rows = [r for r in rows if _print(r[3], -r[2]) == r[1]]
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "print", "lo", "bytes", "n"])
 
-    runs = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "print", "p", "lo", "hi")).alias("runs"))
-    return docs.join(runs, ["k", "k2"]).select("bytes", "runs").mapInArrow(run, "h long, print binary, lo int, bytes binary")
+    runs = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "print", "p", "lo", "hi", "n")).alias("runs"))
+    return docs.join(runs, ["k", "k2"]).select("bytes", "runs").mapInArrow(run, "h long, print binary, lo int, bytes binary, n long")
 
 
 def columnwise_repeats(groups: np.ndarray, offsets: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +160,13 @@ _FOUND = "h long, print binary, lo int, hi int"
 
 def _small_groups(strings: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, bytes]] = []
+        held: list[tuple[int, bytes, int, bytes, int]] = []
 
         def built() -> pa.RecordBatch:
             names = np.array([r[0] for r in held], np.int64)
             groups = np.concatenate(([0], np.cumsum(names[1:] != names[:-1])))
             low, high = columnwise_repeats(groups, np.array([-r[2] for r in held]), [r[3] for r in held], length)
-            keep = np.flatnonzero(low <= high)
+            keep = np.array([k for k in np.flatnonzero(low <= high).tolist() if not k or held[k][:2] != held[k - 1][:2]], np.int64)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(names[keep]),
@@ -189,11 +184,11 @@ def _small_groups(strings: DataFrame, length: int) -> DataFrame:
                 if len(held) >= BLOCK and held[-1][0] != row[0]:
                     yield built()
                     held.clear()
-                held.append(row)
+                held += [row] * min(2, row[4])  # a string that occurs more often is inserted twice
         if held:
             yield built()
 
-    dealt = strings.repartition(F.col("h")).sortWithinPartitions("h", "print")
+    dealt = strings.select("h", "print", "lo", "bytes", "n").repartition(F.col("h")).sortWithinPartitions("h", "print")
     return dealt.mapInArrow(run, _FOUND)
 
 
@@ -209,12 +204,15 @@ def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, int, bytes]] = []
+        held: list[tuple[int, int, bytes, int, bytes, int]] = []
 
         def built() -> pa.RecordBatch:
             low, high = columnwise_repeats(np.zeros(len(held), np.int64), np.array([-r[3] for r in held]), [r[4] for r in held], length)
-            rows, seen = [], set()
-            for (h, _, print_, lo, raw), first, last in zip(held, low.tolist(), high.tolist(), strict=True):
+            rows, seen, before = [], set(), None
+            for (h, _, print_, lo, raw, _), first, last in zip(held, low.tolist(), high.tolist(), strict=True):
+                if print_ == before:
+                    continue
+                before = print_
                 if first <= last:
                     rows.append((h, print_, first, last + length, None))
                 for k in range(len(raw) - length + 1):
@@ -233,12 +231,12 @@ def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str) -> D
                 if held and held[-1][:2] != row[:2]:
                     yield built()
                     held.clear()
-                held.append(row)
+                held += [row] * min(2, row[5])
         if held:
             yield built()
 
     part = F.pmod(F.xxhash64("print"), F.ceil(F.col("kinds") / LARGE)).cast("long")
-    dealt = strings.select("h", part.alias("part"), "print", "lo", "bytes").repartition("h", "part").sortWithinPartitions("h", "part", "print")
+    dealt = strings.select("h", part.alias("part"), "print", "lo", "bytes", "n").repartition("h", "part").sortWithinPartitions("h", "part", "print")
     windows = ws.write(dealt.mapInArrow(run, _WINDOW), f"{tag}-windows")
     often = windows.where("w IS NOT NULL").groupBy("h", "lo", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     across = windows.where("w IS NOT NULL AND print IS NOT NULL").join(often, ["h", "lo", "w"], "left_semi")
@@ -288,15 +286,13 @@ def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str) -> DataFrame
     groups = runs.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     runs = ws.write(runs.join(groups, "h"), f"{tag}-grouped")
     ws.drop(f"{tag}-runs")
-    strings = ws.write(_strings(docs, runs.where("kinds > 1")), f"{tag}-strings")
+    strings = ws.write(_strings(docs, runs), f"{tag}-strings")
     sizes = runs.where(F.col("kinds") > LARGE).select("h", "kinds").distinct()
     sizes = ws.write(sizes, f"{tag}-large")
     found = _small_groups(strings.join(sizes, "h", "left_anti"), length)
-    found = found.unionByName(_large_groups(ws, strings.join(sizes, "h"), length, tag))
-    once = ws.write(found, f"{tag}-found").join(runs.where("n > 1").select("h", "print"), ["h", "print"], "left_anti")
-    whole = runs.where("n > 1").select("h", "print", "lo", "hi")
+    found = ws.write(found.unionByName(_large_groups(ws, strings.join(sizes, "h"), length, tag)), f"{tag}-found")
     ws.drop(f"{tag}-strings", f"{tag}-large", f"{tag}-windows")
-    hits = occurrences.select("k", "k2", "h", "print", "p").join(whole.unionByName(once), ["h", "print"])
+    hits = occurrences.select("k", "k2", "h", "print", "p").join(found, ["h", "print"])
     span = F.struct((F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi")).alias("b"))
     hits = ws.write(hits.groupBy("k", "k2").agg(F.collect_set(span).alias("found")), f"{tag}-hits")
     ws.drop(f"{tag}-occurrences", f"{tag}-grouped", f"{tag}-found")
@@ -327,9 +323,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str
     words that lie in a run of ``words`` words which also starts elsewhere, found by the same
     construction over texts of CODE bytes a word; it removes nothing.
 
-    Equal runs are counted with map-side sums, so copies cost one row a task. Runs of the same
-    anchor that differ are built column by column; groups above LARGE strings are built in parts,
-    and what no part has twice is counted by window. The only large shuffles are passes of the texts. Rows
+    Equal runs are counted with map-side sums, so copies cost one row a task, and are then two
+    equal strings of their group. All groups with more than one run are built column by column;
+    groups above LARGE strings are built in parts, and what no part has twice is counted by window. The only large shuffles are passes of the texts. Rows
     are told apart by 128 bits of their id and text.
     """
     ws = Workspace(docs.sparkSession, "substring-dedup")
