@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdspark.functions.text import collapse_path
-from mdspark.storage import shared_folder
+from mdspark.storage import scratch
 
 
 def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     before it; ``depth`` bounds the number of rounds.
     """
     spark = links.sparkSession
-    folder = f"{shared_folder(spark)}/neighbourhood-{uuid.uuid4().hex[:12]}"
+    folder = scratch(spark, "neighbourhood")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.storage import shared_folder
+from mdspark.storage import scratch
 
 
 def numbered(frame: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -19,7 +17,7 @@ def numbered(frame: DataFrame, name: str, *order: Column | str) -> DataFrame:
     spark = frame.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "numbered")
     placed.write.parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
     sizes = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()

@@ -27,6 +27,12 @@ from mdspark.storage import delete, exists
 BUCKETS = 64
 #: Texts in a batch of the encoder.
 BATCH = 64
+#: Columns that readers of a table rely on.
+COLUMNS = {
+    "notes": {"path": "string", "title": "string", "frontmatter_json": "string", "mtime": "long", "size": "long"},
+    "chunks": {"chunk_id": "long", "path": "string", "title": "string", "heading": "string", "body": "string", "content_hash": "string"},
+    "links": {"source_path": "string", "ordinal": "int", "raw_target": "string", "heading": "string", "is_embed": "boolean", "target_path": "string"},
+}
 EMBEDDINGS = "content_hash string, model string, dimensions int, vector array<float>"
 PASSAGE, QUERY = "passage: ", "query: "
 
@@ -95,7 +101,12 @@ class Index:
         made = self.metadata()
         if not made:
             raise ValueError(f"there is no index in {self.root}")
-        return self.spark.read.parquet(f"{made['name']}/{name}")
+        rows = self.spark.read.option("mergeSchema", True).parquet(f"{made['name']}/{name}")
+        # generations of an earlier version may lack a column
+        for column, kind in COLUMNS.get(name, {}).items():
+            if column not in rows.columns:
+                rows = rows.withColumn(column, F.lit(None).cast(kind))
+        return rows
 
     def chunks(self) -> DataFrame:
         """All chunks as hits of score 0, in the order of their ids."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name for tables that go when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path, files = path_of(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
 def path_of(spark: SparkSession, name: str):
     """The Hadoop path, and the file system it is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
