@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from mdspark.sources.vault import parse_notes
 
@@ -22,9 +21,7 @@ def stream_notes(spark: SparkSession, root: str, target: str, checkpoint: str, o
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
 
     def write(batch: DataFrame, number: int) -> None:
-        notes = parse_notes(batch.select("path", "content"))
-        seen = batch.select("path", F.col("modificationTime").alias("mtime"))
-        notes.join(seen, "path").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        parse_notes(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -32,5 +29,6 @@ def stream_notes(spark: SparkSession, root: str, target: str, checkpoint: str, o
 
 def current_notes(spark: SparkSession, target: str) -> DataFrame:
     """The latest version of each path, where other writers have appended one."""
-    newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("batch")))
-    return spark.read.option("basePath", target).parquet(target).withColumn("_k", newest).where("_k = 1").drop("_k")
+    rows = spark.read.option("basePath", target).parquet(target)
+    newest = F.max_by(F.struct("*"), F.struct("mtime", "batch"))
+    return rows.groupBy("path").agg(newest.alias("_note")).select("_note.*")
