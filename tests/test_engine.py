@@ -222,3 +222,22 @@ def test_pages_of_a_table(spark):
     pages = page_source.from_table(df, F.concat(F.lit("d/"), F.col("k").cast("string"), F.lit(".md")), tags=F.col("tags"))
     row = pages.select(compile_expression("file.name + note.k", pages).column.alias("v"), compile_expression("file.hasTag('t')", pages).column.alias("w"), "path").first()
     assert tuple(row) == ("11.0", True, "d/1.md")
+
+
+def test_command_line(spark, engine, capsys):
+    from mdspark.__main__ import main
+
+    def run(*words):
+        code = main(["--vault", engine.folder, "--db", engine._index.root, *words], spark)
+        said = capsys.readouterr()
+        return code, said.out.strip().split("\n"), said.err
+
+    assert run("query", "rating > 3")[:2] == (0, ["work/alpha.md"])
+    assert run("backlinks", "people/Ann")[1] == ["work/alpha.md", "work/beta.md"]
+    assert run("links", "dup/beta.md")[1] == ["dup/beta.md\tnowhere\t<unresolved>"]
+    assert run("search", "lamps", "--engine", "bm25")[1][0] == "work/beta.md"
+    code, out, said = run("query", "sort by nope\nlimit 1", "--language", "tasks")
+    assert code == 0 and '"path":' in out[0] and "unknown sort field" in said
+    assert run("query", "x", "--tasks-status", "a=TODO")[0] == 1 and run("query")[0] == 1 and run("graph", "nobody")[0] == 1
+    assert any(line == "notes: 4" for line in run("status")[1]) and main(["man", "dql"]) == 0
+    assert "2 results found, the first 1" in run("pipeline", "--stage", "bm25:lamps", "--limit", "1")[2]
