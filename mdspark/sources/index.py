@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +43,35 @@ def bucket_of(term: Column) -> Column:
 
 
 def postings_of(chunks: DataFrame, text: str = "search_text", key: str = "chunk_id") -> DataFrame:
-    """(bucket, term, chunk_id, positions, dl): a row for each term of a chunk; dl is the chunk's number of terms."""
-    terms = chunks.select(F.col(key).alias("chunk_id"), index_terms(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    rows = terms.select("chunk_id", "dl", F.posexplode("t").alias("at", "term"))
-    # a chunk's terms stay together, so that its positions are gathered without a shuffle of each
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.sort_array(F.collect_list("at")).alias("positions")).select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "positions", "dl")
+    """(bucket, term, chunk_id, positions, dl): a row for each term of a chunk; dl is the chunk's number of terms.
+
+    Each chunk's terms are gathered where the chunk is read, without a shuffle.
+    """
+    ship_package(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, ids, places, sizes, lengths = [], [], [], [], []
+            for chunk, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                coded = words.values.dictionary_encode() if words.is_valid else pa.array([], pa.string()).dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                n = len(coded.dictionary)
+                terms.append(coded.dictionary.cast(pa.string()))
+                ids.append(np.full(n, chunk, np.int64))
+                places.append(np.argsort(codes, kind="stable").astype(np.int32))
+                sizes.append(np.bincount(codes, minlength=n)[:n])
+                lengths.append(np.full(n, len(codes), np.int32))
+            if not ids:
+                continue
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            columns = [
+                pa.concat_arrays(terms), pa.array(np.concatenate(ids)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places))), pa.array(np.concatenate(lengths)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "positions", "dl"])
+
+    words = chunks.select(F.col(key).cast("long").alias("chunk_id"), index_terms(F.col(text)).alias("t"))
+    rows = words.mapInArrow(run, "term string, chunk_id long, positions array<int>, dl int")
+    return rows.select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "positions", "dl")
 
 
 @dataclass
@@ -58,6 +83,8 @@ class Index:
     def build(self, chunks: DataFrame, notes: DataFrame | None = None, links: DataFrame | None = None, source: str = "", state: str = "", body: str = "search_text") -> Index:
         """Writes a generation. ``notes`` and ``links`` are kept with it, ``source`` and ``state`` tell what it was built from."""
         name = f"{self.root}/generation-{uuid.uuid4().hex[:12]}"
+        # one even deal, whatever the files of the input are like
+        chunks = chunks.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
         tables = {"chunks": chunks} | ({"notes": notes} if notes is not None else {}) | ({"links": links} if links is not None else {})
         for table, frame in tables.items():
             frame.write.option("compression", "zstd").parquet(f"{name}/{table}")
