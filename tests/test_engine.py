@@ -241,3 +241,21 @@ def test_command_line(spark, engine, capsys):
     assert run("query", "x", "--tasks-status", "a=TODO")[0] == 1 and run("query")[0] == 1 and run("graph", "nobody")[0] == 1
     assert any(line == "notes: 4" for line in run("status")[1]) and main(["man", "dql"]) == 0
     assert "2 results found, the first 1" in run("pipeline", "--stage", "bm25:lamps", "--limit", "1")[2]
+
+
+def test_stages_and_filter_languages_can_be_added(engine):
+    pipe = engine._pipeline()
+    extended = retrieval.Pipeline(
+        pipe.chunks, pipe.notes, pipe.vectors, pipe.embed, pipe.index,
+        filters={"prefix": lambda source: F.startswith(F.col("path"), F.lit(source))},
+        stages={"headed": lambda hits, stage: hits.where(F.col("heading") == stage.argument)},
+    )
+    assert [r.path for r in extended.run("headed:Plan", limit=5).collect()] == ["work/alpha.md"]
+    assert {r.path for r in extended.run("bm25:lamps", "filter@prefix:work/a", limit=5).collect()} == {"work/alpha.md"}
+
+
+def test_a_query_in_a_file(engine):
+    from pathlib import Path
+
+    (Path(engine.folder) / "q.txt").write_text("rating > 3")
+    assert [r.path for r in engine.query_file("q.txt", "native").rows.collect()] == ["work/alpha.md"]
