@@ -228,7 +228,8 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
 
     FROM takes "" for all, "prefix" of the path, or #tag for rows whose tags hold it. TASK reads
     ``tasks`` (path, line, ...) instead of the pages; FROM #tag finds none of them. GROUP BY gives
-    (key, rows), the rows of a group as one value; a LIMIT before it bounds them.
+    (key, rows), the rows of a group as one value; a LIMIT before it bounds them. Where the query
+    only asks how many rows there are (``rows.length``) they are counted and not brought together.
     """
     head, clauses = _pieces(source)
     m = re.match(r"(TABLE|LIST|TASK|CALENDAR)\s*(WITHOUT\s+ID\b)?\s*(.*)$", head, re.I | re.S)
@@ -248,9 +249,9 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
                 frame = frame.where(F.array_contains(tags.column, wanted[1:]) | F.array_contains(tags.column, wanted) if known else F.lit(False))
             elif wanted:
                 frame = frame.where(F.startswith(F.col("path"), F.lit(wanted)))
-    grouped = False
-    for name, text in clauses:
-        value = lambda e: compile_expression(e, frame, now=now)  # noqa: E731, B023
+    grouped, extra = False, {}
+    for at, (name, text) in enumerate(clauses):
+        value = lambda e: compile_expression(e, frame, extra, now)  # noqa: E731, B023
         if name == "WHERE":
             frame = frame.where(truthy(value(text)))
         elif name == "SORT":
@@ -269,14 +270,20 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
         elif name == "GROUP":
             key = value(text)
             as_text = F.coalesce(F.to_json(F.struct(key.column.alias("k"))), F.lit("{}"))
+            later = " ".join([m[3], *(t for _, t in clauses[at + 1 :])])
+            if m[3].strip() and not grouped and not re.search(r"\brows\b(?!\s*\.\s*length\b)", later):
+                frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), F.count("*").cast("double").alias("_n")).orderBy("_text")
+                extra = {"rows": Typed(F.col("_n"), "object", fields={"length": Typed(F.col("_n"), "number")})}
+                grouped = True
+                continue
             rest = [c for c in frame.columns if c not in ties and c != "_text"]
             frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), F.sort_array(F.collect_list(F.struct(*([] if grouped else ties), *rest))).alias("rows")).orderBy("_text")
             grouped = True
-    shown = [c for c in frame.columns if c != "_text"]
+    shown = [c for c in frame.columns if c not in ("_text", "_n")]
     if not m[3].strip() or m[1].upper() == "TASK":
         return frame.select(*(F.col(f"`{c}`") for c in shown))
     columns = []
     for part in _commas(m[3]):
         e, _, alias = re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I | re.S).groups()
-        columns.append(compile_expression(e, frame, now=now).column.alias((alias or e).strip("\"'")))
+        columns.append(compile_expression(e, frame, extra, now).column.alias((alias or e).strip("\"'")))
     return frame.select(*columns)
