@@ -118,7 +118,8 @@ def line_links(text: Column) -> Column:
         return F.struct(page.alias("raw_target"), path.alias("path"), F.when(heading != "", heading).alias("heading"), F.startswith(link, F.lit("!")).alias("embed"))
 
     inside = F.filter(F.transform(found, one), lambda l: (l["raw_target"] != "") & ~l["raw_target"].rlike(r"(?i)^(https?:|mailto:|data:|file:|//)"))
-    return F.array_distinct(inside)
+    none = F.expr("cast(array() as array<struct<raw_target: string, path: string, heading: string, embed: boolean>>)")
+    return F.when(F.contains(text, F.lit("](")) | F.contains(text, F.lit("[[")), F.array_distinct(inside)).otherwise(F.when(text.isNotNull(), none))
 
 
 def unescaped(address: Column) -> Column:

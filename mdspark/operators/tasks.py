@@ -64,9 +64,10 @@ def _lookup(key: Column, values: dict, default: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, key), default)
 
 
-def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+def _after(text: Column, mark: str, pattern: str) -> Column:
+    """What follows a mark. Only texts that have the mark are searched for the pattern, as few have any one."""
+    found = F.regexp_extract(text, rf"{mark}\x{{fe0f}}?\s*{pattern}", 1)
+    return F.when(F.contains(text, F.lit(mark)), F.nullif(found, F.lit("")))
 
 
 def inline_fields(text: Column) -> Column:
@@ -75,32 +76,39 @@ def inline_fields(text: Column) -> Column:
     values = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2)), lambda v: F.trim(v))
     entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
-    return F.map_from_entries(last)
+    return F.when(F.contains(text, F.lit("::")), F.map_from_entries(last)).otherwise(F.expr("cast(map() as map<string, string>)"))
 
 
-def task_fields(text: Column, global_filter: str = "") -> dict[str, Column]:
-    """Fields of the text after the checkbox; marks override ``[key:: value]`` fields of the same name."""
-    fields = inline_fields(text)
+#: All marks of fields.
+_MARKS = "".join([*DATES.values(), *PRIORITIES, "🔁🆔⛔🏁"])
+
+
+def described(text: Column, global_filter: str = "") -> Column:
+    """The text without fields and marks, and without the text that makes a line a task."""
+    bare = F.replace(text, F.lit(global_filter), F.lit("")) if global_filter else text
+    bare = F.when(F.contains(text, F.lit("::")), F.regexp_replace(bare, _FIELD, "")).otherwise(bare)
+    dated = rf"(?:{'|'.join(DATES.values())})\x{{fe0f}}?\s*\d{{4}}-\d{{2}}-\d{{2}}"
+    marked = rf"{dated}|🆔\x{{fe0f}}?\s*[A-Za-z0-9_-]+|⛔\x{{fe0f}}?\s*[A-Za-z0-9_, -]+|🔁\x{{fe0f}}?\s*[^{_MARKS}\[]+|🏁\x{{fe0f}}?\s*(?:delete|keep)|[{_MARKS}]\x{{fe0f}}?"
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, marked, ""), r"\s+", " "))
+
+
+def task_fields(text: Column, fields: Column, description: Column) -> dict[str, Column]:
+    """Fields of the text after the checkbox; marks override ``[key:: value]`` fields of the same name.
+
+    ``fields`` and ``description`` are columns already, so that they are computed once.
+    """
     inline = lambda *names: F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
-    out = {"fields": fields}
-    out |= {name: F.coalesce(_first(text, rf"{mark}\x{{fe0f}}?\s*(\d{{4}}-\d{{2}}-\d{{2}})"), inline(name)) for name, mark in DATES.items()}
+    out = {name: F.coalesce(_after(text, mark, r"(\d{4}-\d{2}-\d{2})"), inline(name)) for name, mark in DATES.items()}
     named = F.lower(inline("priorityname", "priority"))
     named = F.when(named.isin(list(PRIORITY_NUMBERS)), named)
     priority = F.coalesce(*(F.when(F.contains(text, F.lit(mark)), F.lit(name)) for mark, name in PRIORITIES.items()), named, F.lit("normal"))
     out["priority"] = priority
     out["priority_number"] = _lookup(priority, PRIORITY_NUMBERS, F.lit(3))
-    marks = "".join([*DATES.values(), *PRIORITIES, "🔁🆔⛔🏁"])
-    out["recurrence"] = F.coalesce(F.trim(_first(text, rf"🔁\x{{fe0f}}?\s*([^{marks}\[]+)")), inline("recurrence", "repeat"))
-    out["on_completion"] = F.coalesce(_first(text, r"🏁\x{fe0f}?\s*(delete|keep)"), inline("oncompletion"), F.lit(""))
-    out["id"] = F.coalesce(_first(text, r"🆔\x{fe0f}?\s*([A-Za-z0-9_-]+)"), inline("id"))
-    depends = F.split(F.regexp_extract(text, r"⛔\x{fe0f}?\s*([A-Za-z0-9_, -]+)", 1), ",")
+    out["recurrence"] = F.coalesce(F.trim(_after(text, "🔁", rf"([^{_MARKS}\[]+)")), inline("recurrence", "repeat"))
+    out["on_completion"] = F.coalesce(_after(text, "🏁", "(delete|keep)"), inline("oncompletion"), F.lit(""))
+    out["id"] = F.coalesce(_after(text, "🆔", "([A-Za-z0-9_-]+)"), inline("id"))
+    depends = F.split(F.coalesce(_after(text, "⛔", "([A-Za-z0-9_, -]+)"), F.lit("")), ",")
     out["depends_on"] = F.filter(F.transform(depends, lambda d: F.trim(d)), lambda d: d != "")
-    bare = F.replace(text, F.lit(global_filter), F.lit("")) if global_filter else text
-    bare = F.regexp_replace(bare, _FIELD, "")
-    dated = rf"(?:{'|'.join(DATES.values())})\x{{fe0f}}?\s*\d{{4}}-\d{{2}}-\d{{2}}"
-    bare = F.regexp_replace(bare, rf"{dated}|🆔\x{{fe0f}}?\s*[A-Za-z0-9_-]+|⛔\x{{fe0f}}?\s*[A-Za-z0-9_, -]+|🔁\x{{fe0f}}?\s*[^{marks}\[]+|🏁\x{{fe0f}}?\s*(?:delete|keep)|[{marks}]\x{{fe0f}}?", "")
-    description = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    out["description"] = description
     out["description_without_tags"] = F.trim(F.regexp_replace(description, _TAG, "$1"))
     names = F.transform(F.regexp_extract_all(description, F.lit(_TAG), F.lit(2)), lambda t: F.regexp_replace(t, "^/+|/+$", ""))
     out["tags"] = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.concat(F.lit("#"), t))
@@ -149,7 +157,8 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
         "path", "file", "line", (F.col("line") - 1).alias("line_number"), "heading", "section",
         indent.alias("indentation"), marker.alias("list_marker"), symbol.alias("status_symbol"), text.alias("text"),
     )
-    tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), global_filter).items()))
+    tasks = tasks.select("*", inline_fields(F.col("text")).alias("fields"), described(F.col("text"), global_filter).alias("description"))
+    tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), F.col("fields"), F.col("description")).items()))
     page = F.col("file.filename_without_extension")
     tasks = tasks.select(
         "*",

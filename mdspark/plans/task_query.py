@@ -185,11 +185,10 @@ class TaskQuery:
         for test in plan.filters:
             tasks = tasks.where(test)
         keys = [*plan.sorts, F.asc("status_type_group"), F.desc("urgency"), F.asc_nulls_last("due"), F.asc("priority_number"), F.asc("path"), F.asc("line")]
-        tasks = tasks.orderBy(*keys)
         if plan.limit is not None:
-            tasks = tasks.limit(plan.limit)
+            tasks = tasks.orderBy(*keys).limit(plan.limit)
         if not plan.groups:
-            return tasks
+            return tasks.orderBy(*keys)
         names = [f"group_{k}" for k in range(len(plan.groups))]
         order = []
         for name, (values, rank, reverse) in zip(names, plan.groups, strict=True):
