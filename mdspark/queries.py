@@ -270,7 +270,7 @@ _expressions("expr_string", "part", "p_partkey", {
     "i": ('startswith(p_brand, "Brand")', "starts_with(p_brand, 'Brand')"), "j": ('p_name.isEmpty() or p_size > 10', "p_name = '' OR p_size > 10"),
 })
 _expressions("expr_number", "part", "p_partkey", {
-    "a": ("p_size * 2 + 1", "p_size * 2 + 1.0"), "b": ("p_retailprice / 0", "NULL::DOUBLE"), "c": ("p_size % 7", "(p_size % 7)::DOUBLE"), "d": ("(p_retailprice / 3).round(2)", "round(floor(p_retailprice / 3 * 100 + 0.5) / 100, 6)"),
+    "a": ("p_size * 2 + 1", "(p_size * 2 + 1)::DOUBLE"), "b": ("p_retailprice / 0", "NULL::DOUBLE"), "c": ("p_size % 7", "(p_size % 7)::DOUBLE"), "d": ("(p_retailprice / 3).round(2)", "round(floor(p_retailprice / 3 * 100 + 0.5) / 100, 6)"),
     "e": ("max(p_size, 10)", "greatest(p_size, 10)::DOUBLE"), "f": ("if(p_size > 25, 1, 2)", "CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END"), "g": ("p_retailprice.floor() - p_retailprice.ceil()", "(floor(p_retailprice) - ceil(p_retailprice))::DOUBLE"),
     "h": ("not p_size = 3 && p_size >= 2", "NOT (p_size = 3) AND p_size >= 2"), "i": ('number("4.5") + p_size', "4.5::DOUBLE + p_size"),
 })
