@@ -9,6 +9,7 @@ slots among those that either text fills estimates the Jaccard similarity of the
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -19,53 +20,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdspark.llm.common import shuffle_partitions, small_arrow_batches
-from mdspark.llm.near_dedup import _INVERSE, _power, mix
+from mdspark.llm.near_dedup import _BASE, _INVERSE, _power, mix
 
 #: Slots of a fingerprint, hexadecimal digits of each; a slot that no phrase falls into is all zeros.
 SLOTS, DIGITS = 128, 4
 #: Ranges for each shuffle partition, so that partitions which several of them share come out alike.
 RANGES = 4
-_U = np.uint64
+_U, _NONE = np.uint64, np.iinfo(np.uint64).max
+_MIXED = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
-def phrase_ends(text: str, start: int, known: set[str]) -> list[int]:
-    """Ends of the phrases from ``start`` on; they join ``known``. What is left at the end, if anything, is a phrase that is known.
+def phrase_ends(text: str, start: int, trie: dict, added: list | None = None) -> list[int]:
+    """Ends of the phrases from ``start`` on; they join ``trie``, whose nodes are dicts by character, None where nothing follows.
 
-    ``known`` holds every prefix of its phrases, so the longest known piece is looked for around
-    the length of the phrase before.
+    What is left at the end, if anything, is a phrase that is known. ``added`` takes the node and
+    character of each new phrase.
     """
-    ends, at, n, width = [], start, len(text), 1
-    while at < n:
-        if text[at : at + width] in known:
-            width += 1
-            while at + width <= n and text[at : at + width] in known:
-                width += 1
+    ends, node = [], trie
+    for at, c in enumerate(text[start:] if start else text, start + 1):
+        if c in node:
+            below = node[c]
+            if below is None:
+                below = node[c] = {}
+            node = below
         else:
-            while width > 1 and text[at : at + width - 1] not in known:
-                width -= 1
-        if at + width > n:
-            break
-        known.add(text[at : at + width])
-        at += width
-        ends.append(at)
+            node[c] = None
+            if added is not None:
+                added.append((node, c))
+            ends.append(at)
+            node = trie
     return ends
 
 
-def _sums(text: str) -> np.ndarray:
-    """Prefix sums of a polynomial over the mixed code points."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes + _U(1)) * _power(0x9E3779B97F4A7C15, len(codes)), out=sums[1:])
+def _sums(text: str, before: int = 0, total: int = 0) -> np.ndarray:
+    """Prefix sums of a polynomial over the mixed code points; the text has ``before`` others before it, which sum to ``total``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sums = np.empty(len(codes) + 1, np.uint64)
+    sums[0] = total
+    terms = _MIXED[codes] if not len(codes) or codes.max() < len(_MIXED) else mix(codes.astype(np.uint64) + _U(1))
+    np.cumsum(terms * _power(_BASE, before + len(codes))[before:], out=sums[1:])
+    sums[1:] += sums[0]
     return sums
 
 
-def _slots(sums: np.ndarray, ends: list[int]) -> np.ndarray:
-    """The least hash in each slot of the phrases with these ends, the first of which begins at 0; the greatest number for an empty slot."""
-    least = np.full(SLOTS, np.iinfo(np.uint64).max)
+def _slots(sums: np.ndarray, start: int, ends: list[int]) -> np.ndarray:
+    """The least hash in each slot of the phrases with these ends, the first of which begins at ``start``; the greatest number for an empty slot. sums[0] belongs to ``start``."""
+    least = np.full(SLOTS, _NONE)
     if ends:
-        stops = np.array(ends)
+        stops = np.array(ends) - start
         starts = np.concatenate(([0], stops[:-1]))
-        hashes = mix((sums[stops] - sums[starts]) * _power(_INVERSE, len(sums))[starts] + (stops - starts).astype(np.uint64))
+        hashes = mix((sums[stops] - sums[starts]) * _power(_INVERSE, start + len(sums))[start:][starts] + (stops - starts).astype(np.uint64))
         np.minimum.at(least, (hashes % _U(SLOTS)).astype(np.int64), hashes // _U(SLOTS))
     return least
 
@@ -73,26 +77,32 @@ def _slots(sums: np.ndarray, ends: list[int]) -> np.ndarray:
 def _shown(least: np.ndarray) -> str:
     """DIGITS hexadecimal digits a slot: 1 and more for a hash, 0 for none."""
     values = mix(least) % _U(16**DIGITS - 1) + _U(1)
-    values[least == np.iinfo(np.uint64).max] = 0
+    values[least == _NONE] = 0
     return values.astype(">u2").tobytes().hex()
 
 
 def fingerprint(text: str) -> str:
     """SLOTS * DIGITS hexadecimal digits; equal texts have equal fingerprints, an empty text has zeros."""
-    return _shown(_slots(_sums(text), phrase_ends(text, 0, set())))
+    return _shown(_slots(_sums(text), 0, phrase_ends(text, 0, {})))
 
 
 def fingerprints_of_edit(text: str, cut: int, tail: str) -> tuple[str, str]:
     """Fingerprints of the text, and of its first ``cut`` characters with ``tail`` after them; what both begin with is parsed once."""
-    known: set[str] = set()
-    ends = phrase_ends(text, 0, known)
-    common = [e for e in ends if e <= cut]
-    own = _shown(_slots(_sums(text), ends))
-    at = common[-1] if common else 0
-    for a, b in zip([at, *ends[len(common) :]], ends[len(common) :], strict=False):
-        known.discard(text[a:b])
-    edited = text[:cut] + tail
-    return own, _shown(_slots(_sums(edited), common + phrase_ends(edited, at, known)))
+    trie: dict = {}
+    head = text[:cut]
+    common = phrase_ends(head, 0, trie)
+    sums, at = _sums(head), common[-1] if common else 0
+    least, total = _slots(sums, 0, common), int(sums[at])
+
+    def with_rest(rest: str, added: list | None) -> str:
+        ends = phrase_ends(rest, 0, trie, added)
+        return _shown(np.minimum(least, _slots(_sums(rest, at, total), at, [at + e for e in ends])))
+
+    added: list = []
+    own = with_rest(text[at:], added)
+    for node, c in reversed(added):
+        del node[c]
+    return own, with_rest(head[at:] + tail, None)
 
 
 def likeness(a: str, b: str) -> float:
@@ -171,6 +181,7 @@ def _walk(key: str, share: int):
     """Task that holds each row of a range against the one after it; the last, which is there again, only ends the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # tries have no cycles, and are gone with their text
         names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held, waiting, done = None, None, []
