@@ -192,7 +192,7 @@ def periodic_runs(docs: DataFrame, text: str | Column = "text", min_length: int
     """
     small_arrow_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (runs, collapsed)]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), (F.col(f"`{text}`") if isinstance(text, str) else text).alias("_text"))
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`") if isinstance(text, str) else text)
     run = T.StructType().add("start", T.LongType()).add("length", T.LongType()).add("period", T.LongType())
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(runs, T.ArrayType(run)), T.StructField(collapsed, T.StringType())])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
@@ -203,4 +203,4 @@ def periodic_runs(docs: DataFrame, text: str | Column = "text", min_length: int
             found = [[{"start": s, "length": n, "period": q} for s, n, q in some] for some in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind), pa.array(rest, pa.string())], [*kept, runs, collapsed])
 
-    return source.mapInArrow(find, schema)
+    return source.toDF(*map(str, range(len(kept) + 1))).mapInArrow(find, schema)
