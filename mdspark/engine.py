@@ -77,15 +77,22 @@ class Engine:
         return vault.staleness(vault.listing(self.spark, self.folder), self._index.table("notes"))
 
     def refresh(self) -> bool:
-        """Rebuilds a missing index, or one of which at most ``auto_threshold`` files have changed."""
+        """Builds a missing index, or brings one up to date of which at most ``auto_threshold`` files have changed; only these are read."""
         if not self._index.metadata():
             self.index("bm25")
             return True
         n = self.changed().limit(self.auto_threshold + 1).count()
         if 0 < n <= self.auto_threshold:
-            self.index("bm25")
+            self._index.update_vault(self.folder)
         return 0 < n <= self.auto_threshold
 
+    def update(self) -> int:
+        """Brings the index up to date, however many files have changed; only these are read. How many they are."""
+        if not self._index.metadata():
+            self.index("bm25")
+            return self._index.table("notes").count()
+        return self._index.update_vault(self.folder)
+
     def status(self) -> DataFrame:
         return self._index.status(self.encoder.model, vault.listing(self.spark, self.folder))
 
@@ -128,8 +135,9 @@ class Engine:
         return dv.output()
 
     def _pipeline(self) -> retrieval.Pipeline:
-        vectors = self._index.embeddings().where(F.col("model") == self.encoder.model)
-        return retrieval.Pipeline(self._index.table("chunks"), self._index.table("notes").where("frontmatter_json IS NOT NULL"), vectors, self.encoder.query, self._index)
+        index = self._index.pinned()
+        vectors = index.embeddings().where(F.col("model") == self.encoder.model)
+        return retrieval.Pipeline(index.table("chunks"), index.table("notes").where("frontmatter_json IS NOT NULL"), vectors, self.encoder.query, index)
 
     def search(self, text: str, limit: int = 8, engine: str = "bm25+rag") -> DataFrame:
         return retrieval.search(self._pipeline(), text, limit, engine)

@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdspark.functions.text import collapse_path
 from mdspark.storage import scratch
 
 
+def _stem(path: Column) -> Column:
+    return F.lower(F.regexp_replace(path, r"(?i)\.md$", ""))
+
+
+def note_keys(notes: DataFrame) -> DataFrame:
+    """(key): what links may call the notes (path, title) by."""
+    return notes.select(F.explode(F.array(_stem(F.col("path")), F.lower("title"))).alias("key")).distinct()
+
+
+def _with_candidates(links: DataFrame) -> DataFrame:
+    """``links`` with what a target may stand for: a path from the root, one from its source, a title."""
+    folder = F.regexp_extract("source_path", "^(.*)/[^/]*$", 1)
+    out = links.withColumn("_a", collapse_path(F.col("normalized_target"))).withColumn("_b", collapse_path(F.concat_ws("/", folder, "normalized_target")))
+    return out.withColumn("_c", F.element_at(F.split("_a", "/"), -1))
+
+
+def link_keys(links: DataFrame) -> DataFrame:
+    """(source_path, key): the keys of notes that decide where each link leads."""
+    return _with_candidates(links).select("source_path", F.explode(F.array("_a", "_b", "_c")).alias("key"))
+
+
 def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     """``links`` (source_path, normalized_target, ...) with target_path.
 
     First the target as a path from the root, then as one relative to its source; then as a
     title, if exactly one note has it; else null.
     """
-    stem = lambda c: F.lower(F.regexp_replace(c, r"(?i)\.md$", ""))
     unique = lambda key: notes.groupBy(key.alias("_key")).agg(F.count("*").alias("_n"), F.min("path").alias("_path")).where("_n = 1").drop("_n")
-    paths, titles = unique(stem(F.col("path"))), unique(F.lower("title"))
-    folder = F.regexp_extract("source_path", "^(.*)/[^/]*$", 1)
-    out = links.withColumn("_a", collapse_path(F.col("normalized_target"))).withColumn("_b", collapse_path(F.concat_ws("/", folder, "normalized_target")))
-    out = out.withColumn("_c", F.element_at(F.split("_a", "/"), -1))
+    paths, titles = unique(_stem(F.col("path"))), unique(F.lower("title"))
+    out = _with_candidates(links)
     for name, keys in (("_a", paths), ("_b", paths), ("_c", titles)):
         out = out.join(keys.select(F.col("_key").alias(name), F.col("_path").alias(f"{name}p")), name, "left")
     return out.withColumn("target_path", F.coalesce("_ap", "_bp", "_cp")).drop("_a", "_b", "_c", "_ap", "_bp", "_cp")

@@ -7,6 +7,7 @@ by tier (what a filter appends comes after all hits), score and chunk_id, and be
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,10 +17,12 @@ from pyspark.sql.window import Window
 
 from mdspark.functions.text import query_phrases, query_tokens, search_tokens, snippet
 from mdspark.operators.ordering import numbered
-from mdspark.sources.index import Index
+from mdspark.sources.index import K1, B, Index
 
 #: Fixed values of the ranking functions.
-K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
+LEAST_IDF, RRF = 1e-6, 60
+#: Blocks that give a search its first bound, and blocks that a condition names one by one.
+FIRST, NAMED = 32, 4096
 
 
 def _part(f: Column, n: Column, dl: Column, chunks: Column, average: Column) -> Column:
@@ -27,16 +30,86 @@ def _part(f: Column, n: Column, dl: Column, chunks: Column, average: Column) ->
     return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
 
 
+@dataclass
+class Best:
+    """The best chunks of a search, with how many blocks of postings were read, and how many hold all of its terms (if asked for)."""
+
+    hits: DataFrame
+    read: int
+    blocks: int | None
+
+
+def bm25_best(index: Index, query: str, limit: int, count: bool = False) -> Best:
+    """The ``limit`` best chunks of a query whose tokens are one term each, from the blocks that may hold one.
+
+    The heads of a term's blocks give each block a bound. The FIRST blocks of the highest bounds
+    are read, and the last score of the best chunks in them is what a block's bound must reach for
+    its lists to be read, too. The result is that of reading all.
+    """
+    index = index.pinned()
+    phrases, made = query_phrases(query), index.metadata()
+    terms = [p[0] for p in phrases]
+    distinct = list(dict.fromkeys(terms))
+    none = Best(index.spark.createDataFrame([], "chunk_id long, score double"), 0, 0)
+    if not terms or not made or any(len(p) > 1 for p in phrases):
+        return none
+    heads = index.heads(distinct).persist()
+    try:
+        often = index.frequencies(distinct, heads)
+        if any(often.get(t, 0) <= 0 for t in distinct):
+            return none
+        n, average = made["chunks"], made["average"] or 1.0
+        idf = {t: math.log((n - often[t] + 0.5) / (often[t] + 0.5)) for t in distinct}
+        weight = F.element_at(F.create_map(*(F.lit(x) for t in distinct for x in (t, terms.count(t) * (idf[t] if idf[t] > 0 else LEAST_IDF)))), F.col("term"))
+        bounds = heads.groupBy("_segment", "block").agg(F.count("*").alias("k"), F.sum(F.col("impact") * weight).alias("bound")).where(F.col("k") == len(distinct))
+
+        def scored(blocks: Column) -> DataFrame:
+            of_term = [F.max(F.when(F.col("term") == t, F.col("freqs"))).alias(f"_f{k}") for k, t in enumerate(distinct)]
+            rows = index.entries(distinct, blocks).groupBy("chunk_id").agg(F.max("dls").alias("_dl"), *of_term)
+            score: Column = F.lit(0.0)
+            for t in terms:
+                score = score + _part(F.col(f"_f{distinct.index(t)}"), F.lit(often[t]), F.col("_dl"), F.lit(float(n)), F.lit(float(average)))
+            rows = rows.where(" AND ".join(f"_f{k} IS NOT NULL" for k in range(len(distinct))))
+            return rows.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+        first = bounds.orderBy(F.desc("bound"), "_segment", "block").limit(FIRST).collect()
+        if len(first) < FIRST:
+            return Best(scored(_in_blocks(first)), len(first), len(first))
+        least = scored(_in_blocks(first)).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+        # what a bound may lack by rounding
+        needed = bounds.where(F.col("bound") >= least["score"] * (1 - 1e-9)) if least["n"] == limit else bounds
+        named = needed.limit(NAMED + 1).collect()
+        if len(named) <= NAMED:
+            return Best(scored(_in_blocks(named)), len(named), bounds.count() if count else None)
+        spans = F.lit(False)
+        for r in needed.groupBy("_segment").agg(F.min("block").alias("a"), F.max("block").alias("b")).collect():  # a row a segment
+            spans = spans | ((F.col("_segment") == r["_segment"]) & F.col("block").between(r["a"], r["b"]))
+        return Best(scored(spans), needed.count(), bounds.count() if count else None)
+    finally:
+        heads.unpersist()
+
+
+def _in_blocks(rows: list) -> Column:
+    condition = F.lit(False)
+    for segment in sorted({r["_segment"] for r in rows}):
+        condition = condition | ((F.col("_segment") == segment) & F.col("block").isin([r["block"] for r in rows if r["_segment"] == segment]))
+    return condition
+
+
 def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFrame:
     """(chunk_id, score) of the chunks that hold every phrase of the query, from the postings of its terms alone.
 
     A token of several terms is a phrase: they must follow one another. A phrase that the query
-    repeats counts as often.
+    repeats counts as often. With a limit, and no phrase of several terms, blocks of postings that
+    hold none of the best chunks are not read.
     """
+    index = index.pinned()
     phrases = query_phrases(query)
     made = index.metadata()
     if not phrases or not made:
         return index.spark.createDataFrame([], "chunk_id long, score double")
+    if limit is not None and all(len(p) == 1 for p in phrases):
+        return bm25_best(index, query, limit).hits
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     terms = list(dict.fromkeys(t for p in distinct for t in p))
     places = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"_p{k}") for k, t in enumerate(terms)]

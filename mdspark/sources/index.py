@@ -1,19 +1,29 @@
 """The search index of a set of notes: notes, chunks, links, postings by term, and vectors, as tables in a folder.
 
-A build writes a new generation beside the current one and then names it current, so that
-readers see the old tables or the new ones, never a mixture. Vectors live outside of the
-generations, by the hash of what they were made from, and outlast rebuilds.
+The index is a list of segments. A build writes one with everything, an update writes one with
+what has changed and says which notes of the segments before it are gone; both become visible
+with one commit of a manifest, so readers see the old index or the new one, never a mixture, and
+a writer that dies leaves the old one. A reader that is pinned to a commit keeps what it reads
+until ``vacuum`` has forgotten the commit. Vectors are parts of the manifest, too, by the hash of
+what they were made from, and outlast builds.
+
+Chunks are dealt into blocks of about BLOCK chunks of like length. A row of postings is a term in
+a block, with the largest score that the term can give there, so a search for the best chunks
+reads the rows of few blocks.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +32,19 @@ from mdspark.operators import graph
 from mdspark.operators.ordering import numbered
 from mdspark.shipping import ship_package
 from mdspark.sources import vault
-from mdspark.storage import delete, exists
+from mdspark.sources.commits import CommitLog, Conflict
+from mdspark.storage import path_of, scratch
 
 #: Partitions of the postings by hash of the term; a query reads those of its terms.
 BUCKETS = 64
+#: Chunks of a block, about, and classes of length for each doubling of it.
+BLOCK, CLASSES = 64, 4
+#: Fixed values of the ranking function.
+K1, B = 1.2, 0.75
+#: Segments, or parts of the vectors, that are merged into one when an update makes them more; commits whose tables are kept.
+MANY, KEEP = 8, 3
+#: Changed files that are read one by one; if there are more, all are read.
+FILES = 10_000
 #: Texts in a batch of the encoder.
 BATCH = 64
 #: Columns that readers of a table rely on.
@@ -42,99 +61,345 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings_of(chunks: DataFrame, text: str = "search_text", key: str = "chunk_id") -> DataFrame:
-    """(bucket, term, chunk_id, positions, dl): a row for each term of a chunk; dl is the chunk's number of terms.
+def bucket_number(term: str) -> int:
+    """The same of one word, without a job."""
+    unsigned = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (unsigned - (1 << 64) if unsigned >> 63 else unsigned) % BUCKETS
 
-    Each chunk's terms are gathered where the chunk is read, without a shuffle.
+
+_POSTINGS = "term string, block long, n int, impact double, ids array<long>, freqs array<int>, dls array<int>, positions array<array<int>>"
+
+
+def postings_of(chunks: DataFrame, average: float, text: str = "search_text") -> DataFrame:
+    """(bucket, term, block, n, impact, ids, freqs, dls, positions) of chunks (chunk_id, _block, text): a row for each term of a block.
+
+    ``impact`` is the most that the term gives to the score of one of its n chunks, before the
+    factor for how rare it is. Rows of a block that do not come one after the other make several
+    rows of postings; each holds at most BLOCK chunks at a time. Nothing is shuffled.
     """
     ship_package(chunks.sparkSession)
 
+    def rows_of(block: int, ids: list[int], words: list[pa.Array]) -> pa.RecordBatch:
+        dls = np.array([len(w) for w in words], np.int32)
+        coded = pa.concat_arrays([w.cast(pa.string()) for w in words]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(words)), dls)
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in dls])
+        order = np.argsort(codes, kind="stable")  # by term, then chunk, then place
+        codes, owner = codes[order], owner[order]
+        entry = np.concatenate(([0], np.flatnonzero((codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])) + 1))
+        freqs = np.diff(np.concatenate((entry, [len(codes)])))
+        who, of_term = owner[entry], codes[entry]
+        term = np.concatenate(([0], np.flatnonzero(of_term[1:] != of_term[:-1]) + 1))
+        impact = np.maximum.reduceat(freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * dls[who] / average)), term)
+        by_term = np.concatenate((term, [len(entry)])).astype(np.int32)
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(by_term), values)
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate((entry, [len(codes)])).astype(np.int32)), pa.array(place[order]))
+        columns = [
+            coded.dictionary.take(pa.array(of_term[term])), pa.array(np.full(len(term), block, np.int64)), pa.array(np.diff(by_term)), pa.array(impact),
+            listed(pa.array(np.array(ids, np.int64)[who])), listed(pa.array(freqs.astype(np.int32))), listed(pa.array(dls[who])), listed(places),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "impact", "ids", "freqs", "dls", "positions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, words = None, [], []
         for batch in batches:
-            terms, ids, places, sizes, lengths = [], [], [], [], []
-            for chunk, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coded = words.values.dictionary_encode() if words.is_valid else pa.array([], pa.string()).dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                n = len(coded.dictionary)
-                terms.append(coded.dictionary.cast(pa.string()))
-                ids.append(np.full(n, chunk, np.int64))
-                places.append(np.argsort(codes, kind="stable").astype(np.int32))
-                sizes.append(np.bincount(codes, minlength=n)[:n])
-                lengths.append(np.full(n, len(codes), np.int32))
-            if not ids:
-                continue
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-            columns = [
-                pa.concat_arrays(terms), pa.array(np.concatenate(ids)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places))), pa.array(np.concatenate(lengths)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "positions", "dl"])
+            for chunk, block, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if ids and (block != at or len(ids) >= BLOCK):
+                    yield rows_of(at, ids, words)
+                    ids, words = [], []
+                at = block
+                if found.is_valid and len(found.values):
+                    ids.append(chunk)
+                    words.append(found.values)
+        if ids:
+            yield rows_of(at, ids, words)
 
-    words = chunks.select(F.col(key).cast("long").alias("chunk_id"), index_terms(F.col(text)).alias("t"))
-    rows = words.mapInArrow(run, "term string, chunk_id long, positions array<int>, dl int")
-    return rows.select(bucket_of(F.col("term")).alias("bucket"), "term", "chunk_id", "positions", "dl")
+    rows = chunks.select("chunk_id", "_block", index_terms(F.col(text)).alias("t")).mapInArrow(run, _POSTINGS)
+    return rows.select(bucket_of(F.col("term")).alias("bucket"), "*")
 
 
 @dataclass
 class Index:
     spark: SparkSession
     root: str
+    #: The commit that is read; the latest one if None.
+    version: int | None = None
+    keep: int = KEEP
+
+    # ---- commits ----
+    @property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, f"{self.root}/log")
+
+    def metadata(self) -> dict | None:
+        """The manifest, or None if nothing was ever built."""
+        made = self.log.read(self.version)
+        return made if made and made["segments"] else None
+
+    def pinned(self) -> Index:
+        """The index as it is now, whatever is committed later."""
+        if self.version is not None:
+            return self
+        known = self.log.versions()
+        return replace(self, version=known[-1]) if known else self
+
+    def _commit(self, change: Callable[[dict], dict], base: int | None = None) -> dict:
+        """Commits what ``change`` makes of the latest manifest; if that must be commit ``base`` and isn't any more, raises Conflict."""
+        for _ in range(20):
+            last = self.log.read() or {"version": 0, "segments": [], "vectors": []}
+            if base is not None and last["version"] != base:
+                break
+            try:
+                made = self.log.commit(last["version"] + 1, change(last))
+                self.vacuum()
+                return made
+            except Conflict:
+                continue
+        raise Conflict(f"another writer has changed {self.root}")
+
+    def vacuum(self, keep: int | None = None, hours: float = 24) -> None:
+        """Forgets all but the last commits, with the tables that only these name. Tables that no commit names go when they are ``hours`` old: a writer that died left them."""
+        known = self.log.versions()
+        kept, old = ([self.log.read(v) for v in some] for some in (known[-(keep or self.keep) :], known[: -(keep or self.keep)]))
+        named, once = ({name for made in some for name in [*(s["folder"] for s in made["segments"]), *made["vectors"]]} for some in (kept, old))
+        path, files = path_of(self.spark, self.root)
+        for state in files.listStatus(path):
+            name = state.getPath().getName()
+            if re.fullmatch(r"(segment|vectors)-\w+", name) and name not in named:
+                if name in once or time.time() - state.getModificationTime() / 1000 > 3600 * hours:
+                    files.delete(state.getPath(), True)
+        for made in old:
+            self.log.drop(made["version"])
 
     # ---- building ----
     def build(self, chunks: DataFrame, notes: DataFrame | None = None, links: DataFrame | None = None, source: str = "", state: str = "", body: str = "search_text") -> Index:
-        """Writes a generation. ``notes`` and ``links`` are kept with it, ``source`` and ``state`` tell what it was built from."""
-        name = f"{self.root}/generation-{uuid.uuid4().hex[:12]}"
-        # one even deal, whatever the files of the input are like
-        chunks = chunks.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
-        tables = {"chunks": chunks} | ({"notes": notes} if notes is not None else {}) | ({"links": links} if links is not None else {})
-        for table, frame in tables.items():
-            frame.write.option("compression", "zstd").parquet(f"{name}/{table}")
-        kept = self.spark.read.schema(chunks.schema).parquet(f"{name}/chunks")
-        rows = postings_of(kept, body).repartition(F.col("bucket"), F.pmod(F.xxhash64("term", F.pmod("chunk_id", F.lit(16))), F.lit(16)))
-        rows.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{name}/postings")
-        lengths = kept.select(F.size(index_terms(F.col(body))).alias("dl")).agg(F.count("*").alias("chunks"), F.avg("dl").alias("average"))
-        now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
-        made = lengths.select("*", F.lit(name).alias("name"), F.lit(source).alias("source"), F.lit(state).alias("state"), F.lit(now).alias("indexed_at"))
-        before = self.metadata()
-        made.coalesce(1).write.mode("overwrite").json(f"{self.root}/next-{name[-12:]}")
-        delete(self.spark, f"{self.root}/current")
-        self._rename(f"{self.root}/next-{name[-12:]}", f"{self.root}/current")
-        if before:
-            delete(self.spark, before["name"])
+        """Writes an index of ``chunks`` in place of what there is. ``notes`` and ``links`` are kept with it, ``source`` and ``state`` tell what it was built from."""
+        segment = self._segment(chunks, notes, links, body)
+        self._commit(lambda last: self._manifest([segment], last) | {"source": source, "state": state, "body": body})
         return self
 
-    def _rename(self, old: str, new: str) -> None:
-        from mdspark.storage import path_of
+    def update(self, chunks: DataFrame, notes: DataFrame | None = None, links: DataFrame | None = None, removed: DataFrame | None = None, relinked: DataFrame | None = None, state: str = "") -> Index:
+        """Puts the notes whose paths are in ``chunks``, ``notes`` or ``removed`` (path) in place of those of the same paths; the rest is not read again.
 
-        path, files = path_of(self.spark, old)
-        files.rename(path, path_of(self.spark, new)[0])
+        ``links`` are those of these notes, and of the notes in ``relinked`` (path), whose links
+        alone are put in place. Another writer's commit in the meantime raises Conflict. More than
+        MANY segments are merged.
+        """
+        now = self.pinned()
+        made = now.metadata()
+        if not made:
+            raise ValueError(f"there is no index in {self.root}")
+        body = made["body"]
+        segment = self._segment(chunks, notes, links, body)
+        folder = f"{self.root}/{segment['folder']}"
+        paths = [f.select("path") for f in (chunks, notes, removed) if f is not None]
+        gone = paths[0]
+        for more in paths[1:]:
+            gone = gone.unionByName(more)
+        self._write(gone.distinct(), f"{folder}/gone")
+        gone = self.spark.read.parquet(f"{folder}/gone")
+        self._write(gone if relinked is None else gone.unionByName(relinked.select("path")).distinct(), f"{folder}/gone_links")
+        old = now._live("chunks", everything=True).join(gone, "path", "left_semi")
+        self._write(old.select("_segment", "_block", "chunk_id", "_dl", F.col(f"`{body}`").alias("text")), f"{folder}/dead")
+        dead = self.spark.read.parquet(f"{folder}/dead")
+        terms = dead.select(F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        self._write(terms.select(bucket_of(F.col("term")).alias("bucket"), "term", "n"), f"{folder}/minus", by="bucket")
+        lost = dead.agg(F.count("*").alias("n"), F.count("_dl").alias("texts"), F.coalesce(F.sum("_dl"), F.lit(0)).alias("dl")).first()
+        segment |= {"dead": lost["n"], "dead_texts": lost["texts"], "dead_length": lost["dl"], "delta": True}
+        self._commit(lambda last: self._manifest([*made["segments"], segment], last) | {"state": state or made.get("state", "")}, base=made["version"])
+        if len(made["segments"]) + 1 > MANY:
+            self.compact()
+        return self
 
-    def metadata(self) -> dict | None:
-        if not exists(self.spark, f"{self.root}/current/_SUCCESS"):
-            return None
-        schema = "chunks long, average double, name string, source string, state string, indexed_at string"
-        row = self.spark.read.schema(schema).json(f"{self.root}/current").first()
-        return row.asDict() if row else None
+    def compact(self) -> Index:
+        """Merges the segments into one without what is gone; texts are not parted into terms again."""
+        now = self.pinned()
+        made = now.metadata()
+        if not made or len(made["segments"]) < 2:
+            return self
+        name = self._name("segment")
+        blocks, first = {}, 0
+        for k, s in enumerate(made["segments"]):
+            blocks[k], first = first, first + s["blocks"]
+        base = F.element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), F.col("_segment")).cast("long")
+        for table in ("chunks", "notes", "links"):
+            if any(table in s["tables"] for s in made["segments"]):
+                rows = now._live(table, everything=True)
+                rows = rows.withColumn("_block", F.col("_block") + base) if table == "chunks" else rows
+                self._write(rows.drop("_segment"), f"{self.root}/{name}/{table}")
+        rows = now._blocks().withColumn("block", F.col("block") + base).select("bucket", *(c.split()[0] for c in _POSTINGS.split(", "))).where("n > 0")
+        self._write_postings(rows, f"{self.root}/{name}/postings")
+        one = {
+            "folder": name, "tables": sorted({t for s in made["segments"] for t in s["tables"]}), "blocks": first, "chunks": made["chunks"], "texts": made["texts"],
+            "length": made["length"], "average": min(s["average"] for s in made["segments"]), "next_id": made["next_id"],
+        }
+        self._commit(lambda last: self._manifest([one], last) | {"state": made.get("state", "")}, base=made["version"])
+        return self
+
+    def _name(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex[:12]}"
+
+    def _write(self, frame: DataFrame, where: str, by: str | None = None) -> None:
+        writer = frame.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(where)
+
+    def _write_postings(self, rows: DataFrame, where: str) -> None:
+        """By bucket, in the order of terms and blocks, in small row groups, so that a search reads what it asks for."""
+        rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("term", F.pmod("block", F.lit(16))), F.lit(16)))
+        rows.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(where)
+
+    def _segment(self, chunks: DataFrame, notes: DataFrame | None, links: DataFrame | None, body: str) -> dict:
+        """Writes the tables of a segment, which no manifest names yet."""
+        name = self._name("segment")
+        folder = f"{self.root}/{name}"
+        tables = {"notes": notes, "links": links}
+        for table, frame in tables.items():
+            if frame is not None:
+                self._write(frame, f"{folder}/{table}")
+        # classes of length by their number, with the first block and the number of blocks of each
+        of_class = F.floor(CLASSES * F.log2(F.char_length(F.coalesce(F.col(f"`{body}`"), F.lit(""))) + 1)).cast("int")
+        counts = chunks.groupBy(of_class.alias("c")).agg(F.count("*").alias("n"), F.max("chunk_id").alias("last")).orderBy("c").collect()  # some 31 * CLASSES rows at most
+        first, spans = 0, []
+        for r in counts:
+            spans.append((r["c"], first, -(-r["n"] // BLOCK)))
+            first += spans[-1][2]
+        which = lambda k: F.element_at(F.create_map(*(F.lit(x) for s in spans for x in (s[0], s[k]))), of_class).cast("long")
+        block = F.coalesce(which(1) + F.pmod(F.xxhash64("chunk_id"), which(2)), F.lit(0).cast("long")) if spans else F.lit(0).cast("long")
+        dealt = chunks.withColumn("_block", block).withColumn("_dl", F.when(F.col(f"`{body}`").isNotNull(), F.size(index_terms(F.col(f"`{body}`")))))
+        dealt = dealt.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "_block").sortWithinPartitions("_block", "chunk_id")
+        self._write(dealt, f"{folder}/chunks")
+        kept = self.spark.read.schema(dealt.schema).parquet(f"{folder}/chunks")
+        size = kept.agg(F.count("*").alias("n"), F.count("_dl").alias("texts"), F.coalesce(F.sum("_dl"), F.lit(0)).alias("dl")).first()
+        average = size["dl"] / size["texts"] if size["dl"] else 1.0
+        self._write_postings(postings_of(kept, average, body), f"{folder}/postings")
+        return {
+            "folder": name, "tables": ["chunks", "postings", *(t for t, f in tables.items() if f is not None)], "blocks": first, "chunks": size["n"], "texts": size["texts"], "length": size["dl"], "average": average,
+            "next_id": max([r["last"] for r in counts if r["last"] is not None], default=-1) + 1,
+        }
+
+    def _manifest(self, segments: list[dict], last: dict) -> dict:
+        """What readers need to know of the segments together."""
+        chunks, texts, length = (sum(s[a] - s.get(b, 0) for s in segments) for a, b in (("chunks", "dead"), ("texts", "dead_texts"), ("length", "dead_length")))
+        return last | {
+            "segments": segments, "chunks": chunks, "texts": texts, "length": length, "average": length / texts if texts else 0.0, "next_id": max(s["next_id"] for s in segments),
+            "indexed_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
+        }
+
+    def _kept(self, frame: DataFrame, name: str) -> DataFrame:
+        """``frame`` written once, so that what is made of it does not read the files again."""
+        folder = scratch(self.spark, name)
+        self._write(frame, folder)
+        return self.spark.read.schema(frame.schema).parquet(folder)
 
     def build_vault(self, folder: str) -> Index:
         """Reads the notes below ``folder`` and indexes them, links resolved. Chunks are numbered by path and place."""
-        notes = vault.read_vault(self.spark, folder)
+        notes = self._kept(vault.read_vault(self.spark, folder), "notes")
         links = graph.resolve(vault.links(notes), notes)
         chunks = numbered(vault.chunks(notes).drop("chunk_id"), "chunk_id", F.asc("path"), F.asc("ordinal"))
         self.build(chunks, notes.drop("chunks", "links"), links, source=folder)
         return self
 
+    def update_vault(self, folder: str) -> int:
+        """Reads the notes that were added or modified since the last commit, and drops those removed; how many they are.
+
+        Chunks that are new have numbers after all others. A note's links are resolved again if
+        one of them may lead to a changed note, by its path or title.
+        """
+        now = self.pinned()
+        made = now.metadata()
+        before = now.table("notes").select("path", "title", "mtime", "size")
+        changed = vault.staleness(vault.listing(self.spark, folder), before).limit(FILES + 1).collect()
+        if not changed:
+            return 0
+        if len(changed) > FILES:
+            self.build_vault(folder)
+            return len(changed)
+        notes = self._kept(vault.read_notes(self.spark, folder, [r["path"] for r in changed if r["change"] != "removed"]), "notes")
+        gone = self.spark.createDataFrame([(r["path"],) for r in changed], "path string")
+        chunks = numbered(vault.chunks(notes).drop("chunk_id"), "chunk_id", F.asc("path"), F.asc("ordinal"))
+        chunks = chunks.withColumn("chunk_id", F.col("chunk_id") + F.lit(made["next_id"] - 1))
+        after = before.join(F.broadcast(gone), "path", "left_anti").select("path", "title").unionByName(notes.select("path", "title"))  # at most FILES paths
+        touched = graph.note_keys(before.join(F.broadcast(gone), "path", "left_semi").select("path", "title").unionByName(notes.select("path", "title")))
+        kept = now.table("links").join(F.broadcast(gone.withColumnRenamed("path", "source_path")), "source_path", "left_anti")
+        relinked = graph.link_keys(kept).join(touched, "key", "left_semi").select(F.col("source_path").alias("path")).distinct()
+        links = vault.links(notes)
+        links = links.unionByName(kept.join(relinked.withColumnRenamed("path", "source_path"), "source_path", "left_semi").select(links.columns))
+        self.update(chunks, notes.drop("chunks", "links"), graph.resolve(links, after), gone, relinked)
+        return len(changed)
+
     # ---- scans ----
     def table(self, name: str) -> DataFrame:
+        """Notes, chunks, links, or postings (bucket, term, chunk_id, positions, dl)."""
+        if name == "postings":
+            return self._entries(self._blocks(), "positions", "dls").withColumnRenamed("dls", "dl")
+        return self._live(name).drop("_segment")
+
+    def _folders(self, made: dict) -> list[tuple[int, dict, str]]:
+        return [(k, s, f"{self.root}/{s['folder']}") for k, s in enumerate(made["segments"])]
+
+    def _made(self) -> dict:
         made = self.metadata()
         if not made:
             raise ValueError(f"there is no index in {self.root}")
-        rows = self.spark.read.option("mergeSchema", True).parquet(f"{made['name']}/{name}")
-        # generations of an earlier version may lack a column
+        return made
+
+    def _live(self, name: str, everything: bool = False) -> DataFrame:
+        """The rows of all segments, with the number of each, but for those that a later one says are gone."""
+        key, gone = ("source_path", "gone_links") if name == "links" else ("path", "gone")
+        made, rows, lost = self._made(), None, None
+        for k, s, folder in self._folders(made):
+            if name in s["tables"]:
+                part = self.spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}").withColumn("_segment", F.lit(k))
+                rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+            if s.get("delta"):
+                part = self.spark.read.parquet(f"{folder}/{gone}").select(F.col("path").alias(key), F.lit(k).alias("_gone"))
+                lost = part if lost is None else lost.unionByName(part)
+        if rows is None:
+            raise ValueError(f"the index in {self.root} has no {name}")
+        if lost is not None:
+            rows = rows.join(lost.groupBy(key).agg(F.max("_gone").alias("_gone")), key, "left").where("_gone IS NULL OR _segment >= _gone").drop("_gone")
+        # segments of an earlier version may lack a column
         for column, kind in COLUMNS.get(name, {}).items():
             if column not in rows.columns:
                 rows = rows.withColumn(column, F.lit(None).cast(kind))
+        return rows if everything else rows.drop("_block", "_dl")
+
+    def _read_postings(self, *columns: str) -> DataFrame:
+        """Rows of postings of all segments as they were written."""
+        rows = None
+        for k, s, folder in self._folders(self._made()):
+            part = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{folder}/postings").select("bucket", F.lit(k).alias("_segment"), *columns)
+            rows = part if rows is None else rows.unionByName(part)
         return rows
 
+    def _dead(self) -> DataFrame | None:
+        """(_segment, _block, dead): the chunks of each block that later segments say are gone, at most a block's number."""
+        parts = [self.spark.read.parquet(f"{folder}/dead").select("_segment", "_block", "chunk_id") for _, s, folder in self._folders(self._made()) if s.get("dead")]
+        if not parts:
+            return None
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows.groupBy("_segment", F.col("_block").alias("block")).agg(F.collect_set("chunk_id").alias("_dead"))
+
+    def _blocks(self, condition: Column | None = None, *columns: str) -> DataFrame:
+        """Rows of postings without the chunks that are gone: all columns, or ids and some of freqs, dls, positions."""
+        arrays = columns or ("freqs", "dls", "positions")
+        rows = self._read_postings("term", "block", "n", "impact", "ids", *arrays)
+        rows = rows if condition is None else rows.where(condition)
+        dead = self._dead()
+        if dead is None:
+            return rows
+        rows = rows.join(dead, ["_segment", "block"], "left")
+        left = F.filter(F.arrays_zip("ids", *arrays), lambda e: F.col("_dead").isNull() | ~F.array_contains("_dead", e["ids"]))
+        rows = rows.select("bucket", "_segment", "term", "block", "impact", left.alias("_left"))
+        return rows.select("bucket", "_segment", "term", "block", F.size("_left").alias("n"), "impact", *(F.col(f"_left.{a}").alias(a) for a in ("ids", *arrays)))
+
+    def _entries(self, rows: DataFrame, *arrays: str) -> DataFrame:
+        """A row for each term of a chunk."""
+        return rows.select("bucket", "term", F.explode(F.arrays_zip("ids", *arrays)).alias("_e")).select("bucket", "term", F.col("_e.ids").alias("chunk_id"), *(f"_e.{a}" for a in arrays))
+
     def chunks(self) -> DataFrame:
         """All chunks as hits of score 0, in the order of their ids."""
         return self.table("chunks").withColumn("score", F.lit(0.0)).orderBy("chunk_id")
@@ -148,29 +413,61 @@ class Index:
         """``hits`` with the bodies of their chunks, by id."""
         return hits.join(self.table("chunks").select("chunk_id", "body"), "chunk_id", "left")
 
+    def _of_terms(self, terms: list[str]) -> Column:
+        """A condition that is met by the partitions and rows of some terms."""
+        return F.col("bucket").isin([bucket_number(t) for t in terms]) & F.col("term").isin(terms)
+
     def postings(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms; only their partitions are read."""
-        wanted = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()]  # one row for each word of a query
-        return self.table("postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+        """(bucket, term, chunk_id, positions, dl) of some terms; only their partitions are read."""
+        return self._entries(self._blocks(self._of_terms(terms), "positions", "dls"), "positions", "dls").withColumnRenamed("dls", "dl")
+
+    def entries(self, terms: list[str], blocks: Column | None = None) -> DataFrame:
+        """(bucket, term, chunk_id, freqs, dls) of some terms, in the blocks that meet a condition on _segment and block."""
+        condition = self._of_terms(terms)
+        return self._entries(self._blocks(condition if blocks is None else condition & blocks, "freqs", "dls"), "freqs", "dls")
+
+    def heads(self, terms: list[str]) -> DataFrame:
+        """(_segment, block, term, n, impact) of some terms, without their lists; the impacts hold for the index as a whole."""
+        made = self._made()
+        wider = F.element_at(F.array(*(F.lit(max(1.0, made["average"] / s["average"])) for s in made["segments"])), F.col("_segment") + 1)
+        rows = self._read_postings("term", "block", "n", "impact").where(self._of_terms(terms))
+        return rows.groupBy("_segment", "block", "term").agg(F.sum("n").alias("n"), F.max(F.col("impact") * wider).alias("impact"))
+
+    def frequencies(self, terms: list[str], heads: DataFrame | None = None) -> dict[str, int]:
+        """How many chunks have each term: those of all segments but those that are gone."""
+        rows = (self.heads(terms) if heads is None else heads).select("term", F.col("n").cast("long").alias("n"))
+        for _, s, folder in self._folders(self._made()):
+            if s.get("dead"):
+                lost = self.spark.read.schema("term string, n long, bucket int").parquet(f"{folder}/minus").where(self._of_terms(terms))
+                rows = rows.unionByName(lost.select("term", (-F.col("n")).alias("n")))
+        return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of a query
 
     # ---- vectors ----
     def embeddings(self) -> DataFrame:
-        where = f"{self.root}/embeddings"
-        if not exists(self.spark, where):
+        """The newest vector of each hash and model."""
+        made = self.log.read(self.version)
+        if not made or not made["vectors"]:
             return self.spark.createDataFrame([], EMBEDDINGS)
-        return self.spark.read.schema(EMBEDDINGS).parquet(where)
+        parts = [self.spark.read.schema(EMBEDDINGS).parquet(f"{self.root}/{name}") for name in made["vectors"]]
+        if len(parts) == 1:
+            return parts[0]
+        rows = parts[0].withColumn("_part", F.lit(0))
+        for k, part in enumerate(parts[1:], 1):
+            rows = rows.unionByName(part.withColumn("_part", F.lit(k)))
+        newest = rows.groupBy("content_hash", "model").agg(F.max("_part").alias("_part"))
+        return rows.join(newest, ["content_hash", "model", "_part"]).drop("_part")
 
     def store_embeddings(self, rows: DataFrame) -> None:
-        """Rows (content_hash, model, dimensions, vector) replace those of the same hash and model."""
+        """Rows (content_hash, model, dimensions, vector) replace those of the same hash and model; the others are not written again until there are many parts."""
         rows = rows.select("content_hash", "model", F.col("dimensions").cast("int"), F.col("vector").cast("array<float>")).dropDuplicates(["content_hash", "model"])
-        fresh, where = f"{self.root}/embeddings-{uuid.uuid4().hex[:12]}", f"{self.root}/embeddings"
-        rows.write.option("compression", "zstd").parquet(fresh + "-new")
-        new = self.spark.read.schema(EMBEDDINGS).parquet(fresh + "-new")
-        old = self.embeddings().join(new, ["content_hash", "model"], "left_anti")
-        old.unionByName(new).write.option("compression", "zstd").parquet(fresh)
-        delete(self.spark, where)
-        self._rename(fresh, where)
-        delete(self.spark, fresh + "-new")
+        name = self._name("vectors")
+        self._write(rows, f"{self.root}/{name}")
+        made = self._commit(lambda last: last | {"vectors": [*last["vectors"], name]})
+        if len(made["vectors"]) > MANY:
+            whole = self._name("vectors")
+            self._write(replace(self, version=made["version"]).embeddings(), f"{self.root}/{whole}")
+            merged = set(made["vectors"])
+            self._commit(lambda last: last | {"vectors": [whole, *(v for v in last["vectors"] if v not in merged)]})
 
     def missing(self, model: str) -> DataFrame:
         """(content_hash, search_text) of the chunks without a vector of the model."""
