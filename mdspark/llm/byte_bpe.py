@@ -16,6 +16,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdspark.llm.common import small_arrow_batches
@@ -149,7 +150,8 @@ def encode_decode(df: DataFrame, vocabulary_path: str, pattern: str, text: str =
     """``keep`` (all columns, if not given) with ids array<int> and decoded binary.
 
     Whole texts are encoded; null counts as empty and gives no ids. Columns named ids or decoded
-    are replaced. The vocabulary file is read on the driver and broadcast, its size is checked.
+    are replaced, others of any name stay. Rows that repeat repeat their result; an empty table
+    gives an empty table. The vocabulary file is read on the driver and broadcast, its size is checked.
     Each partition is mapped by itself: no shuffle, and a lost executor repeats its own tasks.
     """
     with open(vocabulary_path, "rb") as f:
@@ -159,8 +161,8 @@ def encode_decode(df: DataFrame, vocabulary_path: str, pattern: str, text: str =
     shared = df.sparkSession.sparkContext.broadcast(raw)
     small_arrow_batches(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c not in ("ids", "decoded")]
-    source = df.select(*keep, df[text].alias("_source"))
-    schema = df.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
+    source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"))
+    schema = T.StructType(source.schema.fields[:-1]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
     key = (hash(raw), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +186,4 @@ def encode_decode(df: DataFrame, vocabulary_path: str, pattern: str, text: str =
                 )
                 start = stop
 
-    return source.mapInArrow(run, schema)
+    return source.toDF(*map(str, range(len(keep) + 1))).mapInArrow(run, schema)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +16,10 @@ from mdspark.llm.common import small_arrow_batches
 
 #: Lines in a sliding window, text that a window needs at a surge, share of link text at which a line counts as empty.
 WINDOW, SURGE, LINKED = 3, 80, 0.5
+#: On a page without such a window, the share of its text that a window needs.
+SHARE = 0.2
+#: What a character of a script without spaces weighs, and the characters that make a paragraph of links text outside of articles.
+DENSE, SENTENCE = 3, 25
 #: Elements with no main text in them.
 DROPPED = frozenset(
     "head script style noscript template svg math iframe object nav header footer aside button select textarea menu dialog audio video canvas map".split()
@@ -26,20 +30,39 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre hr figure figcaption address details summary center fieldset legend".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Classes, ids and roles that mark what may not be the article. Their text is measured like the text of forms.
-MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead breadcrumb breadcrumbs cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer complementary contentinfo search form skip".split()
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
+#: Classes, ids and roles of what is never the article.
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share sharing comment comments reply replies respond disqus related recommended pagination pager copyright legal disclaimer breadcrumb breadcrumbs".split()
 )
+#: Those of parts of a page's layout, which may stand around the article as well.
+LAYOUT = frozenset(
+    "banner promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead overlay social widget toolbar complementary contentinfo search form skip".split()
+)
+#: Words that mark an element as a part of its class or id, too, as in comment-list, unless one of NOT stands before them.
+COMPOUND = frozenset(
+    "advert adverts advertisement advertising sponsor sponsored cookie cookies consent notice popup modal newsletter comment comments disqus related breadcrumb breadcrumbs promo nav navbar menu sidebar".split()
+)
+NOT = frozenset("has no not with without is show hide hides enable enabled disable disabled".split())
 _NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 #: The end of a tag, beyond quoted values.
 _TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 #: Attributes in order, so that no value is read as a name.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _word(token: str) -> str | None:
+    """The word that marks an element of this class, id or role."""
+    if token in OTHERS or token in LAYOUT:
+        return token
+    parts = re.split("[-_]+", token)
+    return None if len(parts) < 2 or parts[0] in NOT else next((w for w in parts if w in COMPOUND), None)
 
 
 def _mark(tag: str, attributes: str) -> str | None:
-    """What marks the element: a word of MARKED, form, aria-hidden; hidden, if it is not shown at all; else None."""
+    """What marks the element: a word of OTHERS before one of LAYOUT, form, aria-hidden; hidden, if it is not shown at all; else None."""
     found = "form" if tag == "form" else None
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
@@ -48,7 +71,8 @@ def _mark(tag: str, attributes: str) -> str | None:
         if name == "aria-hidden" and value != "false":
             found = found or name
         elif name in ("class", "id", "role"):
-            found = found or next((w for w in value.split() if w in MARKED), None)
+            words = [w for w in map(_word, value.split()) if w]
+            found = next((w for w in words if w in OTHERS), found or next(iter(words), None))
     return found
 
 
@@ -73,29 +97,59 @@ class _Tags:
             if name := _NAME.match(page, start):
                 end = None if self.broken else _TAG_END.match(page, name.end())
                 stop = end.end() if end else page.find(">", name.end()) + 1
-                if not stop:
-                    return None
+                if not stop:  # cut off
+                    return start, len(page), "", "", ""
                 self.broken = self.broken or not end
                 return start, stop, name[1], name[2].lower(), page[name.end() : stop - 1]
             at = start + 1
         return None
 
 
-def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
-    """(text, characters of links in it, number of the outermost article or main around it, else 0, innermost mark around it) of each line; dropped parts give empty lines.
+class Line(NamedTuple):
+    text: str
+    #: Characters of links in it.
+    linked: int
+    #: Number of the outermost article or main around it, else 0.
+    article: int
+    #: Marks around it, outermost first.
+    marks: tuple[str, ...]
+    #: Whether it is a paragraph or heading.
+    paragraph: bool
+
+    def weight(self) -> int:
+        links = self.linked > LINKED * len(self.text) and not (self.paragraph and (self.article or len(self.text) >= SENTENCE))
+        return 0 if links else len(self.text) + (DENSE - 1) * len(_DENSE.findall(self.text))
+
 
-    One pass over the tags. A dropped or marked element ends with its own end tag, a marked one
-    also with that of a marked one around it; one that is no article's part ends where an article
-    begins.
+def lines(page: str) -> list[Line]:
+    """The lines of a page; dropped parts give empty ones.
+
+    A dropped or marked element ends with its own end tag, a marked one also with that of a marked
+    one around it; one that is no article's part ends where an article begins. A tag of a dropped
+    element that nothing ends drops nothing, and if nesting leaves one open, the first end tag
+    ends it.
     """
-    out: list[tuple[str, int, int, str]] = []
+    out, open_at = _lines(page, None)
+    return out if open_at is None else _lines(page, open_at)[0]
+
+
+def _lines(page: str, flat_from: int | None) -> tuple[list[Line], int | None]:
+    """The lines, and where a dropped element began that was open at the end. From ``flat_from`` on dropped elements do not nest."""
+    out: list[Line] = []
     text: list[str] = []
-    linked, at, article, number, anchor = 0, 0, 0, 0, 0
-    dropped, depth = "", 0
+    linked, at, article, number, anchor, paragraph = 0, 0, 0, 0, 0, False
+    dropped, depth, since = "", 0, 0
     marks: list[list] = []  # mark, tag, open elements of that tag, whether it is in a link
+    ends: dict[str, int] = {}
+    whole = page.lower()
+
+    def ended(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = whole.rfind(f"</{tag}")
+        return ends[tag] >= at
 
     def add(joined: str) -> None:
-        out.append((joined, min(linked, len(joined)), number if article else 0, marks[-1][0] if marks else ""))
+        out.append(Line(joined, min(linked, len(joined)), number if article else 0, tuple(m[0] for m in marks), paragraph))
 
     def flush() -> None:
         nonlocal linked
@@ -124,7 +178,7 @@ def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
                 add("")
             else:
                 if tag == dropped and not attributes.endswith("/"):
-                    depth += -1 if closing else 1
+                    depth = 0 if closing and flat_from is not None and since >= flat_from else depth + (-1 if closing else 1)
                     if not depth:
                         dropped = ""
                         add("")
@@ -135,14 +189,14 @@ def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
                         add("")
                 continue
         mark = None if closing or tag in VOID or tag in ("html", "body", "main") else _mark(tag, attributes)
-        if not closing and tag not in VOID and (tag in DROPPED or tag in RAW or mark == "hidden"):
+        if not closing and tag not in VOID and (tag in DROPPED or tag in RAW or mark == "hidden") and (tag in RAW or mark == "hidden" or ended(tag, at)):
             if tag in RAW:
                 if tag not in ("script", "style"):
                     flush()
                 at = _raw_end(page, at, tag)
             elif not attributes.endswith("/"):
                 flush()
-                dropped, depth = tag, 1
+                dropped, depth, since = tag, 1, found[0]
             continue
         if begins and marks:
             flush()
@@ -163,14 +217,15 @@ def lines(page: str) -> Iterator[tuple[str, int, int, str]]:
             flush()
             number += not closing and not article
             article = max(0, article + (-1 if closing else 1))
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in DROPPED:
             flush()
+            paragraph = tag in PARAGRAPHS and not closing
         elif tag == "br":
             text.append(" ")
         elif tag == "a":
             anchor = 0 if closing else 1
     flush()
-    yield from out
+    return out, since if dropped and flat_from is None else None
 
 
 def _raw_end(page: str, at: int, tag: str) -> int:
@@ -178,12 +233,12 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return end.end() if end else len(page)
 
 
-def _regions(weights: list[int]) -> list[bool]:
+def _regions(weights: list[int], surge: float) -> list[bool]:
     """Lines of some weight between a surge and the next dive."""
     sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
     keep, inside = [False] * len(weights), False
     for k, weight in enumerate(weights):
-        if not inside and sums[k] >= SURGE and weight:
+        if not inside and sums[k] >= surge and weight:
             inside = True
         elif inside and not sums[k]:
             inside = False
@@ -191,9 +246,9 @@ def _regions(weights: list[int]) -> list[bool]:
     return keep
 
 
-def _kept(weights: list[int], articles: list[int]) -> list[bool]:
+def _kept(weights: list[int], articles: list[int], surge: float) -> list[bool]:
     """The regions, widened to the articles they touch; what they have outside of these must be a region by itself."""
-    keep = _regions(weights)
+    keep = _regions(weights, surge)
     touched = {a for a, k in zip(articles, keep, strict=True) if k and a}
     if not any(keep):
         touched = set(articles) - {0}
@@ -201,16 +256,18 @@ def _kept(weights: list[int], articles: list[int]) -> list[bool]:
         return keep
     alone: list[bool] = []
     for _, run in groupby(zip(articles, weights, strict=True), key=itemgetter(0)):
-        alone += _regions([w for _, w in run])
+        alone += _regions([w for _, w in run], surge)
     return [w > 0 and (a in touched if a else k) for w, a, k in zip(weights, articles, alone, strict=True)]
 
 
-def _chosen(weights: list[int], articles: list[int], marks: list[str], some: set[str]) -> list[bool]:
-    """What is kept of the lines with one of the marks ``some``; each run of others is one empty line."""
-    at = [k if m in some else -1 for k, m in enumerate(marks)]
+def _chosen(found: list[Line], weights: list[int], depth: int, share: float | None) -> list[bool]:
+    """What is kept of the lines in at most ``depth`` marked elements, none of OTHERS; each run of other lines is one empty line."""
+    at = [k if len(line.marks) <= depth and not OTHERS.intersection(line.marks) else -1 for k, line in enumerate(found)]
     at = [k for n, k in enumerate(at) if k >= 0 or not n or at[n - 1] >= 0]
-    kept = _kept([weights[k] if k >= 0 else 0 for k in at], [articles[k] if k >= 0 else articles[at[n - 1]] if n else 0 for n, k in enumerate(at)])
-    keep = [False] * len(weights)
+    some = [weights[k] if k >= 0 else 0 for k in at]
+    surge = SURGE if share is None else min(SURGE, max(1, share * sum(some)))
+    kept = _kept(some, [found[k].article if k >= 0 else found[at[n - 1]].article if n else 0 for n, k in enumerate(at)], surge)
+    keep = [False] * len(found)
     for k, yes in zip(at, kept, strict=True):
         if k >= 0:
             keep[k] = yes
@@ -220,28 +277,27 @@ def _chosen(weights: list[int], articles: list[int], marks: list[str], some: set
 def main_text(page: str) -> str:
     """Lines between surge and dive points, joined by one line feed.
 
-    The length of a line is the length of its text, nothing if most of it is links. A surge is
-    where the windows' sums come to SURGE; the dive is where a whole window is empty again. An
-    article or main element that a kept region touches is kept but for its lines of links; lines
-    outside stay if they are a region without its text. If a page has no region, its articles,
-    too short for a surge, are kept likewise.
-
-    Elements of one mark, such as form or sidebar, stay if their regions have more text than is
-    kept without them, marks of most text first.
+    The weight of a line is the length of its text, more in scripts without spaces, and nothing if
+    most of it is links, unless it is a paragraph. A surge is where the windows' sums come to
+    SURGE; the dive is where a whole window is empty again. An article or main element that a kept
+    region touches is kept but for its lines of links; lines outside stay if they are a region
+    without its text. If a page has no region, its articles, too short for a surge, are kept
+    likewise.
+
+    What stands in an element marked by a word of OTHERS, such as comments, is never kept. Other
+    marked elements, such as forms and sidebars, are kept only if the lines outside of them have
+    neither a region nor an article: first the outermost ones, without those within them, then
+    the next. On a page without any of that, a surge needs but SHARE of its text.
     """
-    found = list(lines(page))
-    weights, articles, marks = [0 if n > LINKED * len(t) else len(t) for t, n, _, _ in found], [a for _, _, a, _ in found], [m for *_, m in found]
-    keep = _chosen(weights, articles, marks, {""})
-    sizes = {}
-    for mark in set(marks) - {""}:
-        regions = _regions([w if m == mark else 0 for w, m in zip(weights, marks, strict=True)])
-        sizes[mark] = sum(w for w, k in zip(weights, regions, strict=True) if k)
-    some = {""}
-    for mark in sorted(sizes, key=lambda m: (-sizes[m], m)):
-        if sizes[mark] > sum(w for w, k in zip(weights, keep, strict=True) if k):
-            some.add(mark)
-            keep = [a or b for a, b in zip(keep, _chosen(weights, articles, marks, some), strict=True)]
-    return "\n".join(t for (t, *_), k in zip(found, keep, strict=True) if k and t)
+    found = lines(page)
+    weights = [line.weight() for line in found]
+    deepest = max((len(line.marks) for line in found), default=0)
+    for share in (None, SHARE):
+        for depth in range(deepest + 1):
+            keep = _chosen(found, weights, depth, share)
+            if any(keep):
+                return "\n".join(line.text for line, k in zip(found, keep, strict=True) if k and line.text)
+    return ""
 
 
 def extract_main_text(df: DataFrame, column: str = "html", to: str = "text") -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from mdspark.llm.common import Workspace
 
-#: Turns over the graph at most, distinct instances that must support a pattern, and its least confidence.
-TURNS, SUPPORT, CONFIDENCE = 12, 3, 0.5
+#: Turns over the graph after which it is an error that patterns still come or go, distinct instances that must support a pattern, and its least confidence.
+TURNS, SUPPORT, CONFIDENCE = 100, 3, 0.5
 #: Lengths that are summed at once for the places of matches.
 CHUNK = 64
 KINDS = ("email", "ip", "card", "phone")
@@ -137,7 +137,8 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ``base`` has the matches of the fixed forms, ``spans`` these and what learned patterns add
     (kind ``context``). Null and empty texts have none; ids may be null or repeat, and rows that
     repeat an id and a text get the same spans, each its own row; an empty table gives an empty
-    table. Texts of any length are searched whole, in time that grows with their length. ``k`` is
+    table. Texts of any length are searched whole; to look
+    for a text's identifiers outside of its fixed forms each one is held against all of these. ``k`` is
     a 128-bit hash of id and text, for joins. Words, patterns and instances are counted over all
     texts, with partial sums before each shuffle; texts themselves are not shuffled.
     """
@@ -189,6 +190,9 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         reached = edges.join(patterns, "p").select("v", F.greatest(F.col("seed").cast("double"), "confidence").alias("score"))
         kept = edges.select("v", F.col("seed").cast("double").alias("score"))
         score = ws.write(reached.unionByName(kept).groupBy("v").agg(F.max("score").alias("score")), f"scores-{turn}")
+        ws.drop(f"scores-{turn - 1}", f"patterns-{turn - 1}")
+    else:
+        raise RuntimeError(f"patterns still come and go after {TURNS} turns")
     added = found.select("k", F.explode("others").alias("s")).select("k", "s.start", "s.stop", "s.value", F.explode("s.ps").alias("p")).join(good, "p", "left_semi")
     one = F.struct("start", F.lit(len(KINDS)).alias("o"), "stop", F.lit(FOUND).alias("kind"), "value")
     added = ws.write(added.groupBy("k").agg(F.collect_set(one).alias("added")), "added")

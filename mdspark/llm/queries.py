@@ -111,7 +111,7 @@ FROM parts LEFT JOIN fits ON fits.n = parts.n AND k = 1
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, words=51)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.stop - x.start)
     return cut.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "repeated_words"

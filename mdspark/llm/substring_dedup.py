@@ -310,8 +310,8 @@ def _word_codes(docs: DataFrame) -> DataFrame:
     return docs.select("k", "k2", "bytes").mapInArrow(run, "k long, k2 long, bytes binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, removed, kept, repeated_words) of each row: all bytes go that lie in a string of ``length`` bytes which also starts elsewhere.
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, removed, kept) of each row: all bytes go that lie in a string of ``length`` bytes which also starts elsewhere.
 
     Elsewhere is any other place of the same or another row; rows that repeat are copies of each
     other. Strings are judged on the input, matches never cross rows. ``removed`` are the maximal
@@ -319,9 +319,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str
     texts shorter than ``length`` stay whole, long ones are read whole; ids may be null or repeat;
     other columns are not read; an empty table gives an empty table.
 
-    A passage of many short words may be shorter than ``length``. ``repeated_words`` counts the
-    words that lie in a run of ``words`` words which also starts elsewhere, found by the same
-    construction over texts of CODE bytes a word; it removes nothing.
+    A passage of many short words may be shorter than ``length``. With ``words`` a column
+    repeated_words counts the words that lie in a run of so many words which also starts
+    elsewhere, found by the same construction over texts of CODE bytes a word; it removes nothing,
+    and takes as long again.
 
     Equal runs are counted with map-side sums, so copies cost one row a task, and are then two
     equal strings of their group. All groups with more than one run are built column by column;
@@ -333,6 +334,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51, key: str
     rows = rows.withColumn("k", F.xxhash64("doc_id", "bytes")).withColumn("k2", F.xxhash64(F.lit("row"), "bytes", "doc_id"))
     hits = _repeats(ws, rows, length, "bytes")
     # a code is whole only where it begins at a word, and two neighbours of a run agree in all their bytes with a chance of 1 in 2**32
-    repeated = _repeats(ws, _word_codes(rows), words * CODE, "words").withColumnRenamed("found", "repeated")
-    out = _cut(rows.join(hits, ["k", "k2"], "left").join(repeated, ["k", "k2"], "left"))
-    return out.withColumnRenamed("doc_id", key)
+    rows = rows.join(hits, ["k", "k2"], "left")
+    if words is None:
+        return _cut(rows.withColumn("repeated", F.lit(None))).drop("repeated_words").withColumnRenamed("doc_id", key)
+    repeated = _repeats(ws, _word_codes(rows.drop("found")), words * CODE, "words").withColumnRenamed("found", "repeated")
+    return _cut(rows.join(repeated, ["k", "k2"], "left")).withColumnRenamed("doc_id", key)

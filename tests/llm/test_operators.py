@@ -106,6 +106,7 @@ def test_substring_dedup(docs, empty):
     def words(w):
         return len({j for k in range(len(w) - n + 1) if often[tuple(w[k : k + n])] > 1 for j in range(k, k + n)})
 
+    assert substring_dedup.remove_repeats(docs, length).columns == ["doc_id", "n_bytes", "removed", "kept"]
     got = substring_dedup.remove_repeats(docs, length, n).collect()
     want = sorted((str(i), len(r), *brute(r), words(w)) for (i, _), r, w in zip(TEXTS, raw, rows, strict=True))
     assert sorted((str(g.doc_id), g.n_bytes, sum(s.stop - s.start for s in g.removed), bytes(g.kept), g.repeated_words) for g in got) == want
@@ -194,6 +195,35 @@ def test_html_marked_elements_are_measured():
     assert html_text.main_text("".join(f"<section class=widget>{p}</p></section>" for p in body.split("</p>")[:5])) == text
 
 
+SENTENCE = "This is a sentence of the article about the rivers. "
+COMMENTS = "".join(f"<p>{'A comment that is long enough for a region of its own. ' * 2}</p>" for _ in range(9))
+
+
+@pytest.mark.parametrize("mark", ["comments", "comment-list", "cookie-bar", "newsletter_signup", "sidebar", "notice", "related"])
+@pytest.mark.parametrize("article", [f"<article>{f'<p>{SENTENCE}</p>' * 3}</article>", f"<div>{f'<p>{SENTENCE}</p>' * 3}</div>", f'<form class="no-{{mark}}">{f"<p>{SENTENCE}</p>" * 3}</form>', "<article><p>Short.</p></article>"])
+def test_html_marked_parts_never_win_by_length(mark, article):
+    text = html_text.main_text(f'<body>{article.format(mark=mark)}<div class="{mark}">{COMMENTS}</div></body>')
+    assert text == ("Short." if "Short" in article else "\n".join([SENTENCE.strip()] * 3))
+
+
+def test_html_odd_pages():
+    body = f"<p>{SENTENCE * 3}</p>"
+    text = (SENTENCE * 3).strip()
+    # a tag that is cut off at the end is no text
+    assert html_text.main_text(body + '<a href="http://x.y') == text == html_text.main_text(body + "<")[: len(text)]
+    # pages of short lines, and of scripts without spaces
+    lines = [f"Eighteen chars {k}." for k in range(10)]
+    assert html_text.main_text("".join(f"<div>{x}</div>" for x in lines)) == "\n".join(lines)
+    assert html_text.main_text(f"<div>{'河流湖泊山川大地天' * 5}</div>") == "河流湖泊山川大地天" * 5
+    # paragraphs of links are text, lists of them are not
+    link = "<p><a href=/x>A link that is a whole sentence</a></p>"
+    assert html_text.main_text(f"<article>{body}{link}<ul><li><a>tag</a></ul><p>End.</p></article>") == f"{text}\nA link that is a whole sentence\nEnd."
+    assert html_text.main_text(f"{body}{link * 3}<p>The short end.</p>").endswith("\nThe short end.")
+    # what nothing ends swallows nothing
+    assert html_text.main_text(f"<nav><ul><li><a>x</a></ul><div>{body}</div>") == text == html_text.main_text(f"<nav><nav><a>x</a></nav><div>{body}</div>")
+    assert html_text.main_text(f"<div class=comments>{COMMENTS}</div>") == "" == html_text.main_text("<nav>" + "<a>x</a>" * 90 + "</nav>")
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?q", "https://a.example.com/en/", "http://example.com/de", "http://x.net/es/1", "http://x.net", "http://com/", "mailto:x", None, "", "http://a.org#x", "http://badexample.com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))

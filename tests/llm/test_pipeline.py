@@ -88,3 +88,15 @@ def test_run(spark, corpus):
     assert {r.doc_id for r in rows if r.doc_id < 1000} == {*range(120), 301}
     assert all(r.round_trip and r.n_tokens == len(r.ids) > 0 for r in rows)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_columns_of_any_name_stay(spark, corpus):
+    folder, texts = corpus
+    names = ["_row", "_score", "_ROW_", "k", "t", "row", "m", "_source", "id"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *(f"concat('{n}', doc_id) AS `{n}`" for n in names), "-doc_id AS `a.b`")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns
+    rows = corpus_pipeline.encode(spark, docs, folder).collect()
+    assert len(rows) > 100 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names) and all(r["a.b"] == -r.doc_id and r.n_chars for r in rows)
