@@ -39,6 +39,7 @@ OTHERS = frozenset(
 LAYOUT = frozenset(
     "banner promo promotion nav navbar navigation menu sidebar side aside rail footer header masthead overlay social widget toolbar complementary contentinfo search form skip".split()
 )
+FORMS = frozenset(("form", "aria-hidden"))
 #: Words that mark an element as a part of its class or id, too, as in comment-list, unless one of NOT stands before them.
 COMPOUND = frozenset(
     "advert adverts advertisement advertising sponsor sponsored cookie cookies consent notice popup modal newsletter comment comments disqus related breadcrumb breadcrumbs promo nav navbar menu sidebar".split()
@@ -260,9 +261,9 @@ def _kept(weights: list[int], articles: list[int], surge: float) -> list[bool]:
     return [w > 0 and (a in touched if a else k) for w, a, k in zip(weights, articles, alone, strict=True)]
 
 
-def _chosen(found: list[Line], weights: list[int], depth: int, share: float | None) -> list[bool]:
-    """What is kept of the lines in at most ``depth`` marked elements, none of OTHERS; each run of other lines is one empty line."""
-    at = [k if len(line.marks) <= depth and not OTHERS.intersection(line.marks) else -1 for k, line in enumerate(found)]
+def _chosen(found: list[Line], weights: list[int], allowed: frozenset, depth: int, share: float | None) -> list[bool]:
+    """What is kept of the lines in at most ``depth`` marked elements, of ``allowed`` marks; each run of other lines is one empty line."""
+    at = [k if len(line.marks) <= depth and allowed.issuperset(line.marks) else -1 for k, line in enumerate(found)]
     at = [k for n, k in enumerate(at) if k >= 0 or not n or at[n - 1] >= 0]
     some = [weights[k] if k >= 0 else 0 for k in at]
     surge = SURGE if share is None else min(SURGE, max(1, share * sum(some)))
@@ -286,15 +287,16 @@ def main_text(page: str) -> str:
 
     What stands in an element marked by a word of OTHERS, such as comments, is never kept. Other
     marked elements, such as forms and sidebars, are kept only if the lines outside of them have
-    neither a region nor an article: first the outermost ones, without those within them, then
-    the next. On a page without any of that, a surge needs but SHARE of its text.
+    neither a region nor an article: forms before the others, the outermost ones, without those
+    within them, before the next. On a page without any of that, a surge needs but SHARE of its text.
     """
     found = lines(page)
     weights = [line.weight() for line in found]
     deepest = max((len(line.marks) for line in found), default=0)
+    steps = [(FORMS, depth) for depth in range(deepest + 1)] + [(FORMS | LAYOUT, depth) for depth in range(1, deepest + 1)]
     for share in (None, SHARE):
-        for depth in range(deepest + 1):
-            keep = _chosen(found, weights, depth, share)
+        for allowed, depth in steps:
+            keep = _chosen(found, weights, allowed, depth, share)
             if any(keep):
                 return "\n".join(line.text for line, k in zip(found, keep, strict=True) if k and line.text)
     return ""
