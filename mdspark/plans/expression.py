@@ -3,7 +3,8 @@
 Kinds come from the table's schema: null, boolean, number, string, date, duration, list, object,
 link, file, regexp, html, image, icon. Missing names, unknown functions and operands of other
 kinds give null, never an error; only a text that is no expression raises ``ExpressionError``.
-Items of a list that are of several kinds become texts, as do the two results of an ``if``.
+What is of several kinds (items of one list, the two results of an ``if``, a property that differs
+from note to note) is of kind any: a variant, whose kind is looked up in each row.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ class Typed:
     fields: dict[str, Typed] = field(default_factory=dict)
     literal: Any = None
     entries: bool = False
+    #: A number that is an integer in the data, and as such has no decimal place when shown; ``exact`` is it as it was.
+    whole: bool = False
+    exact: Column | None = None
 
     @property
     def element(self) -> str:
@@ -57,7 +61,7 @@ class Typed:
         """The same kind for another Column."""
         if self.kind == "duration" or (self.kind in STRUCTURED and not self.entries):
             return Typed(column, self.kind, fields={k: f.at(column.getField(k)) for k, f in self.fields.items()})
-        return Typed(column, self.kind, self.item, entries=self.entries)
+        return Typed(column, self.kind, self.item, entries=self.entries, whole=self.whole)
 
 
 def text(value: str) -> Typed:
@@ -84,6 +88,59 @@ def listed(column: Column, item: Typed) -> Typed:
     return Typed(column, "list", item)
 
 
+def anything(column: Column) -> Typed:
+    return Typed(column, "any")
+
+
+def no_value() -> Column:
+    return F.lit(None).cast("variant")
+
+
+#: What a variant's type says of its kind.
+_VARIANTS = {"number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "string": "^STRING", "boolean": "^BOOLEAN", "date": "^(TIMESTAMP|DATE)", "list": "^ARRAY"}
+
+
+def version(x: Typed, kind: str) -> Typed:
+    """What of kind any is a value of ``kind``; null in rows where it is none."""
+    if x.kind != "any":
+        return x if x.kind == kind else null()
+    fits = F.schema_of_variant(x.column).rlike(_VARIANTS[kind])
+    sql = {"number": "double", "date": "timestamp_ntz", "list": "array<variant>"}.get(kind, kind)
+    return Typed(F.when(fits, F.try_variant_get(x.column, "$", sql)), kind, anything(no_value()) if kind == "list" else None)
+
+
+def versions(x: Typed) -> list[Typed]:
+    return [version(x, kind) for kind in _VARIANTS] if x.kind == "any" else [x]
+
+
+def bound(x: Typed, f: Callable[[Typed], Column]) -> Column:
+    """``f`` of a value that it uses many times: as the variable of a lambda it is computed once."""
+    return F.get(F.transform(F.array(x.column), lambda v: f(x.at(v))), F.lit(0))
+
+
+def kind_name(x: Typed) -> Column:
+    if x.kind != "any":
+        return F.when(x.column.isNull() & F.lit(x.kind != "regexp"), "null").otherwise(x.kind)
+    t = F.schema_of_variant(x.column)
+    out = F.when(t.isNull() | (t == "VOID"), "null")
+    for kind, pattern in _VARIANTS.items():
+        out = out.when(t.rlike(pattern), kind)
+    return out.otherwise("object")
+
+
+def as_any(x: Typed) -> Column:
+    """The value as a variant."""
+    if x.kind == "any":
+        return x.column
+    if x.kind == "null":
+        return no_value()
+    if x.kind == "number" and x.whole:
+        return (x.exact if x.exact is not None else x.column.try_cast("bigint")).cast("bigint").cast("variant")
+    if x.kind == "list":
+        return F.transform(x.column, lambda v: as_any(x.item.at(v))).cast("variant") if x.item else x.column.cast("variant")
+    return F.to_variant_object(x.column) if x.kind in STRUCTURED or x.kind == "duration" else x.column.cast("variant")
+
+
 def _struct_kind(names: set[str]) -> str:
     if names == {"path", "display", "embed"}:
         return "link"
@@ -96,7 +153,10 @@ def typed(column: Column, t: T.DataType) -> Typed:
     if isinstance(t, T.BooleanType):
         return flag(column)
     if isinstance(t, T.NumericType):
-        return number(column.cast("double"))
+        whole = isinstance(t, T.IntegralType)
+        return Typed(column.cast("double"), "number", whole=whole, exact=column if whole else None)
+    if isinstance(t, T.VariantType):
+        return anything(column)
     if isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType):
         return Typed(column.cast("timestamp_ntz"), "date")
     if isinstance(t, T.ArrayType):
@@ -118,9 +178,13 @@ def scope_of(frame: DataFrame) -> dict[str, Typed]:
 
 
 def display(x: Typed) -> Column:
-    """Text of a value; whole numbers of expressions keep one decimal place, null is empty, links show their display."""
+    """Text of a value; integers of the data as they are, other whole numbers with one decimal place, null is empty, links show their display."""
     c = x.column
-    if x.kind == "number":
+    if x.kind == "any":
+        out = bound(x, _display_any)
+    elif x.kind == "number" and x.whole:
+        out = (x.exact if x.exact is not None else c.try_cast("decimal(20,0)")).cast("string")
+    elif x.kind == "number":
         out = F.when(c == F.floor(c), F.format_string("%.1f", c)).otherwise(c.cast("string"))
     elif x.kind == "date":
         out = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
@@ -128,6 +192,8 @@ def display(x: Typed) -> Column:
         out = F.coalesce(c["display"], c["path"])
     elif x.kind == "regexp":
         out = F.lit(x.literal[0])
+    elif x.kind == "list" and x.item and x.item.whole:
+        out = F.to_json(c.cast("array<bigint>"))
     elif x.kind in STRUCTURED or x.kind in ("list", "duration"):
         out = F.to_json(c)
     else:
@@ -135,8 +201,18 @@ def display(x: Typed) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+def _display_any(x: Typed) -> Column:
+    kind, c = F.schema_of_variant(x.column), x.column
+    dated, fraction = version(x, "date"), version(x, "number")
+    whole = F.when(kind.isin("BIGINT", "STRING", "BOOLEAN"), F.try_variant_get(c, "$", "string"))
+    return F.coalesce(whole, bound(fraction, lambda v: F.when(v.column.isNotNull(), display(v))), F.when(dated.column.isNotNull(), display(dated)), F.when(kind != "VOID", F.to_json(c)))
+
+
 def truthy(x: Typed) -> Column:
     """Null, false, 0 and the empty string are false; every list and object is true."""
+    if x.kind == "any":
+        plain = lambda v: F.coalesce(*(F.when(p.column.isNotNull(), truthy(p)) for p in (version(v, k) for k in ("number", "string", "boolean"))), kind_name(v) != "null")
+        return bound(x, plain)
     test = {"boolean": lambda c: c, "number": lambda c: c != 0, "string": lambda c: c != "", "regexp": lambda c: F.lit(True)}.get(x.kind, lambda c: c.isNotNull())
     return F.coalesce(test(x.column), F.lit(False))
 
@@ -145,6 +221,8 @@ def as_date(x: Typed) -> Column:
     """Dates, and texts that begin with one; the offset of an instant is dropped."""
     if x.kind == "date":
         return x.column
+    if x.kind == "any":
+        return bound(x, lambda v: F.coalesce(version(v, "date").column, as_date(version(v, "string"))))
     if x.kind != "string":
         return F.lit(None).cast("timestamp_ntz")
     stamp = F.regexp_extract(x.column, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)", 1)
@@ -206,6 +284,8 @@ def path_of(x: Typed) -> Column | None:
 
 
 def order(op: str, a: Typed, b: Typed) -> Column:
+    if "any" in (a.kind, b.kind):
+        return bound(a, lambda x: _order_any(op, x, b)) if a.kind == "any" else bound(b, lambda y: _order_any(op, a, y))
     apply = {">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, "=": lambda x, y: x == y}[op]
     if a.kind == b.kind and a.kind in ("number", "boolean"):
         out = apply(a.column, b.column)
@@ -218,9 +298,31 @@ def order(op: str, a: Typed, b: Typed) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _order_any(op: str, a: Typed, b: Typed) -> Column:
+    if b.kind == "any":
+        return bound(b, lambda y: _order_pairs(op, a, y))
+    return _order_pairs(op, a, b)
+
+
+def _order_pairs(op: str, a: Typed, b: Typed) -> Column:
+    """Of all pairs of versions one at most has values."""
+    out = F.lit(False)
+    for x in versions(a):
+        for y in versions(b):
+            if x.kind == y.kind != "list" or {x.kind, y.kind} == {"date", "string"}:
+                out = out | order(op, x, y)
+    return out
+
+
 def equal(a: Typed, b: Typed) -> Column:
+    if a.kind == "any" and "any" != b.kind != "null" and b.kind in _VARIANTS and b.kind != "list":
+        return order("=", a, b)
     if "null" in (a.kind, b.kind):
         return (b if a.kind == "null" else a).column.isNull()
+    if "any" in (a.kind, b.kind):
+        x, y = (F.try_variant_get(v, "$.path", "string") for v in (as_any(a), as_any(b)))
+        deep = (kind_name(a) == kind_name(b)) & kind_name(a).isin("list", "object", "link", "null", "boolean") & F.to_json(as_any(a)).eqNullSafe(F.to_json(as_any(b)))
+        return deep | F.coalesce(stem(x) == stem(y), F.lit(False)) | order("=", a, b)
     if a.kind in STRUCTURED and b.kind in STRUCTURED:
         x, y = path_of(a), path_of(b)
         same = F.to_json(a.column).eqNullSafe(F.to_json(b.column)) if a.kind == b.kind else F.lit(False)
@@ -234,8 +336,12 @@ def equal(a: Typed, b: Typed) -> Column:
 
 def coerced(x: Typed, kind: str) -> Column:
     """The Column as one of ``kind``; null where that is no such value."""
+    if kind == "any":
+        return as_any(x)
     if x.kind == kind:
         return x.column
+    if x.kind == "any" and kind in ("number", "boolean"):
+        return version(x, kind).column
     if kind == "string":
         return F.when(x.column.isNotNull(), display(x))
     if kind == "date":
@@ -253,6 +359,19 @@ def together(items: list[Typed]) -> tuple[list[Column], Typed]:
     return [i.column if i.kind != "null" else F.lit(None) for i in items], model
 
 
+def _shape(x: Typed) -> tuple:
+    """What two values must have in common to be in one Column."""
+    inner = _shape(x.item) if x.item else ()
+    return x.kind, x.whole, inner, tuple((k, _shape(f)) for k, f in x.fields.items()) if x.kind in STRUCTURED else ()
+
+
+def united(items: list[Typed]) -> tuple[list[Column], Typed]:
+    """Columns of one kind for the items, of kind any where they are of several, and a model of them."""
+    if len({_shape(i) for i in items if i.kind != "null"}) > 1 or any(i.kind == "any" for i in items):
+        return [as_any(i) for i in items], anything(no_value())
+    return together(items)
+
+
 def valid_pattern(pattern: str) -> bool:
     try:
         re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
@@ -341,6 +460,13 @@ class Compiler:
             return structure("duration", **{p: number(a.fields[p].column + b.fields[p].column) for p in PARTS})
         if a.kind == b.kind == "number":
             return number(a.column + b.column)
+        if "any" in (a.kind, b.kind):
+            x, y = coerced(a, "number"), coerced(b, "number")
+            joined = F.concat(display(a), display(b)).cast("variant")
+            by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
+            if by:
+                joined = F.when(as_date(a).isNotNull(), shifted(as_date(a), by, 1).cast("variant")).otherwise(joined)
+            return anything(F.when(x.isNotNull() & y.isNotNull(), (x + y).cast("variant")).otherwise(joined))
         by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
         if by and (a.kind == "date" or (a.kind == "string" and b.kind == "duration")):
             return Typed(shifted(as_date(a), by, 1), "date")
@@ -352,6 +478,8 @@ class Compiler:
             return structure("duration", **{p: number(a.fields[p].column - b.fields[p].column) for p in PARTS})
         if a.kind == b.kind == "number":
             return number(a.column - b.column)
+        if "any" in (a.kind, b.kind) and "duration" not in (a.kind, b.kind):
+            return number(F.coalesce(coerced(a, "number") - coerced(b, "number"), millis(as_date(a)) - millis(as_date(b))))
         by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
         if by and a.kind in ("date", "string"):
             return Typed(shifted(as_date(a), by, -1), "date")
@@ -363,10 +491,10 @@ class Compiler:
             right = self._postfix()
             if op == "*" and out.kind == "duration" and right.kind == "number":
                 out = structure("duration", **{p: number(out.fields[p].column * right.column) for p in PARTS})
-            elif out.kind != "number" or right.kind != "number":
+            elif not {out.kind, right.kind} <= {"number", "any"}:
                 out = null()
             else:
-                a, b = out.column, right.column
+                a, b = coerced(out, "number"), coerced(right, "number")
                 out = number(a * b if op == "*" else F.try_divide(a, b) if op == "/" else F.try_mod(a, b))
         return out
 
@@ -394,6 +522,10 @@ class Compiler:
                 return out
 
     def field(self, x: Typed, name: str) -> Typed:
+        if x.kind == "any":
+            inner = F.try_variant_get(x.column, "$['" + name.replace("'", "") + "']", "variant")
+            parts = [f.column for k in ("string", "list", "date") if (f := self.field(version(x, k), name)).kind == "number"]
+            return anything(F.coalesce(F.coalesce(*parts).cast("variant"), inner)) if parts else anything(inner)
         if x.entries and x.item:
             return x.item.at(F.try_element_at(x.column, F.lit(name)))
         if x.kind in STRUCTURED or x.kind == "duration":
@@ -408,6 +540,10 @@ class Compiler:
         return number(part(x.column).cast("double")) if part else null()
 
     def index(self, x: Typed, at: Typed) -> Typed:
+        if x.kind == "any":
+            if at.literal is not None and at.kind == "string":
+                return self.field(x, at.literal)
+            x = version(x, "list")
         if x.kind == "list" and at.kind == "number" and x.item:
             i = at.column.cast("int")
             return x.item.at(F.when(i >= 0, F.try_element_at(x.column, i + 1)))
@@ -418,7 +554,7 @@ class Compiler:
     def _list(self, items: list[Typed]) -> Typed:
         if not items:
             return listed(F.expr("cast(array() as array<string>)"), null())
-        columns, model = together(items)
+        columns, model = united(items)
         return listed(F.array(*columns), model)
 
     def _object(self) -> Typed:
@@ -447,7 +583,7 @@ class Compiler:
             return self._object()
         if self._take("-"):
             x = self._postfix()
-            return number(-x.column) if x.kind == "number" else null()
+            return number(-coerced(x, "number")) if x.kind in ("number", "any") else null()
         self.place += 1
         if kind == "number":
             return Typed(F.lit(float(value)), "number", literal=float(value))
@@ -473,10 +609,10 @@ class Compiler:
         args = self._arguments(")")
         a, b = (args + [null(), null()])[:2]
         if name == "if":
-            (yes, no), model = together((args + [null(), null()])[1:3])
+            (yes, no), model = united((args + [null(), null()])[1:3])
             return model.at(F.when(truthy(a), yes).otherwise(no))
         if name in ("max", "min"):
-            numbers = [x.column for x in args if x.kind == "number"]
+            numbers = [coerced(x, "number") for x in args if x.kind in ("number", "any")]
             pick = F.greatest if name == "max" else F.least
             return number(numbers[0] if len(numbers) == 1 else pick(*numbers)) if numbers else null()
         if name == "date":
@@ -490,15 +626,19 @@ class Compiler:
         if name == "length":
             if a.kind in STRUCTURED:
                 return number((F.size(a.column) if a.entries else F.lit(len(a.fields))).cast("double"))
+            if a.kind == "any":
+                return number(F.coalesce(*(self.field(version(a, k), "length").column for k in ("string", "list")), F.lit(0.0)))
             return self.field(a, "length") if a.kind in ("string", "list") else number(F.lit(0.0))
         if name in ("contains", "icontains", "startswith", "endswith"):
             if name == "icontains":
-                lower = lambda x: Typed(F.lower(x.column), "string") if x.kind == "string" else x
+                lower = lambda x: Typed(F.lower(version(x, "string").column), "string") if x.kind in ("string", "any") else x
                 a, b = lower(a), lower(b)
             return flag(self.holds({"icontains": "contains"}.get(name, name), a, b))
         if name == "join":
             return self._join(a, b if len(args) > 1 else text(", "))
         if name == "list":
+            if a.kind == "any":
+                return listed(F.coalesce(version(a, "list").column, F.array(a.column)), anything(no_value()))
             return a if a.kind == "list" else self._list([a])
         if name == "escapehtml":
             out = display(a)
@@ -521,6 +661,8 @@ class Compiler:
 
     @staticmethod
     def _number(a: Typed) -> Typed:
+        if a.kind == "any":
+            return number(F.coalesce(*(Compiler._number(version(a, k)).column for k in ("number", "string", "boolean", "date"))))
         if a.kind == "date":
             return number(millis(a.column))
         if a.kind == "string":
@@ -547,6 +689,9 @@ class Compiler:
         return structure("file", **merged)
 
     def _join(self, a: Typed, sep: Typed) -> Typed:
+        if a.kind == "any":
+            of_list = self._join(version(a, "list"), sep).column
+            return Typed(F.when(kind_name(a) == "list", of_list).otherwise(display(a)), "string")
         if a.kind != "list" or not a.item:
             return Typed(display(a), "string")
         return Typed(F.array_join(F.transform(a.column, lambda x: display(a.item.at(x))), sep.literal if sep.literal is not None else ", "), "string") if sep.literal is not None else Typed(
@@ -555,6 +700,11 @@ class Compiler:
 
     @staticmethod
     def holds(name: str, a: Typed, b: Typed) -> Column:
+        if a.kind == "any":
+            parts = (Compiler.holds(name, version(a, "string"), b), Compiler.holds(name, version(a, "list"), b))
+            return parts[0] | parts[1]
+        if a.kind == "string" and b.kind == "any":
+            b = version(b, "string")
         if a.kind == "list" and name == "contains" and a.item:
             return F.coalesce(F.exists(a.column, lambda x: equal(a.item.at(x), b)), F.lit(False))
         if a.kind in STRUCTURED and name == "contains":
@@ -567,14 +717,18 @@ class Compiler:
 
     # ---- methods ----
     def method(self, x: Typed, name: str) -> Typed:
-        if x.kind == "list" and name in ("filter", "map", "reduce"):
-            return self._over_items(x, name)
-        args = self._arguments(")")
+        if x.kind in ("list", "any") and name in ("filter", "map", "reduce"):
+            return self._over_items(version(x, "list"), name)
+        return self._called(x, name, self._arguments(")"))
+
+    def _called(self, x: Typed, name: str, args: list[Typed]) -> Typed:
         a = args[0] if args else null()
+        if x.kind == "any" and name not in ("istruthy", "istype", "tostring"):
+            return self._called_any(x, name, args)
         if name == "istruthy":
             return flag(truthy(x))
         if name == "istype":
-            return flag(F.coalesce(F.when(x.column.isNull() & F.lit(x.kind != "regexp"), a.column == "null").otherwise(a.column == x.kind), F.lit(False))) if a.kind == "string" else null()
+            return flag(F.coalesce(kind_name(x) == a.column, F.lit(False))) if a.kind == "string" else null()
         if name == "tostring":
             return Typed(display(x), "string")
         if name in ("containsall", "containsany") and x.kind in ("string", "list"):
@@ -588,6 +742,22 @@ class Compiler:
         apply = getattr(self, f"_{x.kind}_method", None) or (self._object_method if x.kind in STRUCTURED else None)
         return (apply(x, name, args, a) or null()) if apply else flag(F.lit(True)) if name == "isempty" else null()
 
+    def _called_any(self, x: Typed, name: str, args: list[Typed]) -> Typed:
+        """What the method gives in each row for the kind that its value has there; of kind any where these differ."""
+        models: list[Typed] = []
+
+        def result(value: Typed) -> Column:
+            made = [(v, self._called(v, name, args)) for v in versions(value)]
+            if name == "isempty":
+                made.insert(0, (Typed(F.when(kind_name(value) == "null", True), "boolean"), flag(F.lit(True))))
+            known = [(v, r) for v, r in made if r.kind != "null"]
+            columns, model = united([r for _, r in known]) if known else ([], null())
+            models.append(model)
+            return F.coalesce(*(F.when(v.column.isNotNull(), c) for (v, _), c in zip(known, columns, strict=True))) if known else model.column
+
+        column = bound(x, result)
+        return models[0].at(column)
+
     def _contains_many(self, x: Typed, args: list[Typed], every: bool) -> Typed:
         """One list, or any number of values."""
         if len(args) == 1 and args[0].kind == "list" and args[0].item:
@@ -649,7 +819,7 @@ class Compiler:
         if name in simple:
             return number(simple[name]())
         if name == "tofixed":
-            return Typed(F.format_string(f"%.{int(a.literal) if isinstance(a.literal, float) else 0}f", c), "string")
+            return Typed(fixed(c, int(a.literal) if isinstance(a.literal, float) else 0), "string")
         return flag(c.isNull()) if name == "isempty" else None
 
     def _string_method(self, x: Typed, name: str, args: list[Typed], a: Typed) -> Typed | None:
@@ -699,13 +869,20 @@ class Compiler:
         if name == "isempty":
             return flag(F.coalesce(F.size(c) == 0, F.lit(True)))
         if name == "flat":
+            if x.element == "any":
+                return listed(F.flatten(F.transform(c, lambda v: F.coalesce(version(anything(v), "list").column, F.array(v)))), x.item)
             return listed(F.flatten(c), x.item.item) if x.element == "list" and x.item and x.item.item else x
         if name == "reverse":
             return listed(F.reverse(c), x.item)
+        if name == "sort" and x.element == "any":
+            return listed(sorted_any(c), x.item)
         if name == "sort":
             return listed(F.array_sort(c), x.item) if x.element in ("number", "string", "date", "boolean", "null") else x
         if name != "unique":
             return None
+        if x.element == "any":
+            first = lambda v, i: ~F.exists(F.slice(c, F.lit(1), i), lambda u: equal(anything(u), anything(v)))
+            return listed(F.filter(c, first), x.item)
         if x.element in ("link", "object", "file") and x.item and path_of(x.item) is not None:
             # links to one note are one value; the first of them stays
             stems = lambda v: stem(F.coalesce(v["path"], F.lit("")))
@@ -795,7 +972,10 @@ class Compiler:
             self._need(")")
             return listed(column, made)
         first = body(model.column, F.lit(0), number(F.lit(0.0)))
-        start = self._or() if self._take(",") else Typed(F.lit(None).cast("double"), "number") if first.kind in ("number", "null") else first.at(F.lit(None).cast("string"))
+        none = no_value() if first.kind == "any" else F.lit(None).cast("string")
+        start = self._or() if self._take(",") else Typed(F.lit(None).cast("double"), "number") if first.kind in ("number", "null") else first.at(none)
+        if first.kind == "any" and start.kind != "any":
+            start = anything(as_any(start))
         end = self.place
         indexed = F.transform(x.column, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
         column = F.aggregate(indexed, start.column, lambda s, v: coerced(body(v["v"], v["i"], start.at(s)), start.kind))
@@ -804,6 +984,53 @@ class Compiler:
         return start.at(column)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """The number with so many decimal places: of its exact binary value, halves to the even digit.
+
+    The fraction is a whole number of 2**-60ths and perhaps a rest, which only tells halves from
+    more than halves; it is multiplied in whole numbers, so nothing is rounded before.
+    """
+    if digits > 18:
+        return F.format_string(f"%.{digits}f", c)
+    whole, power = lambda x: x.cast("decimal(38,0)"), F.lit(10**digits).cast("decimal(19,0)")
+    one, half = (F.lit(1 << k).cast("decimal(19,0)") for k in (60, 59))
+
+    def digits_of(size: Column) -> Column:
+        units = (size - F.floor(size)) * F.lit(float(1 << 60))
+        return F.get(F.transform(F.array(F.struct(F.floor(units).alias("parts"), (F.floor(units) != units).alias("more"))), lambda u: rounded(size, u)), F.lit(0))
+
+    def rounded(size: Column, u: Column) -> Column:
+        scaled = u["parts"].cast("decimal(19,0)") * power
+        down = whole(F.call_function("div", scaled, one))
+        even = F.struct(down.alias("down"), (scaled - down * one).alias("rest"), (whole(F.floor(size)) * power + down).alias("total"))
+        total = lambda e: whole(e["total"] + F.when((e["rest"] > half) | ((e["rest"] == half) & (u["more"] | (e["total"] % 2 == 1))), 1).otherwise(0)).cast("string")
+        return F.get(F.transform(F.transform(F.array(even), total), pointed), F.lit(0))
+
+    def pointed(t: Column) -> Column:
+        if not digits:
+            return t
+        padded = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(digits + 1) - F.length(t), F.lit(0))), t)
+        return F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.substring(padded, -digits, digits))
+
+    def shown(x: Typed) -> Column:
+        size = F.abs(x.column)
+        text = F.concat(F.when(x.column < 0, "-").otherwise(""), F.get(F.transform(F.array(size), digits_of), F.lit(0)))
+        return F.when(size < float(1 << 53), text).otherwise(F.format_string(f"%.{digits}f", x.column))
+
+    return bound(number(c), shown)
+
+
+def sorted_any(c: Column) -> Column:
+    """Values of several kinds in order: each goes after the last one before it that is not greater; what cannot be compared is not greater."""
+
+    def insert(done: Column, v: Column) -> Column:
+        greater = F.transform(done, lambda u: order(">", anything(u), anything(v)))
+        stays = F.coalesce(F.array_max(F.transform(greater, lambda g, i: F.when(~g, i + 1).otherwise(0))), F.lit(0))
+        return F.concat(F.slice(done, F.lit(1), stays), F.array(v), F.slice(done, stays + 1, F.greatest(F.size(done) - stays, F.lit(0))))
+
+    return F.aggregate(c, F.array().cast("array<variant>"), insert)
+
+
 def formatted(c: Column, pattern: str) -> Column:
     """YYYY MM DD HH mm ss; all other characters stand for themselves."""
     out = [F.lit("")]

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.plans.expression import Typed, as_date, compile_expression, lenient, listed, millis, scope_of, truthy
+from mdspark.plans.expression import Typed, as_date, coerced, compile_expression, display, lenient, listed, millis, scope_of, truthy
 
 
 def view_filter(spec: Any, frame: DataFrame, now: str | None = None) -> Column:
@@ -38,12 +38,14 @@ def view_filter(spec: Any, frame: DataFrame, now: str | None = None) -> Column:
 def summary(name: str, x: Typed) -> Column | None:
     """One of the named summaries, or None. Texts that begin with a date are dates where dates are compared."""
     c = x.column
-    value = c if x.kind == "number" else F.lit(None).cast("double")
+    value = coerced(x, "number") if x.kind in ("number", "any") else F.lit(None).cast("double")
     date = as_date(x)
+    if x.kind == "any":
+        c = F.when(c.isNotNull(), display(x))
     span = F.max(millis(date)) - F.min(millis(date)) if x.kind in ("date", "string") else F.max(value) - F.min(value)
     blank = c.isNull() | (c == "") if x.kind == "string" else c.isNull()
     flag = c if x.kind == "boolean" else F.lit(None).cast("boolean")
-    plain = c if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(c)
+    plain = c if x.kind in ("number", "string", "date", "boolean", "null", "any") else F.to_json(c)
     moment = c if x.kind in ("date", "string") else F.lit(None).cast("string")
     found = {
         "count": lambda: F.count("*"), "sum": lambda: F.coalesce(F.sum(value), F.lit(0.0)), "average": lambda: F.avg(value), "min": lambda: F.min(plain), "max": lambda: F.max(plain),
@@ -108,6 +110,8 @@ class View:
             x = self._value(source, frame)
             if x.kind in ("number", "string", "date", "boolean"):
                 out.append((x.column, direction.lower() == "desc"))
+            elif x.kind == "any":  # numbers before all else
+                out += [(key, direction.lower() == "desc") for key in (coerced(x, "number"), F.when(x.column.isNotNull(), display(x)))]
             elif x.kind != "null":
                 out.append((F.to_json(x.column), direction.lower() == "desc"))
         return out
@@ -152,7 +156,9 @@ class View:
 
     def _group_key(self, frame: DataFrame) -> Column:
         x = self._value(self.group_by or "null", frame)
-        return F.coalesce(x.column if x.kind == "string" else x.column.cast("string") if x.kind in ("number", "boolean", "null") else F.to_json(x.column) if x.kind != "date" else F.date_format(x.column, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("null"))
+        if x.kind in ("number", "date", "any"):
+            return F.when(x.column.isNotNull(), display(x)).otherwise("null")
+        return F.coalesce(x.column if x.kind == "string" else x.column.cast("string") if x.kind in ("boolean", "null") else F.to_json(x.column), F.lit("null"))
 
     def grouped(self, frame: DataFrame, tie: str = "path") -> DataFrame:
         """The rows with ``key`` in front, in the order of the keys and then of the view; no group is brought together."""
@@ -258,8 +264,8 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
             keys = []
             for part in _commas(text):
                 x = value(re.sub(r"\s+(ASC|DESC)(ENDING)?$", "", part, flags=re.I))
-                c = x.column if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(x.column)
-                keys.append(c.desc_nulls_last() if re.search(r"\sDESC(ENDING)?$", part, re.I) else c.asc_nulls_last())
+                plain = [coerced(x, "number"), F.when(x.column.isNotNull(), display(x))] if x.kind == "any" else [x.column if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(x.column)]
+                keys += [c.desc_nulls_last() if re.search(r"\sDESC(ENDING)?$", part, re.I) else c.asc_nulls_last() for c in plain]
             frame = frame.orderBy(*keys, *(["_text"] if grouped else ties))
         elif name == "LIMIT":
             frame = frame.limit(int(text))
@@ -277,7 +283,9 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
                 grouped = True
                 continue
             rest = [c for c in frame.columns if c not in ties and c != "_text"]
-            frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), F.sort_array(F.collect_list(F.struct(*([] if grouped else ties), *rest))).alias("rows")).orderBy("_text")
+            rows = F.collect_list(F.struct(*([] if grouped else ties), *rest))
+            rows = F.sort_array(rows) if grouped else F.array_sort(rows, _comparison([(t, False) for t in ties]))
+            frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), rows.alias("rows")).orderBy("_text")
             grouped = True
     shown = [c for c in frame.columns if c not in ("_text", "_n")]
     if not m[3].strip() or m[1].upper() == "TASK":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mdspark.functions.text import collapse_path, inline_tags, normalize_target, search_tokens, snippet
 from mdspark.operators import graph, retrieval, tasks
-from mdspark.plans.expression import compile_expression
+from mdspark.plans.expression import compile_expression, display
 from mdspark.plans.native_filter import compile_filter
 from mdspark.plans.task_query import TaskQuery
 from mdspark.plans.views import View, query
@@ -257,7 +257,7 @@ def _expressions(name: str, table: str, key: str, columns: dict[str, tuple[str,
         out = []
         for alias, (source, _) in columns.items():
             x = compile_expression(source, df, now="2024-03-01 12:00:00")
-            c = F.round(x.column, 6) if x.kind == "number" else F.date_format(x.column, "yyyy-MM-dd HH:mm:ss") if x.kind == "date" else F.to_json(x.column) if x.kind == "list" else x.column
+            c = F.round(x.column, 6) if x.kind == "number" else F.date_format(x.column, "yyyy-MM-dd HH:mm:ss") if x.kind == "date" else F.to_json(x.column) if x.kind == "list" else display(x) if x.kind == "any" else x.column
             out.append(c.alias(alias))
         return df.select(key, *out)
 
@@ -280,8 +280,8 @@ _expressions("expr_date", "orders", "o_orderkey", {
     "g": ("today().year + date('2020-05-06').day", "2030::DOUBLE"),
 })
 _expressions("expr_list", "nation", "n_nationkey", {
-    "a": ("[n_nationkey, 3, 1].sort().join('-')", "CASE WHEN n_nationkey >= 3 THEN '1.0-3.0-' || n_nationkey || '.0' WHEN n_nationkey >= 1 THEN '1.0-' || n_nationkey || '.0-3.0' ELSE n_nationkey || '.0-1.0-3.0' END"),
-    "b": ("[1, 2, 3, 4].filter(value > n_nationkey).length", "greatest(4 - greatest(n_nationkey, 0), 0)::DOUBLE"), "c": ("[1, 2, n_nationkey].reduce(acc + value, 0)", "3::DOUBLE + n_nationkey"), "d": ("[1, 2].map(value * n_nationkey)[1]", "2::DOUBLE * n_nationkey"),
+    "a": ("[n_nationkey, 3, 1].sort().join('-')", "CASE WHEN n_nationkey > 3 THEN '1.0-3.0-' || n_nationkey WHEN n_nationkey > 1 THEN '1.0-' || n_nationkey || '-3.0' ELSE n_nationkey || '-1.0-3.0' END"),
+    "b": ("[1, 2, 3, 4].filter(value > n_nationkey).length", "greatest(4 - greatest(n_nationkey, 0), 0)::DOUBLE"), "c": ("[1, 2, n_nationkey].reduce(acc + value, 0)", "3 + n_nationkey || '.0'"), "d": ("[1, 2].map(value * n_nationkey)[1]", "2::DOUBLE * n_nationkey"),
     "e": ("[1, 1, 2].unique().length", "2::DOUBLE"), "f": ("[n_nationkey].contains(7)", "n_nationkey = 7"),
 })
 

@@ -15,7 +15,7 @@ from mdspark import manual, outputs
 from mdspark.functions.text import line_links, normalize_target
 from mdspark.operators import graph, retrieval, tasks
 from mdspark.plans.data_array import Pages
-from mdspark.plans.expression import compile_expression
+from mdspark.plans.expression import compile_expression, display
 from mdspark.plans.script import compile_script
 from mdspark.plans.task_query import TaskQuery
 from mdspark.plans.views import View, query
@@ -116,14 +116,14 @@ def _page_values(name: str, columns: dict[str, tuple[str, str]], frame=None, tab
         out = []
         for alias, (source, _) in columns.items():
             x = compile_expression(source, pages, now="2024-03-01 12:00:00")
-            out.append((F.date_format(x.column, _STAMP) if x.kind == "date" else F.to_json(x.column) if x.kind in ("list", "object", "link") else x.column).alias(alias))
+            out.append((F.date_format(x.column, _STAMP) if x.kind == "date" else F.to_json(x.column) if x.kind in ("list", "object", "link") else display(x) if x.kind == "any" else x.column).alias(alias))
         return pages.select(key, *out)
 
     _register(name, f"SELECT {key}, {', '.join(f'{sql} AS {alias}' for alias, (_, sql) in columns.items())} FROM {table}")(run)
 
 
 _page_values("page_file", {
-    "a": ("file.name", "'o' || o_orderkey"), "b": ("file.folder", "'c' || o_custkey"), "c": ("file.path", _O), "d": ("file.tags.length", "2::DOUBLE"), "e": ("file.ext + file.size", "'md' || o_orderkey || '.0'"),
+    "a": ("file.name", "'o' || o_orderkey"), "b": ("file.folder", "'c' || o_custkey"), "c": ("file.path", _O), "d": ("file.tags.length", "2::DOUBLE"), "e": ("file.ext + file.size", "'md' || o_orderkey"),
     "f": ("note.o_orderstatus", "o_orderstatus"), "g": ("file.properties.o_custkey", "o_custkey::DOUBLE"), "h": ("file.link.display", "'o' || o_orderkey"), "i": ("file.tags[1]", "lower(substr(o_orderpriority, 3))"),
 })
 _page_values("page_file_methods", {
@@ -138,7 +138,7 @@ _page_values("expr_objects", {
 _page_values("expr_kinds", {
     "a": ('o_orderstatus.isType("string")', "true"), "b": ('o_custkey.isType("number")', "true"), "c": ('o_orderdate.isType("date") and [1].isType("list") and {a: 1}.isType("object")', "true"), "d": ('duration("1d").isType("duration")', "true"),
     "e": ('link("x").isType("link") and html("x").isType("html") and image("x").isType("image") and icon("x").isType("icon")', "true"), "f": ("nothing.isType('null') and nope(3).isTruthy() = false", "true"), "g": ("/a/.isType('regexp')", "true"),
-    "h": ("o_custkey.toString()", "o_custkey || '.0'"), "i": ("if(o_custkey > 5, o_custkey, 'few')", "CASE WHEN o_custkey > 5 THEN o_custkey || '.0' ELSE 'few' END"),
+    "h": ("o_custkey.toString()", "o_custkey::VARCHAR"), "i": ("if(o_custkey > 5, o_custkey, 'few')", "CASE WHEN o_custkey > 5 THEN o_custkey::VARCHAR ELSE 'few' END"),
 })
 _page_values("expr_durations", {
     "a": ('o_orderdate + (duration("1 day") + duration("2h"))', "strftime(o_orderdate + INTERVAL 26 HOUR, '%Y-%m-%d %H:%M:%S')"), "b": ('o_orderdate + duration("1 week") * 2', "strftime(o_orderdate + INTERVAL 14 DAY, '%Y-%m-%d %H:%M:%S')"),
@@ -161,11 +161,37 @@ _expressions("expr_numbers", "part", "p_partkey", {
     "e": ("number(p_size > 10)", "CASE WHEN p_size > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"), "f": ("min(p_size, 7, 'q')", "least(p_size, 7)::DOUBLE"), "g": ("random() < 1 and random() >= 0", "true"), "h": ("-7 % 4", "-3::DOUBLE"), "i": ("list(p_size).length", "1::DOUBLE"),
 })
 _expressions("expr_lists", "part", "p_partkey", {
-    "a": ("[[p_size, 1], [2]].flat().length", "3::DOUBLE"), "b": ("[3, p_size, 1].sort()[0]", "least(p_size, 1)::DOUBLE"), "c": ("[1, 2, 3].slice(1)[0]", "2::DOUBLE"), "d": ("[1, p_size].map(value + index).reduce(acc * value, 1)", "(p_size + 1)::DOUBLE"),
+    "a": ("[[p_size, 1], [2]].flat().length", "3::DOUBLE"), "b": ("[3, p_size, 1].sort()[0]", "CASE WHEN p_size = 1 THEN '1' ELSE '1.0' END"), "c": ("[1, 2, 3].slice(1)[0]", "2::DOUBLE"), "d": ("[1, p_size].map(value + index).reduce(acc * value, 1)", "(p_size + 1)::DOUBLE"),
     "e": ("[p_size, 50].containsAll(p_size, 50) and [p_size].containsAny([1, 2])", "p_size IN (1, 2)"), "f": ("[p_size, p_size, 2].unique().length", "CASE WHEN p_size = 2 THEN 1 ELSE 2 END::DOUBLE"), "g": ("[].isEmpty() and not [1].isEmpty()", "true"),
     "h": ("[1, 2, 3].filter(index > 0 and value != p_size).join('')", "CASE p_size WHEN 2 THEN '3.0' WHEN 3 THEN '2.0' ELSE '2.03.0' END"), "i": ("[].reduce(acc + value, 5)", "5::DOUBLE"),
 })
 
+_expressions("expr_mixed", "part", "p_partkey", {
+    "a": ("[p_size, 9, 'a'].sort().join('-')", "CASE WHEN p_size <= 9 THEN p_size || '-9.0-a' ELSE '9.0-' || p_size || '-a' END"), "b": ("if(p_size > 25, 1, p_name)", "CASE WHEN p_size > 25 THEN '1.0' ELSE p_name END"), "c": ('p_size + "" + p_size * 2', "p_size || '' || p_size * 2 || '.0'"),
+    "d": ("[p_name, p_size, 2].contains(2)", "true"), "e": ("if(p_size > 25, p_size, p_name) + 1", "CASE WHEN p_size > 25 THEN p_size + 1 || '.0' ELSE p_name || '1.0' END"), "f": ("if(p_size > 25, p_size, p_name).isType('number')", "p_size > 25"),
+    "g": ("if(p_size > 25, p_size, p_name) > 30", "p_size > 30"), "h": ("if(p_size > 25, [p_size], p_name).length", "CASE WHEN p_size > 25 THEN '1.0' ELSE len(p_name) || '.0' END"), "i": ("[p_size, p_name, [1, 'x']].flat().map(value + '!').join(' ')", "p_size || '! ' || p_name || '! 1.0! x!'"),
+    "j": ("[1, p_size, '1', p_size].unique().length", "CASE WHEN p_size = 1 THEN 2 ELSE 3 END::DOUBLE"), "k": ("if(p_size > 25, p_name, p_size).toString().length", "CASE WHEN p_size > 25 THEN len(p_name) ELSE len(p_size::VARCHAR) END::DOUBLE"), "l": ("if(p_size > 25, p_name, null).isEmpty()", "p_size <= 25"),
+})
+_expressions("expr_to_fixed", "part", "p_partkey", {
+    "a": ("(p_size / 8).toFixed(2)", "printf('%.2f', p_size / 8)"), "b": ("(p_retailprice / 7).toFixed(3)", "printf('%.3f', p_retailprice / 7)"), "c": ("(-p_size / 2).toFixed()", "printf('%.0f', -p_size / 2)"), "d": ("(1.005).toFixed(2) + (2.5).toFixed(0) + (p_size).toFixed(1)", "'1.002' || p_size || '.0'"),
+    "e": ("(p_retailprice / 1000000000).toFixed(12)", "printf('%.12f', p_retailprice / 1000000000)"), "f": ("(p_retailprice * 1000000000000).toFixed(1)", "printf('%.1f', p_retailprice * 1000000000000)"),
+})
+
+
+@_register("page_wiki_mixed", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey END AS path, c_custkey % 2 = 1 AS text, CASE WHEN c_custkey % 2 = 1 THEN 'nation ' || c_nationkey END AS plain,
+CASE c_custkey % 3 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'many' ELSE '2.5' END AS several, CASE WHEN c_custkey % 2 = 0 THEN 'a' END AS first, 'x' || c_custkey AS size FROM customer""")
+def page_wiki_mixed(spark: SparkSession, d: str) -> DataFrame:
+    even, third = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3
+    nation = F.col("c_nationkey").cast("string")
+    owner = F.when(even, F.concat(F.lit("[[n"), nation, F.lit("|Nation]]"))).otherwise(F.concat(F.lit("nation "), nation))
+    several = F.when(third == 0, F.col("c_custkey").cast("string")).when(third == 1, F.lit('"many"')).otherwise(F.lit("2.5"))
+    stored = F.concat(F.lit('{"k":'), F.col("c_custkey").cast("string"), F.lit(',"owner":"'), owner, F.lit('","several":'), several, F.lit(',"many":["'), F.when(even, F.lit("[[a]]")).otherwise(F.lit("a")), F.lit('","b"]}'))
+    notes = _customers(spark, d).select("path", "title", F.lit("").alias("body"), stored.alias("frontmatter_json"), F.col("c_custkey").alias("size"))
+    pages = page_source.from_notes(notes)
+    shown = {"path": "owner.path", "text": "owner.isType('string')", "plain": "if(owner.isType('string'), owner, null)", "several": "several", "first": "many[0].path", "size": "'x' + file.size"}
+    made = {k: compile_expression(v, pages) for k, v in shown.items()}
+    return pages.select(F.col("k").alias("c_custkey"), *((F.when(x.column.isNotNull(), display(x)) if x.kind == "any" else x.column).alias(k) for k, x in made.items()))
+
 
 @_register("page_wiki_values", "SELECT c_custkey, 'n' || c_nationkey AS path, 'Nation ' || c_nationkey AS display, 'x' AS plain, 2.0::DOUBLE AS n FROM customer")
 def page_wiki_values(spark: SparkSession, d: str) -> DataFrame:

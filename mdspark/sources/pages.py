@@ -66,13 +66,13 @@ def from_table(frame: DataFrame, path: Column, title: Column | None = None, tags
 
 
 def property_schema(notes: DataFrame, column: str = "frontmatter_json") -> T.StructType:
-    """The common schema of all properties, in one pass; what differs from note to note is text."""
+    """The common schema of all properties, in one pass; what differs from note to note is a variant."""
     ddl = notes.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0]
     if not ddl or not ddl.startswith("OBJECT<"):
         return T.StructType()
     ddl = re.sub(r"\bOBJECT<>", "STRING", ddl)
     ddl = re.sub(r"\bOBJECT<", "STRUCT<", ddl)
-    ddl = re.sub(r"\b(VOID|VARIANT)\b", "STRING", ddl)
+    ddl = re.sub(r"\bVOID\b", "STRING", ddl)
     ddl = re.sub(r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
     return T._parse_datatype_string(f"x {ddl}")["x"].dataType
 
@@ -84,23 +84,45 @@ def _wiki(c: Column) -> Column:
     return F.when(c.isNotNull(), F.struct(parts[0].alias("path"), F.element_at(parts, -1).alias("display")))
 
 
+def _wiki_any(c: Column) -> Column:
+    """A variant that is a text in double brackets as {path, display}; others as they are."""
+    text = F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+    return F.when(text.rlike(_WIKI), F.to_variant_object(_wiki(text))).otherwise(c)
+
+
 def properties_of(notes: DataFrame, column: str = "frontmatter_json") -> DataFrame:
     """``notes`` with a struct ``note`` of the properties.
 
-    A property that is a wiki link wherever it is given, or a list of such, is {path, display}.
+    A wiki link in a property, or in a list that is one, is {path, display}. Where that is so in
+    some notes only, or a property is of several kinds, it is a variant.
     """
     schema = property_schema(notes, column)
     parsed = notes.withColumn("note", F.from_json(F.col(column), schema) if len(schema) else F.lit(None).cast("struct<>"))
     texts = {f.name: isinstance(f.dataType, T.ArrayType) for f in schema if f.dataType == T.StringType() or f.dataType == T.ArrayType(T.StringType())}
-    if not texts:
+    several = {f.name: isinstance(f.dataType, T.ArrayType) for f in schema if f.dataType == T.VariantType() or f.dataType == T.ArrayType(T.VariantType())}
+    if not texts and not several:
         return parsed
     leaf = lambda n: F.col("note").getField(n)
-    tests = [(F.bool_and(F.forall(leaf(n), lambda x: x.rlike(_WIKI)) if many else leaf(n).rlike(_WIKI)) & (F.max(F.size(leaf(n))) > 0 if many else F.lit(True))).alias(f"t{k}") for k, (n, many) in enumerate(texts.items())]
-    found = parsed.agg(*tests).first()
-    linked = {n for k, n in enumerate(texts) if found[k]}
-    value = lambda n: F.transform(leaf(n), _wiki) if texts[n] else _wiki(leaf(n))
-    fields = [(value(f.name) if f.name in linked else leaf(f.name)).alias(f.name) for f in schema]
-    return parsed.withColumn("note", F.when(F.col("note").isNotNull(), F.struct(*fields)))
+    counts = []
+    for k, (n, many) in enumerate(texts.items()):
+        given = F.coalesce(F.size(leaf(n)), F.lit(0)) if many else F.when(leaf(n).isNotNull(), 1).otherwise(0)
+        links = F.coalesce(F.size(F.filter(leaf(n), lambda x: x.rlike(_WIKI))), F.lit(0)) if many else F.when(leaf(n).rlike(_WIKI), 1).otherwise(0)
+        counts += [F.sum(given).alias(f"n{k}"), F.sum(links).alias(f"l{k}")]
+    found = parsed.agg(*counts, F.lit(0)).first()
+
+    def value(name: str) -> Column:
+        if name in several:
+            return F.transform(leaf(name), _wiki_any) if several[name] else _wiki_any(leaf(name))
+        if name not in texts:
+            return leaf(name)
+        k = list(texts).index(name)
+        if not found[f"l{k}"]:
+            return leaf(name)
+        if found[f"l{k}"] == found[f"n{k}"]:
+            return F.transform(leaf(name), _wiki) if texts[name] else _wiki(leaf(name))
+        return F.transform(leaf(name), lambda x: _wiki_any(x.cast("variant"))) if texts[name] else _wiki_any(leaf(name).cast("variant"))
+
+    return parsed.withColumn("note", F.when(F.col("note").isNotNull(), F.struct(*(value(f.name).alias(f.name) for f in schema))))
 
 
 def from_notes(notes: DataFrame, links: DataFrame | None = None, backlinks: bool = True) -> DataFrame:
@@ -113,8 +135,12 @@ def from_notes(notes: DataFrame, links: DataFrame | None = None, backlinks: bool
     parsed = properties_of(notes)
     names = [f.name for f in parsed.schema["note"].dataType]
     own = F.expr("cast(array() as array<string>)")
-    if "tags" in names and isinstance(parsed.schema["note"].dataType["tags"].dataType, T.ArrayType):
-        own = F.coalesce(F.col("note").getField("tags").cast("array<string>"), own)
+    if "tags" in names:
+        kind, given = parsed.schema["note"].dataType["tags"].dataType, F.col("note").getField("tags")
+        if kind == T.VariantType():
+            own = F.coalesce(F.try_variant_get(given, "$", "array<string>"), own)
+        elif isinstance(kind, T.ArrayType):
+            own = F.coalesce(F.transform(given, lambda t: t.try_cast("string")) if kind.elementType == T.VariantType() else given.cast("array<string>"), own)
     tags = F.array_distinct(F.concat(own, inline_tags(F.col("body"))))
     more = {c: F.col(c) for c in ("size",) if c in notes.columns}
     more |= {c: F.timestamp_seconds(c).cast("timestamp_ntz") if isinstance(notes.schema[c].dataType, T.IntegralType) else F.col(c).cast("timestamp_ntz") for c in ("mtime", "ctime") if c in notes.columns}
