@@ -57,6 +57,13 @@ class Typed:
     def element(self) -> str:
         return self.item.kind if self.item else "null"
 
+    @property
+    def value(self) -> Column:
+        """The Column as a result: integers of the data are integers."""
+        if not self.whole:
+            return self.column
+        return self.exact if self.exact is not None else self.column.try_cast("bigint")
+
     def at(self, column: Column) -> Typed:
         """The same kind for another Column."""
         if self.kind == "duration" or (self.kind in STRUCTURED and not self.entries):
@@ -135,7 +142,7 @@ def as_any(x: Typed) -> Column:
     if x.kind == "null":
         return no_value()
     if x.kind == "number" and x.whole:
-        return (x.exact if x.exact is not None else x.column.try_cast("bigint")).cast("bigint").cast("variant")
+        return x.value.cast("bigint").cast("variant")
     if x.kind == "list":
         return F.transform(x.column, lambda v: as_any(x.item.at(v))).cast("variant") if x.item else x.column.cast("variant")
     return F.to_variant_object(x.column) if x.kind in STRUCTURED or x.kind == "duration" else x.column.cast("variant")
@@ -183,7 +190,7 @@ def display(x: Typed) -> Column:
     if x.kind == "any":
         out = bound(x, _display_any)
     elif x.kind == "number" and x.whole:
-        out = (x.exact if x.exact is not None else c.try_cast("decimal(20,0)")).cast("string")
+        out = x.value.cast("string")
     elif x.kind == "number":
         out = F.when(c == F.floor(c), F.format_string("%.1f", c)).otherwise(c.cast("string"))
     elif x.kind == "date":
@@ -461,9 +468,11 @@ class Compiler:
         if a.kind == b.kind == "number":
             return number(a.column + b.column)
         if "any" in (a.kind, b.kind):
+            by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
+            if not by and not {a.kind, b.kind} <= {"number", "any"}:
+                return Typed(F.concat(display(a), display(b)), "string")
             x, y = coerced(a, "number"), coerced(b, "number")
             joined = F.concat(display(a), display(b)).cast("variant")
-            by = as_duration(b) if b.kind == "duration" or b.literal is not None else None
             if by:
                 joined = F.when(as_date(a).isNotNull(), shifted(as_date(a), by, 1).cast("variant")).otherwise(joined)
             return anything(F.when(x.isNotNull() & y.isNotNull(), (x + y).cast("variant")).otherwise(joined))

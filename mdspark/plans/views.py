@@ -100,7 +100,7 @@ class View:
         while waiting:
             free = [k for k, v in waiting.items() if not any(re.search(rf"formula\.{re.escape(o)}(?![\w-])", v) for o in waiting)]
             for name in free or list(waiting):
-                frame = frame.withColumn(f"formula_{name}", self._value(waiting.pop(name), frame).column)
+                frame = frame.withColumn(f"formula_{name}", self._value(waiting.pop(name), frame).value)
         return frame
 
     def _keys(self, frame: DataFrame) -> list[tuple[Column, bool]]:
@@ -126,7 +126,7 @@ class View:
     def table(self, frame: DataFrame, tie: str = "path") -> DataFrame:
         """The columns of ``order``, each named by its path; without it all columns."""
         rows = self.rows(frame, tie)
-        return rows.select(*(self._value(c, rows).column.alias(c) for c in self.order)) if self.order else rows
+        return rows.select(*(self._value(c, rows).value.alias(c) for c in self.order)) if self.order else rows
 
     def summarise(self, frame: DataFrame, tie: str = "path") -> DataFrame:
         """One row: a column for each ``property: summary``, over the limited rows.
@@ -177,7 +177,7 @@ class View:
             raise ValueError("groups with their rows need a limit; use grouped() or counts()")
         rows = self.rows(frame, tie)
         keys = self._keys(rows)
-        row = F.struct(*(self._value(c, rows).column.alias(c) for c in self.order or rows.columns))
+        row = F.struct(*(self._value(c, rows).value.alias(c) for c in self.order or rows.columns))
         item = F.struct(*(c.alias(f"k{k}") for k, (c, _) in enumerate(keys)), F.col(tie).alias("tie"), row.alias("row"))
         order = _comparison([*((f"k{k}", down) for k, (_, down) in enumerate(keys)), ("tie", False)])
         out = rows.groupBy(self._group_key(rows).alias("key")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(item), order), lambda i: i["row"]).alias("rows"))
@@ -278,14 +278,14 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
             as_text = F.coalesce(F.to_json(F.struct(key.column.alias("k"))), F.lit("{}"))
             later = " ".join([m[3], *(t for _, t in clauses[at + 1 :])])
             if m[3].strip() and not grouped and not re.search(r"\brows\b(?!\s*\.\s*length\b)", later):
-                frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), F.count("*").cast("double").alias("_n")).orderBy("_text")
+                frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.value).alias("key"), F.count("*").cast("double").alias("_n")).orderBy("_text")
                 extra = {"rows": Typed(F.col("_n"), "object", fields={"length": Typed(F.col("_n"), "number")})}
                 grouped = True
                 continue
             rest = [c for c in frame.columns if c not in ties and c != "_text"]
             rows = F.collect_list(F.struct(*([] if grouped else ties), *rest))
             rows = F.sort_array(rows) if grouped else F.array_sort(rows, _comparison([(t, False) for t in ties]))
-            frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.column).alias("key"), rows.alias("rows")).orderBy("_text")
+            frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.value).alias("key"), rows.alias("rows")).orderBy("_text")
             grouped = True
     shown = [c for c in frame.columns if c not in ("_text", "_n")]
     if not m[3].strip() or m[1].upper() == "TASK":
@@ -293,5 +293,5 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
     columns = []
     for part in _commas(m[3]):
         e, _, alias = re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I | re.S).groups()
-        columns.append(compile_expression(e, frame, extra, now).column.alias((alias or e).strip("\"'")))
+        columns.append(compile_expression(e, frame, extra, now).value.alias((alias or e).strip("\"'")))
     return frame.select(*columns)

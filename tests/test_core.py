@@ -48,6 +48,12 @@ def test_views(pages):
     assert names(View(filters={"and": ['tags.contains("work")', {"not": "score > 5"}]}).rows(pages)) == ["Work/beta.md"]
     rows = View(formulas={"b": "formula.a + 1", "a": "score * 2"}, sort=[("score", "desc")], limit=2, order=["path", "formula.b"]).table(pages).collect()
     assert [r["formula.b"] for r in rows] == [17.0, 11.0]
+    # a formula that hands an integer on, and one of several kinds
+    view = View(formulas={"n": "score", "m": "if(active, score, title)"}, sort=[("formula.m", "desc")], order=["score", "formula.n", "formula.m"])
+    rows = view.table(pages).select("score", "`formula.n`", F.to_json("`formula.m`")).collect()
+    assert [tuple(r) for r in rows] == [(8, 8, "8"), (5, 5, "5"), (1, 1, '"Delta Note"'), (3, 3, '"Beta Note"')]
+    assert [tuple(r) for r in View(group_by="if(active, score, title)").counts(pages).collect()] == [("5", 1), ("8", 1), ("Beta Note", 1), ("Delta Note", 1)]
+    assert [r.key for r in View(group_by="score").counts(pages).collect()] == ["1", "3", "5", "8"]
     assert [tuple(r) for r in View(group_by="color").counts(pages).collect()] == [("blue", 2), ("red", 2)]
 
 
@@ -68,10 +74,18 @@ def test_queries(pages):
         ("[3, 1, 2].sort().join('-')", "1.0-2.0-3.0"), ("[1, 2, 3].reduce(acc + value, 10)", 16.0), ("[1, 2, 3].map(value * index)[2]", 6.0), ("missing", None), ("missing = null", True), ("unknown(1)", None),
         ("'2026-01-03' > 2026-01-02", True), ("2026-01-03 - 2026-01-01", 172_800_000.0), ("(2026-01-31 + duration('1 month')).format('YYYY-MM-DD')", "2026-02-28"), ("if(0, 1, 2)", 2.0), ('"a,b,c".split(",", 2).length', 2.0),
         ('/b+/.matches("abbc")', True), ('"x".repeat(3)', "xxx"), ("min(3, 1, 2)", 1.0), ('escapeHTML("<a&b>")', "&lt;a&amp;b&gt;"), ("today().day", 15.0), ("[].isEmpty()", True), ("8 = 8.0 && !('' || 0)", True),
+        # integers of the data are shown as such, numbers of expressions with a decimal place
+        ("score.toString() + (score + 1)", "89.0"), ('"#" + word_count', "#120"), ("[score, 9, 'a'].join('-')", "8-9.0-a"), ("[10, 9, 'a'].sort().join('-')", "9.0-10.0-a"), ("[word_count, score, '3', true].sort().join()", "8,120,3,true"),
+        ("(2.5).toFixed(0)", "2"), ("(3.5).toFixed()", "4"), ("(1.005).toFixed(2)", "1.00"), ("(-0.125).toFixed(2)", "-0.12"), ("score.toFixed(1)", "8.0"), ("(12345678901).toFixed(3)", "12345678901.000"),
+        # values of several kinds
+        ("if(score > 2, 1, 'x') + 1", 2.0), ("if(score > 2, 1, 'x').isType('number')", True), ("if(score < 2, 1, 'x').isType('string')", True), ("if(score > 2, 'abc', 1).length + ''", "3.0"), ("if(score > 2, due, score) > '2025-12-31'", True),
+        ("[1, 'a', [2, 'b']].flat().length", 4.0), ("[1, 'a', 1, 'a', score].unique().length", 3.0), ("[1, 'a'].contains('a') and not [1, 'a'].contains('1')", True), ("[1, 'a', 2].filter(value.isType('number')).map(value * 2).join(' ')", "2.0 4.0"),
+        ("if(true, {a: 1}, 'x').a + ''", "1.0"), ("number(if(true, '7', 1))", 7.0), ("if(false, 1, null).isEmpty()", True), ("if(score > 2, [1, 'x'], 2)[1] = 'x'", True), ("max(if(score > 2, 1, 'x'), 0)", 1.0), ("-if(score > 2, 1, 'x')", -1.0),
     ],
 )
 def test_expressions(pages, source, expected):
-    assert value(pages.limit(1), source, now="2026-06-15 10:00:00") == expected
+    got = value(pages.limit(1), source, now="2026-06-15 10:00:00")
+    assert (got.toPython() if hasattr(got, "toPython") else got) == expected
 
 
 def test_native_filters(spark):
