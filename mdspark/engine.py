@@ -111,8 +111,8 @@ class Engine:
         return page_source.with_this(out, self.current) if self.current else out
 
     def tasks(self) -> DataFrame:
-        rows = task_operators.extract_tasks(self._index.table("notes"), self.task_filter, self.task_statuses, note_links=True)
-        return task_operators.dependencies(task_operators.with_parent(rows))
+        """The task table of the index for this filter and these statuses, with dependencies over all notes."""
+        return task_operators.dependencies(task_operators.task_table(self._index, self.task_filter, self.task_statuses))
 
     # ---- commands ----
     def query(self, source: str, language: str = "native", limit: int | None = 100) -> Result:

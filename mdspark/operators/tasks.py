@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mdspark.functions.text import line_links
+from mdspark.shipping import ship_package
+from mdspark.sources.index import Index
+from mdspark.storage import scratch
 
 #: The marks of task fields.
 DATES = {"due": "📅", "completion": "✅", "scheduled": "⏳", "start": "🛫", "created": "➕", "cancelled": "❌"}
@@ -22,6 +27,7 @@ TYPE_ORDER = {"IN_PROGRESS": 1, "TODO": 2, "ON_HOLD": 3, "DONE": 4, "CANCELLED":
 ACTIONABLE = ("TODO", "IN_PROGRESS", "ON_HOLD")
 #: Fixed values, the formats of the language: a task line (indentation, marker, symbol, text), an inline field, a tag.
 _TASK = r"^(\s*)([-*+]|\d+[.)])\s+\[([^\]])\]\s+(.*)$"
+_TASK_LINE = re.compile(_TASK.replace(r"\d", "[0-9]").replace(".*", r"[^\r\n\x85\u2028\u2029]*"), re.ASCII)
 _FIELD = r"\[([^\[\]:]+)::([^\]]*)\]"
 _TAG = r"(^|[^\p{IsAlphabetic}\p{N}_])#([\p{IsAlphabetic}\p{N}_/-]+)"
 
@@ -79,6 +85,8 @@ def inline_fields(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("::")), F.map_from_entries(last)).otherwise(F.expr("cast(map() as map<string, string>)"))
 
 
+#: Dates that a task table has as such, too.
+DAYS = ("due", "scheduled", "start")
 #: All marks of fields.
 _MARKS = "".join([*DATES.values(), *PRIORITIES, "🔁🆔⛔🏁"])
 
@@ -126,13 +134,35 @@ def file_parts(path: Column) -> dict[str, Column]:
     }
 
 
+_QUOTE, _HEAD, _HEAD_ENDS = (re.compile(p, re.ASCII) for p in (r"^(?:\s*>\s?)+", r"^#{1,6}\s+\S", r"^#{1,6}\s+|\s*#*\s*$"))
+_LINES = "line: int, heading: string, section: bigint, parent_line: int, indentation: string, list_marker: string, status_symbol: string, text: string"
+
+
+def lines_of(body: str, start: int, global_filter: str = "") -> list[tuple]:
+    """The task lines of a note in one pass, with the heading above each, the number of headings so far, and the nearest earlier task of the section with a smaller indentation."""
+    out: list[tuple] = []
+    heading, section, stack = None, 0, []
+    for at, line in enumerate(body.split("\n"), start):
+        line = _QUOTE.sub("", line)
+        if _HEAD.match(line):
+            heading, section, stack = _HEAD_ENDS.sub("", line), section + 1, []
+        elif (m := _TASK_LINE.match(line)) and (not global_filter or global_filter in line):
+            width = len(m[1])
+            while stack and stack[-1][1] >= width:
+                stack.pop()
+            out.append((at, heading, section, stack[-1][0] if stack else None, m[1], m[2], m[3], m[4]))
+            stack.append((at, width))
+    return out
+
+
 def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str, tuple] | list[str] | None = None, note_links: bool = False) -> DataFrame:
     """A row for each task line of ``notes`` (path, body; body_start_line and frontmatter_json if they are there).
 
-    Lines of a note are numbered within the row, so no shuffle is needed until the heading is
-    carried down, which windows over the lines of one note. With ``note_links`` the file of a task
-    also has the links of its whole note, copied into each of its tasks.
+    One pass over a note's lines numbers them and carries headings and parents down, in time that
+    grows with the note; nothing is shuffled. With ``note_links`` the file of a task also has the
+    links of its whole note, copied into each of its tasks.
     """
+    ship_package(notes.sparkSession)
     known = known_statuses(statuses)
     start = F.col("body_start_line") if "body_start_line" in notes.columns else F.lit(1)
     frontmatter = F.col("frontmatter_json") if "frontmatter_json" in notes.columns else F.lit(None).cast("string")
@@ -141,22 +171,16 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
     if note_links:
         both = F.array_distinct(F.concat(in_properties, in_body))
         note += [in_properties.alias("outlinks_in_properties"), in_body.alias("outlinks_in_body"), both.alias("outlinks")]
-    whole = notes.select("path", start.alias("_s"), F.struct(*note).alias("file"), F.split("body", "\n").alias("_lines"))
-    lines = whole.select("path", "_s", "file", F.posexplode("_lines").alias("_i", "_l"))
-    lines = lines.withColumn("_l", F.regexp_replace("_l", r"^(?:\s*>\s?)+", ""))
-    head = F.when(F.col("_l").rlike(r"^#{1,6}\s+\S"), F.regexp_replace("_l", r"^#{1,6}\s+|\s*#*\s*$", ""))
-    lines = lines.select("path", "file", (F.col("_s") + F.col("_i")).alias("line"), "_l", head.alias("_h"))
-    lines = lines.where(F.col("_h").isNotNull() | F.col("_l").rlike(_TASK))  # others carry nothing
-    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("heading", F.last("_h", ignorenulls=True).over(so_far)).withColumn("section", F.count("_h").over(so_far))
-    tasks = lines.where(F.col("_h").isNull())
-    if global_filter:
-        tasks = tasks.where(F.contains("_l", F.lit(global_filter)))
-    indent, marker, symbol, text = (F.regexp_extract("_l", _TASK, k) for k in range(1, 5))
-    tasks = tasks.select(
-        "path", "file", "line", (F.col("line") - 1).alias("line_number"), "heading", "section",
-        indent.alias("indentation"), marker.alias("list_marker"), symbol.alias("status_symbol"), text.alias("text"),
-    )
+    names = [part.split(":")[0] for part in _LINES.split(", ")]
+    kinds = dict(zip(names, (pa.int32(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4), strict=True))
+
+    @F.arrow_udf(f"array<struct<{_LINES}>>")
+    def found(bodies: pa.Array, starts: pa.Array) -> pa.Array:
+        rows = [lines_of(b or "", s or 1, global_filter) for b, s in zip(bodies.to_pylist(), starts.to_pylist(), strict=True)]
+        return pa.array([[dict(zip(names, r, strict=True)) for r in some] for some in rows], pa.list_(pa.struct(list(kinds.items()))))
+
+    tasks = notes.select("path", F.struct(*note).alias("file"), found(F.col("body"), start.cast("int")).alias("_t")).select("path", "file", F.inline("_t"))
+    tasks = tasks.select("path", "file", "line", (F.col("line") - 1).alias("line_number"), *names[1:])
     tasks = tasks.select("*", inline_fields(F.col("text")).alias("fields"), described(F.col("text"), global_filter).alias("description"))
     tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), F.col("fields"), F.col("description")).items()))
     page = F.col("file.filename_without_extension")
@@ -193,31 +217,33 @@ def add_status(tasks: DataFrame, known: dict[str, tuple] = STATUSES) -> DataFram
     )
 
 
-def parents(tasks: DataFrame) -> DataFrame:
-    """With parent_line: the nearest earlier task of the section with a smaller indentation.
+def with_parent(tasks: DataFrame, columns: tuple[str, ...] = ("description", "status_type", "status_name", "tags", "due", "priority", "line")) -> DataFrame:
+    """With ``parent``, the given columns of the parent task."""
+    above = tasks.select("path", F.col("line").alias("parent_line"), F.struct(*columns).alias("parent"))
+    return tasks.join(above, ["path", "parent_line"], "left")
 
-    One fold over the tasks of a section, which a note bounds, with a stack of those that may
-    still be parents.
-    """
-    item = F.struct(F.col("line").cast("int").alias("line"), F.char_length("indentation").alias("w"))
-    sections = tasks.groupBy("path", "section").agg(F.sort_array(F.collect_list(item)).alias("_t"))
-    none = lambda t: F.expr(f"cast(array() as array<{t}>)")
-    begin = F.struct(none("struct<line: int, w: int>").alias("stack"), none("struct<line: int, parent_line: int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.filter(acc["stack"], lambda s: s["w"] < x["w"])
-        one = F.struct(x["line"].alias("line"), F.try_element_at(kept, F.lit(-1))["line"].alias("parent_line"))
-        return F.struct(F.concat(kept, F.array(x)).alias("stack"), F.concat(acc["out"], F.array(one)).alias("out"))
+def with_days(tasks: DataFrame) -> DataFrame:
+    """With the valid dates among due, scheduled and start as dates (due_day, ...), which a table's reader can skip by."""
+    return tasks.select("*", *(F.try_to_date(F.col(c)).alias(f"{c}_day") for c in DAYS))
 
-    found = sections.select("path", F.inline(F.aggregate("_t", begin, step, lambda a: a["out"])))
-    return tasks.join(found.withColumn("line", F.col("line").cast(tasks.schema["line"].dataType)), ["path", "line"], "left")
 
+def task_table(index: Index, global_filter: str = "", statuses: list[str] | None = None, parent: bool = True, note_links: bool = True) -> DataFrame:
+    """The tasks of an index's notes with their parents and days, from a table that is made once for each segment of the index.
 
-def with_parent(tasks: DataFrame, columns: tuple[str, ...] = ("description", "status_type", "status_name", "tags", "due", "priority", "line")) -> DataFrame:
-    """With ``parent``, the given columns of the parent task."""
-    linked = tasks if "parent_line" in tasks.columns else parents(tasks)
-    above = tasks.select("path", F.col("line").alias("parent_line"), F.struct(*columns).alias("parent"))
-    return linked.join(above.withColumn("parent_line", F.col("parent_line").cast("int")), ["path", "parent_line"], "left")
+    It lies in the order of due dates, those without one last, so a query on them reads a part.
+    """
+    name = "tasks-" + hashlib.sha256(repr((global_filter, sorted(statuses or ()), parent, note_links)).encode()).hexdigest()[:12]
+
+    def make(notes: DataFrame) -> DataFrame:
+        rows = with_days(extract_tasks(notes, global_filter, statuses, note_links))
+        rows = with_parent(rows) if parent else rows
+        order = [F.col("due_day").asc_nulls_last(), F.col("path"), F.col("line")]
+        folder = scratch(notes.sparkSession, "tasks")
+        rows.write.option("compression", "zstd").parquet(folder)  # so that the order's samples do not take the lines apart again
+        return notes.sparkSession.read.schema(rows.schema).parquet(folder).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    return index.derived(name, make)
 
 
 def urgency(today: str) -> Column:

@@ -172,7 +172,7 @@ class TaskQuery:
                     out.groups.append((*found, bool(m[2]) != (m[1] == "urgency")))
             else:
                 self.frame = tasks
-                out.filters.append(F.coalesce(self.condition(line), F.lit(False)))
+                out.filters.append(self.condition(line))
         if out.group_limit is not None and not out.groups:
             self.diagnostics.append("limit groups: there are no groups")
         return out
@@ -401,9 +401,12 @@ class TaskQuery:
         a, b = F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date")
         tests = {"before": lambda d: d < a, "after": lambda d: d > b, "on or before": lambda d: d <= b, "on or after": lambda d: d >= a, "on": lambda d: d.between(a, b)}
         test = tests[relation.replace("in", "on", 1) if relation.startswith("in") else relation]
-        out = self._any_date(name, lambda c: test(F.try_to_date(c)))
+        day = lambda c: F.col(f"{c}_day") if f"{c}_day" in self.frame.columns else F.try_to_date(F.col(c))
+        out = F.lit(False)
+        for c in ("start", "scheduled", "due") if name == "happens" else (_DATES[name],):
+            out = out | F.coalesce(test(day(c)), F.lit(False)) if name == "happens" else test(day(c))
         if name in ("start", "starts") and "before" in relation:  # without a start date it may start any time
-            out = out | F.try_to_date(F.col("start")).isNull()
+            out = F.coalesce(out, F.lit(False)) | day("start").isNull()
         return out
 
     @staticmethod

@@ -293,9 +293,19 @@ def _task_line() -> Column:
     return F.concat(F.lit("- ["), mark, F.lit("] #task Order "), F.col("o_orderkey").cast("string"), F.lit(" 📅 "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), sign)
 
 
+def _notes_index(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> Index:
+    """An index of notes made of orders, without chunks; built once, and anew when the table has changed."""
+    out, state = Index(spark, f"{default_index(spark, d)}-{name}"), fingerprint(spark, _table(spark, d, "orders"))
+    made = out.metadata()
+    if not made or made["state"] != state:
+        chunks = spark.createDataFrame([], "chunk_id long, path string, title string, heading string, body string, search_text string, content_hash string")
+        out.build(chunks, make(), source=d, state=state)
+    return out
+
+
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
-    notes = _table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("# Orders\n"), _task_line()).alias("body"))
-    return tasks.extract_tasks(notes)
+    notes = lambda: _table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("# Orders\n"), _task_line()).alias("body"))
+    return tasks.task_table(_notes_index(spark, d, "tasks", notes), parent=False, note_links=False)
 
 
 _TASKS = """t AS (SELECT 'c' || o_custkey || '/' || o_orderkey AS path, '#task Order ' || o_orderkey AS description, strftime(o_orderdate, '%Y-%m-%d') AS due, o_orderdate::DATE AS day,

@@ -19,7 +19,7 @@ from mdspark.plans.expression import compile_expression, display
 from mdspark.plans.script import compile_script
 from mdspark.plans.task_query import TaskQuery
 from mdspark.plans.views import View, query
-from mdspark.queries import TODAY, _chunks, _expressions, _index, _native, _orders, _register, _table, _vectors
+from mdspark.queries import TODAY, _chunks, _expressions, _index, _native, _notes_index, _orders, _register, _table, _vectors
 from mdspark.sources import pages as page_source
 from mdspark.sources import vault
 from mdspark.sources.index import Encoder, Index
@@ -299,7 +299,7 @@ def _task_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.extract_tasks(_task_notes(spark, d))
+    return tasks.task_table(_notes_index(spark, d, "notes", lambda: _task_notes(spark, d)), parent=False, note_links=False)
 
 
 _PRIORITY = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'highest' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'lowest' END"
@@ -330,14 +330,14 @@ def task_recurrence(spark: SparkSession, d: str) -> DataFrame:
 @_register("task_status_registry", f"""WITH {_T} SELECT path, line, CASE type WHEN 'DONE' THEN 'Done' WHEN 'TODO' THEN 'Todo' ELSE 'In Progress' END AS name, type, CASE WHEN type = 'DONE' THEN ' ' ELSE 'x' END AS following, type = 'DONE' AS done FROM a
 UNION ALL SELECT path, line, CASE WHEN k % 2 = 1 THEN 'Done' ELSE 'Important' END, CASE WHEN k % 2 = 1 THEN 'DONE' ELSE 'ON_HOLD' END, CASE WHEN k % 2 = 1 THEN ' ' ELSE '/' END, k % 2 = 1 FROM b UNION ALL SELECT path, line, 'Cancelled', 'CANCELLED', ' ', true FROM c""")
 def task_status_registry(spark: SparkSession, d: str) -> DataFrame:
-    rows = tasks.extract_tasks(_task_notes(spark, d), statuses=["!=Important:on hold:/"])
+    rows = tasks.task_table(_notes_index(spark, d, "notes", lambda: _task_notes(spark, d)), statuses=["!=Important:on hold:/"], parent=False, note_links=False)
     return rows.select("path", "line", F.col("status_name").alias("name"), F.col("status_type").alias("type"), F.col("status_next_symbol").alias("following"), F.col("is_done").alias("done"))
 
 
 @_register("task_files", f"""WITH {_T} SELECT path, line, 'c' || o_custkey || '/' AS folder, 'c' || o_custkey || '/' AS root, 'o' || k || '.md' AS filename, 'o' || k || CASE WHEN line = 5 THEN ' > Other' ELSE ' > Orders' END AS backlink, line - 1 AS line_number,
   CASE line WHEN 2 THEN '-' WHEN 3 THEN '*' ELSE '1.' END AS marker, line = 3 AS sub, 'c' || o_custkey || '.md' AS linked FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
 def task_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = tasks.extract_tasks(_task_notes(spark, d), note_links=True)
+    rows = tasks.task_table(_notes_index(spark, d, "notes", lambda: _task_notes(spark, d)), parent=False)
     return rows.select("path", "line", "file.folder", "file.root", "file.filename", "backlink", "line_number", F.col("list_marker").alias("marker"), F.col("is_sub_item").alias("sub"), F.array_join(F.transform("file.outlinks", lambda x: x["path"]), ",").alias("linked"))
 
 
@@ -348,7 +348,7 @@ def task_outlinks(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("task_parents", f"WITH {_T} SELECT path, line, CASE WHEN line = 3 THEN 2 END AS parent_line FROM (FROM a UNION ALL FROM b UNION ALL FROM c)")
 def task_parents(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.parents(_tasks(spark, d)).select("path", "line", "parent_line")
+    return _tasks(spark, d).select("path", "line", "parent_line")
 
 
 @_register("task_dependencies", f"WITH {_T} SELECT path, line, line = 3 AND k % 2 = 0 AND type <> 'DONE' AS is_blocked, line = 2 AND k % 2 = 0 AND type <> 'DONE' AS is_blocking FROM (FROM a UNION ALL FROM b UNION ALL FROM c)")

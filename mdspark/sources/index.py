@@ -162,7 +162,7 @@ class Index:
         """Forgets all but the last commits, with the tables that only these name. Tables that no commit names go when they are ``hours`` old: a writer that died left them."""
         known = self.log.versions()
         kept, old = ([self.log.read(v) for v in some] for some in (known[-(keep or self.keep) :], known[: -(keep or self.keep)]))
-        named, once = ({name for made in some for name in [*(s["folder"] for s in made["segments"]), *made["vectors"]]} for some in (kept, old))
+        named, once = ({name for made in some for name in [*(x for s in made["segments"] for x in (s["folder"], *s.get("derived", {}).values())), *made["vectors"]]} for some in (kept, old))
         path, files = path_of(self.spark, self.root)
         for state in files.listStatus(path):
             name = state.getPath().getName()
@@ -335,6 +335,27 @@ class Index:
             return self._entries(self._blocks(), "positions", "dls").withColumnRenamed("dls", "dl")
         return self._live(name).drop("_segment")
 
+    def derived(self, name: str, make: Callable[[DataFrame], DataFrame], table: str = "notes") -> DataFrame:
+        """The live rows of a table that ``make`` makes of each segment's ``table``, note by note (it has their path).
+
+        It is made once for each segment, under ``name``, and kept with it, so an update makes it of
+        what has changed alone.
+        """
+        made = self._made()
+        folders = {}
+        for _, s, folder in self._folders(made):
+            if name not in s.get("derived", {}) and table in s["tables"]:
+                folders[s["folder"]] = self._name("segment")
+                self._write(make(self.spark.read.parquet(f"{folder}/{table}")), f"{self.root}/{folders[s['folder']]}")
+        if folders:
+
+            def kept(last: dict) -> dict:
+                return last | {"segments": [s | {"derived": s.get("derived", {}) | {name: folders[s["folder"]]}} if s["folder"] in folders else s for s in last["segments"]]}
+
+            self._commit(kept)
+            made = kept(made)
+        return self._live(name, made=made).drop("_segment")
+
     def _folders(self, made: dict) -> list[tuple[int, dict, str]]:
         return [(k, s, f"{self.root}/{s['folder']}") for k, s in enumerate(made["segments"])]
 
@@ -344,13 +365,14 @@ class Index:
             raise ValueError(f"there is no index in {self.root}")
         return made
 
-    def _live(self, name: str, everything: bool = False) -> DataFrame:
+    def _live(self, name: str, everything: bool = False, made: dict | None = None) -> DataFrame:
         """The rows of all segments, with the number of each, but for those that a later one says are gone."""
         key, gone = ("source_path", "gone_links") if name == "links" else ("path", "gone")
-        made, rows, lost = self._made(), None, None
+        made, rows, lost = made or self._made(), None, None
         for k, s, folder in self._folders(made):
-            if name in s["tables"]:
-                part = self.spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}").withColumn("_segment", F.lit(k))
+            where = f"{folder}/{name}" if name in s["tables"] else f"{self.root}/{s['derived'][name]}" if name in s.get("derived", {}) else None
+            if where:
+                part = self.spark.read.option("mergeSchema", True).parquet(where).withColumn("_segment", F.lit(k))
                 rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
             if s.get("delta"):
                 part = self.spark.read.parquet(f"{folder}/{gone}").select(F.col("path").alias(key), F.lit(k).alias("_gone"))

@@ -149,7 +149,7 @@ def test_vault(spark, tmp_path):
     chunks = vault.chunks(notes)
     hits = retrieval.Pipeline(chunks, notes).run("bm25:plain", "filter:area = work").collect()
     assert [(h.chunk_id, h.path) for h in hits] == [(-1, "A/note.md")]
-    found = {r.description: r for r in tasks.dependencies(tasks.parents(tasks.extract_tasks(notes))).collect()}
+    found = {r.description: r for r in tasks.dependencies(tasks.extract_tasks(notes)).collect()}
     assert found["#task Ship"].priority == "highest" and found["#task Ship"].due == "2026-06-20" and found["#task Ship"].heading == "Plan" and found["#task Ship"].is_blocking
     assert found["#task Review"].is_blocked and found["#task Review"].due == "2026-06-18" and found["#task Nested"].parent_line == found["#task Review"].line
     assert found["#task Bad"].due == "2026-13-40" and found["#task Ship"].line == 16
