@@ -410,15 +410,17 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return vault.missing_embeddings(docs, have, "m").select("content_hash")
 
 
-@_register("tags_extract", r"SELECT doc_id, CASE WHEN lang = 'en' THEN '[\"a/b\",\"en\"]' ELSE '[\"a/b\",\"' || lang || '\"]' END AS tags FROM documents".replace("\\", ""))
+@_register("tags_extract", r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, ' ', ' #'), '(?:^|[^A-Za-z0-9_])#([A-Za-z0-9_/-]+)', 1), lambda x: trim(x, '/')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, len(list_distinct(l))::BIGINT AS n, l[1] AS first, sha256(array_to_string(list_sort(list_distinct(l)), ' ')) AS digest FROM t WHERE text IS NOT NULL""".replace("SELECT doc_id, list_filter", "SELECT doc_id, text, list_filter"))
 def tags_extract(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("#a/b/ x#no #"), F.col("lang"), F.lit(" (#a/b)"))
-    return _table(spark, d, "documents").select("doc_id", F.to_json(inline_tags(text)).alias("tags"))
+    tags = inline_tags(F.replace("text", F.lit(" "), F.lit(" #")))
+    rows = _table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tags.alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("digest"))
 
 
-@_register("path_collapse", "SELECT n_nationkey, 'b/' || lower(n_name) AS path FROM nation")
+@_register("path_collapse", "SELECT doc_id, lower(source || '/doc-' || doc_id) AS path FROM documents")
 def path_collapse(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "nation").select("n_nationkey", collapse_path(F.concat(F.lit("a/../b/./"), F.col("n_name"))).alias("path"))
+    return _table(spark, d, "documents").select("doc_id", collapse_path(F.concat_ws("/", F.lit("."), "source", "lang", F.lit(".."), F.concat(F.lit("Doc-"), F.col("doc_id").cast("string")), F.lit("x"), F.lit(".."))).alias("path"))
 
 
 def queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ from mdspark.queries import TODAY, _chunks, _expressions, _index, _native, _note
 from mdspark.sources import pages as page_source
 from mdspark.sources import vault
 from mdspark.sources.index import Encoder, Index
-from mdspark.storage import default_index
+from mdspark.storage import default_index, fingerprint
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -399,11 +399,15 @@ _query("task_group_priority", "description includes order\ngroup by priority", "
 _query("task_group_backlink", "filename includes o11\ngroup by backlink\ngroup by recurring\ngroup by filename", "SELECT 'o' || k || CASE WHEN line = 5 THEN ' > Other' ELSE ' > Orders' END AS group_0, CASE WHEN line = 3 THEN 'Recurring' ELSE 'Not Recurring' END AS group_1, 'o' || k AS group_2, line FROM u WHERE starts_with('o' || k, 'o11')", ("group_0", "group_1", "group_2", "line"))
 
 
-@_register("task_diagnostics", "SELECT * FROM (VALUES (0, 'unknown sort field: sort by nope'), (1, 'not understood: this is nothing'), (2, 'limit groups: there are no groups')) v(n, said)")
+@_register("task_diagnostics", f"""WITH {_T}, n AS (SELECT count(*) AS n FROM (SELECT type FROM a UNION ALL SELECT CASE WHEN k % 2 = 1 THEN 'DONE' ELSE 'TODO' END FROM b UNION ALL SELECT 'CANCELLED' FROM c) WHERE type IN ('DONE', 'CANCELLED'))
+SELECT said, CASE WHEN said LIKE 'not understood%' THEN 0 ELSE n END AS n FROM n, (VALUES ('unknown sort field: sort by nope'), ('limit groups: there are no groups'), ('not understood: this is nothing')) v(said)""")
 def task_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    asked = TaskQuery("sort by nope\nthis is nothing\nlimit groups 3\nsort by clerk", dt.date.fromisoformat(TODAY))
-    asked.run(_tasks(spark, d))
-    return spark.createDataFrame(list(enumerate(asked.diagnostics)), "n int, said string")
+    out = None
+    for source in ("done\nsort by nope\nlimit groups 3\nsort by clerk", "done\nthis is nothing"):
+        asked = TaskQuery(source, dt.date.fromisoformat(TODAY))
+        rows = asked.run(_tasks(spark, d)).agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, asked.diagnostics))).alias("said"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @_register("task_script_dates", f"""WITH {_T} SELECT path, CASE WHEN day < DATE '{TODAY}' THEN '%%1%% Overdue' WHEN day = DATE '{TODAY}' THEN '%%2%% Today' ELSE '%%3%% Future' END AS category,
@@ -487,12 +491,12 @@ def page_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- reading notes ----
-@_register("note_parse", """SELECT 'n' || n_nationkey || '.md' AS path, 'n' || n_nationkey AS title, '{"area":"' || n_name || '","list":[1,"two",{"k":null}],"deep":{"x":true},"text":"a b\\n"}' AS frontmatter_json, 14 AS body_start_line, 3::BIGINT AS n_chunks,
-'|H 1|H 2' AS headings, 'a/b:,c d.md:h,img.png:!,ref.md:' AS links, 'intro [[a/b|x]] [i](c%20d.md#h)' AS opening FROM nation""")
+@_register("note_parse", """SELECT 'n' || c_custkey || '.md' AS path, 'n' || c_custkey AS title, '{"area":"' || c_name || '","list":[1,"two",{"k":null}],"deep":{"x":true},"text":"a b\\n"}' AS frontmatter_json, 14 AS body_start_line, 3::BIGINT AS n_chunks,
+'|H 1|H 2' AS headings, 'a/b:,c d.md:h,img.png:!,ref.md:' AS links, 'intro [[a/b|x]] [i](c%20d.md#h)' AS opening FROM customer""")
 def note_parse(spark: SparkSession, d: str) -> DataFrame:
-    head = _text("---\n# made\narea: ", F.col("n_name"), "\nlist:\n  - 1\n  - two\n  - k:\ndeep: {x: true}\ntext: >\n  a\n  b\n\n---\n")
+    head = _text("---\n# made\narea: ", F.col("c_name"), "\nlist:\n  - 1\n  - two\n  - k:\ndeep: {x: true}\ntext: >\n  a\n  b\n\n---\n")
     body = "intro [[a/b|x]] [i](c%20d.md#h)\r\n\r\n# H 1\r\nsome ![p](img.png) [out](https://x.y) [[#same]]\n## H 2 \n[r][1]\n\n[1]: ref.md\n# \n"
-    files = _table(spark, d, "nation").select(_text("n", F.col("n_nationkey"), ".md").alias("path"), F.encode(F.concat(head, F.lit(body)), "UTF-8").alias("content"))
+    files = _table(spark, d, "customer").select(_text("n", F.col("c_custkey"), ".md").alias("path"), F.encode(F.concat(head, F.lit(body)), "UTF-8").alias("content"))
     notes = vault.parse_notes(files)
     shown = F.array_join(F.transform("links", lambda x: F.concat(x["raw_target"], F.lit(":"), F.coalesce(x["heading"], F.lit("")), F.when(x["is_embed"], "!").otherwise(""))), ",")
     return notes.select(
@@ -501,14 +505,15 @@ def note_parse(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_register("chunk_pack", """SELECT doc_id, ordinal, heading, size FROM (
-SELECT doc_id, 0 AS ordinal, 'A' AS heading, 2002 AS size FROM documents UNION ALL SELECT doc_id, 1, 'A', 1000 FROM documents UNION ALL SELECT doc_id, 2, 'B', 3000 FROM documents)""")
+@_register("chunk_pack", r"""WITH p AS (SELECT doc_id, lang, string_split(trim(replace(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '. ', '.' || chr(10) || chr(10)), ' '), chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+packed AS (SELECT doc_id, lang, list_reduce(ps[2:], lambda done, x: CASE WHEN len(done[-1]) + len(x) > 2400 THEN list_append(done, x) ELSE list_append(done[:-2], done[-1] || chr(10) || chr(10) || x) END, [ps[1]]) AS chunks FROM p WHERE ps[1] <> '')
+SELECT doc_id, (unnest(range(len(chunks))))::INTEGER AS ordinal, coalesce(lang, 'none') AS heading, sha256(trim(unnest(chunks), ' ')) AS digest FROM packed""")
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    para = "p" * 1000
-    body = f"# A\n{para}\n\n{para}\n\n{para}\n# B\n{para * 3}\n"
-    files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.lit(body), "UTF-8").alias("content"))
+    words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    body = _text("# ", F.coalesce("lang", F.lit("none")), "\n", F.replace(words, F.lit(". "), F.lit(".\n\n")), "\n")
+    files = _table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.encode(body, "UTF-8").alias("content"))
     rows = vault.chunks(vault.parse_notes(files))
-    return rows.select(F.col("path").cast("long").alias("doc_id"), "ordinal", "heading", F.char_length("body").alias("size"))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "ordinal", "heading", F.sha2("body", 256).alias("digest"))
 
 
 @_register("line_links", "SELECT c_custkey, 'c' || c_custkey || '.md,x y.md' AS paths, 'h,' AS headings, 'false,true' AS embeds FROM customer")
@@ -568,6 +573,41 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).cast("long").alias("tf"))
 
 
+def _refreshed(spark: SparkSession, d: str) -> Index:
+    """The index of an earlier state of the documents, of which a hundredth was different, missing or there in vain, brought up to date with what changed."""
+    out, state = Index(spark, default_index(spark, d) + "-refreshed"), fingerprint(spark, _table(spark, d, "documents"))
+    made = out.metadata()
+    if not made or made["state"] != state:
+        chunks = _chunks(spark, d).withColumn("content_hash", F.sha2("search_text", 256))
+        note = lambda rows: rows.select("path", "title", F.lit(None).cast("string").alias("frontmatter_json"), F.lit(0).cast("long").alias("mtime"), "n_chars")
+        changed, added = F.col("chunk_id") % 300 == 0, F.col("chunk_id") % 300 == 100
+        other = F.concat(F.lit("the lost words of "), F.reverse("search_text"))
+        before = chunks.where(~added).withColumn("search_text", F.when(changed, other).otherwise(F.col("search_text"))).withColumn("body", F.col("search_text"))
+        gone = chunks.where(F.col("chunk_id") % 300 == 200).withColumn("path", F.concat("path", F.lit(".old"))).withColumn("chunk_id", -F.col("chunk_id"))
+        before = before.unionByName(gone)
+        out.build(before, note(before), source=d)
+        now = chunks.where(changed | added)
+        out.update(now, note(now), removed=gone.select("path"), state=state)
+    return out
+
+
+@_register("index_refresh", f"WITH {_TOKENS} SELECT w AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM tok) GROUP BY 1")
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    return _refreshed(spark, d).table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).cast("long").alias("tf"))
+
+
+@_register("index_refresh_search", f"WITH {_bm25([['the'], ['and'], ['of']])} SELECT doc_id AS chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
+def index_refresh_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_indexed(_refreshed(spark, d), "the and of", 20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@_register("index_refresh_notes", "SELECT 'doc-' || doc_id AS title, n_chars, 1::BIGINT AS n FROM documents")
+def index_refresh_notes(spark: SparkSession, d: str) -> DataFrame:
+    index = _refreshed(spark, d)
+    chunks = index.table("chunks").groupBy("path").agg(F.count("*").alias("n"))
+    return index.table("notes").join(chunks, "path").select("title", "n_chars", "n")
+
+
 @_register("index_chunks", "SELECT doc_id AS chunk_id, 'doc-' || doc_id AS title, 0.0::DOUBLE AS score FROM documents")
 def index_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).chunks().select("chunk_id", "title", "score")
