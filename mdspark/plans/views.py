@@ -7,13 +7,15 @@ last, then by ``tie``, so that limits are deterministic.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdspark.plans.expression import Typed, as_date, coerced, compile_expression, display, lenient, listed, millis, scope_of, truthy
+from mdspark.plans.expression import ExpressionError, Typed, as_date, coerced, compile_expression, display, lenient, listed, millis, scope_of, truthy
+from mdspark.plans.groups import GroupCompiler, NeedsList, grouped_rows
 
 
 def view_filter(spec: Any, frame: DataFrame, now: str | None = None) -> Column:
@@ -131,8 +133,9 @@ class View:
     def summarise(self, frame: DataFrame, tie: str = "path") -> DataFrame:
         """One row: a column for each ``property: summary``, over the limited rows.
 
-        A custom summary is an expression over the list ``values``, in the order of the rows; the
-        list is one value, so it is as large as the limited rows.
+        A custom summary is an expression over the list ``values``, in the order of the rows. What
+        ``groups`` can compute as aggregates is; else the list is one value, as large as the
+        limited rows.
         """
         rows = self.rows(frame, tie)
         keys = self._keys(rows)
@@ -143,6 +146,9 @@ class View:
             if named is not None:
                 out.append(named.alias(name))
                 after.append(F.col(f"`{name}`"))
+            elif s in self.custom and (made := self._aggregated(self.custom[s], x, f"_s{len(after)}_")):
+                out += made[0]
+                after.append(made[1].alias(name))
             elif s in self.custom:
                 item = F.struct(*(c.alias(f"k{k}") for k, (c, _) in enumerate(keys)), F.col(tie).alias("tie"), x.column.alias("v"))
                 order = _comparison([*((f"k{k}", down) for k, (_, down) in enumerate(keys)), ("tie", False)])
@@ -154,6 +160,15 @@ class View:
                 after.append(F.col(f"`{name}`"))
         return rows.agg(*out).select(*after)
 
+    def _aggregated(self, source: str, x: Typed, prefix: str) -> tuple[list[Column], Column] | None:
+        """Aggregates that a custom summary of ``x`` needs, and its value; None if it needs the list."""
+        compiler = GroupCompiler("values", x, {}, self.now, prefix=prefix)
+        try:
+            made = compiler.compile(source)
+        except (NeedsList, ExpressionError):
+            return None
+        return (compiler.aggregates, made.value) if compiler.aggregates else None
+
     def _group_key(self, frame: DataFrame) -> Column:
         x = self._value(self.group_by or "null", frame)
         if x.kind in ("number", "date", "any"):
@@ -234,8 +249,9 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
 
     FROM takes "" for all, "prefix" of the path, or #tag for rows whose tags hold it. TASK reads
     ``tasks`` (path, line, ...) instead of the pages; FROM #tag finds none of them. GROUP BY gives
-    (key, rows), the rows of a group as one value; a LIMIT before it bounds them. Where the query
-    only asks how many rows there are (``rows.length``) they are counted and not brought together.
+    (key, rows). What is asked of ``rows`` is computed as aggregates where it can be (see
+    ``groups``); else, and where the rows themselves are shown, they are one value a group, which a
+    LIMIT before it bounds.
     """
     head, clauses = _pieces(source)
     m = re.match(r"(TABLE|LIST|TASK|CALENDAR)\s*(WITHOUT\s+ID\b)?\s*(.*)$", head, re.I | re.S)
@@ -255,17 +271,13 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
                 frame = frame.where(F.array_contains(tags.column, wanted[1:]) | F.array_contains(tags.column, wanted) if known else F.lit(False))
             elif wanted:
                 frame = frame.where(F.startswith(F.col("path"), F.lit(wanted)))
-    grouped, extra = False, {}
+    grouped = False
     for at, (name, text) in enumerate(clauses):
-        value = lambda e: compile_expression(e, frame, extra, now)  # noqa: E731, B023
+        value = lambda e: compile_expression(e, frame, now=now)  # noqa: E731, B023
         if name == "WHERE":
             frame = frame.where(truthy(value(text)))
         elif name == "SORT":
-            keys = []
-            for part in _commas(text):
-                x = value(re.sub(r"\s+(ASC|DESC)(ENDING)?$", "", part, flags=re.I))
-                plain = [coerced(x, "number"), F.when(x.column.isNotNull(), display(x))] if x.kind == "any" else [x.column if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(x.column)]
-                keys += [c.desc_nulls_last() if re.search(r"\sDESC(ENDING)?$", part, re.I) else c.asc_nulls_last() for c in plain]
+            keys = _sort_keys(text, value)
             frame = frame.orderBy(*keys, *(["_text"] if grouped else ties))
         elif name == "LIMIT":
             frame = frame.limit(int(text))
@@ -276,22 +288,33 @@ def query(source: str, frame: DataFrame, tie: str = "path", now: str | None = No
         elif name == "GROUP":
             key = value(text)
             as_text = F.coalesce(F.to_json(F.struct(key.column.alias("k"))), F.lit("{}"))
-            later = " ".join([m[3], *(t for _, t in clauses[at + 1 :])])
-            if m[3].strip() and not grouped and not re.search(r"\brows\b(?!\s*\.\s*length\b)", later):
-                frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.value).alias("key"), F.count("*").cast("double").alias("_n")).orderBy("_text")
-                extra = {"rows": Typed(F.col("_n"), "object", fields={"length": Typed(F.col("_n"), "number")})}
-                grouped = True
-                continue
+            if m[3].strip() and not grouped:
+                try:
+                    return grouped_rows(frame, key, as_text, ties, now, clauses[at + 1 :], _named(m[3]), _sort_keys)
+                except NeedsList:
+                    pass
             rest = [c for c in frame.columns if c not in ties and c != "_text"]
             rows = F.collect_list(F.struct(*([] if grouped else ties), *rest))
             rows = F.sort_array(rows) if grouped else F.array_sort(rows, _comparison([(t, False) for t in ties]))
             frame = frame.groupBy(as_text.alias("_text")).agg(F.first(key.value).alias("key"), rows.alias("rows")).orderBy("_text")
             grouped = True
-    shown = [c for c in frame.columns if c not in ("_text", "_n")]
+    shown = [c for c in frame.columns if c != "_text"]
     if not m[3].strip() or m[1].upper() == "TASK":
         return frame.select(*(F.col(f"`{c}`") for c in shown))
-    columns = []
-    for part in _commas(m[3]):
-        e, _, alias = re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I | re.S).groups()
-        columns.append(compile_expression(e, frame, extra, now).value.alias((alias or e).strip("\"'")))
-    return frame.select(*columns)
+    return frame.select(*(compile_expression(e, frame, now=now).value.alias(name) for e, name in _named(m[3])))
+
+
+def _named(text: str) -> list[tuple[str, str]]:
+    """(expression, name) of each part of a projection."""
+    parts = (re.match(r"(.*?)(\s+AS\s+(.+))?$", part, re.I | re.S).groups() for part in _commas(text))
+    return [(e, (alias or e).strip("\"'")) for e, _, alias in parts]
+
+
+def _sort_keys(text: str, value: Callable[[str], Typed]) -> list[Column]:
+    """Keys of a SORT clause; ``value`` compiles an expression."""
+    keys = []
+    for part in _commas(text):
+        x = value(re.sub(r"\s+(ASC|DESC)(ENDING)?$", "", part, flags=re.I))
+        plain = [coerced(x, "number"), F.when(x.column.isNotNull(), display(x))] if x.kind == "any" else [x.column if x.kind in ("number", "string", "date", "boolean", "null") else F.to_json(x.column)]
+        keys += [c.desc_nulls_last() if re.search(r"\sDESC(ENDING)?$", part, re.I) else c.asc_nulls_last() for c in plain]
+    return keys

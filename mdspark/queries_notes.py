@@ -282,6 +282,16 @@ def dql_task(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.regexp_extract("description", r"^(Part \d+)", 1).alias("w"))
 
 
+@_register("dql_group_aggregates", """WITH o AS (SELECT *, 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS path FROM orders)
+SELECT o_orderstatus AS key, count(*)::DOUBLE AS n, round(sum(o_totalprice) FILTER (o_totalprice > 1000), 2) AS total, (array_to_string(list(o_orderkey ORDER BY path)[1:3], ',')) AS firsts, count(DISTINCT o_custkey)::DOUBLE AS customers,
+bool_or(o_orderpriority = '1-URGENT') AS urgent, (list(o_orderkey ORDER BY path) FILTER (o_totalprice > 200000))[1] AS dear FROM o GROUP BY 1 HAVING count(*) > 10""")
+def dql_group_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "orders").withColumn("path", F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")))
+    source = """TABLE key, rows.length AS n, rows.filter(value.o_totalprice > 1000).map(value.o_totalprice).reduce(acc + value, 0).round(2) AS total, rows.map(value.o_orderkey).slice(0, 3).join(',') AS firsts,
+    rows.map(value.o_custkey).unique().length AS customers, rows.map(value.o_orderpriority).contains('1-URGENT') AS urgent, rows.filter(value.o_totalprice > 200000)[0].o_orderkey AS dear GROUP BY o_orderstatus WHERE rows.length > 10 SORT rows.length DESC"""
+    return query(source, pages)
+
+
 # ---- tasks ----
 def _day() -> Column:
     return F.date_format("o_orderdate", "yyyy-MM-dd")

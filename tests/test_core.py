@@ -67,6 +67,27 @@ def test_queries(pages):
         query("SELECT 1", pages)
 
 
+def test_groups_as_aggregates(pages):
+    """What is asked of a group is the same with and without its list, and the plan then brings no group together."""
+    asked = {
+        "rows.length": [2, 2], "rows.filter(value.score > 2).length": [1, 2], "rows.map(value.score * 2).reduce(acc + value, 1)": [9, 27], "rows.isEmpty()": [False, False],
+        "rows.map(value.title).slice(0, 1).join()": ["Delta Note", "Gamma Note"], "rows[1].title": ["Beta Note", "Alpha Note"], "rows.filter(value.score > 3)[0].score + ''": ["", "5"], "rows.map(value.color).unique().length": [1, 1],
+        "rows.map(value.title).contains('Beta Note')": [True, False], "rows.filter(value.active).map(value.score)[0]": [None, 5], "rows.length > 1 and key = 'red'": [False, True], "rows.map(value.score)[0] + rows.length": [3.0, 7.0],
+    }
+    for source, expected in asked.items():
+        out = query(f"TABLE {source} AS v FROM \"\" GROUP BY color SORT key", pages)
+        assert [r.v for r in out.collect()] == expected, source
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(struct(path" not in plan.replace("named_struct", "struct")
+    many = query("TABLE key, rows.map(value.score).slice(0, 2) AS s WHERE score > 0 GROUP BY active SORT rows.length DESC LIMIT 1", pages)
+    assert many.first().s == [1, 3]
+    # what needs the list has it
+    assert [r.v for r in query("TABLE rows.map(value.title).join('+') AS v GROUP BY color SORT key", pages).collect()] == ["Delta Note+Beta Note", "Gamma Note+Alpha Note"]
+    assert [r.v for r in query("TABLE rows.map(value.score + index).reduce(acc * value, 1) AS v GROUP BY color SORT key", pages).collect()] == [4.0, 45.0]
+    view = View(summaries={"score": "big", "rating": "all", "title": "list", "color": "kinds"}, custom={"big": "values.filter(value > 2).length + values.reduce(acc + value, 0)", "all": "values.map(value * 2).reduce(acc + value, 1)", "list": "values.slice(0, 2).join('+')", "kinds": "values.unique().length"}, sort=[("score", "asc")])
+    assert tuple(view.summarise(pages).first()) == (20.0, 23.0, "Delta Note+Beta Note", 2.0)
+
+
 @pytest.mark.parametrize(
     ("source", "expected"),
     [
