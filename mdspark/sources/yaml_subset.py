@@ -1,12 +1,15 @@
-"""Properties at the head of a note: block mappings and lists, flow collections, quoted, literal and folded texts.
+"""Properties at the head of a note: block mappings and lists, flow collections, plain, quoted, literal and folded texts, anchors and aliases, tags.
 
-Scalars are those of YAML 1.2: dates, yes and no are texts. What is beyond this (anchors, tags,
-several documents) is not read.
+Scalars are those of YAML 1.2: dates, yes and no are texts, as are digits after a leading zero. A
+value with a tag of its own is an object of the tag and the value; numbers that JSON lacks are
+null; ``<<`` is a name like others. A name that is given twice makes the block unreadable. Names
+that are collections (``? ...``) and several documents are not read.
 """
 
 from __future__ import annotations
 
-import json
+import copy
+import math
 import re
 from typing import Any
 
@@ -15,49 +18,128 @@ class PropertyError(ValueError):
     pass
 
 
+#: What stands after a backslash in a text in double quotes.
+_ESCAPES = {
+    "0": "\0", "a": "\a", "b": "\b", "t": "\t", "\t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", " ": " ", '"': '"', "/": "/", "\\": "\\",
+    "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029",
+}
+_QUOTED = re.compile(r"""\s*("(?:\\.|[^"\\])*"|'(?:''|[^'])*'(?!'))""", re.S)
+
+
 def scalar(text: str) -> Any:
     """null, booleans, numbers, quoted and plain strings, flow lists and objects."""
+    return _value(text, None, {})
+
+
+def _value(text: str, tag: str | None, anchors: dict[str, Any]) -> Any:
     text = text.strip()
     if text[:1] in ("[", "{"):
-        value, rest = _flow(text, 0)
+        value, rest = _flow(text, 0, anchors)
         if text[rest:].strip():
             raise PropertyError(text)
+        return _tagged(tag, value)
+    return _tagged(tag, text if tag in ("!", "!!str") and text[:1] not in ("'", '"') else _plain(text))
+
+
+def _tagged(tag: str | None, value: Any) -> Any:
+    """The value as its tag has it."""
+    if tag is None or tag in ("!", "!!str", "!!seq", "!!map", "!!null") or not re.match(r"!(?!!)|!!(int|float|bool)$", tag):
         return value
-    return _plain(text)
+    if not tag.startswith("!!"):
+        return {tag: value}
+    read = _plain(value) if isinstance(value, str) else value
+    kind = {"!!int": int, "!!float": float, "!!bool": bool}[tag]
+    if kind is float and isinstance(read, int) and not isinstance(read, bool):
+        read = float(read)
+    if type(read) is not kind:
+        raise PropertyError(f"{tag} {value}")
+    return read
+
+
+def _escaped(m: re.Match) -> str:
+    code = m[1] or m[2] or m[3]
+    if code:
+        return chr(int(code, 16))
+    if m[4] not in _ESCAPES:
+        raise PropertyError(m[0])
+    return _ESCAPES[m[4]]
+
+
+def _folded(text: str, double: bool) -> str:
+    """Lines of a quoted text as one: a line feed is a space, as many empty lines are as many line feeds; a backslash before one joins the lines as they are."""
+    first, *lines = text.split("\n")
+    out, empty = first, 0
+    for k, line in enumerate(lines, 1):
+        line = line.lstrip(" \t")
+        if not line.strip() and k < len(lines):
+            empty += 1
+            continue
+        if double and not empty and (len(out) - len(out.rstrip("\\"))) % 2:
+            out = out[:-1] + line
+        else:
+            out = out.rstrip(" \t") + ("\n" * empty or " ") + line
+        empty = 0
+    return out
 
 
 def _plain(text: str) -> Any:
     if len(text) > 1 and text[0] == text[-1] == '"':
-        try:
-            return json.loads(text, strict=False)
-        except ValueError:
-            return text[1:-1]
+        return re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", _escaped, _folded(text[1:-1], True), flags=re.S)
     if len(text) > 1 and text[0] == text[-1] == "'":
-        return text[1:-1].replace("''", "'")
+        return _folded(text[1:-1], False).replace("''", "'")
     if text in ("null", "Null", "NULL", "~", ""):
         return None
     if text in ("true", "True", "TRUE", "false", "False", "FALSE"):
         return text.lower() == "true"
+    if m := re.fullmatch(r"([-+]?)0(?:x([0-9A-Fa-f]+)|o([0-7]+)|b([01]+))", text):
+        return int(m[1] + (m[2] or m[3] or m[4]), 16 if m[2] else 8 if m[3] else 2)
+    if re.fullmatch(r"[-+]?0\d+", text):
+        return text
     if re.fullmatch(r"[-+]?\d+", text):
-        return int(text)
+        whole = int(text)
+        return whole if -(1 << 63) <= whole < 1 << 64 else float(whole)
+    if re.fullmatch(r"[-+]?\.(inf|Inf|INF)|\.(nan|NaN|NAN)", text):
+        return None
     if re.fullmatch(r"[-+]?(\d+\.\d*|\.?\d+)([eE][-+]?\d+)?", text):
-        return float(text)
+        fraction = float(text)
+        return fraction if math.isfinite(fraction) else text
     return text
 
 
 _ATOM = re.compile(r"""\s*("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^,\[\]{}:]*(?::(?=\S)[^,\[\]{}:]*)*)\s*""")
+_PROPERTY = re.compile(r"\s*([&!][^\s,\[\]{}]*)(?:\s+|(?=[,\]}])|$)")
 
 
-def _flow(text: str, at: int) -> tuple[Any, int]:
+def _flow(text: str, at: int, anchors: dict[str, Any]) -> tuple[Any, int]:
     """A value that begins at ``at``, and where it ends."""
+    anchor = tag = None
+    while m := _PROPERTY.match(text, at):
+        anchor, tag = (m[1][1:], tag) if m[1][0] == "&" else (anchor, m[1])
+        at = m.end()
     while at < len(text) and text[at].isspace():
         at += 1
     opening = text[at : at + 1]
     if opening not in ("[", "{"):
         m = _ATOM.match(text, at)
-        return _plain(m[1].strip()), m.end()
-    out: Any = [] if opening == "[" else {}
-    closing, at = {"[": "]", "{": "}"}[opening], at + 1
+        word, at = m[1].strip(), m.end()
+        value = _alias(word[1:], anchors) if word[:1] == "*" else _value(word, tag, anchors)
+    else:
+        value, at = _collection(text, at, anchors)
+        value = _tagged(tag, value)
+    if anchor:
+        anchors[anchor] = value
+    return value, at
+
+
+def _alias(name: str, anchors: dict[str, Any]) -> Any:
+    if name not in anchors:
+        raise PropertyError(f"*{name}")
+    return copy.deepcopy(anchors[name])
+
+
+def _collection(text: str, at: int, anchors: dict[str, Any]) -> tuple[Any, int]:
+    out: Any = [] if text[at] == "[" else {}
+    closing, at = {"[": "]", "{": "}"}[text[at]], at + 1
     while True:
         while at < len(text) and (text[at].isspace() or text[at] == ","):
             at += 1
@@ -66,12 +148,14 @@ def _flow(text: str, at: int) -> tuple[Any, int]:
         if text[at] == closing:
             return out, at + 1
         before = at
-        value, at = _flow(text, at)
-        if opening == "{":
+        value, at = _flow(text, at, anchors)
+        if closing == "}":
             name = value if isinstance(value, str) else text[before:at].strip()
             value = None
             if text[at : at + 1] == ":":
-                value, at = _flow(text, at + 1)
+                value, at = _flow(text, at + 1, anchors)
+            if name in out:
+                raise PropertyError(f"{name} is given twice")
             out[name] = value
         else:
             out.append(value)
@@ -98,6 +182,7 @@ def _uncommented(line: str) -> str:
 class _Block:
     def __init__(self, text: str):
         self.lines, self.at = text.split("\n"), 0
+        self.anchors: dict[str, Any] = {}
 
     def peek(self) -> tuple[int, str] | None:
         """Indentation and text of the next line that has some."""
@@ -125,7 +210,7 @@ class _Block:
                 out.append(self.mapping(inside))
             else:
                 self.at += 1
-                out.append(self.after(rest, indent) if rest else self.value(indent + 1))
+                out.append(self.node(rest, indent))
         return out
 
     def mapping(self, indent: int) -> dict:
@@ -136,29 +221,61 @@ class _Block:
                 raise PropertyError(found[1])
             self.at += 1
             name, rest = str(_plain(m[1].strip())) if m[1][0] in "\"'" else m[1].strip(), (m[2] or "").strip()
-            if rest:
-                out[name] = self.after(rest, indent)
-            else:
-                below = self.peek()
-                listed = below and below[0] == indent and (below[1] == "-" or below[1].startswith("- "))
-                out[name] = self.items(indent) if listed else self.value(indent + 1)
+            if name in out:
+                raise PropertyError(f"{name} is given twice")
+            out[name] = self.node(rest, indent, True)
         if found and found[0] > indent:
             raise PropertyError(found[1])
         return out
 
-    def after(self, rest: str, indent: int) -> Any:
+    def node(self, rest: str, indent: int, named: bool = False) -> Any:
+        """The value of a name or a dash: what follows on its line, or stands below."""
+        anchor = tag = None
+        while m := _PROPERTY.match(rest):
+            anchor, tag = (m[1][1:], tag) if m[1][0] == "&" else (anchor, m[1])
+            rest = rest[m.end() :].strip()
+        if rest[:1] == "*":
+            return _alias(rest[1:].strip(), self.anchors)
+        if rest:
+            value = self.after(rest, indent, tag)
+        else:
+            below = self.peek()
+            listed = named and below and below[0] == indent and (below[1] == "-" or below[1].startswith("- "))
+            value = self.items(indent) if listed else self.value(indent + 1)
+            value = _tagged(tag, "" if value is None and tag == "!!str" else value)
+        if anchor:
+            self.anchors[anchor] = value
+        return value
+
+    def after(self, rest: str, indent: int, tag: str | None = None) -> Any:
         """What follows a name or a dash on its line, and the lines that go on with it."""
-        if re.fullmatch(r"[|>][-+]?\d*", rest):
-            return self.text(rest, indent)
-        more = []
-        while rest[0] in "[{" and (" ".join([rest, *more])).count(rest[0]) > (" ".join([rest, *more])).count({"[": "]", "{": "}"}[rest[0]]) and self.peek():
-            more.append(self.peek()[1])
-            self.at += 1
-        if rest[0] not in "[{\"'":
-            while (found := self.peek()) and found[0] > indent and not _KEY.match(found[1]):
-                more.append(found[1])
+        if re.fullmatch(r"[|>](?:[-+]?\d?|\d[-+])", rest):
+            return _tagged(tag, self.text(rest, indent))
+        if rest[0] in "\"'":
+            whole = rest
+            while not (m := _QUOTED.match(whole)):
+                if self.at >= len(self.lines):
+                    raise PropertyError(rest)
+                whole += "\n" + self.lines[self.at]
+                self.at += 1
+            if whole[m.end() :].strip() and not re.match(r"\s+#", whole[m.end() :]):
+                raise PropertyError(whole)
+            return _value(m[1], tag, self.anchors)
+        whole = rest
+        if rest[0] in "[{":
+            closing = {"[": "]", "{": "}"}[rest[0]]
+            while whole.count(rest[0]) > whole.count(closing) and (found := self.peek()):
+                whole += " " + found[1]
+                self.at += 1
+        else:
+            while True:
+                before = self.at
+                found = self.peek()
+                if not found or found[0] <= indent or _KEY.match(found[1]):
+                    break
+                whole += ("\n" * sum(not x.strip() for x in self.lines[before : self.at]) or " ") + found[1]
                 self.at += 1
-        return scalar(" ".join([rest, *more]))
+        return _value(whole, tag, self.anchors)
 
     def text(self, style: str, indent: int) -> str:
         """A literal text (|) or a folded one (>); - drops the last line feed, + keeps all."""
@@ -170,7 +287,8 @@ class _Block:
             taken.append(line)
             self.at += 1
         kept = [t for t in taken if t.strip()]
-        depth = min((len(t) - len(t.lstrip()) for t in kept), default=0)
+        given = re.search(r"\d", style)
+        depth = indent + int(given[0]) if given else min((len(t) - len(t.lstrip()) for t in kept), default=0)
         lines = [t[depth:] if t.strip() else "" for t in taken]
         body = "\n".join(lines)
         if style[0] == ">":
@@ -187,7 +305,7 @@ def properties(block: str) -> Any:
     found = reader.peek()
     if not found:
         return None
-    value = scalar("\n".join(reader.lines)) if found[1][0] in "{[" else reader.value(0)
+    value = _value("\n".join(map(_uncommented, reader.lines)), None, reader.anchors) if found[1][0] in "{[" else reader.value(0)
     if found[1][0] not in "{[" and reader.peek():
         raise PropertyError(reader.peek()[1])
     return value

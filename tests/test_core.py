@@ -13,6 +13,7 @@ from mdspark.plans.native_filter import FilterError, compile_filter, scalar
 from mdspark.plans.task_query import TaskQuery, date_range
 from mdspark.plans.views import View, query
 from mdspark.sources import vault
+from mdspark.sources.yaml_subset import PropertyError, properties
 
 PAGES = [
     ("Work/alpha.md", 8, 4.5, True, ["work", "project/alpha", "featured"], "Alpha Note", 120, "red", "2026-01-01"),
@@ -123,6 +124,30 @@ def test_native_filters(spark):
     assert scalar("2026-06-14") == "2026-06-14" and scalar("yes") == "yes" and scalar("[1, 'a b', true]") == [1, "a b", True]
 
 
+@pytest.mark.parametrize(
+    ("block", "expected"),
+    [
+        ("base: &b {x: 1, l: [a, b]}\nother: *b\nlist:\n  - &n 7\n  - *n", {"base": {"x": 1, "l": ["a", "b"]}, "other": {"x": 1, "l": ["a", "b"]}, "list": [7, 7]}),
+        ("a: &m\n  k: v\nb:\n  <<: *m\n  z: 1", {"a": {"k": "v"}, "b": {"<<": {"k": "v"}, "z": 1}}), ("f: [&x one, *x, {k: *x}]", {"f": ["one", "one", {"k": "one"}]}),
+        ("s: !!str 5\ni: !!int \"5\"\nf: !!float 5\nown: !thing {a: 1}\nt: !!str", {"s": "5", "i": 5, "f": 5.0, "own": {"!thing": {"a": 1}}, "t": ""}),
+        ("h: 0x1F\no: 0o17\nb: 0b101\nz: 007\nbig: 123456789012345678901234567890\nneg: -0x10", {"h": 31, "o": 15, "b": 5, "z": "007", "big": 1.2345678901234568e29, "neg": -16}),
+        ("i: .inf\nn: .NaN\nm: -.INF\nw: infinity\ne: 1e400", {"i": None, "n": None, "m": None, "w": "infinity", "e": "1e400"}),
+        ('q: "first line\n  goes on\n\n  second paragraph \\\n  joined # no comment"\nnext: 1', {"q": "first line goes on\nsecond paragraph joined # no comment", "next": 1}),
+        ("q: 'it''s\n  one\n\n\n  two'  # a comment\nnext: 1", {"q": "it's one\n\ntwo", "next": 1}), ("p: plain text\n  goes on\n\n  after a gap\nnext: 1", {"p": "plain text goes on\nafter a gap", "next": 1}),
+        ('e: "\\x41\\u00e9\\U0001F600\\t\\e\\_\\/"', {"e": "Aé\U0001F600\t\x1b\xa0/"}), ("t: |2\n    two more\n  none\nu: >-\n  a\n  b\n\n  c\n", {"t": "  two more\nnone\n", "u": "a b\nc"}),
+        ("day: 2026-01-01\nyes: no\nn: ~\nf: 1.50\nurl: http://a.b/c#d", {"day": "2026-01-01", "yes": "no", "n": None, "f": 1.5, "url": "http://a.b/c#d"}),
+    ],
+)
+def test_properties(block, expected):
+    assert properties(block) == expected
+
+
+@pytest.mark.parametrize("block", ["a: 1\na: 2", "a: {b: 1, b: 2}", "a: *nowhere", 'a: "open', 'a: "\\q"', "a: !!int x", "a: [1, 2", 'a: "x" y', "- a\nb: 1"])
+def test_properties_that_cannot_be_read(block):
+    with pytest.raises(PropertyError):
+        properties(block)
+
+
 def test_text(spark):
     df = spark.createDataFrame([("格子暗号 Rust_1 CLI", "x" * 200 + " Needle " + "y" * 200, "./Foo\\Bar.md", "#a/ x#no (#b) #a")], "a string, b string, c string, d string")
     r = df.select(search_tokens(F.col("a")), snippet(F.col("b"), "needle"), normalize_target(F.col("c")), inline_tags(F.col("d")), collapse_path(F.lit("A/./b/../C"))).first()
