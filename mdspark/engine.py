@@ -155,13 +155,13 @@ class Engine:
         return found["path"]
 
     def backlinks(self, note: str) -> DataFrame:
-        return graph.backlinks(self.links_table(), self._path(note))
+        return graph.backlinks_of(self._index, self._path(note))
 
     def links(self, note: str) -> DataFrame:
         return graph.outlinks(self.links_table(), self._path(note)).orderBy("ordinal")
 
     def graph(self, note: str, depth: int = 2) -> DataFrame:
-        return graph.neighbourhood(self.links_table(), self._path(note), depth)
+        return graph.neighbourhood_of(self._index, self._path(note), depth)
 
 
 def native_notes(source: str, notes: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdspark.functions.text import collapse_path
 from mdspark.storage import scratch
 
+if TYPE_CHECKING:  # the index resolves links with this module
+    from mdspark.sources.index import Index
+
 
 def _stem(path: Column) -> Column:
     return F.lower(F.regexp_replace(path, r"(?i)\.md$", ""))
@@ -58,25 +64,40 @@ def unresolved(links: DataFrame) -> DataFrame:
     return links.where(F.col("target_path").isNull())
 
 
+def _hops(spark: SparkSession, start: str, depth: int, neighbours: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """(path, hop): what ``neighbours`` (path) of a frontier reach; each frontier is written once."""
+    frontier = spark.createDataFrame([(start, 0)], "path string, hop int")
+    seen = frontier
+    for hop in range(1, depth + 1):
+        reached = neighbours(frontier).distinct().join(seen, "path", "left_anti").withColumn("hop", F.lit(hop))
+        reached.write.parquet(f"{folder}/hop-{hop}")
+        frontier = spark.read.schema(reached.schema).parquet(f"{folder}/hop-{hop}")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     """(path, hop) of the notes within ``depth`` links of ``start`` in either direction.
 
-    The edges and each frontier are written once, so a hop joins two tables and repeats no hop
-    before it; ``depth`` bounds the number of rounds.
+    The edges are written once, and each hop joins them with its frontier; ``depth`` bounds the
+    number of rounds. ``neighbourhood_of`` reads the edges that an index keeps.
     """
-    spark = links.sparkSession
-    folder = scratch(spark, "neighbourhood")
+    spark, folder = links.sparkSession, scratch(links.sparkSession, "neighbourhood")
+    known = links.where("target_path IS NOT NULL").select(F.col("source_path").alias("a"), F.col("target_path").alias("b"))
+    edges = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges.write.parquet(f"{folder}/edges")
+    both = spark.read.schema(edges.schema).parquet(f"{folder}/edges")
+    return _hops(spark, start, depth, lambda frontier: frontier.join(both, frontier.path == both.a).select(F.col("b").alias("path")), folder)
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    known = links.where("target_path IS NOT NULL").select(F.col("source_path").alias("a"), F.col("target_path").alias("b"))
-    both = written(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    frontier = spark.createDataFrame([(start, 0)], "path string, hop int")
-    seen = frontier
-    for hop in range(1, depth + 1):
-        reached = frontier.join(both, frontier.path == both.a).select(F.col("b").alias("path")).distinct()
-        frontier = written(reached.join(seen, "path", "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
-        seen = seen.unionByName(frontier)
-    return seen
+def neighbourhood_of(index: Index, start: str, depth: int = 2) -> DataFrame:
+    """The same over an index: a hop reads the edges in the buckets of its frontier, and shuffles no others."""
+    index.edges()  # made, if it is the first time
+    index = index.pinned()
+    return _hops(index.spark, start, depth, lambda frontier: index.edges_at(frontier).select(F.col("other").alias("path")), scratch(index.spark, "neighbourhood"))
+
+
+def backlinks_of(index: Index, path: str) -> DataFrame:
+    """(source_path) of the notes that link to one, by path, from the edges in its bucket."""
+    one = index.spark.createDataFrame([(path,)], "path string")
+    return index.edges_at(one).where("incoming").select("source_path").distinct().orderBy("source_path")

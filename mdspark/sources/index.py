@@ -335,8 +335,8 @@ class Index:
             return self._entries(self._blocks(), "positions", "dls").withColumnRenamed("dls", "dl")
         return self._live(name).drop("_segment")
 
-    def derived(self, name: str, make: Callable[[DataFrame], DataFrame], table: str = "notes") -> DataFrame:
-        """The live rows of a table that ``make`` makes of each segment's ``table``, note by note (it has their path).
+    def derived(self, name: str, make: Callable[[DataFrame], DataFrame], table: str = "notes", by: str | None = None) -> DataFrame:
+        """The live rows of a table that ``make`` makes of each segment's ``table``, note by note: it has their path, or source_path if made of links. ``by`` parts its files.
 
         It is made once for each segment, under ``name``, and kept with it, so an update makes it of
         what has changed alone.
@@ -346,7 +346,7 @@ class Index:
         for _, s, folder in self._folders(made):
             if name not in s.get("derived", {}) and table in s["tables"]:
                 folders[s["folder"]] = self._name("segment")
-                self._write(make(self.spark.read.parquet(f"{folder}/{table}")), f"{self.root}/{folders[s['folder']]}")
+                self._write(make(self.spark.read.parquet(f"{folder}/{table}")), f"{self.root}/{folders[s['folder']]}", by)
         if folders:
 
             def kept(last: dict) -> dict:
@@ -354,7 +354,27 @@ class Index:
 
             self._commit(kept)
             made = kept(made)
-        return self._live(name, made=made).drop("_segment")
+        return self._live(name, made=made, of=table).drop("_segment")
+
+    def edges(self) -> DataFrame:
+        """(bucket, node, other, incoming, ordinal, source_path): each resolved link at either of its ends, parted by bucket of ``node`` and in its order.
+
+        A note that very many link to has many rows, none of them large.
+        """
+
+        def make(links: DataFrame) -> DataFrame:
+            known = links.where("target_path IS NOT NULL")
+            end = lambda node, other, incoming: known.select(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(incoming).alias("incoming"), "ordinal", "source_path")
+            rows = end("source_path", "target_path", False).unionByName(end("target_path", "source_path", True)).withColumn("bucket", bucket_of(F.col("node")))
+            # a bucket with a hub is dealt to many tasks
+            return rows.repartition("bucket", F.pmod(F.xxhash64("other"), F.lit(8))).sortWithinPartitions("bucket", "node", "other")
+
+        return self.derived("edges", make, "links", "bucket")
+
+    def edges_at(self, nodes: DataFrame) -> DataFrame:
+        """The edges at the nodes (path): only the files of their buckets are read."""
+        wanted = [r[0] for r in nodes.select(bucket_of(F.col("path"))).distinct().collect()]  # at most BUCKETS numbers
+        return self.edges().where(F.col("bucket").isin(wanted)).join(nodes.select(F.col("path").alias("node")), "node")
 
     def _folders(self, made: dict) -> list[tuple[int, dict, str]]:
         return [(k, s, f"{self.root}/{s['folder']}") for k, s in enumerate(made["segments"])]
@@ -365,9 +385,9 @@ class Index:
             raise ValueError(f"there is no index in {self.root}")
         return made
 
-    def _live(self, name: str, everything: bool = False, made: dict | None = None) -> DataFrame:
+    def _live(self, name: str, everything: bool = False, made: dict | None = None, of: str = "") -> DataFrame:
         """The rows of all segments, with the number of each, but for those that a later one says are gone."""
-        key, gone = ("source_path", "gone_links") if name == "links" else ("path", "gone")
+        key, gone = ("source_path", "gone_links") if "links" in (name, of) else ("path", "gone")
         made, rows, lost = made or self._made(), None, None
         for k, s, folder in self._folders(made):
             where = f"{folder}/{name}" if name in s["tables"] else f"{self.root}/{s['derived'][name]}" if name in s.get("derived", {}) else None

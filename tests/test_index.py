@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mdspark.engine import Engine
-from mdspark.operators import retrieval
+from mdspark.operators import graph, retrieval
 from mdspark.sources import index as index_module
 from mdspark.sources.commits import CommitLog, Conflict
 from mdspark.sources.index import Index, bucket_number, bucket_of
@@ -215,3 +215,20 @@ def test_refresh_of_files(spark, tmp_path):
     assert ("a.md", "later", "later.md") in seen(engine)[1] and len(engine._index.metadata()["segments"]) == 2
     ids = [r.chunk_id for r in engine._index.table("chunks").collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_edges_of_a_hub(spark, tmp_path):
+    """A note that most others link to: rows of edges, and hops that read their buckets."""
+    pairs = [(f"n{k}", "hub") for k in range(3000)] + [(f"n{k}", f"n{k + 1}") for k in range(0, 100, 2)] + [("hub", "far"), ("far", "away"), ("away", None)]
+    rows = spark.createDataFrame([(a, k, b or "x", None, False, b) for k, (a, b) in enumerate(pairs)], "source_path string, ordinal int, raw_target string, heading string, is_embed boolean, target_path string")
+    index = Index(spark, str(tmp_path)).build(frame(spark, []), notes(spark, []), rows)
+    for start, depth in (("away", 1), ("away", 3), ("n0", 1), ("n0", 2)):
+        want = sorted(map(tuple, graph.neighbourhood(rows, start, depth).collect()))
+        assert sorted(map(tuple, graph.neighbourhood_of(index, start, depth).collect())) == want
+    assert [r.source_path for r in graph.backlinks_of(index, "n1").collect()] == ["n0"] and graph.backlinks_of(index, "hub").count() == 3000
+    # an update replaces a note's edges at both ends
+    change = rows.where("source_path = 'far'").withColumn("target_path", F.lit("n7"))
+    index.update(frame(spark, [(1, "far", "t", None, "x")]), None, change)
+    assert sorted(map(tuple, graph.neighbourhood_of(index, "n7", 1).collect())) == [("far", 1), ("hub", 1), ("n6", 1), ("n7", 0)] and graph.backlinks_of(index, "away").count() == 0
+    at_hub = index.edges_at(spark.createDataFrame([("hub",)], "path string"))
+    assert "PartitionFilters: [isnotnull(bucket" in at_hub._jdf.queryExecution().executedPlan().toString() or "bucket" in at_hub._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
