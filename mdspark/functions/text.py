@@ -62,7 +62,7 @@ def query_tokens(query: str) -> list[str]:
     import regex
 
     out: list[str] = []
-    cjk = r"぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
+    cjk = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES)
     for run in regex.findall(rf"[{cjk}]+|(?:(?![{cjk}])[\p{{Alphabetic}}\p{{N}}_])+", query.lower()):
         many = regex.match(f"[{cjk}]", run) and len(run) > 1
         out += [run[k : k + 2] for k in range(len(run) - 1)] if many else [run]

@@ -23,6 +23,8 @@ from mdspark.sources.index import K1, B, Index
 LEAST_IDF, RRF = 1e-6, 60
 #: Blocks that give a search its first bound, and blocks that a condition names one by one.
 FIRST, NAMED = 32, 4096
+#: Rows of scores that are broadcast at most.
+SMALL = 10_000
 
 
 def _part(f: Column, n: Column, dl: Column, chunks: Column, average: Column) -> Column:
@@ -321,10 +323,11 @@ def search(pipeline: Pipeline, query: str, limit: int = 8, engine: str = "bm25+r
     if engine == "bm25+rag":
         n = max(5 * limit, 30)
         lists = [pipeline._scores(query), pipeline._similar(query)]
-        scores = fuse([ranked(x, limit=n) for x in lists])
+        scores, most = fuse([ranked(x, limit=n) for x in lists]), 2 * n
     else:
+        most = 3 * limit
         scores = (pipeline._scores(query) if stage.name == "bm25" else pipeline._similar(query)).orderBy(F.desc("score"), "chunk_id").limit(3 * limit)
-    hits = pipeline.chunks.select("chunk_id", "path", "title", "heading", "body").join(F.broadcast(scores), "chunk_id").withColumn("tier", F.lit(0))
+    hits = pipeline.chunks.select("chunk_id", "path", "title", "heading", "body").join(F.broadcast(scores) if most <= SMALL else scores, "chunk_id").withColumn("tier", F.lit(0))
     return with_snippets(ranked(hits, *_order(), limit=limit), query)
 
 

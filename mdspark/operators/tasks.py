@@ -85,6 +85,10 @@ def inline_fields(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("::")), F.map_from_entries(last)).otherwise(F.expr("cast(map() as map<string, string>)"))
 
 
+#: Fixed values, formats of fields: a date, an id, ids that a task depends on, what becomes of a done task, and the weights of urgency.
+_DATE, _ID, _IDS, _DONE = r"\d{4}-\d{2}-\d{2}", "[A-Za-z0-9_-]+", "[A-Za-z0-9_, -]+", "delete|keep"
+URGENCY = {"highest": 9.0, "high": 6.0, "medium": 3.9, "normal": 1.95, "none": 1.95, "low": 0.0, "lowest": -1.8}
+DUE_MOST, DUE_LEAST, DUE_TODAY, DUE_DAY, SCHEDULED, STARTS_LATER = 12.0, 2.4, 8.8, 0.457142857, 5.0, -3.0
 #: Dates that a task table has as such, too.
 DAYS = ("due", "scheduled", "start")
 #: All marks of fields.
@@ -95,8 +99,8 @@ def described(text: Column, global_filter: str = "") -> Column:
     """The text without fields and marks, and without the text that makes a line a task."""
     bare = F.replace(text, F.lit(global_filter), F.lit("")) if global_filter else text
     bare = F.when(F.contains(text, F.lit("::")), F.regexp_replace(bare, _FIELD, "")).otherwise(bare)
-    dated = rf"(?:{'|'.join(DATES.values())})\x{{fe0f}}?\s*\d{{4}}-\d{{2}}-\d{{2}}"
-    marked = rf"{dated}|🆔\x{{fe0f}}?\s*[A-Za-z0-9_-]+|⛔\x{{fe0f}}?\s*[A-Za-z0-9_, -]+|🔁\x{{fe0f}}?\s*[^{_MARKS}\[]+|🏁\x{{fe0f}}?\s*(?:delete|keep)|[{_MARKS}]\x{{fe0f}}?"
+    dated = rf"(?:{'|'.join(DATES.values())})\x{{fe0f}}?\s*{_DATE}"
+    marked = rf"{dated}|🆔\x{{fe0f}}?\s*{_ID}|⛔\x{{fe0f}}?\s*{_IDS}|🔁\x{{fe0f}}?\s*[^{_MARKS}\[]+|🏁\x{{fe0f}}?\s*(?:{_DONE})|[{_MARKS}]\x{{fe0f}}?"
     return F.trim(F.regexp_replace(F.regexp_replace(bare, marked, ""), r"\s+", " "))
 
 
@@ -106,16 +110,16 @@ def task_fields(text: Column, fields: Column, description: Column) -> dict[str,
     ``fields`` and ``description`` are columns already, so that they are computed once.
     """
     inline = lambda *names: F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
-    out = {name: F.coalesce(_after(text, mark, r"(\d{4}-\d{2}-\d{2})"), inline(name)) for name, mark in DATES.items()}
+    out = {name: F.coalesce(_after(text, mark, f"({_DATE})"), inline(name)) for name, mark in DATES.items()}
     named = F.lower(inline("priorityname", "priority"))
     named = F.when(named.isin(list(PRIORITY_NUMBERS)), named)
     priority = F.coalesce(*(F.when(F.contains(text, F.lit(mark)), F.lit(name)) for mark, name in PRIORITIES.items()), named, F.lit("normal"))
     out["priority"] = priority
     out["priority_number"] = _lookup(priority, PRIORITY_NUMBERS, F.lit(3))
     out["recurrence"] = F.coalesce(F.trim(_after(text, "🔁", rf"([^{_MARKS}\[]+)")), inline("recurrence", "repeat"))
-    out["on_completion"] = F.coalesce(_after(text, "🏁", "(delete|keep)"), inline("oncompletion"), F.lit(""))
-    out["id"] = F.coalesce(_after(text, "🆔", "([A-Za-z0-9_-]+)"), inline("id"))
-    depends = F.split(F.coalesce(_after(text, "⛔", "([A-Za-z0-9_, -]+)"), F.lit("")), ",")
+    out["on_completion"] = F.coalesce(_after(text, "🏁", f"({_DONE})"), inline("oncompletion"), F.lit(""))
+    out["id"] = F.coalesce(_after(text, "🆔", f"({_ID})"), inline("id"))
+    depends = F.split(F.coalesce(_after(text, "⛔", f"({_IDS})"), F.lit("")), ",")
     out["depends_on"] = F.filter(F.transform(depends, lambda d: F.trim(d)), lambda d: d != "")
     out["description_without_tags"] = F.trim(F.regexp_replace(description, _TAG, "$1"))
     names = F.transform(F.regexp_extract_all(description, F.lit(_TAG), F.lit(2)), lambda t: F.regexp_replace(t, "^/+|/+$", ""))
@@ -250,10 +254,10 @@ def urgency(today: str) -> Column:
     """Due, priority, scheduled and start, as of ``today``."""
     now = F.lit(today).cast("date")
     days = F.datediff(F.try_to_date(F.col("due")), now)
-    due = F.when(days.isNull(), 0.0).when(days <= -7, 12.0).when(days >= 14, 2.4).otherwise(8.8 - 0.457142857 * days)
-    weight = _lookup(F.col("priority"), {"highest": 9.0, "high": 6.0, "medium": 3.9, "normal": 1.95, "none": 1.95, "low": 0.0, "lowest": -1.8}, F.lit(1.95))
-    scheduled = F.when(F.try_to_date(F.col("scheduled")) <= now, 5.0).otherwise(0.0)
-    start = F.when(F.try_to_date(F.col("start")) > now, -3.0).otherwise(0.0)
+    due = F.when(days.isNull(), 0.0).when(days <= -7, DUE_MOST).when(days >= 14, DUE_LEAST).otherwise(DUE_TODAY - DUE_DAY * days)
+    weight = _lookup(F.col("priority"), URGENCY, F.lit(URGENCY["normal"]))
+    scheduled = F.when(F.try_to_date(F.col("scheduled")) <= now, SCHEDULED).otherwise(0.0)
+    start = F.when(F.try_to_date(F.col("start")) > now, STARTS_LATER).otherwise(0.0)
     return due + weight + scheduled + start
 
 

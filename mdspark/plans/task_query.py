@@ -32,9 +32,13 @@ _DAYS = [d.lower() for d in calendar.day_name]
 _UNITS = {"day": 1, "week": 7}
 
 
+#: Fixed value: the endings of a day's number.
+_ORDINAL = re.compile(r"\b(\d{1,2})(st|nd|rd|th)\b")
+
+
 def english_date(text: str, today: dt.date) -> dt.date | None:
     """A day in words: ``20 June 2026``, ``June 20th``, ``20/6/2026``, ``next friday``, ``2 weeks ago``, ``in 3 days``."""
-    text = re.sub(r"\b(\d{1,2})(st|nd|rd|th)\b", r"\1", re.sub(r"[,\s]+", " ", text.strip().lower()))
+    text = _ORDINAL.sub(r"\1", re.sub(r"[,\s]+", " ", text.strip().lower()))
     month = lambda name: next((k for k in range(1, 13) if len(name) >= 3 and _MONTHS[k].startswith(name)), None)
     try:
         if m := re.fullmatch(r"(\d{1,2}) (?:of )?([a-z]+)(?: (\d{4}))?", text):
