@@ -361,41 +361,57 @@ def task_deps(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- links and index ----
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nation, region = _table(spark, d, "nation"), _table(spark, d, "region")
-    notes = nation.select(F.concat(F.lit("nation/"), "n_name", F.lit(".md")).alias("path"), F.col("n_name").alias("title")).unionByName(region.select(F.concat(F.lit("region/"), "r_name", F.lit(".md")).alias("path"), F.col("r_name").alias("title")))
-    to_region = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation/"), "n_name", F.lit(".md")).alias("source_path"), F.concat(F.lit("../region/"), "r_name", F.lit(".md")).alias("raw_target"))
-    lost = nation.select(F.concat(F.lit("nation/"), "n_name", F.lit(".md")).alias("source_path"), F.concat(F.lit("none/"), "n_name", F.lit("x")).alias("raw_target"))
-    links = to_region.unionByName(lost).withColumn("normalized_target", normalize_target(F.col("raw_target")))
+    """Each customer links to its nation, and to a note that is not there."""
+    customer, nation = _table(spark, d, "customer"), _table(spark, d, "nation")
+    own = F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".md"))
+    notes = nation.select(F.concat(F.lit("nation/"), "n_name", F.lit(".md")).alias("path"), F.col("n_name").alias("title")).unionByName(customer.select(own.alias("path"), F.col("c_custkey").cast("string").alias("title")))
+    to_nation = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(own.alias("source_path"), F.concat(F.lit("../nation/"), "n_name", F.lit(".md")).alias("raw_target"))
+    lost = customer.select(own.alias("source_path"), F.concat(F.lit("none/"), F.col("c_custkey").cast("string"), F.lit("x")).alias("raw_target"))
+    links = to_nation.unionByName(lost).withColumn("normalized_target", normalize_target(F.col("raw_target")))
     return graph.resolve(links, notes), notes
 
 
-_LINKS = "SELECT 'nation/' || n_name || '.md' AS source_path, 'region/' || r_name || '.md' AS target_path FROM nation JOIN region ON n_regionkey = r_regionkey"
+_LINKS = "SELECT 'customer/' || c_custkey || '.md' AS source_path, 'nation/' || n_name || '.md' AS target_path FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
-@_register("links_resolve", f"{_LINKS} UNION ALL SELECT 'nation/' || n_name || '.md', NULL FROM nation")
+@_register("links_resolve", f"{_LINKS} UNION ALL SELECT 'customer/' || c_custkey || '.md', NULL FROM customer")
 def links_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)[0].select("source_path", "target_path")
 
 
-@_register("links_unresolved", "SELECT 'nation/' || n_name || '.md' AS source_path FROM nation")
+@_register("links_unresolved", "SELECT 'customer/' || c_custkey || '.md' AS source_path FROM customer")
 def links_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return graph.unresolved(_links(spark, d)[0]).select("source_path")
 
 
-@_register("backlinks", f"SELECT source_path FROM ({_LINKS}) WHERE target_path = (SELECT min('region/' || r_name || '.md') FROM region)")
+@_register("backlinks", f"SELECT source_path FROM ({_LINKS}) WHERE target_path = (SELECT min('nation/' || n_name || '.md') FROM nation)")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    first = _table(spark, d, "region").agg(F.min(F.concat(F.lit("region/"), "r_name", F.lit(".md")))).first()[0]
+    first = _table(spark, d, "nation").agg(F.min(F.concat(F.lit("nation/"), "n_name", F.lit(".md")))).first()[0]
     return graph.backlinks(_links(spark, d)[0], first)
 
 
-@_register("graph_bfs", f"""WITH e AS (SELECT source_path AS a, target_path AS b FROM ({_LINKS}) UNION SELECT target_path, source_path FROM ({_LINKS})), s AS (SELECT min('nation/' || n_name || '.md') AS p FROM nation),
+@_register("graph_bfs", f"""WITH e AS (SELECT source_path AS a, target_path AS b FROM ({_LINKS}) UNION SELECT target_path, source_path FROM ({_LINKS})), s AS (SELECT min('customer/' || c_custkey || '.md') AS p FROM customer),
 h1 AS (SELECT DISTINCT b AS p FROM e JOIN s ON a = p), h2 AS (SELECT DISTINCT b AS p FROM e JOIN h1 ON a = p WHERE b NOT IN (SELECT p FROM s) AND b NOT IN (SELECT p FROM h1))
 SELECT p AS path, 0 AS hop FROM s UNION ALL SELECT p, 1 FROM h1 UNION ALL SELECT p, 2 FROM h2""")
 def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
-    first = _table(spark, d, "nation").agg(F.min(F.concat(F.lit("nation/"), "n_name", F.lit(".md")))).first()[0]
+    first = _table(spark, d, "customer").agg(F.min(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".md")))).first()[0]
     return graph.neighbourhood(_links(spark, d)[0], first, 2)
 
 
+@_register("graph_of_index", f"""WITH e AS (SELECT source_path AS a, target_path AS b FROM ({_LINKS}) UNION SELECT target_path, source_path FROM ({_LINKS})), s AS (SELECT max('nation/' || n_name || '.md') AS p FROM nation),
+h1 AS (SELECT DISTINCT b AS p FROM e JOIN s ON a = p) SELECT p AS path, 0 AS hop FROM s UNION ALL SELECT p, 1 FROM h1""")
+def graph_of_index(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of a nation, a hub, from the edges that an index keeps in buckets."""
+    out, state = Index(spark, f"{default_index(spark, d)}-links"), fingerprint(spark, _table(spark, d, "customer"))
+    made = out.metadata()
+    if not made or made["state"] != state:
+        links, notes = _links(spark, d)
+        chunks = spark.createDataFrame([], "chunk_id long, path string, title string, heading string, body string, search_text string, content_hash string")
+        out.build(chunks, notes, links.withColumn("ordinal", F.lit(0)), source=d, state=state)
+    start = _table(spark, d, "nation").agg(F.max(F.concat(F.lit("nation/"), "n_name", F.lit(".md")))).first()[0]
+    return graph.neighbourhood_of(out, start, 2)
+
+
 @_register("staleness_diff", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 3 = 1 THEN 'removed' ELSE 'modified' END AS change, doc_id::VARCHAR AS path FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 3 < 2")
 def staleness_diff(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size"))
