@@ -34,24 +34,25 @@ BLOCK, LARGE = 1 << 13, 1 << 14
 CODE = 4
 
 
-def _gram_hashes(codes: np.ndarray) -> np.ndarray:
+def _gram_hashes(codes: np.ndarray, step: int) -> np.ndarray:
+    """A hash of the gram at every ``step``-th place."""
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_BYTE[codes] * _power(0x9E3779B97F4A7C15, len(codes)), out=sums[1:])
-    return mix((sums[GRAM:] - sums[:-GRAM]) * _power(_INVERSE, len(codes) + 1)[: len(codes) - GRAM + 1])
+    return mix((sums[GRAM:][::step] - sums[:-GRAM][::step]) * _power(_INVERSE, len(codes) + 1)[: len(codes) - GRAM + 1][::step])
 
 
-def _segments(text: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, anchor, first, last) of each run of windows [first, last] that share an anchor.
+def _segments(text: bytes, length: int, step: int = 1) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, anchor, first, last) of each run of windows [first, last] that share an anchor; windows begin at every ``step``-th byte.
 
     The anchor of a window is the place of its least gram hash, so equal windows have equal
     anchor hashes at the same place in the window. Runs part all windows of a document.
     """
     out = []
     codes = np.frombuffer(text, np.uint8)
-    width = length - GRAM + 1
+    width = (length - GRAM) // step + 1
     for base in range(0, max(0, len(codes) - length + 1), CHUNK):
         part = codes[base : base + CHUNK + length - 1]
-        hashes = _gram_hashes(part)
+        hashes = _gram_hashes(part, step)
         least = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
         reach = 1
         while 2 * reach <= width:
@@ -59,10 +60,10 @@ def _segments(text: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np
             reach *= 2
         if reach < width:
             least = np.minimum(least[: reach - width], least[width - reach :])
-        anchor = (least & _POSITION).astype(np.int64)
+        anchor = (least[: (len(part) - length) // step + 1] & _POSITION).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
         last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
-        out.append((hashes[anchor[first]].view(np.int64), anchor[first] + base, first + base, last + base))
+        out.append((hashes[anchor[first]].view(np.int64), anchor[first] * step + base, first * step + base, last * step + base))
     return out
 
 
@@ -73,7 +74,7 @@ def _print(piece: bytes, offset: int) -> bytes:
 _OCCURRENCE = "k long, k2 long, h long, print binary, p long, lo int, hi int"
 
 
-def _occurrences(docs: DataFrame, length: int) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, step: int) -> DataFrame:
     """A row for each run: lo and hi are the bounds of its bytes, counted from the anchor p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
             columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, key2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_py()
-                for hashes, anchors, first, last in _segments(raw, length):
+                for hashes, anchors, first, last in _segments(raw, length, step):
                     prints += [_print(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), anchors.tolist(), strict=True)]
                     row = np.full(len(first), key, np.int64), np.full(len(first), key2, np.int64), hashes, anchors, (first - anchors).astype(np.int32), (last + length - anchors).astype(np.int32)
                     for column, values in zip(columns, row, strict=True):
@@ -195,7 +196,7 @@ def _small_groups(strings: DataFrame, length: int) -> DataFrame:
 _WINDOW = "h long, print binary, lo int, hi int, w binary"
 
 
-def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str) -> DataFrame:
+def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str, step: int) -> DataFrame:
     """The same for groups too large for one task: dealt into parts of about LARGE strings, each built by columns.
 
     What a part has twice is found in it. Of each other window it sends one row, and of those it
@@ -215,7 +216,7 @@ def _large_groups(ws: Workspace, strings: DataFrame, length: int, tag: str) -> D
                 before = print_
                 if first <= last:
                     rows.append((h, print_, first, last + length, None))
-                for k in range(len(raw) - length + 1):
+                for k in range(0, len(raw) - length + 1, step):
                     window = hashlib.blake2b(raw[k : k + length], digest_size=16).digest()
                     if (lo + k, window) not in seen:
                         seen.add((lo + k, window))
@@ -276,9 +277,9 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "bytes", "found", "repeated").mapInArrow(run, schema)
 
 
-def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str) -> DataFrame:
-    """(k, k2, found) of the rows of ``docs`` (k, k2, bytes) that have a string of ``length`` bytes which also starts elsewhere."""
-    occurrences = ws.write(_occurrences(docs, length), f"{tag}-occurrences")
+def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str, step: int = 1) -> DataFrame:
+    """(k, k2, found) of the rows of ``docs`` (k, k2, bytes) that have a string of ``length`` bytes which also starts elsewhere, at every ``step``-th byte."""
+    occurrences = ws.write(_occurrences(docs, length, step), f"{tag}-occurrences")
     runs = occurrences.groupBy("h", "print").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k", "k2", "p", "lo", "hi"))
     )
@@ -290,7 +291,7 @@ def _repeats(ws: Workspace, docs: DataFrame, length: int, tag: str) -> DataFrame
     sizes = runs.where(F.col("kinds") > LARGE).select("h", "kinds").distinct()
     sizes = ws.write(sizes, f"{tag}-large")
     found = _small_groups(strings.join(sizes, "h", "left_anti"), length)
-    found = ws.write(found.unionByName(_large_groups(ws, strings.join(sizes, "h"), length, tag)), f"{tag}-found")
+    found = ws.write(found.unionByName(_large_groups(ws, strings.join(sizes, "h"), length, tag, step)), f"{tag}-found")
     ws.drop(f"{tag}-strings", f"{tag}-large", f"{tag}-windows")
     hits = occurrences.select("k", "k2", "h", "print", "p").join(found, ["h", "print"])
     span = F.struct((F.col("p") + F.col("lo")).alias("a"), (F.col("p") + F.col("hi")).alias("b"))
@@ -333,9 +334,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None,
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("bytes"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "bytes")).withColumn("k2", F.xxhash64(F.lit("row"), "bytes", "doc_id"))
     hits = _repeats(ws, rows, length, "bytes")
-    # a code is whole only where it begins at a word, and two neighbours of a run agree in all their bytes with a chance of 1 in 2**32
-    rows = rows.join(hits, ["k", "k2"], "left")
+    # strings of words begin at a word; two neighbours of a run agree in all their bytes with a chance of 1 in 2**32
+    joined = rows.join(hits, ["k", "k2"], "left")
     if words is None:
-        return _cut(rows.withColumn("repeated", F.lit(None))).drop("repeated_words").withColumnRenamed("doc_id", key)
-    repeated = _repeats(ws, _word_codes(rows.drop("found")), words * CODE, "words").withColumnRenamed("found", "repeated")
-    return _cut(rows.join(repeated, ["k", "k2"], "left")).withColumnRenamed("doc_id", key)
+        return _cut(joined.withColumn("repeated", F.lit(None))).drop("repeated_words").withColumnRenamed("doc_id", key)
+    repeated = _repeats(ws, _word_codes(rows), words * CODE, "words", CODE).withColumnRenamed("found", "repeated")
+    return _cut(joined.join(repeated, ["k", "k2"], "left")).withColumnRenamed("doc_id", key)
