@@ -7,13 +7,12 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdspark.functions.text import line_links
 from mdspark.shipping import ship_package
 from mdspark.sources.index import Index
-from mdspark.storage import scratch
 
 #: The marks of task fields.
 DATES = {"due": "📅", "completion": "✅", "scheduled": "⏳", "start": "🛫", "created": "➕", "cancelled": "❌"}
@@ -81,7 +80,9 @@ def inline_fields(text: Column) -> Column:
     keys = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(1)), lambda k: F.lower(F.trim(k)))
     values = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2)), lambda v: F.trim(v))
     entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
+    later = lambda all_, i: F.slice(all_, i + 2, F.size(all_))
+    # as a variable, so that the patterns are not searched again for each entry
+    last = F.transform(F.array(entries), lambda all_: F.filter(all_, lambda e, i: ~F.exists(later(all_, i), lambda o: o["key"] == e["key"])))[0]
     return F.when(F.contains(text, F.lit("::")), F.map_from_entries(last)).otherwise(F.expr("cast(map() as map<string, string>)"))
 
 
@@ -104,10 +105,10 @@ def described(text: Column, global_filter: str = "") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, marked, ""), r"\s+", " "))
 
 
-def task_fields(text: Column, fields: Column, description: Column) -> dict[str, Column]:
-    """Fields of the text after the checkbox; marks override ``[key:: value]`` fields of the same name.
+def task_fields(text: Column, fields: Column) -> dict[str, Column]:
+    """Fields of the text after the checkbox that are plain texts; marks override ``[key:: value]`` fields of the same name.
 
-    ``fields`` and ``description`` are columns already, so that they are computed once.
+    ``fields`` is a column already, so that it is computed once.
     """
     inline = lambda *names: F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
     out = {name: F.coalesce(_after(text, mark, f"({_DATE})"), inline(name)) for name, mark in DATES.items()}
@@ -115,10 +116,15 @@ def task_fields(text: Column, fields: Column, description: Column) -> dict[str,
     named = F.when(named.isin(list(PRIORITY_NUMBERS)), named)
     priority = F.coalesce(*(F.when(F.contains(text, F.lit(mark)), F.lit(name)) for mark, name in PRIORITIES.items()), named, F.lit("normal"))
     out["priority"] = priority
-    out["priority_number"] = _lookup(priority, PRIORITY_NUMBERS, F.lit(3))
     out["recurrence"] = F.coalesce(F.trim(_after(text, "🔁", rf"([^{_MARKS}\[]+)")), inline("recurrence", "repeat"))
     out["on_completion"] = F.coalesce(_after(text, "🏁", f"({_DONE})"), inline("oncompletion"), F.lit(""))
     out["id"] = F.coalesce(_after(text, "🆔", f"({_ID})"), inline("id"))
+    return out
+
+
+def task_lists(text: Column, description: Column) -> dict[str, Column]:
+    """What a text depends on, its tags, and its description without them."""
+    out = {}
     depends = F.split(F.coalesce(_after(text, "⛔", f"({_IDS})"), F.lit("")), ",")
     out["depends_on"] = F.filter(F.transform(depends, lambda d: F.trim(d)), lambda d: d != "")
     out["description_without_tags"] = F.trim(F.regexp_replace(description, _TAG, "$1"))
@@ -147,10 +153,11 @@ def lines_of(body: str, start: int, global_filter: str = "") -> list[tuple]:
     out: list[tuple] = []
     heading, section, stack = None, 0, []
     for at, line in enumerate(body.split("\n"), start):
-        line = _QUOTE.sub("", line)
-        if _HEAD.match(line):
+        if ">" in line:
+            line = _QUOTE.sub("", line)
+        if line[:1] == "#" and _HEAD.match(line):
             heading, section, stack = _HEAD_ENDS.sub("", line), section + 1, []
-        elif (m := _TASK_LINE.match(line)) and (not global_filter or global_filter in line):
+        elif "[" in line and (m := _TASK_LINE.match(line)) and (not global_filter or global_filter in line):
             width = len(m[1])
             while stack and stack[-1][1] >= width:
                 stack.pop()
@@ -160,6 +167,17 @@ def lines_of(body: str, start: int, global_filter: str = "") -> list[tuple]:
 
 
 def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str, tuple] | list[str] | None = None, note_links: bool = False) -> DataFrame:
+    """A row with all columns for each task line of ``notes``: ``task_lines``, completed."""
+    return complete(task_lines(notes, global_filter, note_links), global_filter, statuses)
+
+
+def _small_methods(spark: SparkSession) -> None:
+    """Columns of many patterns make methods that the JVM never compiles, being larger than its limit of 8000 bytes; such stages are to run without whole-stage code."""
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def task_lines(notes: DataFrame, global_filter: str = "", note_links: bool = False) -> DataFrame:
     """A row for each task line of ``notes`` (path, body; body_start_line and frontmatter_json if they are there).
 
     One pass over a note's lines numbers them and carries headings and parents down, in time that
@@ -167,11 +185,11 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
     links of its whole note, copied into each of its tasks.
     """
     ship_package(notes.sparkSession)
-    known = known_statuses(statuses)
+    _small_methods(notes.sparkSession)
     start = F.col("body_start_line") if "body_start_line" in notes.columns else F.lit(1)
     frontmatter = F.col("frontmatter_json") if "frontmatter_json" in notes.columns else F.lit(None).cast("string")
     in_body, in_properties = line_links(F.col("body")), line_links(F.coalesce(frontmatter, F.lit("")))
-    note = [x.alias(n) for n, x in file_parts(F.col("path")).items()] + [frontmatter.alias("frontmatter")]
+    note = [frontmatter.alias("frontmatter")]
     if note_links:
         both = F.array_distinct(F.concat(in_properties, in_body))
         note += [in_properties.alias("outlinks_in_properties"), in_body.alias("outlinks_in_body"), both.alias("outlinks")]
@@ -180,22 +198,42 @@ def extract_tasks(notes: DataFrame, global_filter: str = "", statuses: dict[str,
 
     @F.arrow_udf(f"array<struct<{_LINES}>>")
     def found(bodies: pa.Array, starts: pa.Array) -> pa.Array:
-        rows = [lines_of(b or "", s or 1, global_filter) for b, s in zip(bodies.to_pylist(), starts.to_pylist(), strict=True)]
-        return pa.array([[dict(zip(names, r, strict=True)) for r in some] for some in rows], pa.list_(pa.struct(list(kinds.items()))))
+        rows: list[tuple] = []
+        ends = [0]
+        for b, s in zip(bodies.to_pylist(), starts.to_pylist(), strict=True):
+            rows += lines_of(b or "", s or 1, global_filter)
+            ends.append(len(rows))
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        items = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+    tasks = notes.select("path", F.struct(*note).alias("note"), found(F.col("body"), start.cast("int")).alias("_t")).select("path", "note", F.inline("_t"))
+    tasks = tasks.select("*", inline_fields(F.col("text")).alias("_fields"))
+    return tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), F.col("_fields")).items())).drop("_fields")
+
 
-    tasks = notes.select("path", F.struct(*note).alias("file"), found(F.col("body"), start.cast("int")).alias("_t")).select("path", "file", F.inline("_t"))
-    tasks = tasks.select("path", "file", "line", (F.col("line") - 1).alias("line_number"), *names[1:])
+def complete(tasks: DataFrame, global_filter: str = "", statuses: dict[str, tuple] | list[str] | None = None) -> DataFrame:
+    """``tasks`` of ``task_lines`` with what follows from their columns: lists, the description, the parts of the path, the line as written, texts of groups, the status.
+
+    A table need not keep these; a query computes those that it reads, which takes less than
+    writing all of them.
+    """
+    _small_methods(tasks.sparkSession)
+    stored = [c for c in tasks.columns if c not in ("path", "note", "line")]
+    file = [x.alias(n) for n, x in file_parts(F.col("path")).items()] + [F.col("note")[n].alias(n) for n in tasks.schema["note"].dataType.names]
+    tasks = tasks.select("path", F.struct(*file).alias("file"), "line", (F.col("line") - 1).alias("line_number"), *stored)
     tasks = tasks.select("*", inline_fields(F.col("text")).alias("fields"), described(F.col("text"), global_filter).alias("description"))
-    tasks = tasks.select("*", *(c.alias(name) for name, c in task_fields(F.col("text"), F.col("fields"), F.col("description")).items()))
+    tasks = tasks.select("*", *(c.alias(name) for name, c in task_lists(F.col("text"), F.col("description")).items()))
     page = F.col("file.filename_without_extension")
     tasks = tasks.select(
         "*",
+        _lookup(F.col("priority"), PRIORITY_NUMBERS, F.lit(3)).alias("priority_number"),
         F.concat("indentation", "list_marker", F.lit(" ["), "status_symbol", F.lit("] "), "text").alias("original_markdown"),
         F.when(F.col("heading").isNull(), page).otherwise(F.concat(page, F.lit(" > "), "heading")).alias("backlink"),
         line_links(F.col("text")).alias("outlinks"),
-        *(c.alias(n) for n, c in derived(F.col("recurrence"), F.col("priority_number")).items()),
     )
-    return add_status(tasks, known)
+    tasks = tasks.select("*", *(c.alias(n) for n, c in derived(F.col("recurrence"), F.col("priority_number")).items()))
+    return add_status(tasks, known_statuses(statuses))
 
 
 def derived(recurrence: Column, priority_number: Column) -> dict[str, Column]:
@@ -221,9 +259,9 @@ def add_status(tasks: DataFrame, known: dict[str, tuple] = STATUSES) -> DataFram
     )
 
 
-def with_parent(tasks: DataFrame, columns: tuple[str, ...] = ("description", "status_type", "status_name", "tags", "due", "priority", "line")) -> DataFrame:
-    """With ``parent``, the given columns of the parent task."""
-    above = tasks.select("path", F.col("line").alias("parent_line"), F.struct(*columns).alias("parent"))
+def with_parent(tasks: DataFrame, columns: tuple[str, ...] = ("description", "status_type", "status_name", "tags", "due", "priority", "line"), parents: DataFrame | None = None) -> DataFrame:
+    """With ``parent``, the given columns of the parent task, which is among ``parents`` if they are given."""
+    above = (tasks if parents is None else parents).select("path", F.col("line").alias("parent_line"), F.struct(*columns).alias("parent"))
     return tasks.join(above, ["path", "parent_line"], "left")
 
 
@@ -235,19 +273,18 @@ def with_days(tasks: DataFrame) -> DataFrame:
 def task_table(index: Index, global_filter: str = "", statuses: list[str] | None = None, parent: bool = True, note_links: bool = True) -> DataFrame:
     """The tasks of an index's notes with their parents and days, from a table that is made once for each segment of the index.
 
-    It lies in the order of due dates, those without one last, so a query on them reads a part.
+    The table keeps the lines and their plain fields, which one pass over the notes finds; the rest
+    is computed from it. Notes are dealt evenly by path, as few files may hold many of them; tasks
+    are not shuffled, but for parents.
     """
-    name = "tasks-" + hashlib.sha256(repr((global_filter, sorted(statuses or ()), parent, note_links)).encode()).hexdigest()[:12]
+    name = "lines-" + hashlib.sha256(repr((global_filter, sorted(statuses or ()), parent, note_links)).encode()).hexdigest()[:12]
 
     def make(notes: DataFrame) -> DataFrame:
-        rows = with_days(extract_tasks(notes, global_filter, statuses, note_links))
-        rows = with_parent(rows) if parent else rows
-        order = [F.col("due_day").asc_nulls_last(), F.col("path"), F.col("line")]
-        folder = scratch(notes.sparkSession, "tasks")
-        rows.write.option("compression", "zstd").parquet(folder)  # so that the order's samples do not take the lines apart again
-        return notes.sparkSession.read.schema(rows.schema).parquet(folder).repartitionByRange(*order).sortWithinPartitions(*order)
-
-    return index.derived(name, make)
+        dealt = notes.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+        rows = with_days(task_lines(dealt, global_filter, note_links))
+        return with_parent(rows, parents=complete(rows, global_filter, statuses)) if parent else rows
+
+    return complete(index.derived(name, make), global_filter, statuses)
 
 
 def urgency(today: str) -> Column:

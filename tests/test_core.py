@@ -231,3 +231,19 @@ def test_entry_and_queries_run_against_sql(spark):
         df = con.sql(__spark_entry__.oracle_sql()[name])
         order = [df.columns.index(c) for c in __spark_entry__.queries()[name](spark, d).columns]
         assert mine == sorted((tuple(r[k] for k in order) for r in df.fetchall()), key=repr)
+
+
+def test_task_table_keeps_plain_fields_and_deals_notes(spark, tmp_path):
+    from mdspark.sources.index import Index
+    notes = spark.range(200).selectExpr("concat('a/n', id, '.md') AS path", "concat('n', id) AS title", r"concat('# H\n- [ ] do ', id, ' #t [due:: 2026-01-0', id % 9 + 1, ']\n  - [x] [k:: 1] [[b]] [k:: 2] 📅 2026-02-01') AS body").coalesce(1)
+    chunks = spark.createDataFrame([], "chunk_id long, path string, title string, heading string, body string, search_text string, content_hash string")
+    index = Index(spark, str(tmp_path / "i")).build(chunks, notes)
+    rows = tasks.task_table(index, parent=False)
+    whole = tasks.with_days(tasks.extract_tasks(notes, note_links=True))
+    assert sorted(rows.columns) == sorted(whole.columns)
+    shown = lambda f: sorted(f.select(F.to_json(F.struct(*sorted(f.columns))).alias("j")).toPandas()["j"])
+    assert shown(rows) == shown(whole) and rows.where("fields['k'] = '2' AND get(outlinks, 0).path = 'b.md' AND due = '2026-02-01'").count() == 200
+    folder = f"{index.root}/{next(iter(index.metadata()['segments'][0]['derived'].values()))}"
+    kept = spark.read.parquet(folder)
+    assert not {"description", "fields", "tags", "original_markdown", "file"} & set(kept.columns)
+    assert kept.select(F.input_file_name()).distinct().count() > 1  # of one file of notes
