@@ -304,15 +304,17 @@ def random_key(today: str) -> Column:
 
 
 def dependencies(tasks: DataFrame) -> DataFrame:
-    """With is_blocked and is_blocking: an actionable task on an id of another actionable one, and the reverse."""
+    """With is_blocked and is_blocking: an actionable task on an id of another actionable one, and the reverse.
+
+    Ids meet ids alone, so tasks without one are not brought together; what is found comes back by path and line.
+    """
     acting = tasks.where(F.col("status_type").isin(*ACTIONABLE))
-    ids = acting.where("id IS NOT NULL").select(F.col("id").alias("_id")).distinct()
+    ids = acting.where("id IS NOT NULL").select("path", "line", F.col("id").alias("_id"))
     edges = acting.select("path", "line", F.explode("depends_on").alias("_id"))
-    blocked = edges.join(ids, "_id", "left_semi").select("path", "line").distinct().withColumn("_b", F.lit(True))
-    needed = edges.select(F.col("_id").alias("id")).distinct().withColumn("_n", F.lit(True))
-    out = tasks.join(blocked, ["path", "line"], "left").join(needed, "id", "left")
-    acts = F.col("status_type").isin(*ACTIONABLE)
-    return out.withColumn("is_blocked", F.coalesce("_b", F.lit(False))).withColumn("is_blocking", F.coalesce("_n", F.lit(False)) & acts).drop("_b", "_n")
+    flag = lambda rows, others, name: rows.join(others.select("_id").distinct(), "_id", "left_semi").select("path", "line", *(F.lit(n == name).alias(n) for n in ("_b", "_n")))
+    found = flag(edges, ids, "_b").unionByName(flag(ids, edges, "_n")).groupBy("path", "line").agg(F.max("_b").alias("_b"), F.max("_n").alias("_n"))
+    out = tasks.join(found, ["path", "line"], "left")
+    return out.withColumn("is_blocked", F.coalesce("_b", F.lit(False))).withColumn("is_blocking", F.coalesce("_n", F.lit(False))).drop("_b", "_n")
 
 
 def attach(pages: DataFrame, tasks: DataFrame) -> DataFrame:

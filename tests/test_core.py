@@ -247,3 +247,11 @@ def test_task_table_keeps_plain_fields_and_deals_notes(spark, tmp_path):
     kept = spark.read.parquet(folder)
     assert not {"description", "fields", "tags", "original_markdown", "file"} & set(kept.columns)
     assert kept.select(F.input_file_name()).distinct().count() > 1  # of one file of notes
+
+
+def test_dependencies_bring_no_tasks_without_an_id_together(spark):
+    rows = spark.createDataFrame([("a", 1, "TODO", "x", []), ("a", 2, "TODO", None, ["x"]), ("b", 1, "DONE", "x", ["x"]), ("b", 2, "TODO", None, ["nope"])], "path string, line int, status_type string, id string, depends_on array<string>")
+    out = tasks.dependencies(rows)
+    assert sorted((r.path, r.line, r.is_blocked, r.is_blocking) for r in out.collect()) == [("a", 1, False, True), ("a", 2, True, False), ("b", 1, False, False), ("b", 2, False, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join LeftOuter" in x and "(id#" in x]
