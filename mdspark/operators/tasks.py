@@ -317,8 +317,9 @@ def dependencies(tasks: DataFrame) -> DataFrame:
     return out.withColumn("is_blocked", F.coalesce("_b", F.lit(False))).withColumn("is_blocking", F.coalesce("_n", F.lit(False))).drop("_b", "_n")
 
 
-def attach(pages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """``pages`` with the tasks of each in a list ``tasks``, by line; a page bounds its list."""
-    rows = tasks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", *(c for c in tasks.columns if c not in ("path", "line", "file", "fields", "outlinks"))))).alias("tasks"))
+def attach(pages: DataFrame, tasks: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``pages`` with the tasks of each in a list ``tasks``, by line; a page bounds its list. With ``columns`` a task has the line and these alone, and nothing else is shuffled."""
+    columns = columns or tuple(c for c in tasks.columns if c not in ("path", "line", "file", "fields", "outlinks"))
+    rows = tasks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", *columns))).alias("tasks"))
     none = F.array().cast(rows.schema["tasks"].dataType)
     return pages.join(rows, "path", "left").withColumn("tasks", F.coalesce("tasks", none))

@@ -135,11 +135,11 @@ class Pages:
             frame = frame.where(F.startswith(F.col("path"), F.lit(wanted)))
         return DataArray(frame)
 
-    def with_tasks(self) -> DataArray:
-        """Pages with the list of their tasks."""
+    def with_tasks(self, *columns: str) -> DataArray:
+        """Pages with the list of their tasks, of which ``columns`` alone are kept if any are named."""
         if self.tasks is None:
             raise ValueError("there are no tasks")
-        return DataArray(task_operators.attach(self.all, self.tasks))
+        return DataArray(task_operators.attach(self.all, self.tasks, columns))
 
     def page(self, name: str) -> DataFrame:
         """The page of a path, with or without .md, or of a name; the first by path."""

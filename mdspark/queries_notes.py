@@ -496,7 +496,7 @@ def array_file_link(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("page_tasks", f"SELECT {_O} AS path, 3::BIGINT AS n_tasks, '#task Order ' || o_orderkey AS first FROM orders")
 def page_tasks(spark: SparkSession, d: str) -> DataFrame:
-    rows = Pages(_order_notes(spark, d).select("path"), _tasks(spark, d)).with_tasks().frame
+    rows = Pages(_order_notes(spark, d).select("path"), _tasks(spark, d)).with_tasks("description").frame
     return rows.select("path", F.size("tasks").cast("long").alias("n_tasks"), F.col("tasks")[0]["description"].alias("first"))
 
 

@@ -255,3 +255,10 @@ def test_dependencies_bring_no_tasks_without_an_id_together(spark):
     assert sorted((r.path, r.line, r.is_blocked, r.is_blocking) for r in out.collect()) == [("a", 1, False, True), ("a", 2, True, False), ("b", 1, False, False), ("b", 2, False, False)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join LeftOuter" in x and "(id#" in x]
+
+
+def test_attached_tasks_have_the_columns_asked_for(spark):
+    pages = spark.createDataFrame([("a",), ("b",)], "path string")
+    rows = spark.createDataFrame([("a", 2, "y", "t"), ("a", 1, "x", "t")], "path string, line int, description string, text string")
+    out = tasks.attach(pages, rows, ("description",))
+    assert {r.path: [tuple(t) for t in r.tasks] for r in out.collect()} == {"a": [(1, "x"), (2, "y")], "b": []}
