@@ -20,8 +20,9 @@ def search_tokens(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.char_length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{CJK}]") & (F.char_length(run) > 1), pairs).otherwise(F.array(run))
 
-    plain = ~text.rlike(f"[{CJK}]")
-    return F.when(plain, runs).otherwise(F.flatten(F.transform(runs, split)))
+    # a text without such characters, as most are, is searched for plain words once
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{IsAlphabetic}\p{N}_]+"), F.lit(0))
+    return F.when(~text.rlike(f"[{CJK}]"), words).otherwise(F.flatten(F.transform(runs, split)))
 
 
 def _folded() -> tuple[str, str]:
@@ -44,9 +45,20 @@ def fold(text: Column) -> Column:
 
 
 def index_terms(text: Column) -> Column:
-    """What search tokens are in the index: without diacritics, parted at ``_``."""
+    """What search tokens are in the index: without diacritics, parted at ``_``.
+
+    Texts without CJK characters and marks of their own are searched once, after a translation of
+    their letters, none of which makes or ends a word. The others are taken token by token.
+    """
+    low, (one, other) = F.lower(text), _folded()
+    found = lambda where, word: F.regexp_extract_all(where, F.lit(word), F.lit(0))
     parts = F.flatten(F.transform(search_tokens(text), lambda t: F.split(fold(t), "_+")))
-    return F.filter(parts, lambda t: t != "")
+    letters = found(F.translate(low, one[: len(other)], other), r"[\p{IsAlphabetic}\p{N}]+")
+    return (
+        F.when(~low.rlike(r"[^\x00-\x7f]"), found(low, "[a-z0-9]+"))
+        .when(~low.rlike(rf"[{CJK}\x{{300}}-\x{{36f}}]"), letters)
+        .otherwise(F.filter(parts, lambda t: t != ""))
+    )
 
 
 def query_phrases(query: str) -> list[list[str]]:

@@ -39,6 +39,8 @@ from mdspark.storage import path_of, scratch
 BUCKETS = 64
 #: Chunks of a block, about, and classes of length for each doubling of it.
 BLOCK, CLASSES = 64, 4
+#: Bytes of text whose postings one task sorts, about; words whose postings are packed together; rows of postings in a batch.
+PART, WORDS, ROWS = 16 << 20, 1 << 20, 10_000
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 #: Segments, or parts of the vectors, that are merged into one when an update makes them more; commits whose tables are kept.
@@ -68,18 +70,32 @@ def bucket_number(term: str) -> int:
 
 
 _POSTINGS = "term string, block long, n int, impact double, ids array<long>, freqs array<int>, dls array<int>, positions array<array<int>>"
+#: Rows of postings on their way to the files of a slice: those of many terms and blocks in one row, their lists end to end.
+_PACKED = "slice int, terms string, blocks array<long>, ns array<int>, ids array<long>, freqs array<int>, dls array<int>, positions array<int>"
 
 
-def postings_of(chunks: DataFrame, average: float, text: str = "search_text") -> DataFrame:
+def parts_of(spark: SparkSession, size: int) -> int:
+    """Into how many parts ``size`` bytes of text are dealt: the session's number, or as many as keep a part to some PART bytes, so that its sort fits in a task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+
+
+def postings_of(chunks: DataFrame, average: float, text: str = "search_text", parts: int = BUCKETS) -> DataFrame:
     """(bucket, term, block, n, impact, ids, freqs, dls, positions) of chunks (chunk_id, _block, text): a row for each term of a block.
 
     ``impact`` is the most that the term gives to the score of one of its n chunks, before the
     factor for how rare it is. Rows of a block that do not come one after the other make several
-    rows of postings; each holds at most BLOCK chunks at a time. Nothing is shuffled.
+    rows of postings; each holds at most BLOCK chunks at a time. Buckets, or slices of a bucket by
+    block if there are more ``parts``, are each in one partition. Rows are shuffled packed, as one
+    for a slice of many blocks, as a row by itself would be many times as large as what it holds.
     """
     ship_package(chunks.sparkSession)
+    cut = -(-parts // BUCKETS)  # slices of a bucket
+    slices = BUCKETS * cut if cut > 1 else parts
+    flat = lambda arrays: np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    names = [part.split()[0] for part in _PACKED.split(", ")]
 
-    def rows_of(block: int, ids: list[int], words: list[pa.Array]) -> pa.RecordBatch:
+    def rows_of(block: int, ids: list[int], words: list[pa.Array]) -> tuple:
+        """Of each term of the block: the term, the number of its chunks; of each of these: its id, frequency, length; the positions."""
         dls = np.array([len(w) for w in words], np.int32)
         coded = pa.concat_arrays([w.cast(pa.string()) for w in words]).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -91,32 +107,74 @@ def postings_of(chunks: DataFrame, average: float, text: str = "search_text") ->
         freqs = np.diff(np.concatenate((entry, [len(codes)])))
         who, of_term = owner[entry], codes[entry]
         term = np.concatenate(([0], np.flatnonzero(of_term[1:] != of_term[:-1]) + 1))
-        impact = np.maximum.reduceat(freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * dls[who] / average)), term)
-        by_term = np.concatenate((term, [len(entry)])).astype(np.int32)
-        listed = lambda values: pa.ListArray.from_arrays(pa.array(by_term), values)
-        places = pa.ListArray.from_arrays(pa.array(np.concatenate((entry, [len(codes)])).astype(np.int32)), pa.array(place[order]))
+        ns = np.diff(np.concatenate((term, [len(entry)])))
+        return coded.dictionary.take(pa.array(of_term[term])), np.full(len(term), block, np.int64), ns, np.array(ids, np.int64)[who], freqs, dls[who], place[order]
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        terms = pa.concat_arrays([h[0] for h in held])
+        blocks, ns, ids, freqs, dls, positions = (flat([h[k] for h in held]) for k in range(1, 7))
+        coded = terms.dictionary_encode()
+        buckets = np.array([bucket_number(t) for t in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+        of_row = buckets * cut + blocks % cut if cut > 1 else buckets % slices
+        order = np.argsort(of_row, kind="stable")
+        entries = _gathered(ns, order)
+        rows = np.bincount(of_row, minlength=slices)
+        sizes = [rows, rows, np.bincount(of_row, ns, slices), np.bincount(np.repeat(of_row, ns), freqs, slices)]
+        at_row, _, at_entry, at_place = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in sizes)
+        values = terms.take(pa.array(order))
+        joined = pa.array([" ".join(values.slice(a, n).to_pylist()) for a, n in zip(at_row.tolist(), rows.tolist())], pa.string())  # noqa: B905
+        listed = lambda at, x, kind: pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(kind)))
         columns = [
-            coded.dictionary.take(pa.array(of_term[term])), pa.array(np.full(len(term), block, np.int64)), pa.array(np.diff(by_term)), pa.array(impact),
-            listed(pa.array(np.array(ids, np.int64)[who])), listed(pa.array(freqs.astype(np.int32))), listed(pa.array(dls[who])), listed(places),
+            pa.array(np.arange(slices, dtype=np.int32)), joined, listed(at_row, blocks[order], np.int64), listed(at_row, ns[order], np.int32), listed(at_entry, ids[entries], np.int64),
+            listed(at_entry, freqs[entries], np.int32), listed(at_entry, dls[entries], np.int32), listed(at_place, positions[_gathered(freqs, entries)], np.int32),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "impact", "ids", "freqs", "dls", "positions"])
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(rows > 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, words = None, [], []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, words, held, size = None, [], [], [], 0
         for batch in batches:
             for chunk, block, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if ids and (block != at or len(ids) >= BLOCK):
-                    yield rows_of(at, ids, words)
+                    held.append(rows_of(at, ids, words))
+                    size += sum(map(len, words))
                     ids, words = [], []
+                    if size >= WORDS:
+                        yield packed(held)
+                        held, size = [], 0
                 at = block
                 if found.is_valid and len(found.values):
                     ids.append(chunk)
                     words.append(found.values)
         if ids:
-            yield rows_of(at, ids, words)
+            held.append(rows_of(at, ids, words))
+        if held:
+            yield packed(held)
 
-    rows = chunks.select("chunk_id", "_block", index_terms(F.col(text)).alias("t")).mapInArrow(run, _POSTINGS)
-    return rows.select(bucket_of(F.col("term")).alias("bucket"), "*")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                terms = row.column(1)[0].as_py().split(" ")
+                blocks, ns, ids, freqs, dls, positions = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in range(2, 8))
+                at_row, at_entry = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in (ns, freqs))
+                impact = np.maximum.reduceat(freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * dls / average)), at_row[:-1])
+                known = {t: bucket_number(t) for t in set(terms)}
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(at_row), x)  # noqa: E731, B023
+                columns = [
+                    pa.array([known[t] for t in terms], pa.int32()), pa.array(terms, pa.string()), pa.array(blocks), pa.array(ns), pa.array(impact),
+                    listed(pa.array(ids)), listed(pa.array(freqs)), listed(pa.array(dls)), listed(pa.ListArray.from_arrays(pa.array(at_entry), pa.array(positions))),
+                ]
+                whole = pa.RecordBatch.from_arrays(columns, ["bucket", *(c.split()[0] for c in _POSTINGS.split(", "))])
+                yield from (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS))
+
+    rows = chunks.select("chunk_id", "_block", index_terms(F.col(text)).alias("t")).mapInArrow(pack, _PACKED)
+    return rows.repartitionById(slices, F.col("slice")).mapInArrow(unpack, f"bucket int, {_POSTINGS}")
+
+
+def _gathered(lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where the items of lists that lie end to end go if the lists are put in an order."""
+    start, taken = np.cumsum(lengths) - lengths, lengths[order]
+    return np.repeat(start[order] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
 
 
 @dataclass
@@ -229,6 +287,8 @@ class Index:
                 rows = rows.withColumn("_block", F.col("_block") + base) if table == "chunks" else rows
                 self._write(rows.drop("_segment"), f"{self.root}/{name}/{table}")
         rows = now._blocks().withColumn("block", F.col("block") + base).select("bucket", *(c.split()[0] for c in _POSTINGS.split(", "))).where("n > 0")
+        cut = -(-parts_of(self.spark, 6 * made["length"]) // BUCKETS)  # some 6 bytes a word
+        rows = rows.repartition(BUCKETS * cut, "bucket", F.pmod("block", F.lit(cut)))
         self._write_postings(rows, f"{self.root}/{name}/postings")
         one = {
             "folder": name, "tables": sorted({t for s in made["segments"] for t in s["tables"]}), "blocks": first, "chunks": made["chunks"], "texts": made["texts"],
@@ -246,7 +306,6 @@ class Index:
 
     def _write_postings(self, rows: DataFrame, where: str) -> None:
         """By bucket, in the order of terms and blocks, in small row groups, so that a search reads what it asks for."""
-        rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("term", F.pmod("block", F.lit(16))), F.lit(16)))
         rows.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(where)
 
     def _segment(self, chunks: DataFrame, notes: DataFrame | None, links: DataFrame | None, body: str) -> dict:
@@ -259,7 +318,8 @@ class Index:
                 self._write(frame, f"{folder}/{table}")
         # classes of length by their number, with the first block and the number of blocks of each
         of_class = F.floor(CLASSES * F.log2(F.char_length(F.coalesce(F.col(f"`{body}`"), F.lit(""))) + 1)).cast("int")
-        counts = chunks.groupBy(of_class.alias("c")).agg(F.count("*").alias("n"), F.max("chunk_id").alias("last")).orderBy("c").collect()  # some 31 * CLASSES rows at most
+        size = F.coalesce(F.sum(F.octet_length(F.col(f"`{body}`"))), F.lit(0))
+        counts = chunks.groupBy(of_class.alias("c")).agg(F.count("*").alias("n"), F.max("chunk_id").alias("last"), size.alias("size")).orderBy("c").collect()  # some 31 * CLASSES rows at most
         first, spans = 0, []
         for r in counts:
             spans.append((r["c"], first, -(-r["n"] // BLOCK)))
@@ -267,12 +327,13 @@ class Index:
         which = lambda k: F.element_at(F.create_map(*(F.lit(x) for s in spans for x in (s[0], s[k]))), of_class).cast("long")
         block = F.coalesce(which(1) + F.pmod(F.xxhash64("chunk_id"), which(2)), F.lit(0).cast("long")) if spans else F.lit(0).cast("long")
         dealt = chunks.withColumn("_block", block).withColumn("_dl", F.when(F.col(f"`{body}`").isNotNull(), F.size(index_terms(F.col(f"`{body}`")))))
-        dealt = dealt.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "_block").sortWithinPartitions("_block", "chunk_id")
+        parts = parts_of(self.spark, sum(r["size"] for r in counts))
+        dealt = dealt.repartition(parts, "_block").sortWithinPartitions("_block", "chunk_id")
         self._write(dealt, f"{folder}/chunks")
         kept = self.spark.read.schema(dealt.schema).parquet(f"{folder}/chunks")
         size = kept.agg(F.count("*").alias("n"), F.count("_dl").alias("texts"), F.coalesce(F.sum("_dl"), F.lit(0)).alias("dl")).first()
         average = size["dl"] / size["texts"] if size["dl"] else 1.0
-        self._write_postings(postings_of(kept, average, body), f"{folder}/postings")
+        self._write_postings(postings_of(kept, average, body, parts), f"{folder}/postings")
         return {
             "folder": name, "tables": ["chunks", "postings", *(t for t, f in tables.items() if f is not None)], "blocks": first, "chunks": size["n"], "texts": size["texts"], "length": size["dl"], "average": average,
             "next_id": max([r["last"] for r in counts if r["last"] is not None], default=-1) + 1,
