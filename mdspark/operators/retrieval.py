@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from mdspark.functions.text import query_phrases, query_tokens, search_tokens, snippet
 from mdspark.operators.ordering import numbered
 from mdspark.sources.index import K1, B, Index
+from mdspark.storage import scratch
 
 #: Fixed values of the ranking functions.
 LEAST_IDF, RRF = 1e-6, 60
@@ -143,7 +144,8 @@ def bm25(chunks: DataFrame, query: str, limit: int | None = None, text: str = "s
     """(key, score) of the chunks that hold every token of the query, without an index; statistics are of all chunks.
 
     Reads all texts, so it is for tables that are searched once. A token that the query repeats counts as often. One pass counts tokens, without exploding
-    them; the statistics are one row, so nothing of the corpus is shuffled.
+    them, and its numbers are written, as the statistics and the scores would each read the texts again, and conditions on counts part them once more;
+    the statistics are one row, so nothing of the corpus is shuffled.
     """
     terms = query_tokens(query)
     if not terms:
@@ -152,7 +154,10 @@ def bm25(chunks: DataFrame, query: str, limit: int | None = None, text: str = "s
     tokens = chunks.select(key, search_tokens(F.col(text)).alias("_t"))
     equals = lambda t: lambda x: x == F.lit(t)
     counts = [F.size(F.filter("_t", equals(t))).alias(f"_f{k}") for k, t in enumerate(distinct)]
-    tf = tokens.select(key, F.size("_t").alias("_dl"), *counts)
+    counted = tokens.select(key, F.size("_t").alias("_dl"), *counts)
+    folder = scratch(chunks.sparkSession, "counts")
+    counted.write.parquet(folder)
+    tf = chunks.sparkSession.read.schema(counted.schema).parquet(folder)
     stats = tf.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(f"_f{k}") > 0).alias(f"_n{k}") for k in range(len(distinct))))
     score: Column = F.lit(0.0)
     for t in terms:

@@ -41,3 +41,9 @@ def test_terms_of_texts_searched_once_are_those_taken_token_by_token(spark):
     each = F.filter(F.flatten(F.transform(search_tokens(F.col("t")), lambda t: F.split(fold(t), "_+"))), lambda t: t != "")
     for row in df.select(index_terms(F.col("t")).alias("a"), each.alias("b")).collect():
         assert row.a == row.b
+
+
+def test_bm25_without_an_index_parts_texts_into_words_once(spark):
+    hits = retrieval.bm25(chunks(spark), "lamp stone", 5)
+    assert "regexp_extract_all" not in hits._jdf.queryExecution().optimizedPlan().toString()  # what is left reads counts
+    assert len(hits.collect()) == 5
