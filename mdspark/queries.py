@@ -95,8 +95,9 @@ def bm25_without_index(spark: SparkSession, d: str) -> DataFrame:
 @_register("bm25_restrict_filter", f"WITH {_BM25} SELECT doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY bm.score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars > 1500")
 def bm25_restrict_filter(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = retrieval.ranked(retrieval.Pipeline(chunks, chunks, index=_index(spark, d)).run("filter:lang = en and n_chars > 1500", "bm25:the and of"))
-    return hits.select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    hits = retrieval.Pipeline(chunks, chunks, index=_index(spark, d)).run("filter:lang = en and n_chars > 1500", "bm25:the and of")
+    # ranks of what is asked for: ranking writes its rows, and bodies are not among them
+    return retrieval.ranked(hits.select("chunk_id", "score")).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @_register("rank_then_filter_synthetic", f"""WITH {_BM25}, good AS (SELECT doc_id FROM documents WHERE source = 'src3')

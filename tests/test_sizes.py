@@ -47,3 +47,13 @@ def test_bm25_without_an_index_parts_texts_into_words_once(spark):
     hits = retrieval.bm25(chunks(spark), "lamp stone", 5)
     assert "regexp_extract_all" not in hits._jdf.queryExecution().optimizedPlan().toString()  # what is left reads counts
     assert len(hits.collect()) == 5
+
+
+def test_ranks_of_restricted_hits_write_no_bodies(spark, monkeypatch):
+    from mdspark import queries
+    from mdspark.operators import ordering
+
+    folders, scratch = [], ordering.scratch
+    monkeypatch.setattr(ordering, "scratch", lambda spark, name: folders.append(scratch(spark, name)) or folders[-1])
+    queries.queries()["bm25_restrict_filter"](spark, "/root/testdata/sf0.001").collect()
+    assert [spark.read.parquet(f).columns for f in folders] == [["chunk_id", "score", "_at"]]
