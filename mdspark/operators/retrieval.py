@@ -61,19 +61,13 @@ def bm25_best(index: Index, query: str, limit: int, count: bool = False) -> Best
         often = index.frequencies(distinct, heads)
         if any(often.get(t, 0) <= 0 for t in distinct):
             return none
-        n, average = made["chunks"], made["average"] or 1.0
+        n = made["chunks"]
         idf = {t: math.log((n - often[t] + 0.5) / (often[t] + 0.5)) for t in distinct}
         weight = F.element_at(F.create_map(*(F.lit(x) for t in distinct for x in (t, terms.count(t) * (idf[t] if idf[t] > 0 else LEAST_IDF)))), F.col("term"))
         bounds = heads.groupBy("_segment", "block").agg(F.count("*").alias("k"), F.sum(F.col("impact") * weight).alias("bound")).where(F.col("k") == len(distinct))
 
         def scored(blocks: Column) -> DataFrame:
-            of_term = [F.max(F.when(F.col("term") == t, F.col("freqs"))).alias(f"_f{k}") for k, t in enumerate(distinct)]
-            rows = index.entries(distinct, blocks).groupBy("chunk_id").agg(F.max("dls").alias("_dl"), *of_term)
-            score: Column = F.lit(0.0)
-            for t in terms:
-                score = score + _part(F.col(f"_f{distinct.index(t)}"), F.lit(often[t]), F.col("_dl"), F.lit(float(n)), F.lit(float(average)))
-            rows = rows.where(" AND ".join(f"_f{k} IS NOT NULL" for k in range(len(distinct))))
-            return rows.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+            return _term_scores(index, terms, often, blocks).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
         first = bounds.orderBy(F.desc("bound"), "_segment", "block").limit(FIRST).collect()
         if len(first) < FIRST:
@@ -92,6 +86,19 @@ def bm25_best(index: Index, query: str, limit: int, count: bool = False) -> Best
         heads.unpersist()
 
 
+def _term_scores(index: Index, terms: list[str], often: dict[str, int], blocks: Column | None = None) -> DataFrame:
+    """(chunk_id, score) of the chunks that hold all terms, in the blocks that meet a condition; positions are not read."""
+    made, distinct = index.metadata(), list(dict.fromkeys(terms))
+    n, average = made["chunks"], made["average"] or 1.0
+    of_term = [F.max(F.when(F.col("term") == t, F.col("freqs"))).alias(f"_f{k}") for k, t in enumerate(distinct)]
+    rows = index.entries(distinct, blocks).groupBy("chunk_id").agg(F.max("dls").alias("_dl"), *of_term)
+    score: Column = F.lit(0.0)
+    for t in terms:
+        score = score + _part(F.col(f"_f{distinct.index(t)}"), F.lit(often[t]), F.col("_dl"), F.lit(float(n)), F.lit(float(average)))
+    rows = rows.where(" AND ".join(f"_f{k} IS NOT NULL" for k in range(len(distinct))))
+    return rows.select("chunk_id", score.alias("score"))
+
+
 def _in_blocks(rows: list) -> Column:
     condition = F.lit(False)
     for segment in sorted({r["_segment"] for r in rows}):
@@ -109,10 +116,15 @@ def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFram
     index = index.pinned()
     phrases = query_phrases(query)
     made = index.metadata()
+    none = index.spark.createDataFrame([], "chunk_id long, score double")
     if not phrases or not made:
-        return index.spark.createDataFrame([], "chunk_id long, score double")
-    if limit is not None and all(len(p) == 1 for p in phrases):
-        return bm25_best(index, query, limit).hits
+        return none
+    if all(len(p) == 1 for p in phrases):
+        if limit is not None:
+            return bm25_best(index, query, limit).hits
+        words = [p[0] for p in phrases]
+        often = index.frequencies(list(dict.fromkeys(words)))
+        return _term_scores(index, words, often) if all(often.get(t, 0) > 0 for t in words) else none
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     terms = list(dict.fromkeys(t for p in distinct for t in p))
     places = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"_p{k}") for k, t in enumerate(terms)]

@@ -23,10 +23,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdspark.functions.plain_terms import count_plain_terms, plain_terms
 from mdspark.functions.text import index_terms
 from mdspark.operators import graph
 from mdspark.operators.ordering import numbered
@@ -39,8 +41,8 @@ from mdspark.storage import path_of, scratch
 BUCKETS = 64
 #: Chunks of a block, about, and classes of length for each doubling of it.
 BLOCK, CLASSES = 64, 4
-#: Bytes of text whose postings one task sorts, about; words whose postings are packed together; rows of postings in a batch.
-PART, WORDS, ROWS = 16 << 20, 1 << 20, 10_000
+#: Bytes of text whose postings one task sorts, about; words whose postings are packed together, and of which a worker sorts the postings at once; rows of postings in a batch.
+PART, WORDS, SORTED, ROWS = 16 << 20, 1 << 20, 4 << 20, 10_000
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 #: Segments, or parts of the vectors, that are merged into one when an update makes them more; commits whose tables are kept.
@@ -70,8 +72,9 @@ def bucket_number(term: str) -> int:
 
 
 _POSTINGS = "term string, block long, n int, impact double, ids array<long>, freqs array<int>, dls array<int>, positions array<array<int>>"
-#: Rows of postings on their way to the files of a slice: those of many terms and blocks in one row, their lists end to end.
-_PACKED = "slice int, terms string, blocks array<long>, ns array<int>, ids array<long>, freqs array<int>, dls array<int>, positions array<int>"
+#: Rows of postings on their way to the files of a slice: those of many terms and blocks in one row, their numbers end to end.
+_PACKED = "slice int, terms string, blocks binary, ns binary, ids binary, freqs binary, dls binary, positions binary"
+_KINDS = np.int64, np.int32, np.int64, np.int32, np.int32, np.int32
 
 
 def parts_of(spark: SparkSession, size: int) -> int:
@@ -80,7 +83,7 @@ def parts_of(spark: SparkSession, size: int) -> int:
 
 
 def postings_of(chunks: DataFrame, average: float, text: str = "search_text", parts: int = BUCKETS) -> DataFrame:
-    """(bucket, term, block, n, impact, ids, freqs, dls, positions) of chunks (chunk_id, _block, text): a row for each term of a block.
+    """(bucket, term, block, n, impact, ids, freqs, dls, positions) of chunks (chunk_id, _block, _plain, text): a row for each term of a block.
 
     ``impact`` is the most that the term gives to the score of one of its n chunks, before the
     factor for how rare it is. Rows of a block that do not come one after the other make several
@@ -121,19 +124,19 @@ def postings_of(chunks: DataFrame, average: float, text: str = "search_text", pa
         rows = np.bincount(of_row, minlength=slices)
         sizes = [rows, rows, np.bincount(of_row, ns, slices), np.bincount(np.repeat(of_row, ns), freqs, slices)]
         at_row, _, at_entry, at_place = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in sizes)
-        values = terms.take(pa.array(order))
-        joined = pa.array([" ".join(values.slice(a, n).to_pylist()) for a, n in zip(at_row.tolist(), rows.tolist())], pa.string())  # noqa: B905
-        listed = lambda at, x, kind: pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(kind)))
-        columns = [
-            pa.array(np.arange(slices, dtype=np.int32)), joined, listed(at_row, blocks[order], np.int64), listed(at_row, ns[order], np.int32), listed(at_entry, ids[entries], np.int64),
-            listed(at_entry, freqs[entries], np.int32), listed(at_entry, dls[entries], np.int32), listed(at_place, positions[_gathered(freqs, entries)], np.int32),
-        ]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at_row), terms.take(pa.array(order))), " ")
+        places = [at_row, at_row, at_entry, at_entry, at_entry, at_place]
+        values = [blocks[order], ns[order], ids[entries], freqs[entries], dls[entries], positions[_gathered(freqs, entries)]]
+        parted = ([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:])] for at, x, kind in zip(places, values, _KINDS))  # noqa: B905
+        columns = [pa.array(np.arange(slices, dtype=np.int32)), joined, *(pa.array(x, pa.binary()) for x in parted)]
         return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(rows > 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, words, held, size = None, [], [], [], 0
         for batch in batches:
-            for chunk, block, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            plain = plain_terms(batch.column(2).drop_null().to_pylist())
+            for chunk, block, is_plain, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).is_valid().to_pylist(), batch.column(3), strict=True):
+                found = next(plain) if is_plain else other.values
                 if ids and (block != at or len(ids) >= BLOCK):
                     held.append(rows_of(at, ids, words))
                     size += sum(map(len, words))
@@ -142,32 +145,51 @@ def postings_of(chunks: DataFrame, average: float, text: str = "search_text", pa
                         yield packed(held)
                         held, size = [], 0
                 at = block
-                if found.is_valid and len(found.values):
+                if found is not None and len(found):
                     ids.append(chunk)
-                    words.append(found.values)
+                    words.append(found)
         if ids:
             held.append(rows_of(at, ids, words))
         if held:
             yield packed(held)
 
+    def ordered(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Rows of postings in the order of their file, so that the sort finds them sorted."""
+        coded = pa.concat_arrays([pc.split_pattern(pa.array([h["terms"]]), " ").flatten() for h in held]).dictionary_encode()
+        blocks, ns, ids, freqs, dls, positions = (np.concatenate([np.frombuffer(h[name], kind) for h in held]) for name, kind in zip(names[2:], _KINDS))  # noqa: B905
+        alphabetic = pc.sort_indices(coded.dictionary).to_numpy()
+        buckets = np.array([bucket_number(t) for t in coded.dictionary.to_pylist()], np.int32)
+        places = np.empty(len(buckets), np.int64)
+        places[alphabetic[np.argsort(buckets[alphabetic], kind="stable")]] = np.arange(len(buckets))
+        codes = coded.indices.to_numpy()
+        order = np.lexsort((blocks, places[codes]))
+        entries = _gathered(ns, order)
+        codes, blocks, ns, ids, freqs, dls, positions = codes[order], blocks[order], ns[order], ids[entries], freqs[entries], dls[entries], positions[_gathered(freqs, entries)]
+        at_row, at_entry = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in (ns, freqs))
+        impact = np.maximum.reduceat(freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * dls / average)), at_row[:-1])
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(at_row), x)
+        columns = [
+            pa.array(buckets[codes]), coded.dictionary.take(pa.array(codes)), pa.array(blocks), pa.array(ns), pa.array(impact),
+            listed(pa.array(ids)), listed(pa.array(freqs)), listed(pa.array(dls)), listed(pa.ListArray.from_arrays(pa.array(at_entry), pa.array(positions))),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["bucket", *(c.split()[0] for c in _POSTINGS.split(", "))])
+        yield from (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS))
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                terms = row.column(1)[0].as_py().split(" ")
-                blocks, ns, ids, freqs, dls, positions = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in range(2, 8))
-                at_row, at_entry = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in (ns, freqs))
-                impact = np.maximum.reduceat(freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * dls / average)), at_row[:-1])
-                known = {t: bucket_number(t) for t in set(terms)}
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(at_row), x)  # noqa: E731, B023
-                columns = [
-                    pa.array([known[t] for t in terms], pa.int32()), pa.array(terms, pa.string()), pa.array(blocks), pa.array(ns), pa.array(impact),
-                    listed(pa.array(ids)), listed(pa.array(freqs)), listed(pa.array(dls)), listed(pa.ListArray.from_arrays(pa.array(at_entry), pa.array(positions))),
-                ]
-                whole = pa.RecordBatch.from_arrays(columns, ["bucket", *(c.split()[0] for c in _POSTINGS.split(", "))])
-                yield from (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS))
-
-    rows = chunks.select("chunk_id", "_block", index_terms(F.col(text)).alias("t")).mapInArrow(pack, _PACKED)
+            for row in batch.to_pylist():
+                held.append(row)
+                size += len(row["positions"]) // 4
+                if size >= SORTED:
+                    yield from ordered(held)
+                    held, size = [], 0
+        if held:
+            yield from ordered(held)
+
+    plain = F.when(F.col("_plain"), F.col(f"`{text}`")).alias("plain")
+    terms = F.when(~F.col("_plain"), index_terms(F.col(f"`{text}`"))).alias("terms")
+    rows = chunks.select("chunk_id", "_block", plain, terms).mapInArrow(pack, _PACKED)
     return rows.repartitionById(slices, F.col("slice")).mapInArrow(unpack, f"bucket int, {_POSTINGS}")
 
 
@@ -326,7 +348,10 @@ class Index:
             first += spans[-1][2]
         which = lambda k: F.element_at(F.create_map(*(F.lit(x) for s in spans for x in (s[0], s[k]))), of_class).cast("long")
         block = F.coalesce(which(1) + F.pmod(F.xxhash64("chunk_id"), which(2)), F.lit(0).cast("long")) if spans else F.lit(0).cast("long")
-        dealt = chunks.withColumn("_block", block).withColumn("_dl", F.when(F.col(f"`{body}`").isNotNull(), F.size(index_terms(F.col(f"`{body}`")))))
+        ship_package(self.spark)
+        whole = F.col(f"`{body}`")
+        dealt = chunks.withColumn("_block", block).withColumn("_dl", count_plain_terms(whole)).withColumn("_plain", F.col("_dl") >= 0)
+        dealt = dealt.withColumn("_dl", F.when(F.col("_plain"), F.col("_dl")).otherwise(F.when(whole.isNotNull(), F.size(index_terms(whole)))))
         parts = parts_of(self.spark, sum(r["size"] for r in counts))
         dealt = dealt.repartition(parts, "_block").sortWithinPartitions("_block", "chunk_id")
         self._write(dealt, f"{folder}/chunks")
@@ -466,7 +491,7 @@ class Index:
         for column, kind in COLUMNS.get(name, {}).items():
             if column not in rows.columns:
                 rows = rows.withColumn(column, F.lit(None).cast(kind))
-        return rows if everything else rows.drop("_block", "_dl")
+        return rows if everything else rows.drop("_block", "_dl", "_plain")
 
     def _read_postings(self, *columns: str) -> DataFrame:
         """Rows of postings of all segments as they were written."""

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mdspark.functions.plain_terms import PLAIN, count_plain_terms, plain_terms
 from mdspark.functions.text import fold, index_terms, search_tokens
 from mdspark.operators import retrieval
+from mdspark.shipping import ship_package
 from mdspark.sources import index as index_module
 from mdspark.sources.index import Index
 
@@ -57,3 +59,31 @@ def test_ranks_of_restricted_hits_write_no_bodies(spark, monkeypatch):
     monkeypatch.setattr(ordering, "scratch", lambda spark, name: folders.append(scratch(spark, name)) or folders[-1])
     queries.queries()["bm25_restrict_filter"](spark, "/root/testdata/sf0.001").collect()
     assert [spark.read.parquet(f).columns for f in folders] == [["chunk_id", "score", "_at"]]
+
+
+def test_terms_of_plain_texts_are_those_of_the_index(spark):
+    ship_package(spark)
+    plain = [f"{chr(c)} x{chr(c)}y {chr(c)}A {chr(c)}{chr(c)}" for a, b in PLAIN for c in range(a, b + 1)] + ["", "_", "Émile_ça-va  été"]
+    odd = ["日本語 é_x", "ΑΣ σ", "İx", "e\u0301a b", "\U0001f600 a", None]
+    df = spark.createDataFrame([(t,) for t in plain + odd], "t string")
+    rows = df.select("t", index_terms(F.col("t")).alias("terms"), count_plain_terms(F.col("t")).alias("n")).collect()
+    for row in rows[: len(plain)]:
+        assert (row.n, next(plain_terms([row.t])).to_pylist()) == (len(row.terms), row.terms)
+    assert [row.n for row in rows[len(plain) :]] == [-1] * len(odd)
+    assert [w.to_pylist() for w in plain_terms(["a B", "", "é ß д", "x"])] == [["a", "b"], [], ["e", "ß", "д"], ["x"]]
+    bad = spark.range(1).select(F.expr("cast(X'61FF62' AS string)").alias("t"))
+    assert bad.select(count_plain_terms(F.col("t"))).first()[0] == -1
+
+
+def test_postings_of_plain_and_other_texts_come_sorted_and_scores_read_no_positions(spark, tmp_path):
+    more = [(1000, "a 日本語 b"), (1001, "Été a_B"), (1002, ""), (1003, None), (1004, "İ lamp")]
+    rows = chunks(spark, 60).unionByName(chunks(spark, 1).drop("chunk_id", "search_text").join(spark.createDataFrame(more, "chunk_id long, search_text string")))
+    index = Index(spark, str(tmp_path / "a")).build(rows)
+    want = rows.select("chunk_id", F.posexplode(index_terms(F.col("search_text"))).alias("p", "term")).groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("p")).alias("positions"))
+    found = index.table("postings").select("term", "chunk_id", "positions")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    folder = tmp_path / "a" / index.metadata()["segments"][0]["folder"] / "chunks"
+    made = index_module.postings_of(spark.read.parquet(str(folder)), 1.0, parts=3).select(F.spark_partition_id().alias("k"), "bucket", "term", "block")
+    listed = [(r.k, r.bucket, r.term.encode(), r.block) for r in made.collect()]
+    assert listed == sorted(listed)
+    assert "positions" not in retrieval.bm25_indexed(index, "lamp stone")._jdf.queryExecution().executedPlan().toString()
